@@ -47,3 +47,400 @@ def q_bookings_for_simulator(spark, sf):
 @query("members_for_simulator")
 def q_members_for_simulator(spark, sf):
     return model(spark, sf).members_out
+
+
+# ---------------------------------------------------------------- helpers
+import datetime as _dt  # noqa: E402
+
+from waypoint.operators import forest as RF  # noqa: E402
+from waypoint.operators import identity as I  # noqa: E402
+from waypoint.operators import lines as L  # noqa: E402
+from waypoint.operators import outputs as O  # noqa: E402
+from waypoint.operators import reconcile as R  # noqa: E402
+from waypoint.operators import respondents as RS  # noqa: E402
+from waypoint.operators import sampling as SM  # noqa: E402
+from waypoint.operators import segments as S  # noqa: E402
+from waypoint.operators import tiers as T  # noqa: E402
+from waypoint.operators import transitions as TR  # noqa: E402
+from waypoint.sources import cache as CACHE  # noqa: E402
+from waypoint.sources import csv as CSV  # noqa: E402
+from waypoint.sources import fixtures as FX  # noqa: E402
+from waypoint.sources.survey import cid_to_ccid  # noqa: E402
+from waypoint.session import scratch_path  # noqa: E402
+
+ENRICHED_COLS = ["ccid", "booking_code", "lob", "lob_ext", "segment", "is_package",
+                 "begin_use_date", "booking_date_pst", "loyalty_tier", "gbvlc", "trip_elements"]
+
+
+def ctx(spark, sf):
+    return context.load(spark, sf)
+
+
+def _p(spark, sf):
+    return ctx(spark, sf).params
+
+
+# ---------------------------------------------------------------- ingest and identity
+@query("tx_normalised")
+def q_tx_normalised(spark, sf):
+    return as_output(I.post_process_tx(ctx(spark, sf).tx_extract))
+
+
+@query("customer_ids")
+def q_customer_ids(spark, sf):
+    return ctx(spark, sf).data.ccids
+
+
+@query("attach_ccid")
+def q_attach_ccid(spark, sf):
+    return ctx(spark, sf).data.cust
+
+
+@query("tx_year_slice")
+def q_tx_year_slice(spark, sf):
+    c = ctx(spark, sf)
+    return (L.year_slice(c.data.tx, c.params.analysis_year)
+            .select("ccid", "booking_code", "begin_use_date",
+                    F.year("begin_use_date").alias("use_year"),
+                    F.month("begin_use_date").alias("use_month")))
+
+
+@query("scan_customer_csv")
+def q_scan_customer_csv(spark, sf):
+    path = scratch_path(spark, "customers-csv")
+    CSV.write_csv(ctx(spark, sf).cust_extract, path, null_value="")
+    return CSV.read_customers(spark, path)
+
+
+def _write_tx_parts(spark, sf) -> str:
+    """The extract as three numbered parts (by use period), columns in different orders."""
+    x = ctx(spark, sf).tx_extract
+    folder = scratch_path(spark, "tx-parts")
+    d = F.col("begin_use_date")
+    spans = [d < F.lit(_dt.date(1997, 1, 1)),
+             (d >= F.lit(_dt.date(1997, 1, 1))) & (d < F.lit(_dt.date(1999, 1, 1))),
+             (d >= F.lit(_dt.date(1999, 1, 1))) | d.isNull()]
+    cols = x.columns
+    for i, cond in enumerate(spans, start=1):
+        order = cols if i % 2 else list(reversed(cols))
+        CSV.write_csv(x.where(cond).select(*order), f"{folder}/extract_tx{i}of3.csv", null_value="")
+    # an entry that does not match the part pattern must be ignored
+    CSV.write_csv(x.select("boooking_code").limit(1), f"{folder}/extract_tx_notes.csv")
+    return folder
+
+
+@query("scan_tx_parts")
+def q_scan_tx_parts(spark, sf):
+    return as_output(CSV.read_tx_parts(spark, _write_tx_parts(spark, sf)))
+
+
+@query("cache_roundtrip")
+def q_cache_roundtrip(spark, sf):
+    d = ctx(spark, sf).data
+    folder = scratch_path(spark, "raw-cache")
+    CACHE.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids}, folder)
+    tables = CACHE.read_tables(spark, folder)
+    return as_output(tables["tx"])
+
+
+# ---------------------------------------------------------------- survey
+@query("survey_id_map")
+def q_survey_id_map(spark, sf):
+    c = ctx(spark, sf)
+    path = scratch_path(spark, "survey-map")
+    CSV.write_csv(FX.survey_map_extract(spark, sf), path, null_value="null")
+    return cid_to_ccid(c.data.ccids, CSV.read_survey_map(spark, path))
+
+
+@query("survey_dataset")
+def q_survey_dataset(spark, sf):
+    return ctx(spark, sf).survey.answers
+
+
+@query("override_segmentation")
+def q_override_segmentation(spark, sf):
+    c = ctx(spark, sf)
+    path = scratch_path(spark, "alt-segments")
+    CSV.write_csv(c.alt_raw, path)
+    alt = CSV.read_all_text(spark, path)
+    a = S.override_segmentation(c.survey.answers, alt, c.survey.cid_to_ccid, "tier_expanded")
+    return S.drop_non_members(a, "tier_expanded")
+
+
+@query("unique_only")
+def q_unique_only(spark, sf):
+    c = ctx(spark, sf)
+    alt = S.clean_names(c.alt_raw).withColumnRenamed("cid_external_cid", "cid")
+    alt = alt.join(c.survey.cid_to_ccid, "cid")
+    return S.unique_only(alt.select("ccid", F.col("tier_expanded").alias("segments_v1")), "ccid")
+
+
+# ---------------------------------------------------------------- segmentation
+@query("spend_cut_wide")
+def q_spend_cut_wide(spark, sf):
+    c = ctx(spark, sf)
+    return S.spend_cut_wide(c.data.tx, c.params)
+
+
+@query("typing_table")
+def q_typing_table(spark, sf):
+    c = ctx(spark, sf)
+    return S.typing_table(c.survey.tx, c.survey.answers, c.params)
+
+
+@query("segment_candidates")
+def q_segment_candidates(spark, sf):
+    m = model(spark, sf)
+    return S.segment_candidates(m.data.tx, m.typing, m.p)
+
+
+@query("segment_assignment")
+def q_segment_assignment(spark, sf):
+    return model(spark, sf).segments
+
+
+@query("unsegmented_customers")
+def q_unsegmented_customers(spark, sf):
+    m = model(spark, sf)
+    return as_output(S.unsegmented(m.data.tx, m.segments))
+
+
+# ---------------------------------------------------------------- model stages
+@query("members")
+def q_members(spark, sf):
+    return model(spark, sf).members
+
+
+@query("package_flags")
+def q_package_flags(spark, sf):
+    return model(spark, sf).packages.withColumn("n", F.col("n").cast("long"))
+
+
+@query("tx_enriched")
+def q_tx_enriched(spark, sf):
+    return as_output(model(spark, sf).enriched.select(*ENRICHED_COLS))
+
+
+@query("current_year_units")
+def q_current_year_units(spark, sf):
+    return model(spark, sf).customer_units.select(
+        "ccid", "trip_elements_current_year", "bookings_current_year")
+
+
+@query("prev_year_units")
+def q_prev_year_units(spark, sf):
+    return (model(spark, sf).customer_units.where(F.col("bookings_prev_year").isNotNull())
+            .select("ccid", "trip_elements_prev_year", "bookings_prev_year"))
+
+
+@query("booking_lob_wide")
+def q_booking_lob_wide(spark, sf):
+    return as_output(model(spark, sf).lob_wide)
+
+
+@query("booking_rollup")
+def q_booking_rollup(spark, sf):
+    return as_output(model(spark, sf).rollup)
+
+
+@query("running_units")
+def q_running_units(spark, sf):
+    return as_output(model(spark, sf).running)
+
+
+@query("booking_units")
+def q_booking_units(spark, sf):
+    return as_output(model(spark, sf).booking_units)
+
+
+@query("unit_views")
+def q_unit_views(spark, sf):
+    return as_output(O.unit_views(model(spark, sf).booking_units))
+
+
+@query("sink_roundtrip")
+def q_sink_roundtrip(spark, sf):
+    m = model(spark, sf)
+    out = m.bookings_out
+    base = scratch_path(spark, "model-output")
+    path = CSV.write_output(out, base, "run", "bookings",
+                            order=["unit_type", "segment", *O.VIEW_COLS])
+    return CSV.read_output(spark, path, out)
+
+
+@query("stage_reconciliation")
+def q_stage_reconciliation(spark, sf):
+    m = model(spark, sf)
+    vals = R.stage_values(m.data.tx, m.members, m.enriched, m.customer_units,
+                          m.booking_units, m.bookings_out, m.members_out, m.p)
+    return R.stage_reconciliation(vals)
+
+
+@query("sample_customers")
+def q_sample_customers(spark, sf):
+    c = ctx(spark, sf)
+    return as_output(SM.sample_customers(c.data.tx, c.params.sample_size, c.params.seed))
+
+
+# ---------------------------------------------------------------- respondent features
+def _survey_year(c):
+    return L.year_slice(c.survey.tx, c.params.analysis_year)
+
+
+@query("lob_metrics_wide")
+def q_lob_metrics_wide(spark, sf):
+    c = ctx(spark, sf)
+    y = _survey_year(c)
+    return as_output(RS.lob_metrics_wide(y, RS.lob_levels(y)))
+
+
+@query("flag_sums")
+def q_flag_sums(spark, sf):
+    return RS.flag_sums(_survey_year(ctx(spark, sf)))
+
+
+@query("survey_features")
+def q_survey_features(spark, sf):
+    c = ctx(spark, sf)
+    return as_output(RS.survey_features(c.survey.cid_to_ccid, c.data.ccids, c.survey.tx,
+                                        c.params.analysis_year))
+
+
+# ---------------------------------------------------------------- tiers
+@query("recorded_tier_distribution")
+def q_recorded_tier_distribution(spark, sf):
+    m = model(spark, sf)
+    return T.recorded_tier_distribution(m.data.tx, m.members, m.p)
+
+
+def _compare(m):
+    return T.tier_compare(m.booking_units, m.enriched, m.p)
+
+
+@query("tier_compare")
+def q_tier_compare(spark, sf):
+    return _compare(model(spark, sf))
+
+
+@query("tier_confusion")
+def q_tier_confusion(spark, sf):
+    return T.tier_confusion(_compare(model(spark, sf)))
+
+
+@query("tier_confusion_monthly")
+def q_tier_confusion_monthly(spark, sf):
+    return T.tier_confusion(_compare(model(spark, sf)), by_month=True)
+
+
+@query("tier_mismatch_rows")
+def q_tier_mismatch_rows(spark, sf):
+    return T.tier_mismatch_rows(_compare(model(spark, sf)))
+
+
+@query("customer_history")
+def q_customer_history(spark, sf):
+    m = model(spark, sf)
+    busiest = (L.year_slice(m.enriched, m.p.analysis_year).groupBy("ccid")
+               .agg(F.count(F.lit(1)).alias("n"))
+               .orderBy(F.desc("n"), "ccid").limit(1).select("ccid").scalar())
+    return T.customer_history(m.enriched, busiest)
+
+
+@query("calculated_tier_totals")
+def q_calculated_tier_totals(spark, sf):
+    m = model(spark, sf)
+    return T.calculated_tier_totals(m.booking_units, m.p)
+
+
+@query("recorded_tier_value")
+def q_recorded_tier_value(spark, sf):
+    m = model(spark, sf)
+    return T.recorded_tier_value(m.enriched, m.p)
+
+
+@query("recorded_tier_counts")
+def q_recorded_tier_counts(spark, sf):
+    m = model(spark, sf)
+    return T.recorded_tier_counts(m.enriched, m.p.analysis_year + 1)
+
+
+@query("monthly_tier_mix")
+def q_monthly_tier_mix(spark, sf):
+    m = model(spark, sf)
+    return T.monthly_tier_mix(m.enriched, _dt.date(m.p.analysis_year + 1, 8, 1))
+
+
+@query("daily_bookings")
+def q_daily_bookings(spark, sf):
+    return T.daily_bookings(model(spark, sf).booking_units)
+
+
+@query("monthly_calculated_tier")
+def q_monthly_calculated_tier(spark, sf):
+    m = model(spark, sf)
+    return T.monthly_calculated_tier(m.booking_units, m.p)
+
+
+@query("calculated_tier_counts")
+def q_calculated_tier_counts(spark, sf):
+    m = model(spark, sf)
+    return T.calculated_tier_counts(m.booking_units, m.p)
+
+
+# ---------------------------------------------------------------- transitions
+def _uc(spark, sf):
+    m = model(spark, sf)
+    return TR.units_compare(m.data.tx, m.members, m.p), m.p
+
+
+@query("units_compare")
+def q_units_compare(spark, sf):
+    uc, _ = _uc(spark, sf)
+    return uc.withColumns({c: F.col(c).cast("double") for c in
+                           ("trip_elements_current_year", "trip_elements_prev_year")})
+
+
+@query("unit_transitions")
+def q_unit_transitions(spark, sf):
+    uc, p = _uc(spark, sf)
+    return TR.unit_transitions(uc, p)
+
+
+@query("growth_cohort")
+def q_growth_cohort(spark, sf):
+    uc, p = _uc(spark, sf)
+    return TR.growth_cohort(uc, p)
+
+
+@query("growth_bookings_dist")
+def q_growth_bookings_dist(spark, sf):
+    uc, p = _uc(spark, sf)
+    return TR.distribution(TR.growth_cohort(uc, p), "bookings_current_year")
+
+
+@query("growth_units_dist")
+def q_growth_units_dist(spark, sf):
+    uc, p = _uc(spark, sf)
+    return TR.distribution(TR.growth_cohort(uc, p), "trip_elements_current_year")
+
+
+@query("growth_multipliers")
+def q_growth_multipliers(spark, sf):
+    uc, p = _uc(spark, sf)
+    return TR.growth_multipliers(TR.growth_cohort(uc, p), p)
+
+
+# ---------------------------------------------------------------- random forest
+@query("rf_training_set")
+def q_rf_training_set(spark, sf):
+    c = ctx(spark, sf)
+    return RF.training_set(c.survey.tx, c.survey.answers, c.params)
+
+
+@query("rf_predicted_counts")
+def q_rf_predicted_counts(spark, sf):
+    c = ctx(spark, sf)
+    fitted = RF.fit_forest(RF.training_set(c.survey.tx, c.survey.answers, c.params), c.params)
+    ids = SM.sample_ids(c.data.ccids, c.params.sample_size, c.params.seed)
+    lines = c.data.tx.join(F.broadcast(ids), "ccid")
+    return RF.predicted_counts(fitted, RF.lob_spend_wide(lines, c.params))
