@@ -18,10 +18,12 @@ def recorded_tier_distribution(tx: DataFrame, member_ids: DataFrame, p: ModelPar
     x = (eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0)
          .join(member_ids, "ccid", "left_semi"))
     counts = (x.select("booking_code", "loyalty_tier").distinct()
-               .groupBy("loyalty_tier").agg(F.count(F.lit(1)).alias("num_bookings"))
-               .where(F.col("loyalty_tier") > 0)
-               .withColumn("num_bookings", F.col("num_bookings") / F.lit(p.extract_fraction)))
-    return counts.withColumn("prct_bookings", share_of_total(counts, "num_bookings"))
+               .groupBy("loyalty_tier").agg(F.count(F.lit(1)).alias("n"))
+               .where(F.col("loyalty_tier") > 0))
+    # the share of scaled counts equals the share of the (exact) counts
+    return counts.select("loyalty_tier",
+                         (F.col("n") / F.lit(p.extract_fraction)).alias("num_bookings"),
+                         share_of_total(counts, "n").alias("prct_bookings"))
 
 
 def booking_dims(enriched: DataFrame) -> DataFrame:

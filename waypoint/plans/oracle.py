@@ -326,3 +326,337 @@ def model_sql(select: str) -> str:
 ORACLE: dict[str, str] = {}
 ORACLE["bookings_for_simulator"] = model_sql(BOOKINGS_OUT)
 ORACLE["members_for_simulator"] = model_sql(MEMBERS_OUT)
+
+
+# ---------------------------------------------------------------------------
+MONEY_TX = ("gbv", "loyalty_amount_net_burned_usd", "loyalty_amount_net_earned_usd")
+TX_OUT = "* REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MONEY_TX) + ")"
+GBV_OUT = "* REPLACE (CAST(gbvlc AS DOUBLE) AS gbvlc)"
+LOB_MONEY = [f"lob_gbvlc_{e}" for e in LOB_EXT]
+BU_OUT = ("* REPLACE (CAST(gbvlc AS DOUBLE) AS gbvlc, "
+          + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LOB_MONEY) + ")")
+ELIG = (f"lob IS NOT NULL AND eg_brand_code = '{BRAND}' AND lob IN {LOBS3} "
+        f"AND unit_count > 0")
+
+
+def base_sql(select: str, *extra: str) -> str:
+    return with_(BASE, *extra) + "\n" + select
+
+
+def survey_sql(select: str, *extra: str) -> str:
+    return with_(BASE, SURVEY, *extra) + "\n" + select
+
+
+def seg_sql(select: str) -> str:
+    return with_(BASE, SURVEY, SEGMENTS) + "\n" + select
+
+
+def fsum(x: str, cond: str) -> str:
+    """0 when no row meets cond, null when a meeting row has null x, else the sum."""
+    return (f"CAST(CASE WHEN count(CASE WHEN {cond} THEN 1 END) = 0 THEN 0 "
+            f"WHEN count(CASE WHEN {cond} THEN {x} END) = count(CASE WHEN {cond} THEN 1 END) "
+            f"THEN sum(CASE WHEN {cond} THEN {x} END) END AS DOUBLE)")
+
+
+def ssum(x: str) -> str:
+    return f"CASE WHEN count({x}) = count(*) THEN sum({x}) END"
+
+
+O = ORACLE
+
+# ---- ingest and identity
+_norm_cols = ", ".join(
+    ["parallax_hashed_email_address", "boooking_code AS booking_code", "eg_brand_code",
+     "lower(line_of_business) AS lob", "unit_count",
+     "CAST(gross_booking_amount_usd AS DOUBLE) AS gbv", "booking_date_pst", "begin_use_date",
+     "loyalty_tier",
+     "CAST(loyalty_amount_net_burned_usd AS DOUBLE) AS loyalty_amount_net_burned_usd",
+     "CAST(loyalty_amount_net_earned_usd AS DOUBLE) AS loyalty_amount_net_earned_usd",
+     "room_night_count", "length_of_stay", "totl_person_count", *FLAG_COLUMNS])
+O["tx_normalised"] = base_sql(f"SELECT {_norm_cols} FROM tx_x")
+O["customer_ids"] = base_sql("SELECT * FROM ccids")
+O["attach_ccid"] = base_sql("SELECT * FROM cust")
+O["tx_year_slice"] = base_sql(
+    "SELECT ccid, booking_code, begin_use_date, year(begin_use_date) AS use_year, "
+    f"month(begin_use_date) AS use_month FROM tx WHERE {yr('begin_use_date', Y)}")
+
+_cust_typed = {
+    "parallax_hashed_email_address": "parallax_hashed_email_address",
+    "first_book_date_bex": "CAST(NULL AS DATE)",
+    "tier_today": "tier_today",
+    "tier_12m_ago": "CAST(NULL AS VARCHAR)",
+    "highest_ever_bex_or_ok_tier": "CAST(NULL AS VARCHAR)",
+    "highest_ever_ok_tier": "CAST(NULL AS VARCHAR)",
+    "loyalty_amount_net_earned_usd_lifetime_bex_and_ok":
+        "loyalty_amount_net_earned_usd_lifetime_bex_and_ok",
+    "loyalty_amount_net_burned_usd_lifetime_bex_and_ok": "CAST(NULL AS DOUBLE)",
+    "loyalty_amount_net_earned_usd_lifetime_ok": "CAST(NULL AS DOUBLE)",
+    "loyalty_amount_net_burned_usd_lifetime_ok": "CAST(NULL AS DOUBLE)",
+    "n_burns_lifetime": "CAST(NULL AS DOUBLE)",
+    "n_burns_lifetime_ok": "CAST(NULL AS DOUBLE)",
+    "onekey_cash_balance_local_currency": "CAST(NULL AS VARCHAR)",
+    "onekey_points_currency": "CAST(NULL AS VARCHAR)",
+    "ok_join_or_migration_date": "CAST(NULL AS VARCHAR)",
+    "first_ever_bex_ok_join_date":
+        "CASE WHEN first_ever_bex_ok_join_date = 'null' THEN NULL "
+        "ELSE first_ever_bex_ok_join_date END",
+}
+O["scan_customer_csv"] = base_sql(
+    "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _cust_typed.items()) + " FROM cust_x")
+
+_tx_scan = [
+    "booking_date_pst", "CAST(boooking_code AS VARCHAR) AS boooking_code", "eg_brand_code",
+    "CAST(NULL AS VARCHAR) AS posa_country_code", "parallax_hashed_email_address",
+    "line_of_business", "package_indicator", "unit_count", "international_flag", "vipa_ind",
+    "vipa_and_burn_flag", "fourfive_star_flag", "any_mod_flag", "tiered_mod_flag",
+    "CAST(NULL AS VARCHAR) AS mod_saving", "chain_flag", "cheap_channels_flag", "app_flag",
+    "coupons_flag", "CAST(gross_booking_amount_usd AS DOUBLE) AS gross_booking_amount_usd",
+    "CAST(loyalty_amount_net_burned_usd AS DOUBLE) AS loyalty_amount_net_burned_usd",
+    "CAST(loyalty_amount_net_earned_usd AS DOUBLE) AS loyalty_amount_net_earned_usd",
+    "room_night_count", "CAST(NULL AS VARCHAR) AS loyalty_program", "loyalty_tier",
+    "CAST(NULL AS DOUBLE) AS burn_ind", "length_of_stay", "vip_perk_ind",
+    "vip_room_upgrade_ind", "begin_use_date", "business_flag", "child_flag",
+    "totl_person_count", "new_flag_brand", "reacquired_flag_brand"]
+O["scan_tx_parts"] = base_sql("SELECT " + ", ".join(_tx_scan) + " FROM tx_x")
+O["cache_roundtrip"] = base_sql(
+    f"SELECT {TX_OUT}, year(begin_use_date) AS use_year FROM tx")
+
+# ---- survey
+O["survey_id_map"] = survey_sql("SELECT * FROM cid_to_ccid")
+O["survey_dataset"] = survey_sql("SELECT * FROM answers")
+O["override_segmentation"] = survey_sql("SELECT * FROM answers_o")
+O["unique_only"] = survey_sql("SELECT * FROM alt_unique")
+
+# ---- segmentation
+O["spend_cut_wide"] = base_sql("SELECT * FROM all_spend", spend_cte("all_spend", "tx"))
+O["typing_table"] = survey_sql("SELECT * FROM typing_v1", spend_cte("survey_spend", "survey_tx"),
+                               typing_cte("typing_v1", "answers"))
+O["segment_candidates"] = seg_sql("SELECT * FROM candidates")
+O["segment_assignment"] = seg_sql("SELECT * FROM segments")
+O["unsegmented_customers"] = seg_sql(
+    f"SELECT {TX_OUT} FROM tx WHERE ccid NOT IN (SELECT ccid FROM segments)")
+
+# ---- model stages
+O["members"] = base_sql("SELECT * FROM members")
+O["package_flags"] = model_sql("SELECT * FROM pk")
+O["tx_enriched"] = model_sql(
+    "SELECT ccid, booking_code, lob, lob_ext, segment, is_package, begin_use_date, "
+    "booking_date_pst, loyalty_tier, CAST(gbvlc AS DOUBLE) AS gbvlc, trip_elements FROM mtx")
+O["current_year_units"] = model_sql("SELECT * FROM cyu")
+O["prev_year_units"] = model_sql("SELECT * FROM pyu")
+O["booking_lob_wide"] = model_sql(
+    "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in LOB_MONEY)
+    + ") FROM blw")
+O["booking_rollup"] = model_sql(f"SELECT {GBV_OUT} FROM bk")
+O["running_units"] = model_sql(f"SELECT {GBV_OUT} FROM run")
+O["booking_units"] = model_sql(f"SELECT {BU_OUT} FROM bu")
+O["unit_views"] = model_sql(f"SELECT {BU_OUT} FROM views")
+_sink_cols = ["segment", "units_earned_prev_year", "units_earned_current_year",
+              "units_earned_start_of_booking", "unit_type", "bookings"]
+O["sink_roundtrip"] = model_sql(
+    "SELECT " + ", ".join(f'{c} AS "{c.replace("_", " ")}"' for c in _sink_cols)
+    + f" FROM ({BOOKINGS_OUT})")
+O["stage_reconciliation"] = model_sql(f"""
+  SELECT 'raw' AS stage, CAST(sum(gbv) AS DOUBLE) / {FRAC} AS gbvlc,
+         count(DISTINCT booking_code) / {FRAC} AS bookings,
+         sum(unit_count) / {FRAC} AS trip_elements
+  FROM tx WHERE {yr('begin_use_date', Y)} AND {ELIG}
+  UNION ALL
+  SELECT 'raw_members', CAST(sum(gbv) AS DOUBLE) / {FRAC},
+         count(DISTINCT booking_code) / {FRAC}, sum(unit_count) / {FRAC}
+  FROM tx WHERE {yr('begin_use_date', Y)} AND {ELIG} AND ccid IN (SELECT ccid FROM members)
+  UNION ALL
+  SELECT 'tx', CAST(sum(gbvlc) AS DOUBLE) / {FRAC}, count(DISTINCT booking_code) / {FRAC},
+         sum(trip_elements) / {FRAC}
+  FROM mtx WHERE {yr('begin_use_date', Y)}
+  UNION ALL
+  SELECT 'current_year', NULL, sum(bookings_current_year) / {FRAC},
+         sum(trip_elements_current_year) / {FRAC} FROM cyu
+  UNION ALL
+  SELECT 'unit_calculation', CAST(sum(gbvlc) AS DOUBLE) / {FRAC}, sum(bookings) / {FRAC},
+         sum(trip_elements) / {FRAC} FROM bu
+  UNION ALL
+  SELECT 'book_for_sim', NULL, sum(bookings) / 2.0, NULL FROM ({BOOKINGS_OUT})
+  UNION ALL
+  SELECT 'mem_for_sim', sum(gbvlc) / 2.0, sum(bookings) / 2.0, sum(trip_elements) / 2.0
+  FROM ({MEMBERS_OUT})""")
+O["sample_customers"] = base_sql(f"""
+  SELECT {TX_OUT} FROM tx WHERE ccid IN (
+    SELECT ccid FROM (SELECT DISTINCT ccid FROM tx)
+    ORDER BY ('0x' || substr(md5('{P.seed}:' || CAST(ccid AS VARCHAR)), 1, 13))::BIGINT, ccid
+    LIMIT {P.sample_size})""")
+
+# ---- respondent features
+SURVEY_LOBS = ["activity", "air", "car", "insurance", "lodging", None]
+_lw = []
+for _m, _src in (("num_bookings", None), ("unit_count", "unit_count"),
+                 ("gross_booking_amount_usd", "gbv"),
+                 ("loyalty_amount_net_burned_usd", "loyalty_amount_net_burned_usd"),
+                 ("loyalty_amount_net_earned_usd", "loyalty_amount_net_earned_usd")):
+    for _l in SURVEY_LOBS:
+        _cond = "lob IS NULL" if _l is None else f"lob = '{_l}'"
+        _name = f"{_m}_lob_{'NA' if _l is None else _l}"
+        if _src is None:
+            _lw.append(f"count(DISTINCT CASE WHEN {_cond} THEN booking_code END) + "
+                       f"max(CASE WHEN {_cond} AND booking_code IS NULL THEN 1 ELSE 0 END) "
+                       f"AS {_name}")
+        else:
+            _lw.append(f"{fsum(_src, _cond)} AS {_name}")
+LOB_WIDE_NAMES = [x.rsplit(" AS ", 1)[1] for x in _lw]
+FLAG_NAMES = ["package_indicator", "international_flag", "vipa_ind", "vipa_and_burn_flag",
+              "fourfive_star_flag", "any_mod_flag", "tiered_mod_flag", "chain_flag",
+              "cheap_channels_flag", "app_flag", "coupons_flag", "room_night_count",
+              "length_of_stay", "vip_perk_ind", "vip_room_upgrade_ind", "business_flag",
+              "child_flag", "totl_person_count", "new_flag_brand", "reacquired_flag_brand"]
+RESP = f"""
+p12 AS (SELECT * FROM survey_tx WHERE {yr('begin_use_date', Y)}),
+lw AS (SELECT ccid, {", ".join(_lw)} FROM p12 GROUP BY ccid),
+fs AS (SELECT ccid, {", ".join(f"{ssum(c)} AS {c}" for c in FLAG_NAMES)} FROM p12 GROUP BY ccid)"""
+O["lob_metrics_wide"] = survey_sql("SELECT * FROM lw", RESP)
+O["flag_sums"] = survey_sql("SELECT * FROM fs", RESP)
+O["survey_features"] = survey_sql(f"""
+  SELECT i.cid, c.parallax_hashed_email_address,
+    {", ".join(f"coalesce(w.{n}, 0) AS {n}" for n in LOB_WIDE_NAMES)},
+    {", ".join(f"coalesce(f.{n}, 0) AS {n}" for n in FLAG_NAMES)}
+  FROM cid_to_ccid i JOIN ccids c ON i.ccid = c.ccid
+  LEFT JOIN lw w ON i.ccid = w.ccid LEFT JOIN fs f ON i.ccid = f.ccid""", RESP)
+
+# ---- tiers
+TIER_NAME = ("CASE {x} WHEN 1 THEN 'Blue' WHEN 2 THEN 'Silver' WHEN 3 THEN 'Gold' "
+             "WHEN 5 THEN 'Platinum' END")
+a_, b_, c_ = P.tier_thresholds
+NAMED = (f"CASE WHEN trip_elements_start_of_booking >= {c_} OR trip_elements_prev_year >= {c_} "
+         f"THEN 'platinum' WHEN trip_elements_start_of_booking >= {b_} OR "
+         f"trip_elements_prev_year >= {b_} THEN 'gold' WHEN trip_elements_start_of_booking >= {a_} "
+         f"OR trip_elements_prev_year >= {a_} THEN 'silver' ELSE 'blue' END")
+TIERS = f"""
+dims AS (
+  SELECT booking_code,
+    CASE WHEN count(booking_date_pst) = count(*) THEN min(booking_date_pst) END AS booking_date_pst,
+    CASE WHEN count(loyalty_tier) = count(*) THEN min(loyalty_tier) END AS loyalty_tier
+  FROM mtx GROUP BY booking_code
+),
+cmp0 AS (
+  SELECT *, CASE WHEN trip_elements_start_of_booking IS NOT NULL AND trip_elements_prev_year IS NOT NULL
+                 THEN greatest(trip_elements_start_of_booking, trip_elements_prev_year) END AS base_t
+  FROM bu
+),
+cmp1 AS (
+  SELECT *, CASE WHEN month(begin_use_date) <= 2 THEN
+              CASE WHEN trip_elements_prev_2_year IS NOT NULL AND base_t IS NOT NULL
+                   THEN greatest(trip_elements_prev_2_year, base_t) END
+            ELSE base_t END AS trip_elements_for_tier
+  FROM cmp0
+),
+cmp AS (
+  SELECT b.ccid, d.booking_date_pst, b.begin_use_date, b.trip_elements_start_of_booking,
+    b.trip_elements_prev_year, b.trip_elements_prev_2_year, b.trip_elements, b.booking_code,
+    b.trip_elements_for_tier,
+    {TIER_NAME.format(x=f"CASE WHEN b.trip_elements_for_tier < {a_} THEN 1 WHEN b.trip_elements_for_tier < {b_} THEN 2 WHEN b.trip_elements_for_tier < {c_} THEN 3 WHEN b.trip_elements_for_tier < 'inf'::DOUBLE THEN 5 END")} AS calculated_tier,
+    {TIER_NAME.format(x="d.loyalty_tier")} AS loyalty_tier
+  FROM cmp1 b JOIN dims d ON b.booking_code IS NOT DISTINCT FROM d.booking_code
+),
+named AS (SELECT *, {NAMED} AS tier FROM bu)"""
+
+
+def tier_sql(select: str) -> str:
+    return with_(BASE, SURVEY, SEGMENTS, MODEL, TIERS) + "\n" + select
+
+
+O["recorded_tier_distribution"] = base_sql(f"""
+  SELECT loyalty_tier, n / {FRAC} AS num_bookings, n / sum(n) OVER () AS prct_bookings
+  FROM (SELECT loyalty_tier, count(*) AS n FROM (
+          SELECT DISTINCT booking_code, loyalty_tier FROM tx
+          WHERE {yr('begin_use_date', Y)} AND {ELIG} AND ccid IN (SELECT ccid FROM members))
+        GROUP BY loyalty_tier HAVING loyalty_tier > 0)""")
+O["tier_compare"] = tier_sql("SELECT * FROM cmp")
+O["tier_confusion"] = tier_sql(
+    "SELECT loyalty_tier, calculated_tier, count(*) AS n FROM cmp GROUP BY ALL")
+O["tier_confusion_monthly"] = tier_sql(
+    "SELECT loyalty_tier, calculated_tier, strftime(begin_use_date, '%b') AS begin_month, "
+    "count(*) AS n FROM cmp GROUP BY ALL")
+O["tier_mismatch_rows"] = tier_sql(
+    "SELECT * FROM cmp WHERE loyalty_tier = 'Silver' AND calculated_tier = 'Blue' "
+    "AND month(begin_use_date) = 12")
+O["customer_history"] = tier_sql(f"""
+  SELECT booking_code, begin_use_date, trip_elements, lob, loyalty_tier FROM mtx
+  WHERE ccid = (SELECT ccid FROM (SELECT ccid, count(*) AS n FROM mtx
+                WHERE {yr('begin_use_date', Y)} GROUP BY ccid) ORDER BY n DESC, ccid LIMIT 1)""")
+O["calculated_tier_totals"] = tier_sql(
+    f"SELECT tier, CAST(sum(gbvlc) AS DOUBLE) / {FRAC} AS gbvlc, sum(bookings) / {FRAC} AS bookings "
+    "FROM named GROUP BY tier")
+O["recorded_tier_value"] = tier_sql(
+    f"SELECT loyalty_tier, CAST(sum(gbvlc) AS DOUBLE) / {FRAC} AS gbvlc FROM mtx "
+    f"WHERE {yr('begin_use_date', Y)} GROUP BY loyalty_tier")
+O["recorded_tier_counts"] = tier_sql(
+    f"SELECT loyalty_tier, count(*) AS n FROM mtx WHERE {yr('begin_use_date', Y + 1)} "
+    "GROUP BY loyalty_tier")
+O["monthly_tier_mix"] = tier_sql(f"""
+  SELECT m AS begin_use_date, loyalty_tier, n, n / sum(n) OVER (PARTITION BY m) AS p
+  FROM (SELECT CAST(date_trunc('month', begin_use_date) AS DATE) AS m, loyalty_tier, count(*) AS n
+        FROM mtx WHERE begin_use_date < DATE '{Y + 1}-08-01' GROUP BY ALL)""")
+O["daily_bookings"] = tier_sql("SELECT begin_use_date, count(*) AS n FROM bu GROUP BY ALL")
+O["monthly_calculated_tier"] = tier_sql(
+    "SELECT tier, CAST(date_trunc('month', begin_use_date) AS DATE) AS begin_use_date, "
+    "count(*) AS n FROM named GROUP BY ALL")
+O["calculated_tier_counts"] = tier_sql("SELECT tier, count(*) AS n FROM named GROUP BY tier")
+
+# ---- transitions
+TRANS = f"""
+ttx AS (
+  SELECT * FROM tx WHERE ccid IN (SELECT ccid FROM members) AND lob IS NOT NULL
+    AND eg_brand_code = '{BRAND}' AND lob IN ('air','lodging') AND unit_count > 0
+),
+tcy AS (
+  SELECT ccid, sum(unit_count) AS trip_elements_current_year,
+         count(DISTINCT booking_code) AS bookings_current_year
+  FROM ttx WHERE year(begin_use_date) = {Y} GROUP BY ccid
+),
+tpy AS (
+  SELECT ccid, sum(unit_count) AS trip_elements_prev_year,
+         count(DISTINCT booking_code) AS bookings_prev_year
+  FROM ttx WHERE year(begin_use_date) = {Y - 1} AND ccid IN (SELECT ccid FROM tcy) GROUP BY ccid
+),
+uc AS (SELECT * FROM tcy LEFT JOIN tpy USING (ccid)),
+cohort AS (
+  SELECT * FROM uc WHERE bookings_prev_year = 1 AND bookings_current_year > 1
+    AND bookings_current_year <= {P.band_max}
+)"""
+
+
+def trans_sql(select: str) -> str:
+    return with_(BASE, TRANS) + "\n" + select
+
+
+O["units_compare"] = trans_sql("SELECT * FROM uc")
+O["unit_transitions"] = trans_sql(f"""
+  SELECT * FROM (
+    SELECT bookings_current_year, bookings_prev_year, count(*) AS n,
+           count(*) / sum(count(*)) OVER (PARTITION BY bookings_prev_year) AS p
+    FROM uc GROUP BY bookings_current_year, bookings_prev_year)
+  WHERE bookings_prev_year <= {P.band_max} AND bookings_prev_year > 0
+    AND bookings_current_year <= {P.band_max} AND bookings_current_year > 0""")
+O["growth_cohort"] = trans_sql("SELECT * FROM cohort")
+O["growth_bookings_dist"] = trans_sql(
+    "SELECT bookings_current_year, count(*) AS n, count(*) / sum(count(*)) OVER () AS p "
+    "FROM cohort GROUP BY 1")
+O["growth_units_dist"] = trans_sql(
+    "SELECT trip_elements_current_year, count(*) AS n, count(*) / sum(count(*)) OVER () AS p "
+    "FROM cohort GROUP BY 1")
+_k = float(P.num_buckets)
+O["growth_multipliers"] = trans_sql(f"""
+  SELECT b / CAST({_k} AS DOUBLE) AS percentile_group, avg(v) AS group_mean_trip_elements,
+         avg(v) / (SELECT avg(trip_elements_current_year) FROM cohort) AS group_multiplier
+  FROM (SELECT v, floor((i / n) * CAST({_k} AS DOUBLE)) AS b FROM (
+          SELECT trip_elements_current_year AS v,
+                 row_number() OVER (ORDER BY trip_elements_current_year) - 1 AS i,
+                 count(*) OVER () AS n FROM cohort))
+  GROUP BY b""")
+
+# ---- random forest
+O["rf_training_set"] = survey_sql(f"""
+  SELECT {", ".join(f"{fsum('gbv', f"lob = '{l}'")} AS lob_{l}" for l in P.forest_lobs)},
+         a.segments_v1
+  FROM survey_tx t JOIN answers a ON t.ccid = a.ccid
+  WHERE {yr('t.begin_use_date', Y)} AND a.segments_v1 IS NOT NULL
+  GROUP BY t.ccid, a.cid_external, a.segments_v1""")

@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The modelled workload reads whole extracts and has no event-time, watermark
+or stateful semantics; its one incremental seam (numbered transaction part
+files) is covered by the batch reader in ``waypoint.sources.csv``.
+"""
