@@ -24,6 +24,7 @@ __all__ = [
     "null_tokens",
     "text_year",
     "in_year",
+    "year_filter",
     "year_bounds",
     "hash52",
     "round_half_even",
@@ -110,6 +111,18 @@ def hash52(seed: int, x) -> Column:
     return F.conv(F.md5(s).substr(1, 13), 16, 10).cast("long")
 
 
+def year_filter(df: DataFrame, first: int, last: int | None = None,
+                col: str = "begin_use_date") -> Column:
+    """Use years ``first..last`` as a date range, plus the ``use_year``
+    partition column when the table has one (so whole folders are pruned)."""
+    last = first if last is None else last
+    x = _c(col)
+    pred = (x >= F.lit(_dt.date(first, 1, 1))) & (x < F.lit(_dt.date(last + 1, 1, 1)))
+    if "use_year" in df.columns:
+        pred = pred & F.col("use_year").between(first, last)
+    return pred
+
+
 def round_half_even(x) -> Column:
     return F.bround(_c(x), 0)
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypoint.functions.kernel import in_year, null_tokens, text_year
+from waypoint.functions.kernel import null_tokens, text_year, year_filter
 from waypoint.params import ModelParams
 
 
 def year_slice(tx: DataFrame, year: int, col: str = "begin_use_date") -> DataFrame:
     """Lines used in ``year`` (a date range, so the scan can prune)."""
-    return tx.where(in_year(col, year))
+    return tx.where(year_filter(tx, year, col=col))
 
 
 def eligible(tx: DataFrame, p: ModelParams, lobs: tuple[str, ...] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypoint.functions.kernel import filled_sum, n_distinct_na, strict_sum
+from waypoint.functions.kernel import filled_sum, strict_sum
 from waypoint.operators.lines import year_slice
 from waypoint.sources.fixtures import FLAG_SUM_COLUMNS, NATURAL_KEY
 
@@ -27,22 +27,26 @@ def lob_levels(tx: DataFrame, limit: int = 1000) -> list[str | None]:
 def lob_metrics_wide(tx: DataFrame, levels: list[str | None]) -> DataFrame:
     """Per customer x LOB: 5 metrics, wide as ``{metric}_lob_{lob}``; absent cells 0.
 
-    A null LOB is its own level, named ``NA``. Each cell is one conditional
-    aggregate, so the whole table is one partially-aggregated group-by.
+    A null LOB is its own level, named ``NA``. Lines are first rolled up to
+    (customer, LOB, booking), which makes the distinct booking count a plain
+    count; the wide table is then one conditional aggregation. Both steps
+    combine map-side, so a customer with many lines is reduced before any
+    exchange.
     """
+    sums = [src for _, src in LOB_METRICS if src]
+    per_booking = tx.groupBy("ccid", "lob", "booking_code").agg(
+        *[strict_sum(c).alias(c) for c in sums])
     aggs = []
     for metric, src in LOB_METRICS:
         for lv in levels:
             cond = F.col("lob").isNull() if lv is None else (F.col("lob") == lv)
             name = f"{metric}_lob_{'NA' if lv is None else lv}"
             if src is None:
-                # distinct bookings of the cell; a missing code counts once
-                v = F.count_distinct(F.when(cond, F.col("booking_code"))) + F.max(
-                    (cond & F.col("booking_code").isNull()).cast("int"))
-                aggs.append(v.cast("long").alias(name))
+                # one row per distinct booking code (a missing code is one value)
+                aggs.append(F.count(F.when(cond, F.lit(1))).cast("long").alias(name))
             else:
                 aggs.append(filled_sum(src, cond).alias(name))
-    return tx.groupBy("ccid").agg(*aggs)
+    return per_booking.groupBy("ccid").agg(*aggs)
 
 
 def flag_sums(tx: DataFrame, columns=FLAG_SUM_COLUMNS) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypoint.functions.kernel import filled_sum, hash52, in_year, spend_cut
+from waypoint.functions.kernel import filled_sum, hash52, spend_cut, year_filter
 from waypoint.params import ModelParams
 
 # The misspelt survey level and its correction; the level
@@ -25,7 +25,7 @@ def cut_columns(p: ModelParams) -> list[str]:
 
 def spend_cut_wide(tx: DataFrame, p: ModelParams) -> DataFrame:
     """Per customer: analysis-year spend in air and lodging, floored to steps and capped."""
-    lines = tx.where(in_year("begin_use_date", p.analysis_year)
+    lines = tx.where(year_filter(tx, p.analysis_year)
                      & F.col("lob").isin(*p.typing_lobs) & (F.col("gbv") > 0))
     aggs = [spend_cut(filled_sum("gbv", F.col("lob") == l), p.spend_step, p.spend_cap)
             .alias(f"lob_{l}_gbv_cut") for l in sorted(p.typing_lobs)]
@@ -92,29 +92,34 @@ def draw_segments(candidates: DataFrame, seed: int) -> DataFrame:
 
     Inverse CDF on integers: with h a 52-bit hash of (seed, ccid), take the
     first segment in name order with ``cum_n * 2^52 > h * n_cell``. Candidate
-    rows per customer are bounded by the segment count.
+    rows per customer are bounded by the segment count. ``uncovered`` marks
+    customers whose spend cell has no typing row.
     """
     h = hash52(seed, F.col("ccid")).cast("decimal(20,0)")
     hit = (F.col("cum_n").cast("decimal(20,0)") * F.lit(TWO52).cast("decimal(18,0)")
            > h * F.col("n_cell").cast("decimal(18,0)"))
-    return (candidates.where(F.col("segment_nm").isNotNull() & hit)
-                      .groupBy("ccid")
-                      .agg(F.min_by("segment_nm", "cum_n").alias("segment")))
+    return (candidates.groupBy("ccid")
+                      .agg(F.min_by(F.when(hit, F.col("segment_nm")),
+                                    F.when(hit, F.col("cum_n"))).alias("segment"),
+                           F.max(F.col("segment_nm").isNull()).alias("uncovered")))
 
 
 def get_segments(tx: DataFrame, typing: DataFrame, answers: DataFrame,
                  p: ModelParams) -> DataFrame:
-    """Segment of every customer with lines; default level for those without spend."""
-    cand = segment_candidates(tx, typing, p)
-    if p.on_uncovered == "error":
-        if not cand.where(F.col("segment_nm").isNull()).limit(1).isEmpty():
-            raise ValueError("Some customers not placed in segments")
+    """Segment of every customer with lines; default level for those without spend.
+
+    Returns a materialised table (it is read by the guard and by the model).
+    """
+    from waypoint.session import materialize
     check_levels(answers, p.default_segment)
-    drawn = draw_segments(cand, p.seed)
+    drawn = draw_segments(segment_candidates(tx, typing, p), p.seed)
     all_ids = tx.select("ccid").distinct()
-    return (all_ids.join(drawn, "ccid", "left")
-                   .select("ccid", F.coalesce("segment", F.lit(p.default_segment))
-                           .alias("segment")))
+    seg = materialize(all_ids.join(drawn, "ccid", "left").select(
+        "ccid", F.coalesce("segment", F.lit(p.default_segment)).alias("segment"),
+        F.coalesce("uncovered", F.lit(False)).alias("uncovered")), "segments")
+    if p.on_uncovered == "error" and not seg.where("uncovered").limit(1).isEmpty():
+        raise ValueError("Some customers not placed in segments")
+    return seg.drop("uncovered")
 
 
 def unsegmented(tx: DataFrame, segments: DataFrame) -> DataFrame:

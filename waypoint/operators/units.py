@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waypoint.functions.kernel import filled_sum, in_year, strict_min, strict_sum
+from waypoint.functions.kernel import filled_sum, strict_min, strict_sum, year_filter
 from waypoint.operators.lines import eligible
 from waypoint.operators.ordered import exclusive_running_totals
 from waypoint.params import ModelParams
@@ -32,7 +32,7 @@ def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
                      lobs: tuple[str, ...] | None = None) -> DataFrame:
     """Eligible lines with units of customers in ``cust_dim`` (all years)."""
     lines = (eligible(tx, p, lobs).where(F.col("unit_count") > 0)
-             .select("ccid", "booking_code", "lob", "begin_use_date",
+             .select(*(["use_year"] if "use_year" in tx.columns else []),"ccid", "booking_code", "lob", "begin_use_date",
                      F.col("unit_count").alias("trip_elements"),
                      F.col("gbv").alias("gbvlc")))
     return lines.join(cust_dim, "ccid")
@@ -47,8 +47,7 @@ def booking_years(lines: DataFrame, p: ModelParams, years_back: int = 2) -> Data
     n_lob = present[0]
     for x in present[1:]:
         n_lob = n_lob + x
-    return (lines.where((F.col("begin_use_date") >= F.lit(f"{lo}-01-01").cast("date"))
-                        & (F.col("begin_use_date") < F.lit(f"{y + 1}-01-01").cast("date")))
+    return (lines.where(year_filter(lines, lo, y))
                  .groupBy(*keys, F.year("begin_use_date").alias("use_year"))
                  .agg(strict_sum("trip_elements").alias("trip_elements"),
                       strict_sum("gbvlc").alias("gbvlc"),

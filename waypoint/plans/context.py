@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from waypoint.operators.identity import Dataset, post_process_tx, process_ccids
+from waypoint.session import scratch_path
+from waypoint.sources.cache import read_tables, write_tables
 from waypoint.params import ModelParams, fixture_params
 from waypoint.sources import fixtures as fx
 from waypoint.sources.survey import SurveyDataset, codebook, label_columns, survey_dataset
@@ -34,6 +36,18 @@ class Context:
 _CACHE: dict = {}
 
 
+def ingest(spark: SparkSession, data: Dataset, folder: str | None = None) -> Dataset:
+    """Entry A: write the id-attached tables to the Parquet cache and read them back.
+
+    ``tx`` carries its ``use_year`` partition column, which the year filters
+    of the model use to prune.
+    """
+    folder = folder or scratch_path(spark, "raw-cache")
+    write_tables({"cust": data.cust, "tx": data.tx, "ccids": data.ccids}, folder)
+    t = read_tables(spark, folder)
+    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"])
+
+
 def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) -> Context:
     params = params or fixture_params()
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), params)
@@ -42,7 +56,7 @@ def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) ->
         return hit
     tx_x = fx.tx_extract(spark, sf_dir)
     cust_x = fx.customer_extract(spark, sf_dir)
-    data = process_ccids(cust_x, post_process_tx(tx_x))
+    data = ingest(spark, process_ccids(cust_x, post_process_tx(tx_x)))
     responses = label_columns(fx.survey_responses_extract(spark, sf_dir), QUESTION_LABELS)
     survey = survey_dataset(data, fx.survey_map_extract(spark, sf_dir), responses,
                             codebook(spark, responses))

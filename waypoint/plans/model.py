@@ -13,6 +13,7 @@ from waypoint.operators import segments as S
 from waypoint.operators import units as U
 from waypoint.operators.identity import Dataset
 from waypoint.params import ModelParams
+from waypoint.session import materialize
 from waypoint.sources.survey import SurveyDataset
 
 
@@ -34,7 +35,8 @@ class Model:
 
     @cached_property
     def typing(self) -> DataFrame:
-        return S.typing_table(self.survey.tx, self.answers, self.p)
+        # tiny (cells x segments): written once, then counted, checked and broadcast
+        return materialize(S.typing_table(self.survey.tx, self.answers, self.p), "typing")
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -54,8 +56,8 @@ class Model:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return L.enriched_lines(self.data.tx, self.segments, self.packages,
-                                self.members, self.p)
+        return materialize(L.enriched_lines(self.data.tx, self.segments, self.packages,
+                                            self.members, self.p), "enriched-lines")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -83,7 +85,9 @@ class Model:
 
     @cached_property
     def booking_units(self) -> DataFrame:
-        return U.booking_units(self.running, self.customer_units, self.lob_wide, self.p)
+        # the booking table feeds both outputs and the tier analytics: write it once
+        return materialize(U.booking_units(self.running, self.customer_units,
+                                           self.lob_wide, self.p), "booking-units")
 
     @cached_property
     def bookings_out(self) -> DataFrame:

@@ -138,7 +138,7 @@ def q_scan_tx_parts(spark, sf):
 def q_cache_roundtrip(spark, sf):
     d = ctx(spark, sf).data
     folder = scratch_path(spark, "raw-cache")
-    CACHE.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids}, folder)
+    CACHE.write_tables({"cust": d.cust, "tx": d.tx.drop("use_year"), "ccids": d.ccids}, folder)
     tables = CACHE.read_tables(spark, folder)
     return as_output(tables["tx"])
 
@@ -202,7 +202,7 @@ def q_segment_assignment(spark, sf):
 @query("unsegmented_customers")
 def q_unsegmented_customers(spark, sf):
     m = model(spark, sf)
-    return as_output(S.unsegmented(m.data.tx, m.segments))
+    return as_output(S.unsegmented(m.data.tx, m.segments).drop("use_year"))
 
 
 # ---------------------------------------------------------------- model stages
@@ -279,7 +279,8 @@ def q_stage_reconciliation(spark, sf):
 @query("sample_customers")
 def q_sample_customers(spark, sf):
     c = ctx(spark, sf)
-    return as_output(SM.sample_customers(c.data.tx, c.params.sample_size, c.params.seed))
+    return as_output(SM.sample_customers(c.data.tx, c.params.sample_size, c.params.seed)
+                     .drop("use_year"))
 
 
 # ---------------------------------------------------------------- respondent features
