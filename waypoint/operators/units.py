@@ -38,21 +38,33 @@ def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
     return lines.join(cust_dim, "ccid")
 
 
-def booking_years(lines: DataFrame, p: ModelParams, years_back: int = 2) -> DataFrame:
-    """(customer, booking, use year) roll-up over the analysis year and the years before."""
-    y = p.analysis_year
-    lo = y - years_back
+def booking_lob_years(lines: DataFrame) -> DataFrame:
+    """(customer, booking, segment, use year, LOB) roll-up of qualifying lines, all years.
+
+    The one exchange of line-level data in the model; it combines map-side.
+    The booking-year table and the LOB table are both derived from it.
+    """
     keys = ["ccid", "booking_code"] + (["segment"] if "segment" in lines.columns else [])
-    present = [F.max((F.col("lob") == l).cast("int")) for l in p.lobs]
-    n_lob = present[0]
-    for x in present[1:]:
-        n_lob = n_lob + x
-    return (lines.where(year_filter(lines, lo, y))
-                 .groupBy(*keys, F.year("begin_use_date").alias("use_year"))
+    return (lines.groupBy(*keys, F.year("begin_use_date").alias("use_year"), "lob")
                  .agg(strict_sum("trip_elements").alias("trip_elements"),
                       strict_sum("gbvlc").alias("gbvlc"),
-                      strict_min("begin_use_date").alias("begin_use_date"),
-                      n_lob.alias("n_lob")))
+                      strict_min("begin_use_date").alias("begin_use_date")))
+
+
+def booking_years(lines: DataFrame, p: ModelParams, years_back: int = 2,
+                  by_lob: DataFrame | None = None) -> DataFrame:
+    """(customer, booking, use year) roll-up over the analysis year and the years before."""
+    y = p.analysis_year
+    lo = y - years_back
+    if by_lob is None:
+        by_lob = booking_lob_years(lines.where(year_filter(lines, lo, y)))
+    keys = ["ccid", "booking_code"] + (["segment"] if "segment" in by_lob.columns else [])
+    return (by_lob.where(F.col("use_year").between(lo, y))
+                  .groupBy(*keys, "use_year")
+                  .agg(strict_sum("trip_elements").alias("trip_elements"),
+                       strict_sum("gbvlc").alias("gbvlc"),
+                       strict_min("begin_use_date").alias("begin_use_date"),
+                       F.count(F.lit(1)).alias("n_lob")))
 
 
 def customer_units(by: DataFrame, p: ModelParams) -> DataFrame:
@@ -111,16 +123,17 @@ def running_units(rollup: DataFrame) -> DataFrame:
                           F.col("bookings_start_of_booking").cast("double"))
 
 
-def booking_lob_wide(lines: DataFrame, active: DataFrame, packages: DataFrame,
+def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
                      p: ModelParams) -> DataFrame:
     """Per booking: value, presence and units for the 6 extended LOBs (A4).
 
-    Over all years of active customers' qualifying lines. One conditional
-    aggregation per LOB replaces the reference's three pivots and
-    re-aggregation; the package flag (constant per booking) then routes each
-    LOB total to its standalone or ``_package`` column. Always 18 columns.
+    Over all years of active customers' qualifying lines, from the
+    (customer, booking, year, LOB) roll-up. One conditional aggregation per
+    LOB replaces the reference's three pivots and re-aggregation; the package
+    flag (constant per booking) then routes each LOB total to its standalone
+    or ``_package`` column. Always 18 columns.
     """
-    act = lines.join(active.select("ccid"), "ccid", "left_semi")
+    act = by_lob.join(active.select("ccid"), "ccid", "left_semi")
     aggs = []
     for l in p.lobs:
         is_l = F.col("lob") == l

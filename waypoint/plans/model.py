@@ -63,9 +63,13 @@ class Model:
     def lines(self) -> DataFrame:
         return U.qualifying_lines(self.data.tx, self.cust_dim, self.p)
 
+    @cached_property
+    def by_lob(self) -> DataFrame:
+        return U.booking_lob_years(self.lines)
+
     @cached_property
     def booking_years(self) -> DataFrame:
-        return U.booking_years(self.lines, self.p)
+        return U.booking_years(self.lines, self.p, by_lob=self.by_lob)
 
     @cached_property
     def customer_units(self) -> DataFrame:
@@ -81,7 +85,7 @@ class Model:
 
     @cached_property
     def lob_wide(self) -> DataFrame:
-        return U.booking_lob_wide(self.lines, self.customer_units, self.packages, self.p)
+        return U.booking_lob_wide(self.by_lob, self.customer_units, self.packages, self.p)
 
     @cached_property
     def booking_units(self) -> DataFrame:
