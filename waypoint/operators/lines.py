@@ -17,6 +17,8 @@ def year_slice(tx: DataFrame, year: int, col: str = "begin_use_date") -> DataFra
 def eligible(tx: DataFrame, p: ModelParams, lobs: tuple[str, ...] | None = None) -> DataFrame:
     """Lines of the modelled brand and lines of business."""
     lobs = p.lobs if lobs is None else lobs
+    if not p.brand:
+        raise ValueError("ModelParams.brand is not set")
     return tx.where(F.col("lob").isNotNull() & (F.col("eg_brand_code") == p.brand)
                     & F.col("lob").isin(*lobs))
 

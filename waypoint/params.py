@@ -29,7 +29,7 @@ class ModelParams:
     spend_step: int = REFERENCE_SPEND_STEP
     spend_cap: int = REFERENCE_SPEND_CAP
     extract_fraction: float = REFERENCE_EXTRACT_FRACTION
-    brand: str = "BEX"
+    brand: str | None = None  # the modelled brand code; required by the line filters
     lobs: tuple[str, ...] = MODEL_LOBS
     typing_lobs: tuple[str, ...] = TYPING_LOBS
     transition_lobs: tuple[str, ...] = TYPING_LOBS

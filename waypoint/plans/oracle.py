@@ -602,9 +602,9 @@ O["monthly_calculated_tier"] = tier_sql(
 O["calculated_tier_counts"] = tier_sql("SELECT tier, count(*) AS n FROM named GROUP BY tier")
 
 # ---- transitions
-TRANS = f"""
+TRANS_T = """
 ttx AS (
-  SELECT * FROM tx WHERE ccid IN (SELECT ccid FROM members) AND lob IS NOT NULL
+  SELECT * FROM {src} WHERE ccid IN (SELECT ccid FROM members) AND lob IS NOT NULL
     AND eg_brand_code = '{BRAND}' AND lob IN ('air','lodging') AND unit_count > 0
 ),
 tcy AS (
@@ -615,27 +615,35 @@ tcy AS (
 tpy AS (
   SELECT ccid, sum(unit_count) AS trip_elements_prev_year,
          count(DISTINCT booking_code) AS bookings_prev_year
-  FROM ttx WHERE year(begin_use_date) = {Y - 1} AND ccid IN (SELECT ccid FROM tcy) GROUP BY ccid
+  FROM ttx WHERE year(begin_use_date) = {Y1} AND ccid IN (SELECT ccid FROM tcy) GROUP BY ccid
 ),
 uc AS (SELECT * FROM tcy LEFT JOIN tpy USING (ccid)),
 cohort AS (
   SELECT * FROM uc WHERE bookings_prev_year = 1 AND bookings_current_year > 1
-    AND bookings_current_year <= {P.band_max}
+    AND bookings_current_year <= {BAND}
 )"""
 
 
-def trans_sql(select: str) -> str:
-    return with_(BASE, TRANS) + "\n" + select
+TRANS = TRANS_T.format(src="tx", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
+
+
+def trans_sql(select: str, src: str = "tx") -> str:
+    t = TRANS_T.format(src=src, BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
+    if src == "tx":
+        return with_(BASE, t) + "\n" + select
+    return with_(BASE, SURVEY, t) + "\n" + select
 
 
 O["units_compare"] = trans_sql("SELECT * FROM uc")
-O["unit_transitions"] = trans_sql(f"""
+UNIT_TRANSITIONS = f"""
   SELECT * FROM (
     SELECT bookings_current_year, bookings_prev_year, count(*) AS n,
            count(*) / sum(count(*)) OVER (PARTITION BY bookings_prev_year) AS p
     FROM uc GROUP BY bookings_current_year, bookings_prev_year)
   WHERE bookings_prev_year <= {P.band_max} AND bookings_prev_year > 0
-    AND bookings_current_year <= {P.band_max} AND bookings_current_year > 0""")
+    AND bookings_current_year <= {P.band_max} AND bookings_current_year > 0"""
+O["unit_transitions"] = trans_sql(UNIT_TRANSITIONS)
+O["survey_unit_transitions"] = trans_sql(UNIT_TRANSITIONS, "survey_tx")
 O["growth_cohort"] = trans_sql("SELECT * FROM cohort")
 O["growth_bookings_dist"] = trans_sql(
     "SELECT bookings_current_year, count(*) AS n, count(*) / sum(count(*)) OVER () AS p "

@@ -445,3 +445,12 @@ def q_rf_predicted_counts(spark, sf):
     ids = SM.sample_ids(c.data.ccids, c.params.sample_size, c.params.seed)
     lines = c.data.tx.join(F.broadcast(ids), "ccid")
     return RF.predicted_counts(fitted, RF.lob_spend_wide(lines, c.params))
+
+
+@query("survey_unit_transitions")
+def q_survey_unit_transitions(spark, sf):
+    """The transition table on the survey sample instead of the full extract."""
+    c = ctx(spark, sf)
+    m = model(spark, sf)
+    uc = TR.units_compare(c.survey.tx, m.members, c.params)
+    return TR.unit_transitions(uc, c.params)
