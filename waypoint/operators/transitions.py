@@ -64,9 +64,11 @@ def growth_multipliers(cohort: DataFrame, p: ModelParams,
     """
     k = p.num_buckets
     hist = cohort.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    tot = hist.select(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"))
-    n = tot.select("n").scalar()
-    mean = (tot.select(F.col("s") / F.col("n"))).scalar()
+    # one scalar subquery (count and mean together), inlined as a literal
+    tot = hist.select(F.struct(F.sum("c").alias("n"),
+                               (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+                      .alias("t")).scalar()
+    n, mean = tot.getField("n"), tot.getField("mean")
     ranked = hist.withColumn("start", F.coalesce(F.sum("c").over(
         Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first_b = _bucket(F.col("start"), n, k)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from waypoint.operators.identity import Dataset, post_process_tx, process_ccids
-from waypoint.session import scratch_path
+from waypoint.session import materialize, scratch_path
 from waypoint.sources.cache import read_tables, write_tables
 from waypoint.params import ModelParams, fixture_params
 from waypoint.sources import fixtures as fx
@@ -54,7 +54,9 @@ def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) ->
     hit = _CACHE.get(key)
     if hit is not None:
         return hit
-    tx_x = fx.tx_extract(spark, sf_dir)
+    # the extracts as files (as the model receives them); the id pass then
+    # reads only the key column
+    tx_x = materialize(fx.tx_extract(spark, sf_dir), "tx-extract")
     cust_x = fx.customer_extract(spark, sf_dir)
     data = ingest(spark, process_ccids(cust_x, post_process_tx(tx_x)))
     responses = label_columns(fx.survey_responses_extract(spark, sf_dir), QUESTION_LABELS)

@@ -65,7 +65,8 @@ class Model:
 
     @cached_property
     def by_lob(self) -> DataFrame:
-        return U.booking_lob_years(self.lines)
+        # the model's one line-level exchange; read by four consumers
+        return materialize(U.booking_lob_years(self.lines), "booking-lob-years")
 
     @cached_property
     def booking_years(self) -> DataFrame:

@@ -79,3 +79,16 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.parquet(path)
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A table stored as one large row group scans as a single task; a
+    round-robin exchange then lets the rest of the stage use every core. On
+    inputs with enough splits (any large table) this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

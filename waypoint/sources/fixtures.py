@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import MONEY
+from waypoint.session import balance
 
 NATURAL_KEY = "parallax_hashed_email_address"
 
@@ -58,7 +59,7 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
 
 def tx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transaction lines with the extract's raw column names."""
-    li = table(spark, sf_dir, "lineitem")
+    li = balance(table(spark, sf_dir, "lineitem"))
     od = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_type")
