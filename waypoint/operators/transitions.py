@@ -56,24 +56,26 @@ def growth_multipliers(cohort: DataFrame, p: ModelParams,
                        col: str = "trip_elements_current_year") -> DataFrame:
     """Equal-size buckets by units; bucket mean over cohort mean.
 
-    No global sort: rows are histogrammed by value (values of equal rank are
-    interchangeable), each value's rank range [start, start + count) is
-    split over the bucket edges, and means are weighted by the overlaps.
-    The only ordered window runs over the histogram, whose size is the
-    number of distinct unit values.
+    No global sort of the cohort: rows are histogrammed by value (values of
+    equal rank are interchangeable), each value's rank range
+    [start, start + count) is split over the bucket edges, and bucket means are
+    weighted by the overlaps. The only window without a partition runs over
+    the histogram, whose size is the number of distinct unit values; it also
+    carries the cohort size and total, so no second pass is needed.
     """
     k = p.num_buckets
     hist = cohort.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    # one scalar subquery (count and mean together), inlined as a literal
-    tot = hist.select(F.struct(F.sum("c").alias("n"),
-                               (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
-                      .alias("t")).scalar()
-    n, mean = tot.getField("n"), tot.getField("mean")
-    ranked = hist.withColumn("start", F.coalesce(F.sum("c").over(
-        Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    everything = Window.partitionBy()
+    ranked = hist.select(
+        "v", "c",
+        F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        F.sum("c").over(everything).alias("n"),
+        F.sum(F.col("v") * F.col("c")).over(everything).alias("s"))
+    n = F.col("n")
     first_b = _bucket(F.col("start"), n, k)
     last_b = _bucket(F.col("start") + F.col("c") - 1, n, k)
-    per = ranked.select("v", "start", "c",
+    per = ranked.select("v", "start", "c", "n", "s",
                         F.explode(F.sequence(first_b, last_b)).alias("b"))
 
     def edge(j):
@@ -87,9 +89,10 @@ def growth_multipliers(cohort: DataFrame, p: ModelParams,
     hi = F.least(F.col("start") + F.col("c"),
                  F.when(F.col("b") + 1 >= k, n).otherwise(edge(F.col("b") + 1)))
     w = per.withColumn("w", (hi - lo).cast("double"))
-    means = w.groupBy("b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w"))
-                               .alias("group_mean_trip_elements"))
+    means = w.groupBy("b").agg(
+        (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("group_mean_trip_elements"),
+        (F.max("s") / F.max("n")).alias("mean"))
     return means.select(
         (F.col("b").cast("double") / F.lit(float(k))).alias("percentile_group"),
         "group_mean_trip_elements",
-        (F.col("group_mean_trip_elements") / mean).alias("group_multiplier"))
+        (F.col("group_mean_trip_elements") / F.col("mean")).alias("group_multiplier"))
