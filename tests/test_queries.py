@@ -69,3 +69,24 @@ def test_shuffle_partitions_do_not_change_results(spark):
         rows.append(sorted(tuple(r) for r in q(spark, SF_SMALL).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert rows[0] == rows[1]
+
+
+def test_stage_totals_do_not_grow(spark):
+    from waypoint.plans.registry import QUERIES
+    rows = {r.stage: r for r in QUERIES["stage_reconciliation"](spark, SF_SMALL).collect()}
+    for m in ("bookings", "trip_elements"):
+        assert rows["raw"][m] >= rows["raw_members"][m] >= rows["tx"][m]
+    # the booking table holds exactly the analysis-year lines of the enriched table
+    assert rows["unit_calculation"].trip_elements == pytest.approx(rows["tx"].trip_elements)
+    assert rows["unit_calculation"].gbvlc == pytest.approx(rows["tx"].gbvlc)
+
+
+def test_testing_mode_runs_on_a_customer_sample(spark):
+    from waypoint.plans import context
+    from waypoint.plans.model import Model
+    ctx = context.load(spark, SF_SMALL)
+    p = ctx.params.with_(testing=True, sample_size=20, on_uncovered="default")
+    m = Model(ctx.data, ctx.survey, ctx.alt_raw, p)
+    assert m.tx.select("ccid").distinct().count() == 20
+    assert m.booking_units.select("ccid").distinct().count() <= 20
+    assert m.bookings_out.count() > 0

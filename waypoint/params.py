@@ -35,6 +35,8 @@ class ModelParams:
     transition_lobs: tuple[str, ...] = TYPING_LOBS
     forest_lobs: tuple[str, ...] = FOREST_LOBS
     sample_size: int = REFERENCE_SAMPLE_SIZE
+    # testing mode: run the model on the lines of a uniform customer sample
+    testing: bool = False
     default_segment: str = DEFAULT_SEGMENT
     segmentation: str | None = None
     tier_thresholds: tuple[int, int, int] = TIER_THRESHOLDS

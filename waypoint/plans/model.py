@@ -11,6 +11,7 @@ from waypoint.operators import lines as L
 from waypoint.operators import outputs as O
 from waypoint.operators import segments as S
 from waypoint.operators import units as U
+from waypoint.operators.sampling import sample_customers
 from waypoint.operators.identity import Dataset
 from waypoint.params import ModelParams
 from waypoint.session import materialize
@@ -25,6 +26,13 @@ class Model:
     alt_raw: DataFrame | None
     p: ModelParams
 
+    @cached_property
+    def tx(self) -> DataFrame:
+        """The model's input lines: all, or a uniform customer sample in testing mode."""
+        if self.p.testing:
+            return sample_customers(self.data.tx, self.p.sample_size, self.p.seed)
+        return self.data.tx
+
     @cached_property
     def answers(self) -> DataFrame:
         a = self.survey.answers
@@ -40,7 +48,7 @@ class Model:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return S.get_segments(self.data.tx, self.typing, self.answers, self.p)
+        return S.get_segments(self.tx, self.typing, self.answers, self.p)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -48,7 +56,7 @@ class Model:
 
     @cached_property
     def packages(self) -> DataFrame:
-        return L.package_flags(self.data.tx, self.p)
+        return L.package_flags(self.tx, self.p)
 
     @cached_property
     def cust_dim(self) -> DataFrame:
@@ -56,12 +64,12 @@ class Model:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return materialize(L.enriched_lines(self.data.tx, self.segments, self.packages,
+        return materialize(L.enriched_lines(self.tx, self.segments, self.packages,
                                             self.members, self.p), "enriched-lines")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return U.qualifying_lines(self.data.tx, self.cust_dim, self.p)
+        return U.qualifying_lines(self.tx, self.cust_dim, self.p)
 
     @cached_property
     def by_lob(self) -> DataFrame:

@@ -30,8 +30,12 @@ def label_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def codebook(spark: SparkSession, responses: DataFrame) -> DataFrame:
-    """(qid, full_question) from the column labels; metadata-sized."""
-    rows = [(f.name.lower(), f.metadata.get("label")) for f in responses.schema.fields]
+    """(qid, full_question) from the column labels; metadata-sized.
+
+    Question ids are cleaned like the answer columns, so they match them.
+    """
+    ids = clean_names(responses).columns
+    rows = [(q, f.metadata.get("label")) for q, f in zip(ids, responses.schema.fields)]
     return spark.createDataFrame(rows, "qid string, full_question string")
 
 
