@@ -25,15 +25,18 @@ def duck(sf_dir: str):
     return con
 
 
+EXACT = False
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.12g}")
+        return repr(v) if EXACT else float(f"{v:.12g}")
     if isinstance(v, decimal.Decimal):
-        return float(f"{float(v):.12g}")
+        return f"decimal:{v}" if EXACT else float(f"{float(v):.12g}")
     if isinstance(v, dt.datetime):
         return v.isoformat()
     if isinstance(v, dt.date):
@@ -101,8 +104,10 @@ def compare(spark, sf_dir, names=None, verbose=True):
 if __name__ == "__main__":
     sys.path.insert(0, ".")
     from waypoint.session import local_session
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or None
+    args = [a for a in sys.argv[1:] if a != "--exact"]
+    EXACT = "--exact" in sys.argv
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or None
     spark = local_session(8, 8)
     res = compare(spark, sf, names)
     bad = {k: v for k, v in res.items() if v != "OK" and not v.startswith("rows-only")}

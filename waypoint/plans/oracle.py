@@ -175,9 +175,9 @@ def typing_cte(name: str, answers: str) -> str:
   SELECT lob_air_gbv_cut, lob_lodging_gbv_cut, segment_nm,
     n / sum(n) OVER (PARTITION BY lob_air_gbv_cut, lob_lodging_gbv_cut) AS segment_frac,
     n,
-    sum(n) OVER (PARTITION BY lob_air_gbv_cut, lob_lodging_gbv_cut) AS n_cell,
-    sum(n) OVER (PARTITION BY lob_air_gbv_cut, lob_lodging_gbv_cut ORDER BY segment_nm
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_n
+    CAST(sum(n) OVER (PARTITION BY lob_air_gbv_cut, lob_lodging_gbv_cut) AS BIGINT) AS n_cell,
+    CAST(sum(n) OVER (PARTITION BY lob_air_gbv_cut, lob_lodging_gbv_cut ORDER BY segment_nm
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_n
   FROM {name}_counts
 )"""
 
@@ -240,12 +240,12 @@ p2u AS (
 blw AS (
   SELECT booking_code,
     {", ".join(f"coalesce(sum(CASE WHEN lob_ext = '{e}' THEN gbvlc END), 0) AS lob_gbvlc_{e}" for e in LOB_EXT)},
-    {", ".join(f"max(CASE WHEN lob_ext = '{e}' THEN 1.0 ELSE 0.0 END) AS lob_bookings_{e}" for e in LOB_EXT)},
+    {", ".join(f"CAST(max(CASE WHEN lob_ext = '{e}' THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS lob_bookings_{e}" for e in LOB_EXT)},
     {", ".join(f"coalesce(sum(CASE WHEN lob_ext = '{e}' THEN trip_elements END), 0) AS lob_trip_elements_{e}" for e in LOB_EXT)}
   FROM mtx WHERE ccid IN (SELECT ccid FROM cyu) GROUP BY booking_code
 ),
 bk AS (
-  SELECT ccid, booking_code, segment, sum(trip_elements) AS trip_elements, 1.0 AS bookings,
+  SELECT ccid, booking_code, segment, sum(trip_elements) AS trip_elements, CAST(1.0 AS DOUBLE) AS bookings,
          min(begin_use_date) AS begin_use_date, count(DISTINCT lob_ext) > 1 AS is_package,
          sum(gbvlc) AS gbvlc
   FROM mtx WHERE year(begin_use_date) = {Y} AND ccid IN (SELECT ccid FROM cyu)
@@ -377,8 +377,8 @@ O["tx_normalised"] = base_sql(f"SELECT {_norm_cols} FROM tx_x")
 O["customer_ids"] = base_sql("SELECT * FROM ccids")
 O["attach_ccid"] = base_sql("SELECT * FROM cust")
 O["tx_year_slice"] = base_sql(
-    "SELECT ccid, booking_code, begin_use_date, year(begin_use_date) AS use_year, "
-    f"month(begin_use_date) AS use_month FROM tx WHERE {yr('begin_use_date', Y)}")
+    "SELECT ccid, booking_code, begin_use_date, CAST(year(begin_use_date) AS INTEGER) AS use_year, "
+    f"CAST(month(begin_use_date) AS INTEGER) AS use_month FROM tx WHERE {yr('begin_use_date', Y)}")
 
 _cust_typed = {
     "parallax_hashed_email_address": "parallax_hashed_email_address",
@@ -419,7 +419,7 @@ _tx_scan = [
     "totl_person_count", "new_flag_brand", "reacquired_flag_brand"]
 O["scan_tx_parts"] = base_sql("SELECT " + ", ".join(_tx_scan) + " FROM tx_x")
 O["cache_roundtrip"] = base_sql(
-    f"SELECT {TX_OUT}, year(begin_use_date) AS use_year FROM tx")
+    f"SELECT {TX_OUT}, CAST(year(begin_use_date) AS INTEGER) AS use_year FROM tx")
 
 # ---- survey
 O["survey_id_map"] = survey_sql("SELECT * FROM cid_to_ccid")
