@@ -17,6 +17,7 @@ from waypoint.operators.outputs import VIEW_COLS
 from waypoint.operators.respondents import survey_features
 from waypoint.params import ModelParams
 from waypoint.plans.model import Model
+from waypoint.session import run_scratch
 from waypoint.sources import cache, csv
 from waypoint.sources.survey import SurveyDataset, survey_dataset
 
@@ -60,20 +61,22 @@ def read_survey(spark: SparkSession, s: SurveyInputs) -> SurveyDataset:
 
 def model_job(spark: SparkSession, cache_folder: str, survey: SurveyInputs,
               p: ModelParams, out_dir: str, rid: str | None = None) -> dict[str, str]:
-    data = read_cache(spark, cache_folder)
-    sv = read_survey(spark, survey)
-    alt = csv.read_all_text(spark, survey.alt_csv) if survey.alt_csv else None
-    m = Model(data, sv, alt, p)
     rid = rid or run_id(p.segmentation)
     order = ["unit_type", "segment", *VIEW_COLS]
-    return {
-        "bookings": csv.write_output(m.bookings_out, out_dir, rid, "bookings", order),
-        "members": csv.write_output(m.members_out, out_dir, rid, "members", order[:4]),
-    }
+    with run_scratch(spark, "model-run"):
+        data = read_cache(spark, cache_folder)
+        sv = read_survey(spark, survey)
+        alt = csv.read_all_text(spark, survey.alt_csv) if survey.alt_csv else None
+        m = Model(data, sv, alt, p)
+        return {
+            "bookings": csv.write_output(m.bookings_out, out_dir, rid, "bookings", order),
+            "members": csv.write_output(m.members_out, out_dir, rid, "members", order[:4]),
+        }
 
 
 def respondent_job(spark: SparkSession, survey: SurveyInputs, year: int, out_dir: str,
                    rid: str | None = None) -> str:
-    sv = read_survey(spark, survey)
-    table = survey_features(sv.cid_to_ccid, sv.ccids, sv.tx, year)
-    return csv.write_output(table, out_dir, rid or run_id(None), "join-data")
+    with run_scratch(spark, "respondent-run"):
+        sv = read_survey(spark, survey)
+        table = survey_features(sv.cid_to_ccid, sv.ccids, sv.tx, year)
+        return csv.write_output(table, out_dir, rid or run_id(None), "join-data")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,9 +56,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the shared checkpoint folder (or the current run scope)."""
+    base = _SCOPES[-1] if _SCOPES else f"{ensure_checkpoint_dir(spark)}/scratch"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def run_scratch(spark: SparkSession, name: str = "run"):
+    """Route stage tables of one job run into their own folder; remove it afterwards."""
+    folder = scratch_path(spark, name)
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.pop()
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            fs.delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
