@@ -50,7 +50,7 @@ def ingest(spark: SparkSession, data: Dataset, folder: str | None = None) -> Dat
 
 def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) -> Context:
     params = params or fixture_params()
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), params)
+    key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir.rstrip("/"), params)
     hit = _CACHE.get(key)
     if hit is not None:
         return hit
