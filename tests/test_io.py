@@ -74,3 +74,10 @@ def test_output_names_and_roundtrip(spark):
     back = csv.read_output(spark, path, df)
     assert back.columns == ["seg name", "units earned", "x y"]
     assert [tuple(r) for r in back.collect()] == [("a", 1.0, None)]
+
+
+def test_all_text_reader_default_null_tokens(spark):
+    d = tempfile.mkdtemp(prefix="waypoint-io-")
+    _write(f"{d}/alt.csv", "CID External CID,Tier Expanded\nS1,NA\nS2,\nS3,null\n")
+    rows = {r["CID External CID"]: r["Tier Expanded"] for r in csv.read_all_text(spark, f"{d}/alt.csv").collect()}
+    assert rows == {"S1": None, "S2": None, "S3": "null"}

@@ -11,9 +11,10 @@ from waypoint.params import ModelParams
 
 def test_draw_follows_typing_shares(spark):
     n_ids = 30000
-    cand = (spark.range(1, n_ids + 1).withColumnRenamed("id", "ccid")
-            .crossJoin(spark.createDataFrame(
-                [("a", 1, 1), ("b", 2, 3), ("c", 7, 10)], "segment_nm string, n long, cum_n long"))
+    segs = F.array(*[F.struct(F.lit(s).alias("segment_nm"), F.lit(n).cast("long").alias("n"),
+                              F.lit(c).cast("long").alias("cum_n"))
+                     for s, n, c in (("a", 1, 1), ("b", 2, 3), ("c", 7, 10))])
+    cand = (spark.range(1, n_ids + 1).select(F.col("id").alias("ccid"), F.inline(segs))
             .withColumn("n_cell", F.lit(10).cast("long")))
     drawn = S.draw_segments(cand, seed=7)
     assert drawn.count() == n_ids

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "waypoint") -> SparkSession:
+                  app: str = "waypoint", conf: dict | None = None) -> SparkSession:
+    b = SparkSession.builder
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        b.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -132,9 +132,10 @@ def read_survey_map(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("parallax_hashed_email_address"), F.col("cid"))
 
 
-def read_all_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text (S10); the empty string stays a value."""
-    return read_text_csv(spark, path, null_value="\u0000")
+def read_all_text(spark: SparkSession, path: str, tokens=("", "NA")) -> DataFrame:
+    """Every column as text (S10), with the default null tokens ``""`` and ``NA``."""
+    df = read_text_csv(spark, path)
+    return df.select(*[null_tokens(F.col(f"`{c}`"), tokens).alias(c) for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str, null_value: str = "NA", mode: str = "errorifexists"):
