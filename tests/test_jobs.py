@@ -43,3 +43,25 @@ def test_run_id():
     import datetime as dt
     assert jobs.run_id("tier_expanded", dt.datetime(2024, 5, 6, 7, 8, 9)) == \
         "20240506---070809---segment-tier_expanded"
+
+
+def test_command_line(spark, capsys):
+    from waypoint.__main__ import main
+    root = tempfile.mkdtemp(prefix="waypoint-cli-")
+    tx = fx.tx_extract(spark, SF_SMALL)
+    csv.write_csv(fx.customer_extract(spark, SF_SMALL), f"{root}/cust.csv", null_value="")
+    csv.write_csv(tx, f"{root}/raw/all_tx1of1.csv", null_value="")
+    csv.write_csv(fx.survey_map_extract(spark, SF_SMALL), f"{root}/map.csv", null_value="null")
+    csv.write_csv(fx.alt_segments_extract(spark, SF_SMALL), f"{root}/alt.csv")
+    label_columns(fx.survey_responses_extract(spark, SF_SMALL), QUESTION_LABELS) \
+        .write.parquet(f"{root}/responses.parquet")
+    main(["ingest", "--cust", f"{root}/cust.csv", "--tx", f"{root}/raw", "--cache", f"{root}/cache"])
+    survey = ["--survey-cust", f"{root}/cust.csv", "--survey-tx", f"{root}/raw",
+              "--survey-map", f"{root}/map.csv", "--responses", f"{root}/responses.parquet",
+              "--year", "1998", "--out", f"{root}/out"]
+    main(["model", "--cache", f"{root}/cache", "--alt", f"{root}/alt.csv", "--brand", "BR1",
+          "--segmentation", "tier_expanded", "--default-segment", "Blue", "--unit-cap", "15",
+          "--spend-step", "40000", "--spend-cap", "80000", *survey])
+    main(["respondents", *survey])
+    printed = capsys.readouterr().out
+    assert "bookings" in printed and "members" in printed and "join-data" in printed

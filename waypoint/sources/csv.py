@@ -86,7 +86,8 @@ def _typed(col: str, typ: str, tokens) -> F.Column:
 
 
 def read_text_csv(spark: SparkSession, path: str, null_value: str | None = None) -> DataFrame:
-    r = spark.read.option("header", True).option("inferSchema", False)
+    r = (spark.read.option("header", True).option("inferSchema", False)
+         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
     if null_value is not None:
         r = r.option("nullValue", null_value)
     return r.csv(path)
