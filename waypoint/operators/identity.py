@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+
 from pyspark.sql import functions as F
 
-from waypoint.functions.kernel import null_safe_join
+from waypoint.operators.joins import hot_keys, is_hot, lookup_join
 from waypoint.operators.ordered import dense_ids
 from waypoint.sources.fixtures import NATURAL_KEY
 
@@ -26,9 +27,13 @@ def customer_ids(cust: DataFrame, tx: DataFrame, key: str = NATURAL_KEY) -> Data
     return dense_ids(keys, key, "ccid")
 
 
-def attach_ccid(df: DataFrame, ccids: DataFrame, key: str = NATURAL_KEY) -> DataFrame:
-    """Replace the natural key by ``ccid``; null keys match the null key's id."""
-    out = null_safe_join(df, ccids, key, "inner").drop(key)
+def attach_ccid(df: DataFrame, ccids: DataFrame, key: str = NATURAL_KEY,
+                hot: tuple = ()) -> DataFrame:
+    """Replace the natural key by ``ccid``; null keys match the null key's id.
+
+    ``hot`` natural keys (e.g. the missing e-mail) are salted over many tasks.
+    """
+    out = lookup_join(df, ccids, key, "inner", hot=hot, null_safe=True).drop(key)
     return out.select("ccid", *[c for c in out.columns if c != "ccid"])
 
 
@@ -38,10 +43,14 @@ class Dataset:
     cust: DataFrame
     tx: DataFrame
     ccids: DataFrame
+    hot_ccids: tuple = ()  # customers holding a large share of the lines
 
 
 def process_ccids(cust: DataFrame, tx: DataFrame, key: str = NATURAL_KEY) -> Dataset:
     ccids = customer_ids(cust, tx, key)
-    return Dataset(cust=attach_ccid(cust, ccids, key),
-                   tx=attach_ccid(tx, ccids, key),
-                   ccids=ccids)
+    hot_tx = hot_keys(tx, key)
+    hot_ids = tuple(r[0] for r in ccids.where(is_hot(F.col(key), hot_tx))
+                    .select("ccid").limit(len(hot_tx) + 1).collect())
+    return Dataset(cust=attach_ccid(cust, ccids, key, hot_keys(cust, key)),
+                   tx=attach_ccid(tx, ccids, key, hot_tx),
+                   ccids=ccids, hot_ccids=hot_ids)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import null_tokens, text_year, year_filter
+from waypoint.operators.joins import lookup_join
 from waypoint.params import ModelParams
 
 
@@ -55,7 +56,7 @@ def lob_ext(lob: str = "lob", pkg: str = "is_package"):
 
 
 def enriched_lines(tx: DataFrame, segments: DataFrame, packages: DataFrame,
-                   member_ids: DataFrame, p: ModelParams) -> DataFrame:
+                   member_ids: DataFrame, p: ModelParams, hot: tuple = ()) -> DataFrame:
     """Qualifying lines with segment, package flag and extended LOB (``tx`` of the model).
 
     Filters run before the joins; segments and members are one customer
@@ -64,7 +65,7 @@ def enriched_lines(tx: DataFrame, segments: DataFrame, packages: DataFrame,
     """
     cust_dim = segments.join(member_ids.distinct(), "ccid", "left_semi")
     lines = eligible(tx, p).where(F.col("unit_count") > 0)
-    out = (lines.join(cust_dim, "ccid")
+    out = (lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
                 .join(packages.select("booking_code", "is_package"),
                       lines["booking_code"].eqNullSafe(packages["booking_code"]), "left")
                 .drop(packages["booking_code"])

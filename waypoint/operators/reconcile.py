@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import n_distinct_na, strict_sum
+from waypoint.operators.joins import lookup_join
 from waypoint.operators.lines import eligible, year_slice
 from waypoint.params import ModelParams
 
@@ -22,11 +23,12 @@ def _row(df: DataFrame, stage: str, exprs: dict[str, F.Column]) -> DataFrame:
 
 def stage_values(tx: DataFrame, member_ids: DataFrame, enriched: DataFrame,
                  cust_units: DataFrame, booking_units: DataFrame,
-                 bookings_out: DataFrame, members_out: DataFrame, p: ModelParams) -> DataFrame:
+                 bookings_out: DataFrame, members_out: DataFrame, p: ModelParams,
+                 hot: tuple = ()) -> DataFrame:
     """(type, value) rows such as ``gbvlc_raw_members``; every value scaled."""
     frac = F.lit(p.extract_fraction)
     raw = eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0)
-    raw_m = raw.join(member_ids, "ccid", "left_semi")
+    raw_m = lookup_join(raw, member_ids, "ccid", "left_semi", hot=hot)
     tx_y = year_slice(enriched, p.analysis_year)
 
     def line_metrics(gbv, units):

@@ -122,9 +122,10 @@ def get_segments(tx: DataFrame, typing: DataFrame, answers: DataFrame,
     return seg.drop("uncovered")
 
 
-def unsegmented(tx: DataFrame, segments: DataFrame) -> DataFrame:
+def unsegmented(tx: DataFrame, segments: DataFrame, hot: tuple = ()) -> DataFrame:
     """Lines whose customer has no segment (must be empty, J8)."""
-    return tx.join(segments, "ccid", "left_anti")
+    from waypoint.operators.joins import lookup_join
+    return lookup_join(tx, segments, "ccid", "left_anti", hot=hot)
 
 
 def clean_name(name: str) -> str:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import pmax_na, share_of_total, strict_min, strict_sum
 from waypoint.functions.tiers import calculated_tier_code, int_to_tier, named_tier
+from waypoint.operators.joins import lookup_join
 from waypoint.operators.lines import eligible, year_slice
 from waypoint.params import ModelParams
 
 
-def recorded_tier_distribution(tx: DataFrame, member_ids: DataFrame, p: ModelParams) -> DataFrame:
+def recorded_tier_distribution(tx: DataFrame, member_ids: DataFrame, p: ModelParams,
+                               hot: tuple = ()) -> DataFrame:
     """Share of bookings per recorded tier (tier 0 dropped), scaled to the population."""
-    x = (eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0)
-         .join(member_ids, "ccid", "left_semi"))
+    x = lookup_join(eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0),
+                    member_ids, "ccid", "left_semi", hot=hot)
     counts = (x.select("booking_code", "loyalty_tier").distinct()
                .groupBy("loyalty_tier").agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("loyalty_tier") > 0))

@@ -10,14 +10,15 @@ from waypoint.operators.units import booking_years, customer_units, qualifying_l
 from waypoint.params import ModelParams
 
 
-def units_compare(tx: DataFrame, member_ids: DataFrame, p: ModelParams) -> DataFrame:
+def units_compare(tx: DataFrame, member_ids: DataFrame, p: ModelParams,
+                  hot: tuple = ()) -> DataFrame:
     """Current- and previous-year units of members active this year (prev null if none).
 
     The transition analysis keeps members only (no segment) and the
     transition LOBs (air, lodging).
     """
     dim = member_ids.select("ccid").distinct()
-    lines = qualifying_lines(tx, dim, p, p.transition_lobs)
+    lines = qualifying_lines(tx, dim, p, p.transition_lobs, hot=hot)
     cu = customer_units(booking_years(lines, p, years_back=1), p)
     return cu.select("ccid", "trip_elements_current_year", "bookings_current_year",
                      "trip_elements_prev_year", "bookings_prev_year")

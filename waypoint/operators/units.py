@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import filled_sum, strict_min, strict_sum, year_filter
+from waypoint.operators.joins import lookup_join
 from waypoint.operators.lines import eligible
 from waypoint.operators.ordered import exclusive_running_totals
 from waypoint.params import ModelParams
@@ -29,13 +30,13 @@ def wide_columns(p: ModelParams) -> list[str]:
 
 
 def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
-                     lobs: tuple[str, ...] | None = None) -> DataFrame:
+                     lobs: tuple[str, ...] | None = None, hot: tuple = ()) -> DataFrame:
     """Eligible lines with units of customers in ``cust_dim`` (all years)."""
     lines = (eligible(tx, p, lobs).where(F.col("unit_count") > 0)
              .select(*(["use_year"] if "use_year" in tx.columns else []),"ccid", "booking_code", "lob", "begin_use_date",
                      F.col("unit_count").alias("trip_elements"),
                      F.col("gbv").alias("gbvlc")))
-    return lines.join(cust_dim, "ccid")
+    return lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
 
 
 def booking_lob_years(lines: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def running_units(rollup: DataFrame) -> DataFrame:
 
 
 def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
-                     p: ModelParams) -> DataFrame:
+                     p: ModelParams, hot: tuple = ()) -> DataFrame:
     """Per booking: value, presence and units for the 6 extended LOBs (A4).
 
     Over all years of active customers' qualifying lines, from the
@@ -133,7 +134,7 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
     flag (constant per booking) then routes each LOB total to its standalone
     or ``_package`` column. Always 18 columns.
     """
-    act = by_lob.join(active.select("ccid"), "ccid", "left_semi")
+    act = lookup_join(by_lob, active.select("ccid"), "ccid", "left_semi", hot=hot)
     aggs = []
     for l in p.lobs:
         is_l = F.col("lob") == l
@@ -157,7 +158,7 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
 
 
 def booking_units(running: DataFrame, cust_units: DataFrame, wide: DataFrame,
-                  p: ModelParams) -> DataFrame:
+                  p: ModelParams, hot: tuple = ()) -> DataFrame:
     """The booking table of the model: one row per booking in the analysis year.
 
     Joins customer totals (inner) and the LOB table (left), fills missing unit
@@ -167,7 +168,7 @@ def booking_units(running: DataFrame, cust_units: DataFrame, wide: DataFrame,
     cu = cust_units.withColumns({
         c: F.col(c).cast("double") for c in cust_units.columns if c != "ccid"})
     w = wide.withColumnRenamed("booking_code", "__bc")
-    j = running.join(cu, "ccid").join(
+    j = lookup_join(running, cu, "ccid", "inner", hot=hot).join(
         w, running["booking_code"].eqNullSafe(w["__bc"]), "left").drop("__bc")
     cap = float(p.unit_cap)
     fixed = {c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(cap)) for c in UNIT_COLS}

@@ -45,7 +45,7 @@ def ingest(spark: SparkSession, data: Dataset, folder: str | None = None) -> Dat
     folder = folder or scratch_path(spark, "raw-cache")
     write_tables({"cust": data.cust, "tx": data.tx, "ccids": data.ccids}, folder)
     t = read_tables(spark, folder)
-    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"])
+    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"], hot_ccids=data.hot_ccids)
 
 
 def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) -> Context:

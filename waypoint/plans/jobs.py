@@ -46,12 +46,14 @@ def read_extracts(spark: SparkSession, cust_csv: str, tx_folder: str) -> Dataset
 
 def ingest_job(spark: SparkSession, cust_csv: str, tx_folder: str, cache_folder: str) -> None:
     d = read_extracts(spark, cust_csv, tx_folder)
-    cache.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids}, cache_folder)
+    hot = spark.createDataFrame([(k,) for k in d.hot_ccids], "ccid long")
+    cache.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids, "hot": hot}, cache_folder)
 
 
 def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
     t = cache.read_tables(spark, cache_folder)
-    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"])
+    hot = tuple(r[0] for r in t["hot"].limit(100_000).collect()) if "hot" in t else ()
+    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"], hot_ccids=hot)
 
 
 def read_survey(spark: SparkSession, s: SurveyInputs) -> SurveyDataset:

@@ -26,6 +26,11 @@ class Model:
     alt_raw: DataFrame | None
     p: ModelParams
 
+    @property
+    def hot(self) -> tuple:
+        """Customers holding a large share of the lines (salted in joins on ccid)."""
+        return self.data.hot_ccids
+
     @cached_property
     def tx(self) -> DataFrame:
         """The model's input lines: all, or a uniform customer sample in testing mode."""
@@ -65,11 +70,11 @@ class Model:
     @cached_property
     def enriched(self) -> DataFrame:
         return materialize(L.enriched_lines(self.tx, self.segments, self.packages,
-                                            self.members, self.p), "enriched-lines")
+                                            self.members, self.p, self.hot), "enriched-lines")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return U.qualifying_lines(self.tx, self.cust_dim, self.p)
+        return U.qualifying_lines(self.tx, self.cust_dim, self.p, hot=self.hot)
 
     @cached_property
     def by_lob(self) -> DataFrame:
@@ -94,13 +99,14 @@ class Model:
 
     @cached_property
     def lob_wide(self) -> DataFrame:
-        return U.booking_lob_wide(self.by_lob, self.customer_units, self.packages, self.p)
+        return U.booking_lob_wide(self.by_lob, self.customer_units, self.packages, self.p,
+                                  self.hot)
 
     @cached_property
     def booking_units(self) -> DataFrame:
         # the booking table feeds both outputs and the tier analytics: write it once
         return materialize(U.booking_units(self.running, self.customer_units,
-                                           self.lob_wide, self.p), "booking-units")
+                                           self.lob_wide, self.p, self.hot), "booking-units")
 
     @cached_property
     def bookings_out(self) -> DataFrame:

@@ -202,7 +202,7 @@ def q_segment_assignment(spark, sf):
 @query("unsegmented_customers")
 def q_unsegmented_customers(spark, sf):
     m = model(spark, sf)
-    return as_output(S.unsegmented(m.data.tx, m.segments).drop("use_year"))
+    return as_output(S.unsegmented(m.data.tx, m.segments, m.hot).drop("use_year"))
 
 
 # ---------------------------------------------------------------- model stages
@@ -272,7 +272,7 @@ def q_sink_roundtrip(spark, sf):
 def q_stage_reconciliation(spark, sf):
     m = model(spark, sf)
     vals = R.stage_values(m.data.tx, m.members, m.enriched, m.customer_units,
-                          m.booking_units, m.bookings_out, m.members_out, m.p)
+                          m.booking_units, m.bookings_out, m.members_out, m.p, m.hot)
     return R.stage_reconciliation(vals)
 
 
@@ -311,7 +311,7 @@ def q_survey_features(spark, sf):
 @query("recorded_tier_distribution")
 def q_recorded_tier_distribution(spark, sf):
     m = model(spark, sf)
-    return T.recorded_tier_distribution(m.data.tx, m.members, m.p)
+    return T.recorded_tier_distribution(m.data.tx, m.members.distinct(), m.p, m.hot)
 
 
 def _compare(m):
@@ -391,7 +391,7 @@ def q_calculated_tier_counts(spark, sf):
 # ---------------------------------------------------------------- transitions
 def _uc(spark, sf):
     m = model(spark, sf)
-    return TR.units_compare(m.data.tx, m.members, m.p), m.p
+    return TR.units_compare(m.data.tx, m.members, m.p, m.hot), m.p
 
 
 @query("units_compare")
@@ -452,5 +452,5 @@ def q_survey_unit_transitions(spark, sf):
     """The transition table on the survey sample instead of the full extract."""
     c = ctx(spark, sf)
     m = model(spark, sf)
-    uc = TR.units_compare(c.survey.tx, m.members, c.params)
+    uc = TR.units_compare(c.survey.tx, m.members, c.params, m.hot)
     return TR.unit_transitions(uc, c.params)
