@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import null_safe_join
 from waypoint.operators.identity import Dataset
+from waypoint.operators.joins import lookup_join
 from waypoint.operators.segments import clean_names
 from waypoint.sources.fixtures import NATURAL_KEY
 
@@ -55,6 +56,6 @@ def survey_dataset(data: Dataset, survey_map: DataFrame, responses: DataFrame,
                    questions: DataFrame | None = None) -> SurveyDataset:
     ids = cid_to_ccid(data.ccids, survey_map)
     answers = survey_answers(responses, ids)
-    tx = data.tx.join(ids.select("ccid").distinct(), "ccid", "left_semi")
+    tx = lookup_join(data.tx, ids.select("ccid"), "ccid", "left_semi", hot=data.hot_ccids)
     return SurveyDataset(tx=tx, ccids=data.ccids, cid_to_ccid=ids, answers=answers,
                          questions=questions)
