@@ -1,9 +1,9 @@
 """Units earned per customer and per booking.
 
-Qualifying lines are exchanged once on ``ccid``; every per-customer and
-per-booking-of-a-customer aggregate reuses that partitioning. Lines are
-rolled up to (customer, booking, year) before anything else, so the running
-totals and joins see bookings, not lines.
+Qualifying lines are rolled up once, map-side combined, to
+(customer, booking, segment, use year, LOB); the customer totals, the booking
+roll-up and the LOB table all derive from that roll-up, so only booking-sized
+data is exchanged afterwards and the running totals see bookings, not lines.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
                      lobs: tuple[str, ...] | None = None, hot: tuple = ()) -> DataFrame:
     """Eligible lines with units of customers in ``cust_dim`` (all years)."""
     lines = (eligible(tx, p, lobs).where(F.col("unit_count") > 0)
-             .select(*(["use_year"] if "use_year" in tx.columns else []),"ccid", "booking_code", "lob", "begin_use_date",
+             .select(*(["use_year"] if "use_year" in tx.columns else []),
+                     "ccid", "booking_code", "lob", "begin_use_date",
                      F.col("unit_count").alias("trip_elements"),
                      F.col("gbv").alias("gbvlc")))
     return lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
@@ -95,7 +96,7 @@ def customer_units(by: DataFrame, p: ModelParams) -> DataFrame:
         sum_if(2).alias("trip_elements_prev_2_year"),
         count_if(2).alias("bookings_prev_2_year"))
     out = agg.where(F.col("bookings_current_year") > 0)
-    for k, s in ((1, "prev_year"), (2, "prev_2_year")):
+    for s in ("prev_year", "prev_2_year"):
         has = F.col(f"bookings_{s}") > 0
         out = (out.withColumn(f"trip_elements_{s}", F.when(has, F.col(f"trip_elements_{s}")))
                   .withColumn(f"bookings_{s}", F.when(has, F.col(f"bookings_{s}"))))
