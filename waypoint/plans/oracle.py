@@ -431,6 +431,7 @@ O["unique_only"] = survey_sql("SELECT * FROM alt_unique")
 O["spend_cut_wide"] = base_sql("SELECT * FROM all_spend", spend_cte("all_spend", "tx"))
 O["typing_table"] = survey_sql("SELECT * FROM typing_v1", spend_cte("survey_spend", "survey_tx"),
                                typing_cte("typing_v1", "answers"))
+O["typing_table_override"] = seg_sql("SELECT * FROM typing")
 O["segment_candidates"] = seg_sql("SELECT * FROM candidates")
 O["segment_assignment"] = seg_sql("SELECT * FROM segments")
 O["unsegmented_customers"] = seg_sql(

@@ -457,3 +457,9 @@ def q_survey_unit_transitions(spark, sf):
     m = model(spark, sf)
     uc = TR.units_compare(c.survey.tx, m.members, c.params, m.hot)
     return TR.unit_transitions(uc, c.params)
+
+
+@query("typing_table_override")
+def q_typing_table_override(spark, sf):
+    """The typing table the model uses: alternate segmentation, non-members removed."""
+    return model(spark, sf).typing
