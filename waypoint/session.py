@@ -12,11 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "waypoint", conf: dict | None = None) -> SparkSession:
-    b = SparkSession.builder
-    for k, v in (conf or {}).items():
-        b = b.config(k, v)
-    spark = (
-        b.master(f"local[{cores}]")
+    b = (SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -25,9 +21,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("WAYPOINT_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
-    )
+        .config("spark.driver.memory", os.environ.get("WAYPOINT_DRIVER_MEMORY", "8g")))
+    for k, v in (conf or {}).items():  # the caller's settings win
+        b = b.config(k, v)
+    spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
