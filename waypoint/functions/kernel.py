@@ -23,7 +23,6 @@ __all__ = [
     "null_safe_join",
     "null_tokens",
     "text_year",
-    "in_year",
     "year_filter",
     "year_bounds",
     "hash52",
@@ -98,13 +97,6 @@ def year_bounds(year: int) -> tuple[_dt.date, _dt.date]:
     return _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
 
 
-def in_year(x, year: int) -> Column:
-    """``year(x) == year`` written as a half-open range so Parquet can prune."""
-    lo, hi = year_bounds(year)
-    x = _c(x)
-    return (x >= F.lit(lo)) & (x < F.lit(hi))
-
-
 def hash52(seed: int, x) -> Column:
     """Deterministic 52-bit integer from md5(seed ':' x) (same in DuckDB)."""
     s = F.concat(F.lit(f"{seed}:"), _c(x).cast("string"))
