@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import functions as F
 
-from waypoint.operators.joins import hot_keys, is_hot, lookup_join
+from waypoint.operators.joins import hot_keys, is_hot, key_counts, lookup_join
 from waypoint.operators.ordered import dense_ids
+from waypoint.session import materialize
 from waypoint.sources.fixtures import NATURAL_KEY
 
 
@@ -47,8 +48,11 @@ class Dataset:
 
 
 def process_ccids(cust: DataFrame, tx: DataFrame, key: str = NATURAL_KEY) -> Dataset:
-    ccids = customer_ids(cust, tx, key)
-    hot_tx = hot_keys(tx, key)
+    """Ids for both tables. The lines are read once for keys: one per-key count
+    (written, key-sized) gives both the hot keys and the distinct keys."""
+    counts = materialize(key_counts(tx, key), "line-key-counts")
+    hot_tx = hot_keys(tx, key, counts=counts)
+    ccids = dense_ids(cust.select(key).unionByName(counts.select(key)), key, "ccid")
     hot_ids = tuple(r[0] for r in ccids.where(is_hot(F.col(key), hot_tx))
                     .select("ccid").limit(len(hot_tx) + 1).collect())
     return Dataset(cust=attach_ccid(cust, ccids, key, hot_keys(cust, key)),

@@ -18,9 +18,18 @@ from pyspark.sql import functions as F
 DEFAULT_SHARE = 0.001
 
 
-def hot_keys(df: DataFrame, key: str, share: float = DEFAULT_SHARE) -> tuple:
-    """Values of ``key`` (null included) with more than ``share`` of the rows."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """Rows per key (null included), combined map-side: one row per key."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def hot_keys(df: DataFrame, key: str, share: float = DEFAULT_SHARE,
+             counts: DataFrame | None = None) -> tuple:
+    """Values of ``key`` (null included) with more than ``share`` of the rows.
+
+    ``counts`` may be a precomputed ``key_counts`` table (saves a pass).
+    """
+    counts = key_counts(df, key) if counts is None else counts
     total = counts.select(F.sum("__n")).scalar()
     bound = int(1 / share)
     rows = (counts.where(F.col("__n") > total * F.lit(share)).select(key)
