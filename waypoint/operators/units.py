@@ -126,7 +126,8 @@ def running_units(rollup: DataFrame) -> DataFrame:
 
 
 def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
-                     p: ModelParams, hot: tuple = ()) -> DataFrame:
+                     p: ModelParams, hot: tuple = (),
+                     only_codes: DataFrame | None = None) -> DataFrame:
     """Per booking: value, presence and units for the 6 extended LOBs (A4).
 
     Over all years of active customers' qualifying lines, from the
@@ -134,6 +135,11 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
     LOB replaces the reference's three pivots and re-aggregation; the package
     flag (constant per booking) then routes each LOB total to its standalone
     or ``_package`` column. Always 18 columns.
+
+    ``only_codes`` limits the table to those booking codes (the model needs
+    only the analysis year's). It is applied after the map-side-combined
+    aggregation, and shares its null-safe key partitioning with the package
+    join, so it adds no exchange of line-level rows.
     """
     act = lookup_join(by_lob, active.select("ccid"), "ccid", "left_semi", hot=hot)
     aggs = []
@@ -143,6 +149,10 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
                  F.max(is_l.cast("double")).alias(f"b_{l}"),
                  filled_sum("trip_elements", is_l).alias(f"t_{l}")]
     per_booking = act.groupBy("booking_code").agg(*aggs)
+    if only_codes is not None:
+        codes = only_codes.select(F.col("booking_code").alias("__bc")).distinct()
+        per_booking = per_booking.join(
+            codes, per_booking["booking_code"].eqNullSafe(codes["__bc"]), "left_semi")
     pk = packages.select(F.col("booking_code").alias("__bc"), "is_package")
     j = (per_booking.join(pk, per_booking["booking_code"].eqNullSafe(pk["__bc"]), "left")
                     .withColumn("__pkg", F.coalesce("is_package", F.lit(False))))

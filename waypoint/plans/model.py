@@ -99,14 +99,22 @@ class Model:
 
     @cached_property
     def lob_wide(self) -> DataFrame:
+        """The LOB table for every booking of active customers (the reference's table)."""
         return U.booking_lob_wide(self.by_lob, self.customer_units, self.packages, self.p,
                                   self.hot)
 
+    @cached_property
+    def lob_wide_year(self) -> DataFrame:
+        """The same, only for bookings used in the analysis year (what the booking table joins)."""
+        return U.booking_lob_wide(self.by_lob, self.customer_units, self.packages, self.p,
+                                  self.hot, only_codes=self.rollup)
+
     @cached_property
     def booking_units(self) -> DataFrame:
         # the booking table feeds both outputs and the tier analytics: write it once
         return materialize(U.booking_units(self.running, self.customer_units,
-                                           self.lob_wide, self.p, self.hot), "booking-units")
+                                           self.lob_wide_year, self.p, self.hot),
+                           "booking-units")
 
     @cached_property
     def bookings_out(self) -> DataFrame:
