@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import share_of_total
-from waypoint.operators.units import booking_years, customer_units, qualifying_lines
+from waypoint.operators.units import booking_years, customer_booking_lobs, customer_units
 from waypoint.params import ModelParams
 
 
@@ -18,8 +18,9 @@ def units_compare(tx: DataFrame, member_ids: DataFrame, p: ModelParams,
     transition LOBs (air, lodging).
     """
     dim = member_ids.select("ccid").distinct()
-    lines = qualifying_lines(tx, dim, p, p.transition_lobs, hot=hot)
-    cu = customer_units(booking_years(lines, p, years_back=1), p)
+    y = p.analysis_year
+    by_lob = customer_booking_lobs(tx, dim, p, p.transition_lobs, hot=hot, years=(y - 1, y))
+    cu = customer_units(booking_years(None, p, years_back=1, by_lob=by_lob), p)
     return cu.select("ccid", "trip_elements_current_year", "bookings_current_year",
                      "trip_elements_prev_year", "bookings_prev_year")
 

@@ -29,15 +29,37 @@ def wide_columns(p: ModelParams) -> list[str]:
     return [f"lob_{m}_{e}" for m in WIDE_METRICS for e in ext]
 
 
+def unit_lines(tx: DataFrame, p: ModelParams, lobs: tuple[str, ...] | None = None) -> DataFrame:
+    """Eligible lines that earn units (all years, all customers), model column names."""
+    return (eligible(tx, p, lobs).where(F.col("unit_count") > 0)
+            .select(*(["use_year"] if "use_year" in tx.columns else []),
+                    "ccid", "booking_code", "lob", "begin_use_date",
+                    F.col("unit_count").alias("trip_elements"),
+                    F.col("gbv").alias("gbvlc")))
+
+
 def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
                      lobs: tuple[str, ...] | None = None, hot: tuple = ()) -> DataFrame:
-    """Eligible lines with units of customers in ``cust_dim`` (all years)."""
-    lines = (eligible(tx, p, lobs).where(F.col("unit_count") > 0)
-             .select(*(["use_year"] if "use_year" in tx.columns else []),
-                     "ccid", "booking_code", "lob", "begin_use_date",
-                     F.col("unit_count").alias("trip_elements"),
-                     F.col("gbv").alias("gbvlc")))
-    return lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
+    """Eligible lines with units of customers in ``cust_dim`` (all years), line level."""
+    return lookup_join(unit_lines(tx, p, lobs), cust_dim, "ccid", "inner", hot=hot)
+
+
+def customer_booking_lobs(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
+                          lobs: tuple[str, ...] | None = None, hot: tuple = (),
+                          years: tuple[int, int] | None = None) -> DataFrame:
+    """(customer, booking, [segment,] use year, LOB) roll-up of the customers in ``cust_dim``.
+
+    The roll-up runs first (map-side combined, the one exchange of
+    line-level rows); the customer dimension (one row per customer, so the
+    join commutes with the roll-up) is joined to the rolled-up rows.
+    """
+    lines = unit_lines(tx, p, lobs)
+    if years is not None:
+        lines = lines.where(year_filter(lines, *years))
+    rolled = booking_lob_years(lines)
+    out = lookup_join(rolled, cust_dim, "ccid", "inner", hot=hot)
+    keys = ["ccid", "booking_code"] + (["segment"] if "segment" in out.columns else [])
+    return out.select(*keys, "use_year", "lob", "trip_elements", "gbvlc", "begin_use_date")
 
 
 def booking_lob_years(lines: DataFrame) -> DataFrame:

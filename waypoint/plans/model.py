@@ -72,18 +72,15 @@ class Model:
         return materialize(L.enriched_lines(self.tx, self.segments, self.packages,
                                             self.members, self.p, self.hot), "enriched-lines")
 
-    @cached_property
-    def lines(self) -> DataFrame:
-        return U.qualifying_lines(self.tx, self.cust_dim, self.p, hot=self.hot)
-
     @cached_property
     def by_lob(self) -> DataFrame:
         # the model's one line-level exchange; read by four consumers
-        return materialize(U.booking_lob_years(self.lines), "booking-lob-years")
+        return materialize(U.customer_booking_lobs(self.tx, self.cust_dim, self.p, hot=self.hot),
+                           "booking-lob-years")
 
     @cached_property
     def booking_years(self) -> DataFrame:
-        return U.booking_years(self.lines, self.p, by_lob=self.by_lob)
+        return U.booking_years(None, self.p, by_lob=self.by_lob)
 
     @cached_property
     def customer_units(self) -> DataFrame:
