@@ -21,10 +21,11 @@ from waypoint.session import cut_lineage
 _PID = "__pid"
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _range(df: DataFrame, n: int | None, *cols) -> DataFrame:
+    """Range exchange. Without an explicit count it uses the session's shuffle
+    partitions and AQE may merge adjacent ranges (order is kept); the partition
+    id is read after the exchange, so it always names the final partition."""
+    return df.repartitionByRange(n, *cols) if n else df.repartitionByRange(*cols)
 
 
 def dense_ids(keys: DataFrame, key: str, out: str = "ccid",
@@ -34,10 +35,8 @@ def dense_ids(keys: DataFrame, key: str, out: str = "ccid",
     Equals ``row_number() OVER (ORDER BY key NULLS FIRST)`` over distinct keys,
     without the single-partition window that expression implies.
     """
-    p = _num_partitions(keys, num_partitions)
     order = F.col(key).asc_nulls_first()
-    ranged = (keys.select(key).distinct()
-              .repartitionByRange(p, order)
+    ranged = (_range(keys.select(key).distinct(), num_partitions, order)
               .sortWithinPartitions(order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id()
@@ -48,7 +47,7 @@ def dense_ids(keys: DataFrame, key: str, out: str = "ccid",
         _PID,
         F.coalesce(F.sum("__n").over(Window.orderBy(_PID).rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    # offsets has one row per partition: the broadcast is bounded by p
+    # offsets has one row per partition: the broadcast is bounded by the partition count
     return (ranged.join(F.broadcast(offsets), _PID)
             .select(F.col(key), (F.col("__off") + F.col("__local") + 1).alias(out)))
 
@@ -63,10 +62,8 @@ def exclusive_running_totals(df: DataFrame, key: str, order: list[str],
     do not merge). ``count_out`` names the number of earlier rows.
     The ordering must be unique within a key for the result to be defined.
     """
-    p = _num_partitions(df, num_partitions)
     sort_cols = [F.col(key)] + [F.col(c) for c in order]
-    ranged = (df.repartitionByRange(p, *sort_cols)
-              .withColumn(_PID, F.spark_partition_id()))
+    ranged = _range(df, num_partitions, *sort_cols).withColumn(_PID, F.spark_partition_id())
     ranged = cut_lineage(ranged)
 
     # 1. running totals inside each (partition, key) piece
