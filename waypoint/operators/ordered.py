@@ -6,9 +6,10 @@ partitions. Work per partition is then local; what crosses partitions is a
 table of at most two rows per partition (its first and last key), which is
 the only broadcast, and its size is bounded by the partition count.
 
-The range-partitioned data is checkpointed into the shared checkpoint folder
-before it is read twice, so both reads see the same partition numbers even
-if an executor is lost and a stage is recomputed.
+The range-partitioned data, with its partition number as a column, is written
+as Parquet into the shared checkpoint folder before it is read twice, so both
+reads see the same partition numbers even if an executor is lost and a stage
+is recomputed (and the copy is columnar and compressed).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypoint.session import cut_lineage
+from waypoint.session import materialize
 
 _PID = "__pid"
 
@@ -41,7 +42,7 @@ def dense_ids(keys: DataFrame, key: str, out: str = "ccid",
               .withColumn(_PID, F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id()
                           - F.shiftleft(F.col(_PID).cast("long"), 33)))
-    ranged = cut_lineage(ranged)
+    ranged = materialize(ranged, "ranged-keys")
     sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(
         _PID,
@@ -64,7 +65,7 @@ def exclusive_running_totals(df: DataFrame, key: str, order: list[str],
     """
     sort_cols = [F.col(key)] + [F.col(c) for c in order]
     ranged = _range(df, num_partitions, *sort_cols).withColumn(_PID, F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = materialize(ranged, "ranged-rows")
 
     # 1. running totals inside each (partition, key) piece
     w = (Window.partitionBy(_PID, key).orderBy(*order)
