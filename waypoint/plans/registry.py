@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from waypoint.operators import forest as RF
+from waypoint.operators import identity as I
+from waypoint.operators import lines as L
+from waypoint.operators import outputs as O
+from waypoint.operators import reconcile as R
+from waypoint.operators import respondents as RS
+from waypoint.operators import sampling as SM
+from waypoint.operators import segments as S
+from waypoint.operators import tiers as T
+from waypoint.operators import transitions as TR
 from waypoint.plans import context
 from waypoint.plans.model import Model
+from waypoint.session import scratch_path
+from waypoint.sources import cache as CACHE
+from waypoint.sources import csv as CSV
+from waypoint.sources import fixtures as FX
+from waypoint.sources.survey import cid_to_ccid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _MODELS: dict = {}
@@ -50,24 +66,6 @@ def q_members_for_simulator(spark, sf):
 
 
 # ---------------------------------------------------------------- helpers
-import datetime as _dt  # noqa: E402
-
-from waypoint.operators import forest as RF  # noqa: E402
-from waypoint.operators import identity as I  # noqa: E402
-from waypoint.operators import lines as L  # noqa: E402
-from waypoint.operators import outputs as O  # noqa: E402
-from waypoint.operators import reconcile as R  # noqa: E402
-from waypoint.operators import respondents as RS  # noqa: E402
-from waypoint.operators import sampling as SM  # noqa: E402
-from waypoint.operators import segments as S  # noqa: E402
-from waypoint.operators import tiers as T  # noqa: E402
-from waypoint.operators import transitions as TR  # noqa: E402
-from waypoint.sources import cache as CACHE  # noqa: E402
-from waypoint.sources import csv as CSV  # noqa: E402
-from waypoint.sources import fixtures as FX  # noqa: E402
-from waypoint.sources.survey import cid_to_ccid  # noqa: E402
-from waypoint.session import scratch_path  # noqa: E402
-
 ENRICHED_COLS = ["ccid", "booking_code", "lob", "lob_ext", "segment", "is_package",
                  "begin_use_date", "booking_date_pst", "loyalty_tier", "gbvlc", "trip_elements"]
 
