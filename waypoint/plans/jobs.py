@@ -11,6 +11,8 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from waypoint.operators.identity import Dataset, post_process_tx, process_ccids
 from waypoint.operators.outputs import VIEW_COLS
@@ -32,6 +34,13 @@ class SurveyInputs:
     alt_csv: str | None = None
 
 
+def whole_numbers(df: DataFrame) -> DataFrame:
+    """Rounded double columns as integers, so the CSV holds ``1234`` rather than ``1234.0``."""
+    return df.select(*[F.col(f.name).cast("long").alias(f.name)
+                       if isinstance(f.dataType, DoubleType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def run_id(segmentation: str | None, now: dt.datetime | None = None) -> str:
     """Timestamp run id, suffixed with the override segmentation when there is one."""
     rid = (now or dt.datetime.now()).strftime("%Y%m%d---%H%M%S")
@@ -71,8 +80,10 @@ def model_job(spark: SparkSession, cache_folder: str, survey: SurveyInputs,
         alt = csv.read_all_text(spark, survey.alt_csv) if survey.alt_csv else None
         m = Model(data, sv, alt, p)
         return {
-            "bookings": csv.write_output(m.bookings_out, out_dir, rid, "bookings", order),
-            "members": csv.write_output(m.members_out, out_dir, rid, "members", order[:4]),
+            "bookings": csv.write_output(whole_numbers(m.bookings_out), out_dir, rid,
+                                         "bookings", order),
+            "members": csv.write_output(whole_numbers(m.members_out), out_dir, rid,
+                                        "members", order[:4]),
         }
 
 
