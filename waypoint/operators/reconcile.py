@@ -10,6 +10,7 @@ from waypoint.operators.joins import lookup_join
 from waypoint.operators.lines import eligible, year_slice
 from waypoint.params import ModelParams
 
+# Fixed value: the metric names a stage value's name starts with.
 METRIC_PATTERN = "(gbvlc)|(bookings)|(trip_elements)"
 
 

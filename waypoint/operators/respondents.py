@@ -9,6 +9,7 @@ from waypoint.functions.kernel import filled_sum, strict_sum
 from waypoint.operators.lines import year_slice
 from waypoint.sources.fixtures import FLAG_SUM_COLUMNS, NATURAL_KEY
 
+# The per-LOB metrics of the respondent table (output name, source column).
 LOB_METRICS = (
     ("num_bookings", None),
     ("unit_count", "unit_count"),

@@ -16,6 +16,8 @@ TYPO_LEVEL = "High Hotel / Hight Flight"
 FIXED_LEVEL = "High Hotel / High Flight"
 EXCLUDED_LEVEL = "All Others"
 NON_MEMBER_LEVEL = "Non-Member"
+# Fixed value: the alternate file's (cleaned) natural-key column, not a segmentation.
+ALT_KEY_COLUMN = "parallax_hashed_email_address_parallax_hashed_email_address"
 TWO52 = 2 ** 52
 
 
@@ -163,7 +165,7 @@ def override_segmentation(answers: DataFrame, alt_raw: DataFrame, cid_to_ccid: D
     """Replace ``segments_v1`` of survey answers by a column of an alternate file."""
     alt = clean_names(alt_raw).withColumnRenamed("cid_external_cid", "cid")
     alt = alt.join(cid_to_ccid, "cid")
-    excluded = {"cid", "ccid", "parallax_hashed_email_address_parallax_hashed_email_address"}
+    excluded = {"cid", "ccid", ALT_KEY_COLUMN}
     available = [c for c in alt.columns if c not in excluded]
     if name not in available:
         raise ValueError(f"Segmentation not a valid selection: {name!r}; "

@@ -8,7 +8,7 @@ driver's tables. Shared steps are CTE fragments composed per query.
 from __future__ import annotations
 
 from waypoint.params import fixture_params
-from waypoint.sources.fixtures import FLAG_COLUMNS
+from waypoint.sources.fixtures import FLAG_COLUMNS, FLAG_SUM_COLUMNS
 
 P = fixture_params()
 Y = P.analysis_year
@@ -504,11 +504,7 @@ for _m, _src in (("num_bookings", None), ("unit_count", "unit_count"),
         else:
             _lw.append(f"{fsum(_src, _cond)} AS {_name}")
 LOB_WIDE_NAMES = [x.rsplit(" AS ", 1)[1] for x in _lw]
-FLAG_NAMES = ["package_indicator", "international_flag", "vipa_ind", "vipa_and_burn_flag",
-              "fourfive_star_flag", "any_mod_flag", "tiered_mod_flag", "chain_flag",
-              "cheap_channels_flag", "app_flag", "coupons_flag", "room_night_count",
-              "length_of_stay", "vip_perk_ind", "vip_room_upgrade_ind", "business_flag",
-              "child_flag", "totl_person_count", "new_flag_brand", "reacquired_flag_brand"]
+FLAG_NAMES = list(FLAG_SUM_COLUMNS)
 RESP = f"""
 p12 AS (SELECT * FROM survey_tx WHERE {yr('begin_use_date', Y)}),
 lw AS (SELECT ccid, {", ".join(_lw)} FROM p12 GROUP BY ccid),
