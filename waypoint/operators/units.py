@@ -212,3 +212,17 @@ def booking_units(running: DataFrame, cust_units: DataFrame, wide: DataFrame,
             "trip_elements_current_year", "bookings_current_year",
             "trip_elements_prev_year", "bookings_prev_year", "trip_elements_prev_2_year"]
     return j.select(*head, *wide_columns(p))
+
+
+def shared_booking_codes(booking_units: DataFrame) -> DataFrame:
+    """How many of the year's booking codes are used by more than one customer.
+
+    Those codes carry the combined ``lob_*`` values of all their customers
+    (the LOB table is keyed by booking code alone), as in the reference.
+    One row: codes, shared codes, most customers on one code.
+    """
+    per_code = booking_units.groupBy("booking_code").agg(F.count(F.lit(1)).alias("n"))
+    return per_code.agg(F.count(F.lit(1)).alias("n_booking_codes"),
+                        F.count(F.when(F.col("n") > 1, F.lit(1))).alias("n_shared_codes"),
+                        F.coalesce(F.max("n"), F.lit(0)).cast("long")
+                        .alias("max_customers_per_code"))

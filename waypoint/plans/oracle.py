@@ -451,6 +451,10 @@ O["booking_lob_wide"] = model_sql(
 O["booking_rollup"] = model_sql(f"SELECT {GBV_OUT} FROM bk")
 O["running_units"] = model_sql(f"SELECT {GBV_OUT} FROM run")
 O["booking_units"] = model_sql(f"SELECT {BU_OUT} FROM bu")
+O["shared_booking_codes"] = model_sql(
+    "SELECT count(*) AS n_booking_codes, count(CASE WHEN n > 1 THEN 1 END) AS n_shared_codes, "
+    "CAST(coalesce(max(n), 0) AS BIGINT) AS max_customers_per_code "
+    "FROM (SELECT booking_code, count(*) AS n FROM bu GROUP BY booking_code)")
 O["unit_views"] = model_sql(f"SELECT {BU_OUT} FROM views")
 _sink_cols = ["segment", "units_earned_prev_year", "units_earned_current_year",
               "units_earned_start_of_booking", "unit_type", "bookings"]

@@ -461,3 +461,10 @@ def q_survey_unit_transitions(spark, sf):
 def q_typing_table_override(spark, sf):
     """The typing table the model uses: alternate segmentation, non-members removed."""
     return model(spark, sf).typing
+
+
+@query("shared_booking_codes")
+def q_shared_booking_codes(spark, sf):
+    """How many booking codes of the year's booking table several customers share."""
+    from waypoint.operators.units import shared_booking_codes
+    return shared_booking_codes(model(spark, sf).booking_units)
