@@ -49,3 +49,22 @@ def test_outputs_round_half_even_and_scale(spark):
         bu.withColumn("trip_elements", F.lit(3.0)), p).collect()}
     assert mem["bookings"].num_members == 2.0 and mem["bookings"].gbvlc == 6.0  # 6.25 -> 6
     assert mem["bookings"].packages == 2.0
+
+
+def test_shared_booking_code_gets_combined_lob_values(spark):
+    p = ModelParams(brand="X")
+    by_lob = spark.createDataFrame(
+        [(1, 7, "A", 2024, "air", 2.0, 10.0, dt.date(2024, 1, 5)),
+         (2, 7, "B", 2024, "air", 3.0, 5.0, dt.date(2024, 1, 6)),
+         (2, 7, "B", 2024, "car", 1.0, 1.0, dt.date(2024, 1, 6))],
+        "ccid long, booking_code long, segment string, use_year int, lob string, "
+        "trip_elements double, gbvlc double, begin_use_date date")
+    active = spark.createDataFrame([(1,), (2,)], "ccid long")
+    packages = spark.createDataFrame([(7, True)], "booking_code long, is_package boolean")
+    w = U.booking_lob_wide(by_lob, active, packages, p).first()
+    assert w.lob_gbvlc_air_package == 15.0 and w.lob_gbvlc_car_package == 1.0
+    assert w.lob_trip_elements_air_package == 5.0 and w.lob_gbvlc_air == 0.0
+    assert w.lob_bookings_air_package == 1.0 and w.lob_bookings_lodging_package == 0.0
+    bu = spark.createDataFrame([(1, 7), (2, 7)], "ccid long, booking_code long")
+    r = U.shared_booking_codes(bu).first()
+    assert (r.n_booking_codes, r.n_shared_codes, r.max_customers_per_code) == (1, 1, 2)
