@@ -56,7 +56,8 @@ def lob_ext(lob: str = "lob", pkg: str = "is_package"):
 
 
 def enriched_lines(tx: DataFrame, segments: DataFrame, packages: DataFrame,
-                   member_ids: DataFrame, p: ModelParams, hot: tuple = ()) -> DataFrame:
+                   member_ids: DataFrame, p: ModelParams, hot: tuple = (),
+                   hot_codes: tuple = ()) -> DataFrame:
     """Qualifying lines with segment, package flag and extended LOB (``tx`` of the model).
 
     Filters run before the joins; segments and members are one customer
@@ -65,10 +66,9 @@ def enriched_lines(tx: DataFrame, segments: DataFrame, packages: DataFrame,
     """
     cust_dim = segments.join(member_ids.distinct(), "ccid", "left_semi")
     lines = eligible(tx, p).where(F.col("unit_count") > 0)
-    out = (lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
-                .join(packages.select("booking_code", "is_package"),
-                      lines["booking_code"].eqNullSafe(packages["booking_code"]), "left")
-                .drop(packages["booking_code"])
-                .withColumn("is_package", F.coalesce("is_package", F.lit(False))))
+    with_dim = lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
+    out = (lookup_join(with_dim, packages.select("booking_code", "is_package"), "booking_code",
+                       "left", hot=hot_codes, null_safe=True)
+           .withColumn("is_package", F.coalesce("is_package", F.lit(False))))
     return (out.withColumn("lob_ext", lob_ext())
                .withColumnsRenamed({"gbv": "gbvlc", "unit_count": "trip_elements"}))

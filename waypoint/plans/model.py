@@ -11,6 +11,7 @@ from waypoint.operators import lines as L
 from waypoint.operators import outputs as O
 from waypoint.operators import segments as S
 from waypoint.operators import units as U
+from waypoint.operators.joins import hot_keys
 from waypoint.operators.sampling import sample_customers
 from waypoint.operators.identity import Dataset
 from waypoint.params import ModelParams
@@ -69,8 +70,11 @@ class Model:
 
     @cached_property
     def enriched(self) -> DataFrame:
+        # booking codes holding a large share of the lines (a missing code, say)
+        hot_codes = hot_keys(self.tx, "booking_code")
         return materialize(L.enriched_lines(self.tx, self.segments, self.packages,
-                                            self.members, self.p, self.hot), "enriched-lines")
+                                            self.members, self.p, self.hot, hot_codes),
+                           "enriched-lines")
 
     @cached_property
     def by_lob(self) -> DataFrame:
