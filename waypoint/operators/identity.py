@@ -55,6 +55,7 @@ def process_ccids(cust: DataFrame, tx: DataFrame, key: str = NATURAL_KEY) -> Dat
     ccids = dense_ids(cust.select(key).unionByName(counts.select(key)), key, "ccid")
     hot_ids = tuple(r[0] for r in ccids.where(is_hot(F.col(key), hot_tx))
                     .select("ccid").limit(len(hot_tx) + 1).collect())
-    return Dataset(cust=attach_ccid(cust, ccids, key, hot_keys(cust, key)),
+    # the lines' hot keys serve the (much smaller) customer table too
+    return Dataset(cust=attach_ccid(cust, ccids, key, hot_tx),
                    tx=attach_ccid(tx, ccids, key, hot_tx),
                    ccids=ccids, hot_ccids=hot_ids)
