@@ -69,7 +69,7 @@ def strict_min(x) -> Column:
 
 
 def n_distinct_na(x) -> Column:
-    """Distinct count that counts a null as one more value (dplyr ``n_distinct``)."""
+    """Distinct count that counts a null as one more value (as R's ``n_distinct``)."""
     x = _c(x)
     return F.count_distinct(x) + F.max(x.isNull().cast("int"))
 
