@@ -54,3 +54,29 @@ def test_running_totals_property(spark, rows, parts):
             acc += v
             n += 1
     assert got == want
+
+
+@SETTINGS
+@given(values=st.lists(st.integers(0, 12), min_size=1, max_size=40), k=st.integers(1, 11))
+def test_growth_multipliers_property(spark, values, k):
+    import math
+
+    from waypoint.operators.transitions import growth_multipliers
+    from waypoint.params import ModelParams
+    v = sorted(float(x) for x in values)
+    n = len(v)
+    groups = {}
+    for i, x in enumerate(v, start=1):
+        groups.setdefault(math.floor(((i - 1) / n) * k) / k, []).append(x)
+    mean = sum(v) / n
+    df = spark.createDataFrame([(x,) for x in v], "trip_elements_current_year double")
+    got = {r.percentile_group: (r.group_mean_trip_elements, r.group_multiplier)
+           for r in growth_multipliers(df, ModelParams(num_buckets=k)).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        gm = sum(xs) / len(xs)
+        assert abs(got[g][0] - gm) <= 1e-9 * max(1.0, abs(gm))
+        if mean:
+            assert abs(got[g][1] - gm / mean) <= 1e-9 * max(1.0, abs(gm / mean))
+        else:
+            assert got[g][1] is None

@@ -90,11 +90,13 @@ def growth_multipliers(cohort: DataFrame, p: ModelParams,
     lo = F.greatest(F.col("start"), edge(F.col("b")))
     hi = F.least(F.col("start") + F.col("c"),
                  F.when(F.col("b") + 1 >= k, n).otherwise(edge(F.col("b") + 1)))
-    w = per.withColumn("w", (hi - lo).cast("double"))
+    # a value's rank range may span a bucket holding no rank at all (more buckets
+    # than rows): such pieces have no overlap and no group in the reference
+    w = per.withColumn("w", (hi - lo).cast("double")).where(F.col("w") > 0)
     means = w.groupBy("b").agg(
         (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("group_mean_trip_elements"),
         (F.max("s") / F.max("n")).alias("mean"))
     return means.select(
         (F.col("b").cast("double") / F.lit(float(k))).alias("percentile_group"),
         "group_mean_trip_elements",
-        (F.col("group_mean_trip_elements") / F.col("mean")).alias("group_multiplier"))
+        F.try_divide(F.col("group_mean_trip_elements"), F.col("mean")).alias("group_multiplier"))
