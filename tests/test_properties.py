@@ -80,3 +80,55 @@ def test_growth_multipliers_property(spark, values, k):
             assert abs(got[g][1] - gm / mean) <= 1e-9 * max(1.0, abs(gm / mean))
         else:
             assert got[g][1] is None
+
+
+@SETTINGS
+@given(cells=st.lists(st.lists(st.integers(1, 9), min_size=1, max_size=4), min_size=1, max_size=6),
+       seed=st.integers(0, 99))
+def test_segment_draw_property(spark, cells, seed):
+    import hashlib
+
+    from waypoint.operators.segments import draw_segments
+    rows, want = [], {}
+    for ccid, counts in enumerate(cells, start=1):
+        names = [f"s{i}" for i in range(len(counts))]
+        n_cell, cum = sum(counts), 0
+        h = int(hashlib.md5(f"{seed}:{ccid}".encode()).hexdigest()[:13], 16)
+        pick = None
+        for name, n in zip(names, counts):
+            cum += n
+            rows.append((ccid, name, n, cum, n_cell))
+            if pick is None and cum * 2 ** 52 > h * n_cell:
+                pick = name
+        want[ccid] = pick
+    df = spark.createDataFrame(rows, "ccid long, segment_nm string, n long, cum_n long, n_cell long")
+    got = {r.ccid: r.segment for r in draw_segments(df, seed).collect()}
+    assert got == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), max_size=30))
+def test_unique_only_property(spark, rows):
+    from collections import Counter
+
+    from waypoint.operators.segments import unique_only
+    counts = Counter(k for k, _ in rows)
+    want = sorted((k, v) for k, v in rows if counts[k] == 1)
+    df = spark.createDataFrame(rows, "k long, v long")
+    assert sorted(tuple(r) for r in unique_only(df, "k").collect()) == want
+
+
+@SETTINGS
+@given(xs=st.lists(st.decimals(min_value=0, max_value=20000, places=2), min_size=1, max_size=20),
+       step=st.integers(1, 5000), steps=st.integers(1, 6))
+def test_spend_cut_property(spark, xs, step, steps):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from waypoint.functions.kernel import spend_cut
+    cap = step * steps
+    df = spark.createDataFrame([(x,) for x in xs], "x decimal(18,2)")
+    got = [r.c for r in df.select(spend_cut(F.col("x"), step, cap).alias("c")).collect()]
+    want = [float(cap) if float(x) > cap else float(math.floor(float(x) / step) * step) for x in xs]
+    assert got == want
