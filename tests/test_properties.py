@@ -132,3 +132,50 @@ def test_spend_cut_property(spark, xs, step, steps):
     got = [r.c for r in df.select(spend_cut(F.col("x"), step, cap).alias("c")).collect()]
     want = [float(cap) if float(x) > cap else float(math.floor(float(x) / step) * step) for x in xs]
     assert got == want
+
+
+@SETTINGS
+@given(custs=st.lists(st.tuples(st.sampled_from(["A", "B"]), st.integers(0, 4), st.integers(0, 4),
+                                st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=5),
+       bookings=st.lists(st.tuples(st.integers(0, 4), st.integers(0, 6), st.integers(0, 3),
+                                   st.integers(1, 5), st.integers(0, 900), st.booleans()),
+                         min_size=1, max_size=25),
+       frac=st.sampled_from([0.039679166667, 0.4, 1.0]))
+def test_simulator_outputs_property(spark, custs, bookings, frac):
+    from collections import defaultdict
+
+    from waypoint.operators import outputs as O
+    from waypoint.params import ModelParams
+    rows = []
+    for ci, te_start, bk_start, te, gbv, pkg in bookings:
+        ci %= len(custs)
+        seg, te_prev, te_cur, bk_prev, bk_cur = custs[ci]
+        rows.append((ci, seg, 1.0, float(te), float(te_start), float(te_cur), float(te_prev),
+                     float(bk_start), float(bk_cur), float(bk_prev), pkg, float(gbv)))
+    schema = ("ccid long, segment string, bookings double, trip_elements double, "
+              "trip_elements_start_of_booking double, trip_elements_current_year double, "
+              "trip_elements_prev_year double, bookings_start_of_booking double, "
+              "bookings_current_year double, bookings_prev_year double, is_package boolean, "
+              "gbvlc double")
+    bu = spark.createDataFrame(rows, schema)
+    p = ModelParams(extract_fraction=frac, brand="X")
+    views = {"trip_elements": (6, 5, 4), "bookings": (9, 8, 7)}  # prev, current, start
+    want_b = defaultdict(float)
+    for r in rows:
+        for t, (ip, ic, is_) in views.items():
+            want_b[(r[1], r[ip], r[ic], r[is_], t)] += r[2]
+    want_b = sorted((k[0], float(round(k[1])), float(round(k[2])), float(round(k[3])), k[4],
+                     float(round(v / frac))) for k, v in want_b.items())
+    got_b = sorted(tuple(r) for r in O.bookings_for_simulator(O.unit_views(bu), p).collect())
+    assert got_b == want_b
+    members = defaultdict(lambda: [set(), 0.0, 0.0, 0.0, 0])
+    for r in rows:
+        for t, (ip, ic, _) in views.items():
+            m = members[(r[1], r[ip], r[ic], t)]
+            m[0].add(r[0]); m[1] += r[11]; m[2] += r[2]; m[3] += r[3]; m[4] += int(r[10])
+    want_m = sorted((k[0], float(round(k[1])), float(round(k[2])), k[3], float(round(len(m[0]) / frac)),
+                     float(round(m[1] / frac)), float(round(m[2] / frac)),
+                     float(round(m[3] / frac)), float(round(m[4] / frac)))
+                    for k, m in members.items())
+    got_m = sorted(tuple(r) for r in O.members_for_simulator(bu, p).collect())
+    assert got_m == want_m
