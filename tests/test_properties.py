@@ -210,3 +210,35 @@ def test_lob_metrics_and_flag_sums_property(spark, rows):
     for c in {r[0] for r in rows}:
         vs = [v for cc, _, _, v in rows if cc == c]
         assert sums[c] == (None if any(v is None for v in vs) else float(sum(vs)))
+
+
+@SETTINGS
+@given(lines=st.lists(st.tuples(st.integers(1, 4), st.integers(0, 5), st.integers(2021, 2025),
+                                st.sampled_from(["air", "car", "bus"]), st.integers(0, 3)),
+                      min_size=1, max_size=30),
+       members=st.sets(st.integers(1, 4), min_size=1))
+def test_customer_units_property(spark, lines, members):
+    import datetime as dt
+
+    from waypoint.operators.units import booking_years, customer_booking_lobs, customer_units
+    from waypoint.params import ModelParams
+    p = ModelParams(analysis_year=2024, brand="B", lobs=("air", "car"))
+    tx = spark.createDataFrame(
+        [(c, code, dt.date(y, 3, 1 + code), lob, float(u), "B", 10.0)
+         for c, code, y, lob, u in lines],
+        "ccid long, booking_code long, begin_use_date date, lob string, unit_count double, "
+        "eg_brand_code string, gbv double")
+    dim = spark.createDataFrame([(m, "S") for m in members], "ccid long, segment string")
+    by_lob = customer_booking_lobs(tx, dim, p)
+    got = {r.ccid: r for r in customer_units(booking_years(None, p, by_lob=by_lob), p).collect()}
+    q = [(c, code, y, u) for c, code, y, lob, u in lines
+         if c in members and lob in ("air", "car") and u > 0]
+    want = {}
+    for c in {r[0] for r in q if r[2] == 2024}:
+        cur = [r for r in q if r[0] == c and r[2] == 2024]
+        prev = [r for r in q if r[0] == c and r[2] == 2023]
+        want[c] = (float(sum(r[3] for r in cur)), len({r[1] for r in cur}),
+                   float(sum(r[3] for r in prev)) if prev else None,
+                   len({r[1] for r in prev}) if prev else None)
+    assert {c: (r.trip_elements_current_year, r.bookings_current_year,
+                r.trip_elements_prev_year, r.bookings_prev_year) for c, r in got.items()} == want
