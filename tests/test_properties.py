@@ -242,3 +242,34 @@ def test_customer_units_property(spark, lines, members):
                    len({r[1] for r in prev}) if prev else None)
     assert {c: (r.trip_elements_current_year, r.bookings_current_year,
                 r.trip_elements_prev_year, r.bookings_prev_year) for c, r in got.items()} == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.integers(1, 3), st.integers(0, 4), st.sampled_from(["air", "lodging", "car"]),
+                               st.integers(1, 5), st.integers(0, 50)), min_size=1, max_size=25,
+                     unique_by=lambda r: (r[0], r[1], r[2])),
+       active=st.sets(st.integers(1, 3), min_size=1), pkg=st.sets(st.integers(0, 4)))
+def test_booking_lob_wide_property(spark, rows, active, pkg):
+    from waypoint.operators.units import booking_lob_wide, wide_columns
+    from waypoint.params import ModelParams
+    p = ModelParams(brand="B")
+    by_lob = spark.createDataFrame([(c, b, l, float(t), float(g)) for c, b, l, t, g in rows],
+                                   "ccid long, booking_code long, lob string, trip_elements double, "
+                                   "gbvlc double")
+    act = spark.createDataFrame([(a,) for a in active], "ccid long")
+    packages = spark.createDataFrame([(b, b in pkg) for b in range(5)],
+                                     "booking_code long, is_package boolean")
+    got = {r.booking_code: r for r in booking_lob_wide(by_lob, act, packages, p).collect()}
+    codes = {b for c, b, _, _, _ in rows if c in active}
+    assert set(got) == codes
+    for b in codes:
+        mine = [r for r in rows if r[1] == b and r[0] in active]
+        for lob in p.lobs:
+            xs = [r for r in mine if r[2] == lob]
+            vals = {"gbvlc": float(sum(r[4] for r in xs)), "bookings": 1.0 if xs else 0.0,
+                    "trip_elements": float(sum(r[3] for r in xs))}
+            for m, v in vals.items():
+                on, off = (f"lob_{m}_{lob}_package", f"lob_{m}_{lob}") if b in pkg else \
+                          (f"lob_{m}_{lob}", f"lob_{m}_{lob}_package")
+                assert got[b][on] == v and got[b][off] == 0
+        assert sorted(got[b].asDict()) == sorted(["booking_code"] + wide_columns(p))
