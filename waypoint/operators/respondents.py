@@ -21,7 +21,9 @@ LOB_METRICS = (
 
 def lob_levels(tx: DataFrame, limit: int = 1000) -> list[str | None]:
     """The LOB domain present in the data (bounded, like a pivot's value scan)."""
-    rows = tx.select("lob").distinct().limit(limit).collect()
+    rows = tx.select("lob").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} lines of business; cannot pivot them wide")
     return sorted((r[0] for r in rows), key=lambda v: (v is None, v or ""))
 
 

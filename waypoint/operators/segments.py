@@ -82,8 +82,12 @@ def segment_candidates(tx: DataFrame, typing: DataFrame, p: ModelParams) -> Data
 
 def check_levels(answers: DataFrame, default_segment: str) -> None:
     known = answers.where(F.col("ccid").isNotNull()).select("segments_v1")
-    levels = {r[0] for r in recode_segments(known)
-              .where(F.col("segments_v1").isNotNull()).distinct().limit(10_000).collect()}
+    bound = 10_000
+    rows = (recode_segments(known).where(F.col("segments_v1").isNotNull()).distinct()
+            .limit(bound + 1).collect())
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} segment levels; is the segment column right?")
+    levels = {r[0] for r in rows}
     if default_segment not in levels:
         raise ValueError(f"value for missing segments ({default_segment}) not in levels "
                          f"({', '.join(sorted(levels))})")
