@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the reference model's for right results:
 # analysis year 2024, unit cap 45, spend step 1000 capped at 8000,
@@ -46,7 +46,6 @@ class ModelParams:
     num_buckets: int = 3
     band_max: int = 20
     forest_trees: int = 200
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def with_(self, **kw) -> "ModelParams":
         return replace(self, **kw)
