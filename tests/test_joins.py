@@ -54,3 +54,23 @@ def test_hot_key_spreads_over_partitions(skewed, spark):
         for k, v in saved.items():
             spark.conf.set(k, v)
     assert plain_parts == 1 and parts > 1
+
+
+def test_copies_of_a_hot_row_spread(spark):
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled",
+                                            "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = spark.createDataFrame([(1, 5)] * 3000 + [(k, 1) for k in range(2, 500)],
+                                     "k long, v long").repartition(4)
+        dim = spark.createDataFrame([(k, f"d{k}") for k in range(1, 500)], "k long, name string")
+        sizes = {}
+        for spread in (False, True):
+            out = lookup_join(fact, dim, "k", "inner", hot=(1,), salts=8, spread_copies=spread)
+            sizes[spread] = (max(out.rdd.glom().map(len).collect()), out.count())
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert sizes[False][1] == sizes[True][1] == 3000 + 498
+    assert sizes[False][0] >= 3000 and sizes[True][0] < 1500

@@ -17,11 +17,12 @@ keys = st.one_of(st.none(), st.integers(0, 6))
        dim=st.lists(keys, unique=True, max_size=8),
        hot=st.lists(keys, unique=True, max_size=3),
        how=st.sampled_from(["inner", "left", "left_semi", "left_anti"]),
-       null_safe=st.booleans(), salts=st.integers(2, 5))
-def test_lookup_join_equals_plain(spark, fact, dim, hot, how, null_safe, salts):
+       null_safe=st.booleans(), salts=st.integers(2, 5), spread=st.booleans())
+def test_lookup_join_equals_plain(spark, fact, dim, hot, how, null_safe, salts, spread):
     f = spark.createDataFrame(fact, "k long, v long")
     d = spark.createDataFrame([(k, f"n{k}") for k in dim], "k long, name string")
-    got = lookup_join(f, d, "k", how, hot=tuple(hot), null_safe=null_safe, salts=salts)
+    got = lookup_join(f, d, "k", how, hot=tuple(hot), null_safe=null_safe, salts=salts,
+                      spread_copies=spread)
     want = lookup_join(f, d, "k", how, hot=(), null_safe=null_safe)
     norm = lambda x: sorted(tuple(map(str, r)) for r in x.select(*sorted(x.columns)).collect())
     assert norm(got) == norm(want)

@@ -34,7 +34,8 @@ def attach_ccid(df: DataFrame, ccids: DataFrame, key: str = NATURAL_KEY,
 
     ``hot`` natural keys (e.g. the missing e-mail) are salted over many tasks.
     """
-    out = lookup_join(df, ccids, key, "inner", hot=hot, null_safe=True).drop(key)
+    out = lookup_join(df, ccids, key, "inner", hot=hot, null_safe=True,
+                      spread_copies=True).drop(key)
     return out.select("ccid", *[c for c in out.columns if c != "ccid"])
 
 

@@ -55,11 +55,17 @@ def _salts(df: DataFrame, salts: int | None) -> int:
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
-                hot: tuple = (), null_safe: bool = False, salts: int | None = None) -> DataFrame:
+                hot: tuple = (), null_safe: bool = False, salts: int | None = None,
+                spread_copies: bool = False) -> DataFrame:
     """``fact`` joined to ``dim`` (at most one row per key) on ``key``.
 
     ``how``: inner, left, left_semi or left_anti. ``null_safe``: a null key
     matches the dimension's null key. Keeps one ``key`` column.
+
+    ``spread_copies``: also hash the row's position, so exact copies of a row
+    (a part loaded twice, say) spread over the salts too. Only for a fact side
+    read straight from files, whose row positions a retried task reproduces;
+    the join result never depends on the salt, only the balance does.
     """
     if how in ("left_semi", "left_anti"):
         dim = dim.select(key).distinct()
@@ -70,9 +76,9 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
         return fact.join(dim, key, how)
     s = _salts(fact, salts)
     rest = [c for c in fact.columns]
+    spread = [F.col(c) for c in rest] + ([F.monotonically_increasing_id()] if spread_copies else [])
     f = fact.withColumn("__salt", F.when(
-        is_hot(F.col(key), hot),
-        F.pmod(F.xxhash64(*[F.col(c) for c in rest]), F.lit(s))).otherwise(F.lit(0)))
+        is_hot(F.col(key), hot), F.pmod(F.xxhash64(*spread), F.lit(s))).otherwise(F.lit(0)))
     d = (dim.withColumnRenamed(key, "__k")
             .withColumn("__salt", F.explode(F.when(
                 is_hot(F.col("__k"), hot), F.sequence(F.lit(0), F.lit(s - 1)))

@@ -66,7 +66,7 @@ def enriched_lines(tx: DataFrame, segments: DataFrame, packages: DataFrame,
     """
     cust_dim = segments.join(member_ids.distinct(), "ccid", "left_semi")
     lines = eligible(tx, p).where(F.col("unit_count") > 0)
-    with_dim = lookup_join(lines, cust_dim, "ccid", "inner", hot=hot)
+    with_dim = lookup_join(lines, cust_dim, "ccid", "inner", hot=hot, spread_copies=True)
     out = (lookup_join(with_dim, packages.select("booking_code", "is_package"), "booking_code",
                        "left", hot=hot_codes, null_safe=True)
            .withColumn("is_package", F.coalesce("is_package", F.lit(False))))

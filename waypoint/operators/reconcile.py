@@ -29,7 +29,7 @@ def stage_values(tx: DataFrame, member_ids: DataFrame, enriched: DataFrame,
     """(type, value) rows such as ``gbvlc_raw_members``; every value scaled."""
     frac = F.lit(p.extract_fraction)
     raw = eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0)
-    raw_m = lookup_join(raw, member_ids, "ccid", "left_semi", hot=hot)
+    raw_m = lookup_join(raw, member_ids, "ccid", "left_semi", hot=hot, spread_copies=True)
     tx_y = year_slice(enriched, p.analysis_year)
 
     def line_metrics(gbv, units):

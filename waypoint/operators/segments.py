@@ -131,7 +131,7 @@ def get_segments(tx: DataFrame, typing: DataFrame, answers: DataFrame,
 def unsegmented(tx: DataFrame, segments: DataFrame, hot: tuple = ()) -> DataFrame:
     """Lines whose customer has no segment (must be empty, J8)."""
     from waypoint.operators.joins import lookup_join
-    return lookup_join(tx, segments, "ccid", "left_anti", hot=hot)
+    return lookup_join(tx, segments, "ccid", "left_anti", hot=hot, spread_copies=True)
 
 
 def clean_name(name: str) -> str:

@@ -18,7 +18,7 @@ def recorded_tier_distribution(tx: DataFrame, member_ids: DataFrame, p: ModelPar
                                hot: tuple = ()) -> DataFrame:
     """Share of bookings per recorded tier (tier 0 dropped), scaled to the population."""
     x = lookup_join(eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0),
-                    member_ids, "ccid", "left_semi", hot=hot)
+                    member_ids, "ccid", "left_semi", hot=hot, spread_copies=True)
     counts = (x.select("booking_code", "loyalty_tier").distinct()
                .groupBy("loyalty_tier").agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("loyalty_tier") > 0))

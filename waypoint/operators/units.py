@@ -41,7 +41,8 @@ def unit_lines(tx: DataFrame, p: ModelParams, lobs: tuple[str, ...] | None = Non
 def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
                      lobs: tuple[str, ...] | None = None, hot: tuple = ()) -> DataFrame:
     """Eligible lines with units of customers in ``cust_dim`` (all years), line level."""
-    return lookup_join(unit_lines(tx, p, lobs), cust_dim, "ccid", "inner", hot=hot)
+    return lookup_join(unit_lines(tx, p, lobs), cust_dim, "ccid", "inner", hot=hot,
+                       spread_copies=True)
 
 
 def customer_booking_lobs(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
