@@ -65,7 +65,9 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     ``spread_copies``: also hash the row's position, so exact copies of a row
     (a part loaded twice, say) spread over the salts too. Only for a fact side
     read straight from files, whose row positions a retried task reproduces;
-    the join result never depends on the salt, only the balance does.
+    the join result never depends on the salt, only the balance does. The
+    position is non-deterministic to the optimizer, so filters written after
+    such a join are not pushed below it: filter first.
     """
     if how in ("left_semi", "left_anti"):
         dim = dim.select(key).distinct()

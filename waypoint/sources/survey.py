@@ -56,7 +56,8 @@ def survey_dataset(data: Dataset, survey_map: DataFrame, responses: DataFrame,
                    questions: DataFrame | None = None) -> SurveyDataset:
     ids = cid_to_ccid(data.ccids, survey_map)
     answers = survey_answers(responses, ids)
-    tx = lookup_join(data.tx, ids.select("ccid"), "ccid", "left_semi", hot=data.hot_ccids,
-                     spread_copies=True)
+    # no position in the salt here: later year filters must still reach the scan
+    # (a non-deterministic column would stop them below this join)
+    tx = lookup_join(data.tx, ids.select("ccid"), "ccid", "left_semi", hot=data.hot_ccids)
     return SurveyDataset(tx=tx, ccids=data.ccids, cid_to_ccid=ids, answers=answers,
                          questions=questions)
