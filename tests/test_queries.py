@@ -115,3 +115,14 @@ def test_column_types_align_with_oracle(spark):
         if diff:
             bad[name] = diff
     assert not bad, bad
+
+
+def test_year_filters_reach_the_scan(spark):
+    """Year slices prune the cache's use_year folders, also below the salted survey join."""
+    from waypoint.operators.lines import year_slice
+    from waypoint.plans import context
+    c = context.load(spark, SF_SMALL)
+    for df in (c.data.tx, c.survey.tx):
+        plan = year_slice(df, 1998)._jdf.queryExecution().executedPlan().toString()
+        scans = [l for l in plan.splitlines() if "FileScan" in l and "/tx" in l]
+        assert scans and all("PartitionFilters: [isnotnull(use_year" in l for l in scans), scans
