@@ -57,11 +57,13 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
 
 @query("bookings_for_simulator")
 def q_bookings_for_simulator(spark, sf):
+    """Bookings by segment and units earned, scaled and rounded."""
     return model(spark, sf).bookings_out
 
 
 @query("members_for_simulator")
 def q_members_for_simulator(spark, sf):
+    """Members, value, bookings, units, packages and LOB totals, scaled and rounded."""
     return model(spark, sf).members_out
 
 
@@ -81,21 +83,25 @@ def _p(spark, sf):
 # ---------------------------------------------------------------- ingest and identity
 @query("tx_normalised")
 def q_tx_normalised(spark, sf):
+    """Raw extract with the three renames and lower-cased LOB."""
     return as_output(I.post_process_tx(ctx(spark, sf).tx_extract))
 
 
 @query("customer_ids")
 def q_customer_ids(spark, sf):
+    """Dense customer ids over both tables' natural keys."""
     return ctx(spark, sf).data.ccids
 
 
 @query("attach_ccid")
 def q_attach_ccid(spark, sf):
+    """Customer table with ccid in place of the natural key."""
     return ctx(spark, sf).data.cust
 
 
 @query("tx_year_slice")
 def q_tx_year_slice(spark, sf):
+    """Lines used in the analysis year, with year and month."""
     c = ctx(spark, sf)
     return (L.year_slice(c.data.tx, c.params.analysis_year)
             .select("ccid", "booking_code", "begin_use_date",
@@ -105,6 +111,7 @@ def q_tx_year_slice(spark, sf):
 
 @query("scan_customer_csv")
 def q_scan_customer_csv(spark, sf):
+    """Customer CSV read by header name with null tokens."""
     path = scratch_path(spark, "customers-csv")
     CSV.write_csv(ctx(spark, sf).cust_extract, path, null_value="")
     return CSV.read_customers(spark, path)
@@ -129,11 +136,13 @@ def _write_tx_parts(spark, sf) -> str:
 
 @query("scan_tx_parts")
 def q_scan_tx_parts(spark, sf):
+    """Numbered part files with differing column orders."""
     return as_output(CSV.read_tx_parts(spark, _write_tx_parts(spark, sf)))
 
 
 @query("cache_roundtrip")
 def q_cache_roundtrip(spark, sf):
+    """Parquet cache write, discovery and memoised scan."""
     d = ctx(spark, sf).data
     folder = scratch_path(spark, "raw-cache")
     CACHE.write_tables({"cust": d.cust, "tx": d.tx.drop("use_year"), "ccids": d.ccids}, folder)
@@ -147,6 +156,7 @@ def q_cache_roundtrip(spark, sf):
 # ---------------------------------------------------------------- survey
 @query("survey_id_map")
 def q_survey_id_map(spark, sf):
+    """Survey id map CSV ('null' only) to ccid, null-safe."""
     c = ctx(spark, sf)
     path = scratch_path(spark, "survey-map")
     CSV.write_csv(FX.survey_map_extract(spark, sf), path, null_value="null")
@@ -155,11 +165,13 @@ def q_survey_id_map(spark, sf):
 
 @query("survey_dataset")
 def q_survey_dataset(spark, sf):
+    """Cleaned labelled responses with ccid (left join)."""
     return ctx(spark, sf).survey.answers
 
 
 @query("override_segmentation")
 def q_override_segmentation(spark, sf):
+    """Alternate segmentation replaces segments_v1."""
     c = ctx(spark, sf)
     path = scratch_path(spark, "alt-segments")
     CSV.write_csv(c.alt_raw, path)
@@ -170,6 +182,7 @@ def q_override_segmentation(spark, sf):
 
 @query("unique_only")
 def q_unique_only(spark, sf):
+    """Alternate segments of customers that occur once."""
     c = ctx(spark, sf)
     alt = S.clean_names(c.alt_raw).withColumnRenamed("cid_external_cid", "cid")
     alt = alt.join(c.survey.cid_to_ccid, "cid")
@@ -179,29 +192,34 @@ def q_unique_only(spark, sf):
 # ---------------------------------------------------------------- segmentation
 @query("spend_cut_wide")
 def q_spend_cut_wide(spark, sf):
+    """Analysis-year air/lodging spend cuts per customer."""
     c = ctx(spark, sf)
     return S.spend_cut_wide(c.data.tx, c.params)
 
 
 @query("typing_table")
 def q_typing_table(spark, sf):
+    """P(segment | spend cell) from respondents."""
     c = ctx(spark, sf)
     return S.typing_table(c.survey.tx, c.survey.answers, c.params)
 
 
 @query("segment_candidates")
 def q_segment_candidates(spark, sf):
+    """Customers with every segment of their spend cell."""
     m = model(spark, sf)
     return S.segment_candidates(m.data.tx, m.typing, m.p)
 
 
 @query("segment_assignment")
 def q_segment_assignment(spark, sf):
+    """One drawn segment per customer, default for the rest."""
     return model(spark, sf).segments
 
 
 @query("unsegmented_customers")
 def q_unsegmented_customers(spark, sf):
+    """Lines of customers without a segment (empty)."""
     m = model(spark, sf)
     return as_output(S.unsegmented(m.data.tx, m.segments, m.hot).drop("use_year"))
 
@@ -209,58 +227,69 @@ def q_unsegmented_customers(spark, sf):
 # ---------------------------------------------------------------- model stages
 @query("members")
 def q_members(spark, sf):
+    """customers joined by the analysis year."""
     return model(spark, sf).members
 
 
 @query("package_flags")
 def q_package_flags(spark, sf):
+    """A1: bookings with more than one eligible LOB."""
     return model(spark, sf).packages.withColumn("n", F.col("n").cast("long"))
 
 
 @query("tx_enriched")
 def q_tx_enriched(spark, sf):
+    """The model's qualifying lines with segment and extended LOB."""
     return as_output(model(spark, sf).enriched.select(*ENRICHED_COLS))
 
 
 @query("current_year_units")
 def q_current_year_units(spark, sf):
+    """Analysis-year units and distinct bookings per customer."""
     return model(spark, sf).customer_units.select(
         "ccid", "trip_elements_current_year", "bookings_current_year")
 
 
 @query("prev_year_units")
 def q_prev_year_units(spark, sf):
+    """Previous-year units of customers active this year."""
     return (model(spark, sf).customer_units.where(F.col("bookings_prev_year").isNotNull())
             .select("ccid", "trip_elements_prev_year", "bookings_prev_year"))
 
 
 @query("booking_lob_wide")
 def q_booking_lob_wide(spark, sf):
+    """A4: value, presence and units per extended LOB per booking."""
     return as_output(model(spark, sf).lob_wide)
 
 
 @query("booking_rollup")
 def q_booking_rollup(spark, sf):
+    """A5: one row per booking used in the analysis year."""
     return as_output(model(spark, sf).rollup)
 
 
 @query("running_units")
 def q_running_units(spark, sf):
+    """Units and bookings earned before each booking."""
     return as_output(model(spark, sf).running)
 
 
 @query("booking_units")
 def q_booking_units(spark, sf):
+    """The booking table, filled and capped."""
     return as_output(model(spark, sf).booking_units)
 
 
 @query("unit_views")
 def q_unit_views(spark, sf):
+    """Each booking in trip elements and in bookings."""
     return as_output(O.unit_views(model(spark, sf).booking_units))
 
 
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, sf):
+    """Bookings output written as CSV and read back."""
     m = model(spark, sf)
     out = m.bookings_out
     base = scratch_path(spark, "model-output")
@@ -271,6 +300,7 @@ def q_sink_roundtrip(spark, sf):
 
 @query("stage_reconciliation")
 def q_stage_reconciliation(spark, sf):
+    """Value, bookings and units at each stage."""
     m = model(spark, sf)
     vals = R.stage_values(m.data.tx, m.members, m.enriched, m.customer_units,
                           m.booking_units, m.bookings_out, m.members_out, m.p, m.hot)
@@ -279,6 +309,7 @@ def q_stage_reconciliation(spark, sf):
 
 @query("sample_customers")
 def q_sample_customers(spark, sf):
+    """Lines of a seeded uniform sample of customers."""
     c = ctx(spark, sf)
     return as_output(SM.sample_customers(c.data.tx, c.params.sample_size, c.params.seed)
                      .drop("use_year"))
@@ -291,6 +322,7 @@ def _survey_year(c):
 
 @query("lob_metrics_wide")
 def q_lob_metrics_wide(spark, sf):
+    """A10: five metrics per customer and LOB, wide."""
     c = ctx(spark, sf)
     y = _survey_year(c)
     return as_output(RS.lob_metrics_wide(y, RS.lob_levels(y)))
@@ -298,11 +330,13 @@ def q_lob_metrics_wide(spark, sf):
 
 @query("flag_sums")
 def q_flag_sums(spark, sf):
+    """Flag and quantity sums per customer, missing if any input is."""
     return RS.flag_sums(_survey_year(ctx(spark, sf)))
 
 
 @query("survey_features")
 def q_survey_features(spark, sf):
+    """The respondent feature table."""
     c = ctx(spark, sf)
     return as_output(RS.survey_features(c.survey.cid_to_ccid, c.data.ccids, c.survey.tx,
                                         c.params.analysis_year))
@@ -311,6 +345,7 @@ def q_survey_features(spark, sf):
 # ---------------------------------------------------------------- tiers
 @query("recorded_tier_distribution")
 def q_recorded_tier_distribution(spark, sf):
+    """Share of bookings per recorded tier."""
     m = model(spark, sf)
     return T.recorded_tier_distribution(m.data.tx, m.members.distinct(), m.p, m.hot)
 
@@ -321,26 +356,31 @@ def _compare(m):
 
 @query("tier_compare")
 def q_tier_compare(spark, sf):
+    """Calculated tier next to the recorded one."""
     return _compare(model(spark, sf))
 
 
 @query("tier_confusion")
 def q_tier_confusion(spark, sf):
+    """Recorded x calculated tier counts."""
     return T.tier_confusion(_compare(model(spark, sf)))
 
 
 @query("tier_confusion_monthly")
 def q_tier_confusion_monthly(spark, sf):
+    """Recorded x calculated tier counts per use month."""
     return T.tier_confusion(_compare(model(spark, sf)), by_month=True)
 
 
 @query("tier_mismatch_rows")
 def q_tier_mismatch_rows(spark, sf):
+    """bookings recorded Silver, calculated Blue, in December."""
     return T.tier_mismatch_rows(_compare(model(spark, sf)))
 
 
 @query("customer_history")
 def q_customer_history(spark, sf):
+    """One customer's lines in use-date order."""
     m = model(spark, sf)
     busiest = (L.year_slice(m.enriched, m.p.analysis_year).groupBy("ccid")
                .agg(F.count(F.lit(1)).alias("n"))
@@ -350,41 +390,48 @@ def q_customer_history(spark, sf):
 
 @query("calculated_tier_totals")
 def q_calculated_tier_totals(spark, sf):
+    """Value and bookings per calculated tier."""
     m = model(spark, sf)
     return T.calculated_tier_totals(m.booking_units, m.p)
 
 
 @query("recorded_tier_value")
 def q_recorded_tier_value(spark, sf):
+    """Analysis-year value per recorded tier."""
     m = model(spark, sf)
     return T.recorded_tier_value(m.enriched, m.p)
 
 
 @query("recorded_tier_counts")
 def q_recorded_tier_counts(spark, sf):
+    """Next-year line counts per recorded tier."""
     m = model(spark, sf)
     return T.recorded_tier_counts(m.enriched, m.p.analysis_year + 1)
 
 
 @query("monthly_tier_mix")
 def q_monthly_tier_mix(spark, sf):
+    """Recorded-tier mix per month."""
     m = model(spark, sf)
     return T.monthly_tier_mix(m.enriched, _dt.date(m.p.analysis_year + 1, 8, 1))
 
 
 @query("daily_bookings")
 def q_daily_bookings(spark, sf):
+    """Bookings per use date."""
     return T.daily_bookings(model(spark, sf).booking_units)
 
 
 @query("monthly_calculated_tier")
 def q_monthly_calculated_tier(spark, sf):
+    """Calculated-tier counts per month."""
     m = model(spark, sf)
     return T.monthly_calculated_tier(m.booking_units, m.p)
 
 
 @query("calculated_tier_counts")
 def q_calculated_tier_counts(spark, sf):
+    """Calculated-tier counts."""
     m = model(spark, sf)
     return T.calculated_tier_counts(m.booking_units, m.p)
 
@@ -397,6 +444,7 @@ def _uc(spark, sf):
 
 @query("units_compare")
 def q_units_compare(spark, sf):
+    """Current and previous-year units of active members."""
     uc, _ = _uc(spark, sf)
     return uc.withColumns({c: F.col(c).cast("double") for c in
                            ("trip_elements_current_year", "trip_elements_prev_year")})
@@ -404,30 +452,35 @@ def q_units_compare(spark, sf):
 
 @query("unit_transitions")
 def q_unit_transitions(spark, sf):
+    """Previous -> current booking transitions with shares."""
     uc, p = _uc(spark, sf)
     return TR.unit_transitions(uc, p)
 
 
 @query("growth_cohort")
 def q_growth_cohort(spark, sf):
+    """F8: one booking last year, 2..band this year."""
     uc, p = _uc(spark, sf)
     return TR.growth_cohort(uc, p)
 
 
 @query("growth_bookings_dist")
 def q_growth_bookings_dist(spark, sf):
+    """Current bookings distribution in the cohort."""
     uc, p = _uc(spark, sf)
     return TR.distribution(TR.growth_cohort(uc, p), "bookings_current_year")
 
 
 @query("growth_units_dist")
 def q_growth_units_dist(spark, sf):
+    """Current units distribution in the cohort."""
     uc, p = _uc(spark, sf)
     return TR.distribution(TR.growth_cohort(uc, p), "trip_elements_current_year")
 
 
 @query("growth_multipliers")
 def q_growth_multipliers(spark, sf):
+    """Bucket means over the cohort mean."""
     uc, p = _uc(spark, sf)
     return TR.growth_multipliers(TR.growth_cohort(uc, p), p)
 
@@ -435,12 +488,14 @@ def q_growth_multipliers(spark, sf):
 # ---------------------------------------------------------------- random forest
 @query("rf_training_set")
 def q_rf_training_set(spark, sf):
+    """Spend features with the survey segment."""
     c = ctx(spark, sf)
     return RF.training_set(c.survey.tx, c.survey.answers, c.params)
 
 
 @query("rf_predicted_counts")
 def q_rf_predicted_counts(spark, sf):
+    """Forest predictions on a customer sample, counted."""
     c = ctx(spark, sf)
     fitted = RF.fit_forest(RF.training_set(c.survey.tx, c.survey.answers, c.params), c.params)
     ids = SM.sample_ids(c.data.ccids, c.params.sample_size, c.params.seed)
