@@ -40,7 +40,11 @@ def unit_lines(tx: DataFrame, p: ModelParams, lobs: tuple[str, ...] | None = Non
 
 def qualifying_lines(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
                      lobs: tuple[str, ...] | None = None, hot: tuple = ()) -> DataFrame:
-    """Eligible lines with units of customers in ``cust_dim`` (all years), line level."""
+    """Eligible lines with units of customers in ``cust_dim`` (all years), line level.
+
+    Hot customers are salted with the row position (copies spread), so filter
+    the lines before calling: later filters are not pushed below the join.
+    """
     return lookup_join(unit_lines(tx, p, lobs), cust_dim, "ccid", "inner", hot=hot,
                        spread_copies=True)
 
