@@ -81,3 +81,13 @@ def test_all_text_reader_default_null_tokens(spark):
     _write(f"{d}/alt.csv", "CID External CID,Tier Expanded\nS1,NA\nS2,\nS3,null\n")
     rows = {r["CID External CID"]: r["Tier Expanded"] for r in csv.read_all_text(spark, f"{d}/alt.csv").collect()}
     assert rows == {"S1": None, "S2": None, "S3": "null"}
+
+
+def test_run_scratch_removes_its_folder(spark):
+    from waypoint.session import materialize, run_scratch
+    from waypoint.sources import files
+    with run_scratch(spark, "t") as folder:
+        df = materialize(spark.range(5), "stage")
+        assert df.count() == 5
+        assert files.exists(spark, folder)
+    assert not files.exists(spark, folder)
