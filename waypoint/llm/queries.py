@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.simhash import op8_simhash_near_dedup
 
 QUERIES = {f.__name__: f for f in (
+    op4_mixing,
     op8_simhash_near_dedup,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL}
