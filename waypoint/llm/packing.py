@@ -22,8 +22,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-import re
-import sys
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,52 +40,47 @@ TIERS = (1024, 512, 256)
 POOL = 8192
 #: Sequences of a step group.
 GROUP = 8
-#: Distinct words whose ids a task remembers.
-CACHE = 300_000
-#: White space other than the plain space and the line feed.
-OTHER_SPACE = re.compile("[" + "".join(
-    c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n") + "]")
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, window long, step_group long")
 
 
-class WordTokenizer:
-    """Ids of whole texts from a tokenizer file, remembering the ids of words.
+#: Fixed values of byte-level BPE files: the split pattern, and the printable stand-ins of bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-    Texts are cut before a space that stands between two other characters:
-    the byte-level pre-tokenizer always starts a token there, so the ids of
-    the parts are those of the whole. Texts in which a space meets other white
-    space, or which hold a special token's string, are encoded in one piece.
+
+def byte_level_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ranks by bytes, ids of special tokens) of a byte-level BPE tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+        raise ValueError("not a plain byte-level BPE file")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    rest = [b for b in range(256) if b not in PRINTABLE]
+    to_byte = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {bytes(map(to_byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()
+            if t not in special}, special
+
+
+class FileTokenizer:
+    """Ids of whole texts, as the tokenizer file gives them without added special tokens.
+
+    The file's vocabulary is its merge order, so the same ids come from an
+    encoder over ranks, which is several times faster (tests compare both).
+    A special token's string in a text is that token, as in the file's library.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.seen: dict[str, np.ndarray] = {}
-
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32)
-                for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            parts = text.split(" ")
-            whole = ("" in parts or "\n " in text or " \n" in text or OTHER_SPACE.search(text)
-                     or any(s in text for s in self.special))
-            if whole:
-                yield self._encode([text])[0]
-                continue
-            parts = [parts[0], *[" " + p for p in parts[1:]]]
-            get = self.seen.get
-            new = list({p for p in parts if get(p) is None})
-            if new:
-                if len(self.seen) + len(new) > CACHE:
-                    self.seen.clear()
-                    new = list(set(parts))
-                self.seen.update(zip(new, self._encode(new)))
-            yield np.concatenate(list(map(self.seen.__getitem__, parts)))
+        import tiktoken
+        ranks, self.special = byte_level_ranks(path)
+        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks,
+                                     special_tokens=self.special)
+
+    def ids(self, text: str) -> np.ndarray:
+        special = any(s in text for s in self.special)
+        return np.array(self.bpe.encode(text, allowed_special="all") if special
+                        else self.bpe.encode_ordinary(text), np.uint32)
 
 
 class Packer:
@@ -197,13 +191,13 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers=TIERS, pool: int = POOL, gr
     two it fills exactly); ``step_group`` joins sequences of like length.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = FileTokenizer(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId(), tiers, pool, group)
         end = np.zeros(1, np.uint32)
         for b in batches:
             ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
-            for doc, tokens in zip(ids, tok.ids(b["text"])):
-                packer.add(doc, np.concatenate([tokens, end]))
+            for doc, text in zip(ids, b["text"]):
+                packer.add(doc, np.concatenate([tok.ids(text), end]))
                 if len(packer.rows) >= 20_000:
                     yield packer.take()
             yield packer.take()
