@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.packing import op2_packing
+from waypoint.llm.quality import op5_quality
 from waypoint.llm.simhash import op8_simhash_near_dedup
 
 QUERIES = {f.__name__: f for f in (
     op2_packing,
     op4_mixing,
+    op5_quality,
     op8_simhash_near_dedup,
 )}
 
