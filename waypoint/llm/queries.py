@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from waypoint.llm.licences import op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.packing import op2_packing
 from waypoint.llm.quality import op5_quality
@@ -11,6 +12,7 @@ QUERIES = {f.__name__: f for f in (
     op2_packing,
     op4_mixing,
     op5_quality,
+    op6_licences,
     op8_simhash_near_dedup,
 )}
 
