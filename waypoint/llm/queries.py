@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from waypoint.llm.chat import OP9_SQL, op9_chat
 from waypoint.llm.licences import op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.packing import op2_packing
@@ -14,6 +15,7 @@ QUERIES = {f.__name__: f for f in (
     op5_quality,
     op6_licences,
     op8_simhash_near_dedup,
+    op9_chat,
 )}
 
-ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL}
+ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}
