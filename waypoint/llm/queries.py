@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waypoint.llm.chat import OP9_SQL, op9_chat
+from waypoint.llm.fingerprints import op3_fingerprints
 from waypoint.llm.licences import op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.packing import op2_packing
@@ -11,6 +12,7 @@ from waypoint.llm.simhash import op8_simhash_near_dedup
 
 QUERIES = {f.__name__: f for f in (
     op2_packing,
+    op3_fingerprints,
     op4_mixing,
     op5_quality,
     op6_licences,
