@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waypoint.llm.chat import OP9_SQL, op9_chat
+from waypoint.llm.classlm import op7_class_lm
 from waypoint.llm.fingerprints import op3_fingerprints
 from waypoint.llm.licences import op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
@@ -16,6 +17,7 @@ QUERIES = {f.__name__: f for f in (
     op4_mixing,
     op5_quality,
     op6_licences,
+    op7_class_lm,
     op8_simhash_near_dedup,
     op9_chat,
 )}
