@@ -7,6 +7,7 @@ from waypoint.llm.classlm import op7_class_lm
 from waypoint.llm.fingerprints import op3_fingerprints
 from waypoint.llm.licences import op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
+from waypoint.llm.neighbours import op10_nearest
 from waypoint.llm.packing import op2_packing
 from waypoint.llm.quality import op5_quality
 from waypoint.llm.simhash import op8_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {f.__name__: f for f in (
     op7_class_lm,
     op8_simhash_near_dedup,
     op9_chat,
+    op10_nearest,
 )}
 
 ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}
