@@ -5,6 +5,7 @@ from __future__ import annotations
 from waypoint.llm.chat import OP9_SQL, op9_chat
 from waypoint.llm.classlm import op7_class_lm
 from waypoint.llm.fingerprints import op3_fingerprints
+from waypoint.llm.htmltext import op1_html_text
 from waypoint.llm.licences import op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.neighbours import op10_nearest
@@ -13,6 +14,7 @@ from waypoint.llm.quality import op5_quality
 from waypoint.llm.simhash import op8_simhash_near_dedup
 
 QUERIES = {f.__name__: f for f in (
+    op1_html_text,
     op2_packing,
     op3_fingerprints,
     op4_mixing,
