@@ -31,5 +31,17 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """Columns of ``df`` that pass through an operator: all but ``taken`` (its input and result
+    names, in any case) and names with two leading underscores, which operators use."""
+    names = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in names and not c.startswith("__")]
+
+
+def whole(df: DataFrame) -> Column:
+    """The row as one struct, so that names an operator adds cannot clash with its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).isEmpty()

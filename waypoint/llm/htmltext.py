@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waypoint.llm.common import table
+from waypoint.llm.common import others, table
 from waypoint.session import materialize
 
 #: Zones of a line; HEADER: in an article's own header.
@@ -319,8 +319,9 @@ def deletions(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) without html, with ``text``: the main text of every page."""
-    keyed = pages.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    gone = materialize(deletions(keyed), "shared-lines")
+    passed = others(pages, "html", "text")
+    keyed = pages.select(*passed, "html", F.xxhash64("page_id", "url", "html").alias("__key"))
+    gone = materialize(deletions(keyed.select(F.col("__key").alias("key"), "url", "html")), "shared-lines")
 
     def run(page: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
@@ -330,9 +331,9 @@ def extract(pages: DataFrame) -> DataFrame:
                                  if zone == KEEP or zone == OPEN and not only and i not in drop))
         return pd.Series(out)
 
-    others = [c for c in pages.columns if c != "html"]
-    return (keyed.join(gone, "key", "left")
-            .select(*others, F.pandas_udf(run, "string")(F.coalesce("html", F.lit("")), "gone").alias("text")))
+    gone = gone.select(F.col("key").alias("__of"), F.col("gone").alias("__gone"))
+    return (keyed.join(gone, F.col("__key") == F.col("__of"), "left")
+            .select(*passed, F.pandas_udf(run, "string")(F.coalesce("html", F.lit("")), "__gone").alias("text")))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

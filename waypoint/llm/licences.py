@@ -26,7 +26,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypoint.llm.common import lower_ascii, table, text_or_empty
+from waypoint.llm.common import lower_ascii, others, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = LICENCES, base: tupl
     """
     every = (*base, *templates)
     vocabulary = sorted({w for t in every for w in t.words})
-    worded = docs.select(*[c for c in docs.columns if c != text], words_of(text_or_empty(text)).alias("__w"))
+    passed = others(docs, text, "n_words", "base_places", "base_labels", "labels", "score")
+    worded = docs.select(*passed, words_of(text_or_empty(text)).alias("__w"))
     df = document_frequencies(worded.select("__w"), "__w", vocabulary)
     total = max(1, max(df.values(), default=0))
     idf = {w: log(1 + total / (1 + df.get(w, 0))) for w in vocabulary}
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = LICENCES, base: tupl
     own = F.concat(*[label(t, F.col("__cov")[i] > 0) for i, t in enumerate(templates)])
     some = F.coalesce(F.size(places_), F.lit(0)) > 0
     return found.select(
-        *[c for c in docs.columns if c != text], F.size("__w").cast("long").alias("n_words"),
+        *passed, F.size("__w").cast("long").alias("n_words"),
         F.coalesce(places_, F.array().cast("array<int>")).alias("base_places"),
         F.when(hit, F.array_sort(F.array_distinct(base_labels))).otherwise(none).alias("base_labels"),
         F.when(hit, F.array_sort(F.array_distinct(F.concat(base_labels, own)))).otherwise(none).alias("labels"),

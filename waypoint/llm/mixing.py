@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waypoint.llm.common import SPACE, id_text, table, text_or_empty
+from waypoint.llm.common import SPACE, id_text, table, text_or_empty, whole
 from waypoint.operators.ordered import dense_ids
 from waypoint.session import materialize
 
@@ -140,11 +140,10 @@ def take(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
     """``docs`` as the mix takes them: rows left out, kept or repeated whole."""
     limits, _ = mixed(docs, id_col=id_col, **params)
     lim = limits.select(F.col("source").alias("__s"), "copies", "below")
-    out = (docs.withColumn("key", doc_key(id_col))
-           .select(F.struct(*docs.columns).alias("d"), "key")  # keeps the input's names apart
-           .join(lim, F.col("d.source").eqNullSafe(F.col("__s"))))
-    return (out.select("d", F.explode(F.array_repeat(F.lit(0), _times().cast("int"))))
-            .select("d.*"))
+    out = (docs.select(whole(docs), doc_key(id_col).alias("key"), F.col("source").alias("__source"))
+           .join(lim, F.col("__source").eqNullSafe(F.col("__s"))))
+    return (out.select("__row", F.explode(F.array_repeat(F.lit(0), _times().cast("int"))))
+            .select("__row.*"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypoint.llm.common import crc_mod, table, text_or_empty
+from waypoint.llm.common import crc_mod, others, table, text_or_empty
 from waypoint.session import materialize
 
 STATISTICS = ("word_length", "upper_letters", "symbols", "digits", "symbol_words",
@@ -68,7 +68,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([statistics(x) for x in s])
 
-    return docs.select(*[c for c in docs.columns if c != text],
+    return docs.select(*others(docs, text, "stats", "score", "predicted"),
                        F.pandas_udf(run, "array<double>")(text_or_empty(text)).alias("stats"))
 
 

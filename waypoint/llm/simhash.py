@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waypoint.llm.common import is_empty, table, text_or_empty
+from waypoint.llm.common import is_empty, others, table, text_or_empty, whole
 from waypoint.llm.components import components
 from waypoint.session import materialize
 
@@ -58,12 +58,13 @@ def text_fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``fp`` (signed 64-bit fingerprint of the whole text)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text",
+                 kept: list[str] | None = None) -> DataFrame:
+    """``docs`` without its text (columns ``kept``), with ``fp``: the whole text's signed 64-bit fingerprint."""
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([text_fingerprint(x, shingle) for x in s], dtype="int64")
 
-    return docs.select(*[c for c in docs.columns if c != text],
+    return docs.select(*(others(docs, text, "fp") if kept is None else kept),
                        F.pandas_udf(run, "long")(text_or_empty(text)).alias("fp"))
 
 
@@ -135,12 +136,17 @@ def close_classes(nodes: DataFrame, max_bits: int = 4, blocks: int = 8) -> DataF
 def near_duplicate_classes(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
                            blocks: int = 8, id_col: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: its columns without the text, fp, and component_id (least id reachable)."""
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    kept = others(docs, "text", "fp", "component_id", "root")
+    return _classes(docs, kept, shingle, max_bits, blocks, id_col).select(*kept, "fp", "component_id")
+
+
+def _classes(docs: DataFrame, kept: list[str], shingle: int, max_bits: int, blocks: int, id_col: str) -> DataFrame:
+    prints = materialize(fingerprints(docs, shingle, kept=kept), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = materialize(close_classes(nodes.select("fp"), max_bits, blocks), "roots")
     named = nodes.join(roots, "fp")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(named.join(ids, "root").select("fp", "component_id"), "named")
+    of = materialize(named.join(ids, "root").select("fp", "root", "component_id"), "named")
     return prints.join(of, "fp")
 
 
@@ -151,15 +157,15 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str =
     exact copies of a row by nothing: one of them stays.
     """
     mark = F.xxhash64(text_or_empty()).alias("__mark")
-    rows = docs.select(F.col(id_col), "text", mark)
-    classes = near_duplicate_classes(rows, shingle, max_bits, id_col=id_col)
-    first = (classes.groupBy("component_id")
-             .agg(F.min(F.struct(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)), "__mark")).alias("f"))
-             .select(F.col("component_id").alias("__id"), F.col("f.__mark").alias("__m")))
-    kept = docs.withColumn("__mark", F.xxhash64(text_or_empty())).join(
-        first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    one = Window.partitionBy(id_col, "__mark").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("__of"), "text", mark)
+    classes = _classes(rows, ["__of", "__mark"], shingle, max_bits, 8, "__of")
+    first = (classes.groupBy("root")
+             .agg(F.min(F.struct(F.col("__of").isNull(), F.col("__of"), F.col("__mark"))).alias("f"))
+             .select(F.col("f.__of").alias("__id"), F.col("f.__mark").alias("__m")))
+    kept = docs.select(whole(docs), F.col(id_col).alias("__of"), mark).join(
+        first, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_semi")
+    one = Window.partitionBy("__of", "__mark").orderBy(F.lit(0))
+    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select("__row.*")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
