@@ -1,0 +1,130 @@
+import random
+
+import numpy as np
+
+from waypoint.llm import htmltext, neighbours
+
+
+def exact(x: dict, query: int, k: int = 5) -> list:
+    q = np.array(x[query])
+    s = {i: round(float(np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)), 12)
+         for i, v in x.items() if i != query and len(v) == len(q)}
+    return sorted(s, key=lambda i: (-s[i], i))[:k]
+
+
+def test_recall_and_scores(spark, rows):
+    sf = "/root/testdata/sf0.1"
+    x = {i: np.array(v, float) for i, v in rows("embeddings", "vec_id, embedding", sf)}
+    got = {}
+    for r in neighbours.op10_nearest(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r
+    assert got.keys() == {i for i in x if i % 50 == 0}
+    hits = 0
+    for q, found in got.items():
+        ids = [found[i + 1].vec_id for i in range(5)]
+        hits += len(set(ids) & set(exact(x, q)))
+        for r in found.values():
+            a, b = x[q], x[r.vec_id]
+            assert abs(r.score - a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) < 1e-12
+        assert [(-found[i].score, found[i].vec_id) for i in sorted(found)] == sorted((-r.score, r.vec_id) for r in found.values())
+    assert hits >= 0.9 * 5 * len(got)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(0, [1.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.0]), (100, None), (150, [0.0, 0.0, 0.0]), (200, [nan, 1.0, 0.0]),
+            (7, [inf, 1.0, 0.0]), (8, [1.0, None, 0.0]), (None, [1.0, 0.0, 0.0]), (9, [-1.0, 0.0, 0.0]),
+            (10, [0.0, 1.0, 0.0]), (11, [1.0, 0.0]), (250, []), (10, [0.0, 1.0, 0.0]), (300, [0.0, -2.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<float>, score int")
+    got = {}
+    for r in sorted(neighbours.nearest(df, neighbours.F.col("vec_id") % 50 == 0).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {0: [(50, 1.0), (10, 0.0), (9, -1.0)], 50: [(0, 1.0), (10, 0.0), (9, -1.0)], 300: [(11, 0.0)]}
+    assert neighbours.nearest(df.limit(0), neighbours.F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_many_copies(spark):
+    """A third of all rows are one vector: ties to the smaller id, own row left out."""
+    rng = np.random.default_rng(1)
+    hot = [float(v) for v in rng.normal(size=16)]
+    x = {i: hot if i % 3 == 0 else [float(np.float32(v)) for v in rng.normal(size=16)] for i in range(600)}
+    x = {i: [float(np.float32(v)) for v in r] for i, r in x.items()}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(neighbours.nearest(df, neighbours.F.col("vec_id") % 50 == 0, tables=4, probes=32).collect(),
+                    key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(got[q] == exact(x, q) for q in range(0, 600, 50))
+
+
+def test_rotation_keeps_lengths_and_differs_by_table():
+    x = np.random.default_rng(0).normal(size=(20, 48))
+    y = neighbours.rotated(x, 0) / 64 ** 1.5
+    assert np.allclose((y ** 2).sum(axis=1), (x ** 2).sum(axis=1)) and y.shape == (20, 64)
+    assert not np.allclose(neighbours.rotated(x, 1), neighbours.rotated(x, 0))
+    assert (neighbours.probes_of(np.array([[0.5, -3.0, 1.0]]), 3) == [[4, 2, 0]]).all()
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar">
+<header><h1>Site &amp; Co</h1></header><div id="top-nav"><a href="/a">A</a></div><div class="cookieNotice">Cookies!</div>
+<article><h1>Head&nbsp;line</h1><p>One <b>two</b>\n  three<p>four<br>five &lt;x&gt; &amp;am<ul><li>x<li>y</ul>
+<div class="share-buttons"><a>Share</a></div><aside>z</aside><section id="comments"><article>no</article></section>
+<form><p>mail</p></form><script>if (a < b) { "</p>" }</script><!-- <p>gone</p> --></article><footer>f"""
+
+
+def test_lines_of_an_article():
+    kept = [t for t, zone, _ in htmltext.lines(PAGE) if zone == htmltext.KEEP]
+    assert kept == ["Head line", "One two three", "four five <x> &am", "x", "y"]
+
+
+def test_longest_common_subsequence():
+    def length(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rnd, limit = random.Random(2), htmltext.TABLE_BITS
+    try:
+        for htmltext.TABLE_BITS in (limit, 6):  # whole tables, and halved ones
+            for _ in range(500):
+                a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(12))] for _ in range(2))
+                at = htmltext.shared_lines(a, b)
+                rest = iter(b)
+                assert all(a[i] in rest for i in at) and len(at) == length(a, b) and at == sorted(at)
+    finally:
+        htmltext.TABLE_BITS = limit
+
+
+def test_differencing_without_an_article(spark):
+    """Lines that pages of like URL share go; lines of their own stay, in order."""
+    page = lambda *own: "<body><div>My site</div><p>" + "</p><p>".join(own) + "</p><div>Read on. Subscribe.</div>"
+    data = [(1, "http://h.org/en/1", page("first", "both say this?", "a")), (2, "http://h.org/en/2?x=1", page("second", "b")),
+            (3, "http://h.org/fr/9", page("third")), (4, "http://other.org/en/1", page("alone")),
+            (5, None, page("no url")), (6, "http://[bad", page("bad url")), (7, "http://h.org/fr/9", page("third")),
+            (8, "http://h.org/x", None), (None, "http://h.org/y", ""), (9, "http://twin.org/1", page("same")),
+            (10, "http://twin.org/2", page("same")), (11, "http://h.org/en/2", page("copy of url"))]
+    df = spark.createDataFrame([(*r, "k") for r in data], "page_id long, url string, html string, key string")
+    got = htmltext.extract(df)
+    assert got.columns == ["page_id", "url", "key", "text"]
+    text = {r.page_id: r.text for r in got.collect()}
+    assert got.count() == len(data)
+    assert text[1] == "first\nboth say this?\na" and text[2] == "second\nb"
+    assert text[3] == text[7] == "third" and text[11] == "copy of url"
+    assert text[4] == "My site\nalone\nRead on. Subscribe." and text[9] == text[10] == "My site\nsame\nRead on. Subscribe."
+    assert text[8] == "" and text[None] == ""
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_query_equals_articles(spark, rows):
+    import html
+    import re
+    got = {r.page_id: r for r in htmltext.op1_html_text(spark, "/root/testdata/sf0.001").collect()}
+    pages = rows("pages", "page_id, url, html")
+    assert len(got) == len(pages)
+    for page_id, url, page in pages:
+        inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = [re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", b) for b in re.split(r"</?(?:p|h1)>", inside)]
+        want = "\n".join(t for t in (" ".join(html.unescape(b).split()) for b in blocks) if t)
+        assert (got[page_id].url, got[page_id].text, got[page_id].n_chars) == (url, want, len(want))

@@ -67,6 +67,20 @@ SITE_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs"
 COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
 
 
+#: Elements that close their like, and where that ends.
+ITEMS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+         "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"})}
+
+
+def _close(stack: list, names: set[str], stops: set[str]) -> None:
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i][0] in names:
+            del stack[i:]
+            return
+        if stack[i][0] in stops:
+            return
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): _html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(text)}
 
@@ -139,12 +153,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in VOID:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # closed by the next of their kind
-            if stack[-1][0] == tag or tag == "p" and any(t[0] == "p" for t in stack[-4:]):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+        if tag in BLOCK:  # closes an open paragraph, and the item before it
+            _close(stack, {"p"}, BLOCK - {"p"})
+            if tag in ITEMS:
+                _close(stack, *ITEMS[tag])
         attrs = _attributes(m[3] or m[6] or "")
         _, zone, link, main = stack[-1]
         if zone != DROP:
