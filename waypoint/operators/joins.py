@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_SHARE = 0.001
+#: Columns a hot row's salt is made of (those the fact side has): few, so that a
+#: salted join leaves column pruning to its consumers.
+SALT_COLUMNS = ("booking_code", "begin_use_date", "ccid")
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -68,6 +71,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     the join result never depends on the salt, only the balance does. The
     position is non-deterministic to the optimizer, so filters written after
     such a join are not pushed below it: filter first.
+
+    The salt reads ``SALT_COLUMNS`` and, with ``spread_copies``, the position
+    alone, never the whole row; a fact side without those columns is salted
+    by its other columns.
     """
     if how in ("left_semi", "left_anti"):
         dim = dim.select(key).distinct()
@@ -77,8 +84,9 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
             return fact.join(d, fact[key].eqNullSafe(d["__k"]), how).drop("__k")
         return fact.join(dim, key, how)
     s = _salts(fact, salts)
-    rest = [c for c in fact.columns]
-    spread = [F.col(c) for c in rest] + ([F.monotonically_increasing_id()] if spread_copies else [])
+    narrow = [c for c in SALT_COLUMNS if c in fact.columns and c != key]
+    spread = ([F.monotonically_increasing_id()] if spread_copies
+              else [F.col(c) for c in narrow or [x for x in fact.columns if x != key]])
     f = fact.withColumn("__salt", F.when(
         is_hot(F.col(key), hot), F.pmod(F.xxhash64(*spread), F.lit(s))).otherwise(F.lit(0)))
     d = (dim.withColumnRenamed(key, "__k")
