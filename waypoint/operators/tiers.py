@@ -35,7 +35,8 @@ def booking_dims(enriched: DataFrame) -> DataFrame:
         strict_min("loyalty_tier").alias("loyalty_tier"))
 
 
-def tier_compare(booking_units: DataFrame, enriched: DataFrame, p: ModelParams) -> DataFrame:
+def tier_compare(booking_units: DataFrame, enriched: DataFrame, p: ModelParams,
+                 hot_codes: tuple = ()) -> DataFrame:
     """Calculated tier (from units before the booking / last year) next to the recorded one."""
     first_two = F.when(F.month("begin_use_date") <= 2, F.lit("Y")).otherwise(F.lit("N"))
     base = pmax_na("trip_elements_start_of_booking", "trip_elements_prev_year")
@@ -44,8 +45,8 @@ def tier_compare(booking_units: DataFrame, enriched: DataFrame, p: ModelParams)
     bu = (booking_units.withColumn("trip_elements_for_tier", for_tier)
           .withColumn("calculated_tier",
                       calculated_tier_code("trip_elements_for_tier", p.tier_thresholds)))
-    dims = booking_dims(enriched).withColumnRenamed("booking_code", "__bc")
-    j = bu.join(dims, bu["booking_code"].eqNullSafe(dims["__bc"])).drop("__bc")
+    # the lookup of a shared booking code is spread by customer and date
+    j = lookup_join(bu, booking_dims(enriched), "booking_code", "inner", hot=hot_codes, null_safe=True)
     return j.select("ccid", "booking_date_pst", "begin_use_date",
                     "trip_elements_start_of_booking", "trip_elements_prev_year",
                     "trip_elements_prev_2_year", "trip_elements", "booking_code",

@@ -196,7 +196,7 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
 
 
 def booking_units(running: DataFrame, cust_units: DataFrame, wide: DataFrame,
-                  p: ModelParams, hot: tuple = ()) -> DataFrame:
+                  p: ModelParams, hot: tuple = (), hot_codes: tuple = ()) -> DataFrame:
     """The booking table of the model: one row per booking in the analysis year.
 
     Joins customer totals (inner) and the LOB table (left), fills missing unit
@@ -205,9 +205,9 @@ def booking_units(running: DataFrame, cust_units: DataFrame, wide: DataFrame,
     """
     cu = cust_units.withColumns({
         c: F.col(c).cast("double") for c in cust_units.columns if c != "ccid"})
-    w = wide.withColumnRenamed("booking_code", "__bc")
-    j = lookup_join(running, cu, "ccid", "inner", hot=hot).join(
-        w, running["booking_code"].eqNullSafe(w["__bc"]), "left").drop("__bc")
+    # rows of a booking code many customers share (a missing one, say) spread by customer
+    j = lookup_join(lookup_join(running, cu, "ccid", "inner", hot=hot), wide, "booking_code",
+                    "left", hot=hot_codes, null_safe=True)
     cap = float(p.unit_cap)
     fixed = {c: F.least(F.coalesce(F.col(c), F.lit(0.0)), F.lit(cap)) for c in UNIT_COLS}
     j = j.withColumns(fixed)

@@ -43,6 +43,8 @@ class Model:
     def answers(self) -> DataFrame:
         a = self.survey.answers
         if self.p.segmentation:
+            if self.alt_raw is None:
+                raise ValueError(f"segmentation {self.p.segmentation!r} needs the alternate segments file")
             a = S.override_segmentation(a, self.alt_raw, self.survey.cid_to_ccid,
                                         self.p.segmentation)
         return S.drop_non_members(a, self.p.segmentation)
@@ -68,12 +70,15 @@ class Model:
     def cust_dim(self) -> DataFrame:
         return self.segments.join(self.members.distinct(), "ccid", "left_semi")
 
+    @cached_property
+    def hot_codes(self) -> tuple:
+        """Booking codes holding a large share of the lines (a missing code, say)."""
+        return hot_keys(self.tx, "booking_code")
+
     @cached_property
     def enriched(self) -> DataFrame:
-        # booking codes holding a large share of the lines (a missing code, say)
-        hot_codes = hot_keys(self.tx, "booking_code")
         return materialize(L.enriched_lines(self.tx, self.segments, self.packages,
-                                            self.members, self.p, self.hot, hot_codes),
+                                            self.members, self.p, self.hot, self.hot_codes),
                            "enriched-lines")
 
     @cached_property
@@ -114,7 +119,7 @@ class Model:
     def booking_units(self) -> DataFrame:
         # the booking table feeds both outputs and the tier analytics: write it once
         return materialize(U.booking_units(self.running, self.customer_units,
-                                           self.lob_wide_year, self.p, self.hot),
+                                           self.lob_wide_year, self.p, self.hot, self.hot_codes),
                            "booking-units")
 
     @cached_property

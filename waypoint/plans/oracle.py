@@ -435,7 +435,7 @@ O["typing_table_override"] = seg_sql("SELECT * FROM typing")
 O["segment_candidates"] = seg_sql("SELECT * FROM candidates")
 O["segment_assignment"] = seg_sql("SELECT * FROM segments")
 O["unsegmented_customers"] = seg_sql(
-    f"SELECT {TX_OUT} FROM tx WHERE ccid NOT IN (SELECT ccid FROM segments)")
+    f"SELECT {TX_OUT} FROM tx WHERE ccid NOT IN (SELECT ccid FROM drawn WHERE segment IS NOT NULL)")
 
 # ---- model stages
 O["members"] = base_sql("SELECT * FROM members")
@@ -669,3 +669,10 @@ O["rf_training_set"] = survey_sql(f"""
   FROM survey_tx t JOIN answers a ON t.ccid = a.ccid
   WHERE {yr('t.begin_use_date', Y)} AND a.segments_v1 IS NOT NULL
   GROUP BY t.ccid, a.cid_external, a.segments_v1""")
+O["rf_scored_customers"] = base_sql(f"""
+  SELECT t.ccid, {", ".join(f"{fsum('gbv', f"lob = '{l}'")} AS lob_{l}" for l in P.forest_lobs)}
+  FROM tx t WHERE {yr('t.begin_use_date', Y)} AND t.ccid IN (
+    SELECT ccid FROM ccids
+    ORDER BY ('0x' || substr(md5('{P.seed}:' || CAST(ccid AS VARCHAR)), 1, 13))::BIGINT, ccid
+    LIMIT {P.sample_size})
+  GROUP BY t.ccid""")

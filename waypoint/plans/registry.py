@@ -47,12 +47,10 @@ def as_output(df: DataFrame) -> DataFrame:
 
 def model(spark: SparkSession, sf_dir: str) -> Model:
     ctx = context.load(spark, sf_dir)
-    key = (id(ctx),)
-    m = _MODELS.get(key)
-    if m is None:
-        m = Model(ctx.data, ctx.survey, ctx.alt_raw, ctx.params)
-        _MODELS[key] = m
-    return m
+    held = _MODELS.get(id(ctx))
+    if held is None or held[0] is not ctx:  # the context is held, so its id is not used again
+        held = _MODELS[id(ctx)] = (ctx, Model(ctx.data, ctx.survey, ctx.alt_raw, ctx.params))
+    return held[1]
 
 
 @query("bookings_for_simulator")
@@ -219,9 +217,9 @@ def q_segment_assignment(spark, sf):
 
 @query("unsegmented_customers")
 def q_unsegmented_customers(spark, sf):
-    """Lines of customers without a segment (empty)."""
+    """Lines of customers without a drawn segment (before the default level fills them)."""
     m = model(spark, sf)
-    return as_output(S.unsegmented(m.data.tx, m.segments, m.hot).drop("use_year"))
+    return as_output(S.unplaced_lines(m.data.tx, m.typing, m.p, m.hot).drop("use_year"))
 
 
 # ---------------------------------------------------------------- model stages
@@ -294,7 +292,7 @@ def q_sink_roundtrip(spark, sf):
     out = m.bookings_out
     base = scratch_path(spark, "model-output")
     path = CSV.write_output(out, base, "run", "bookings",
-                            order=["unit_type", "segment", *O.VIEW_COLS])
+                            order=O.output_order())
     return CSV.read_output(spark, path, out)
 
 
@@ -351,7 +349,7 @@ def q_recorded_tier_distribution(spark, sf):
 
 
 def _compare(m):
-    return T.tier_compare(m.booking_units, m.enriched, m.p)
+    return T.tier_compare(m.booking_units, m.enriched, m.p, m.hot_codes)
 
 
 @query("tier_compare")
@@ -493,14 +491,24 @@ def q_rf_training_set(spark, sf):
     return RF.training_set(c.survey.tx, c.survey.answers, c.params)
 
 
+def _scored_lines(c):
+    ids = SM.sample_ids(c.data.ccids, c.params.sample_size, c.params.seed)
+    return c.data.tx.join(F.broadcast(ids), "ccid")  # at most sample_size ids
+
+
+@query("rf_scored_customers")
+def q_rf_scored_customers(spark, sf):
+    """M1, M3: the sampled customers that the forest scores, with their features."""
+    c = ctx(spark, sf)
+    return RF.lob_spend_wide(_scored_lines(c), c.params)
+
+
 @query("rf_predicted_counts")
 def q_rf_predicted_counts(spark, sf):
     """Forest predictions on a customer sample, counted."""
     c = ctx(spark, sf)
     fitted = RF.fit_forest(RF.training_set(c.survey.tx, c.survey.answers, c.params), c.params)
-    ids = SM.sample_ids(c.data.ccids, c.params.sample_size, c.params.seed)
-    lines = c.data.tx.join(F.broadcast(ids), "ccid")
-    return RF.predicted_counts(fitted, RF.lob_spend_wide(lines, c.params))
+    return RF.predicted_counts(fitted, RF.lob_spend_wide(_scored_lines(c), c.params))
 
 
 @query("survey_unit_transitions")
