@@ -24,12 +24,10 @@ __all__ = [
     "null_tokens",
     "text_year",
     "year_filter",
-    "year_bounds",
     "hash52",
     "round_half_even",
     "pmax_na",
     "spend_cut",
-    "to_double",
     "share_of_total",
 ]
 
@@ -93,10 +91,6 @@ def text_year(x) -> Column:
     return F.year(F.try_to_date(_c(x)))
 
 
-def year_bounds(year: int) -> tuple[_dt.date, _dt.date]:
-    return _dt.date(year, 1, 1), _dt.date(year + 1, 1, 1)
-
-
 def hash52(seed: int, x) -> Column:
     """Deterministic 52-bit integer from md5(seed ':' x) (same in DuckDB)."""
     s = F.concat(F.lit(f"{seed}:"), _c(x).cast("string"))
@@ -133,10 +127,6 @@ def spend_cut(x, step: int, cap: int) -> Column:
              .cast("double"))
 
 
-def to_double(x) -> Column:
-    return _c(x).cast("double")
-
-
 def share_of_total(df: DataFrame, n: str = "n") -> Column:
     """``n / sum(n)`` over the whole table as a scalar subquery.
 

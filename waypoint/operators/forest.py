@@ -33,11 +33,17 @@ def training_set(survey_tx: DataFrame, answers: DataFrame, p: ModelParams) -> Da
 
 
 def fit_forest(train: DataFrame, p: ModelParams):
-    """Fit label index + assembler + forest; returns (model, labels)."""
+    """Fit label index + assembler + forest; returns (model, labels).
+
+    Spark ML tests up to 32 split points per feature and stops at depth 30;
+    otherwise trees grow until their leaves are pure or hold one row.
+    """
     feats = [f"lob_{l}" for l in p.forest_lobs]
     idx = StringIndexer(inputCol="segments_v1", outputCol="label").fit(train)
     rf = RandomForestClassifier(numTrees=p.forest_trees, seed=p.seed, labelCol="label",
-                                featuresCol="features")
+                                featuresCol="features", maxDepth=p.forest_depth,
+                                minInstancesPerNode=p.forest_min_node,
+                                featureSubsetStrategy=str(p.forest_features_per_split))
     model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
                              rf]).fit(idx.transform(train))
     return model, list(idx.labels)

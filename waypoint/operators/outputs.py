@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -14,6 +14,15 @@ VIEW_COLS = ("units_earned_prev_year", "units_earned_current_year",
 UNIT_TYPES = ("trip_elements", "bookings")
 
 
+def output_order(levels: tuple[str, ...] = ()) -> list[Column]:
+    """Row order of the output files: trip elements before bookings, segments in the
+    order of ``levels`` (then by name), then the unit counts."""
+    rank = lambda c, names: F.coalesce(
+        F.array_position(F.array(*[F.lit(x) for x in names]).cast("array<string>"), F.col(c)), F.lit(0))
+    last = F.when(rank("segment", levels) == 0, len(levels) + 1).otherwise(rank("segment", levels))
+    return [rank("unit_type", UNIT_TYPES), last, F.col("segment"), *[F.col(c) for c in VIEW_COLS]]
+
+
 def _views():
     return F.array(*[
         F.struct(F.col(f"{t}_prev_year").alias(VIEW_COLS[0]),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import filled_sum, strict_sum
 from waypoint.operators.lines import year_slice
+from waypoint.params import ModelParams
 from waypoint.sources.fixtures import FLAG_SUM_COLUMNS, NATURAL_KEY
 
 # The per-LOB metrics of the respondent table (output name, source column).
@@ -19,8 +20,10 @@ LOB_METRICS = (
 )
 
 
-def lob_levels(tx: DataFrame, limit: int = 1000) -> list[str | None]:
-    """The LOB domain present in the data (bounded, like a pivot's value scan)."""
+def lob_levels(tx: DataFrame, limit: int = ModelParams.max_lobs) -> list[str | None]:
+    """The LOB domain present in the data (bounded, like a pivot's value scan).
+
+    ``limit`` (the ``max_lobs`` parameter) only stops a run whose table would be too wide."""
     rows = tx.select("lob").distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} lines of business; cannot pivot them wide")

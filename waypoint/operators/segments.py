@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waypoint.functions.kernel import filled_sum, hash52, spend_cut, year_filter
+from waypoint.functions.kernel import filled_sum, hash52, null_safe_join, spend_cut, year_filter
 from waypoint.params import ModelParams
 
 # The misspelt survey level and its correction; the level
@@ -82,15 +83,11 @@ def segment_candidates(tx: DataFrame, typing: DataFrame, p: ModelParams) -> Data
 
 def check_levels(answers: DataFrame, default_segment: str) -> None:
     known = answers.where(F.col("ccid").isNotNull()).select("segments_v1")
-    bound = 10_000
-    rows = (recode_segments(known).where(F.col("segments_v1").isNotNull()).distinct()
-            .limit(bound + 1).collect())
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} segment levels; is the segment column right?")
-    levels = {r[0] for r in rows}
-    if default_segment not in levels:
+    levels = recode_segments(known)
+    if levels.where(F.col("segments_v1") == default_segment).isEmpty():
+        some = sorted(r[0] for r in levels.where(F.col("segments_v1").isNotNull()).distinct().limit(20).collect())
         raise ValueError(f"value for missing segments ({default_segment}) not in levels "
-                         f"({', '.join(sorted(levels))})")
+                         f"({', '.join(some)}{', ...' if len(some) == 20 else ''})")
 
 
 def draw_segments(candidates: DataFrame, seed: int) -> DataFrame:
@@ -110,6 +107,12 @@ def draw_segments(candidates: DataFrame, seed: int) -> DataFrame:
                            F.max(F.col("segment_nm").isNull()).alias("uncovered")))
 
 
+def unplaced_lines(tx: DataFrame, typing: DataFrame, p: ModelParams, hot: tuple = ()) -> DataFrame:
+    """Lines of customers that the typing table places in no segment, before the default fill."""
+    drawn = draw_segments(segment_candidates(tx, typing, p), p.seed).where(F.col("segment").isNotNull())
+    return unsegmented(tx, drawn, hot)
+
+
 def get_segments(tx: DataFrame, typing: DataFrame, answers: DataFrame,
                  p: ModelParams) -> DataFrame:
     """Segment of every customer with lines; default level for those without spend.
@@ -135,10 +138,14 @@ def unsegmented(tx: DataFrame, segments: DataFrame, hot: tuple = ()) -> DataFram
 
 
 def clean_name(name: str) -> str:
-    """snake_case: lower case, non-alphanumerics to one underscore, trimmed."""
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
+    """snake_case: words and acronyms apart, ``%`` and ``#`` spelt out, quotes dropped, accents
+    stripped, other characters to one underscore, and ``x`` before a leading digit."""
+    s = unicodedata.normalize("NFKD", name.strip()).encode("ascii", "ignore").decode()
+    s = re.sub(r"['\"]", "", s).replace("%", "_percent_").replace("#", "_number_")
+    s = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", s)
+    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
     s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower()
-    return s or "x"
+    return f"x{s}" if not s or s[0].isdigit() else s
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -168,7 +175,7 @@ def override_segmentation(answers: DataFrame, alt_raw: DataFrame, cid_to_ccid: D
                           name: str) -> DataFrame:
     """Replace ``segments_v1`` of survey answers by a column of an alternate file."""
     alt = clean_names(alt_raw).withColumnRenamed("cid_external_cid", "cid")
-    alt = alt.join(cid_to_ccid, "cid")
+    alt = null_safe_join(alt, cid_to_ccid, "cid")
     excluded = {"cid", "ccid", ALT_KEY_COLUMN}
     available = [c for c in alt.columns if c not in excluded]
     if name not in available:

@@ -39,13 +39,22 @@ class ModelParams:
     testing: bool = False
     default_segment: str = DEFAULT_SEGMENT
     segmentation: str | None = None
+    # the segments in level order, for the order of output rows (by name, if not given)
+    segment_levels: tuple[str, ...] = ()
     tier_thresholds: tuple[int, int, int] = TIER_THRESHOLDS
     seed: int = 7
     # uncovered spend cells: "error" (as the reference) or "default"
     on_uncovered: str = "error"
     num_buckets: int = 3
     band_max: int = 20
+    # forest: trees grow until pure, as deep as Spark ML allows, and try floor(sqrt(5)) = 2
+    # of the 5 features at a split
     forest_trees: int = 200
+    forest_depth: int = 30
+    forest_min_node: int = 1
+    forest_features_per_split: int = 2
+    # lines of business that the wide respondent table may have
+    max_lobs: int = 1000
 
     def with_(self, **kw) -> "ModelParams":
         return replace(self, **kw)

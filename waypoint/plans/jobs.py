@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from waypoint.operators.identity import Dataset, post_process_tx, process_ccids
-from waypoint.operators.outputs import VIEW_COLS
+from waypoint.operators.joins import DEFAULT_SHARE
+from waypoint.operators.outputs import output_order
 from waypoint.operators.respondents import survey_features
 from waypoint.params import ModelParams
 from waypoint.plans.model import Model
@@ -61,7 +62,9 @@ def ingest_job(spark: SparkSession, cust_csv: str, tx_folder: str, cache_folder:
 
 def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
     t = cache.read_tables(spark, cache_folder)
-    hot = tuple(r[0] for r in t["hot"].limit(100_000).collect()) if "hot" in t else ()
+    hot = tuple(r[0] for r in t["hot"].collect()) if "hot" in t else ()
+    if len(hot) > 2 / DEFAULT_SHARE:  # each listed key exceeds the share in one of two tables
+        raise AssertionError(f"{len(hot)} hot keys stored; the list is not the ingest's")
     return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"], hot_ccids=hot)
 
 
@@ -73,17 +76,17 @@ def read_survey(spark: SparkSession, s: SurveyInputs) -> SurveyDataset:
 def model_job(spark: SparkSession, cache_folder: str, survey: SurveyInputs,
               p: ModelParams, out_dir: str, rid: str | None = None) -> dict[str, str]:
     rid = rid or run_id(p.segmentation)
-    order = ["unit_type", "segment", *VIEW_COLS]
     with run_scratch(spark, "model-run"):
         data = read_cache(spark, cache_folder)
         sv = read_survey(spark, survey)
         alt = csv.read_all_text(spark, survey.alt_csv) if survey.alt_csv else None
         m = Model(data, sv, alt, p)
+        order = output_order(p.segment_levels)
         return {
             "bookings": csv.write_output(whole_numbers(m.bookings_out), out_dir, rid,
                                          "bookings", order),
             "members": csv.write_output(whole_numbers(m.members_out), out_dir, rid,
-                                        "members", order[:4]),
+                                        "members", order[:5]),
         }
 
 
@@ -92,4 +95,4 @@ def respondent_job(spark: SparkSession, survey: SurveyInputs, year: int, out_dir
     with run_scratch(spark, "respondent-run"):
         sv = read_survey(spark, survey)
         table = survey_features(sv.cid_to_ccid, sv.ccids, sv.tx, year)
-        return csv.write_output(table, out_dir, rid or run_id(None), "join-data")
+        return csv.write_output(table, out_dir, rid or run_id(None), "join-data", spaces=False)

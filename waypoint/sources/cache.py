@@ -29,11 +29,15 @@ def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     if not names:
         raise FileNotFoundError(
             f"cache {folder} is empty; build it with write_tables(process_ccids(...))")
+    broken = [n for n in names if not files.exists(spark, f"{folder}/{n}/_SUCCESS")]
+    if broken:
+        raise FileNotFoundError(f"cache {folder}: {', '.join(broken)} not written to the end; build it again")
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Return the Parquet at ``path`` if present, else build, store and re-read it."""
-    if not files.exists(spark, path):
-        build().write.mode("errorifexists").parquet(path)
+    if not files.exists(spark, f"{path}/_SUCCESS"):
+        # a folder without the marker is a build that did not end: written anew
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

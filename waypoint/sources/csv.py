@@ -128,9 +128,15 @@ def read_tx_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_survey_map(spark: SparkSession, path: str) -> DataFrame:
-    """Survey id map (S6): two text columns; only ``null`` is a null token."""
-    df = read_text_csv(spark, path, null_value="null")
-    return df.select(F.col("parallax_hashed_email_address"), F.col("cid"))
+    """Survey id map (S6): two text columns; only ``null`` is a null token.
+
+    The reader gives blank cells as null whatever its null token, so the token
+    is set to one that does not occur, and both are mapped afterwards: blank
+    cells are empty strings (which match nothing), ``null`` is null.
+    """
+    df = read_text_csv(spark, path, null_value="\x01")
+    return df.select(*[F.when(F.coalesce(F.col(c), F.lit("")) != "null", F.coalesce(F.col(c), F.lit("")))
+                       .alias(c) for c in ("parallax_hashed_email_address", "cid")])
 
 
 def read_all_text(spark: SparkSession, path: str, tokens=("", "NA")) -> DataFrame:
@@ -150,12 +156,16 @@ def output_names(df: DataFrame) -> DataFrame:
 
 
 def write_output(df: DataFrame, out_dir: str, run_id: str, name: str,
-                 order: list[str] | None = None) -> str:
-    """CSV with header into ``out_dir/run_id/name`` (a folder of parts); nulls as NA."""
+                 order: list | None = None, spaces: bool = True) -> str:
+    """CSV with header into ``out_dir/run_id/name`` (a folder of parts); nulls as NA.
+
+    ``spaces``: underscores in the header become spaces (the two simulator
+    files; the respondent table keeps its names).
+    """
     path = f"{out_dir.rstrip('/')}/{run_id}/{name}"
     if order:
         df = df.orderBy(*order)
-    write_csv(output_names(df), path)
+    write_csv(output_names(df) if spaces else df, path)
     return path
 
 

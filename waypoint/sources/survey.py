@@ -49,7 +49,7 @@ def survey_answers(responses: DataFrame, ids: DataFrame) -> DataFrame:
     """Cleaned responses with ``ccid`` (null for respondents without a match, J3)."""
     a = clean_names(responses)
     m = ids.withColumnRenamed("cid", "__cid")
-    return a.join(m, a["cid_external"] == m["__cid"], "left").drop("__cid")
+    return a.join(m, a["cid_external"].eqNullSafe(m["__cid"]), "left").drop("__cid")
 
 
 def survey_dataset(data: Dataset, survey_map: DataFrame, responses: DataFrame,
