@@ -23,8 +23,10 @@ def test_jobs_end_to_end(spark):
     csv.write_csv(fx.survey_map_extract(spark, SF_SMALL), f"{root}/map.csv", null_value="null")
     csv.write_csv(fx.alt_segments_extract(spark, SF_SMALL), f"{root}/alt.csv")
     jobs.ingest_job(spark, f"{root}/cust.csv", f"{root}/raw", f"{root}/cache")
+    csv.write_csv(fx.customer_extract(spark, SF_SMALL, survey=True), f"{root}/survey_cust.csv", null_value="")
+    csv.write_csv(fx.tx_extract(spark, SF_SMALL, survey=True), f"{root}/survey_raw/s_tx1of1.csv", null_value="")
     survey = jobs.SurveyInputs(
-        cust_csv=f"{root}/cust.csv", tx_folder=f"{root}/raw", map_csv=f"{root}/map.csv",
+        cust_csv=f"{root}/survey_cust.csv", tx_folder=f"{root}/survey_raw", map_csv=f"{root}/map.csv",
         responses=label_columns(fx.survey_responses_extract(spark, SF_SMALL), QUESTION_LABELS),
         alt_csv=f"{root}/alt.csv")
     p = fixture_params()

@@ -64,7 +64,7 @@ def fixture_params() -> ModelParams:
     """Parameters for the driver's synthetic tables (see FIXTURES.md 2.4)."""
     return ModelParams(
         analysis_year=1998,
-        unit_cap=15,
+        unit_cap=31,
         spend_step=40000,
         spend_cap=80000,
         brand="BR1",

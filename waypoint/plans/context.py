@@ -60,7 +60,10 @@ def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) ->
     cust_x = fx.customer_extract(spark, sf_dir)
     data = ingest(spark, process_ccids(cust_x, post_process_tx(tx_x)))
     responses = label_columns(fx.survey_responses_extract(spark, sf_dir), QUESTION_LABELS)
-    survey = survey_dataset(data, fx.survey_map_extract(spark, sf_dir), responses,
+    # the survey's own extracts, numbered apart from the main ones and stored once
+    own = ingest(spark, process_ccids(fx.customer_extract(spark, sf_dir, survey=True),
+                                      post_process_tx(fx.tx_extract(spark, sf_dir, survey=True))))
+    survey = survey_dataset(own, fx.survey_map_extract(spark, sf_dir), responses,
                             codebook(spark, responses))
     ctx = Context(spark, sf_dir, params, tx_x, cust_x, data, survey,
                   fx.alt_segments_extract(spark, sf_dir))

@@ -19,6 +19,7 @@ from waypoint.operators.joins import DEFAULT_SHARE
 from waypoint.operators.outputs import output_order
 from waypoint.operators.respondents import survey_features
 from waypoint.params import ModelParams
+from waypoint.plans.context import ingest
 from waypoint.plans.model import Model
 from waypoint.session import run_scratch
 from waypoint.sources import cache, csv
@@ -69,7 +70,8 @@ def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
 
 
 def read_survey(spark: SparkSession, s: SurveyInputs) -> SurveyDataset:
-    own = read_extracts(spark, s.cust_csv, s.tx_folder)
+    # parsed once: every consumer reads the stored lines, by use year
+    own = ingest(spark, read_extracts(spark, s.cust_csv, s.tx_folder))
     return survey_dataset(own, csv.read_survey_map(spark, s.map_csv), s.responses)
 
 

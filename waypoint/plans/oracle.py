@@ -35,8 +35,10 @@ for _i, _n in enumerate(FLAG_COLUMNS, start=1):
     _flags.append(f"CAST({_v} AS DOUBLE) AS {_n}")
 FLAGS_SQL = ",\n    ".join(_flags)
 
-BASE = f"""
-tx_x AS (
+def base_ctes(pre: str = "", where_o: str = "", where_c: str = "") -> str:
+    """The extracts with ids; ``pre`` and the conditions make the survey's own."""
+    return f"""
+{pre}tx_x AS (
   SELECT
     {_hk('o.o_custkey')} AS parallax_hashed_email_address,
     l.l_orderkey AS boooking_code,
@@ -56,9 +58,9 @@ tx_x AS (
     CAST(1 + l.l_partkey % 4 AS DOUBLE) AS totl_person_count,
     {FLAGS_SQL}
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN part p ON l.l_partkey = p.p_partkey {where_o}
 ),
-cust_x AS (
+{pre}cust_x AS (
   SELECT {_hk('c_custkey')} AS parallax_hashed_email_address,
     CASE WHEN c_custkey % 7 = 0 THEN 'null'
          ELSE CAST(make_date(CAST(1995 + c_custkey % 7 AS INT), CAST(1 + c_custkey % 12 AS INT),
@@ -66,46 +68,49 @@ cust_x AS (
       AS first_ever_bex_ok_join_date,
     c_mktsegment AS tier_today,
     CAST(c_acctbal AS DOUBLE) AS loyalty_amount_net_earned_usd_lifetime_bex_and_ok
-  FROM customer
+  FROM customer {where_c}
 ),
-keys AS (
-  SELECT parallax_hashed_email_address AS k FROM cust_x
-  UNION SELECT parallax_hashed_email_address FROM tx_x
+{pre}keys AS (
+  SELECT parallax_hashed_email_address AS k FROM {pre}cust_x
+  UNION SELECT parallax_hashed_email_address FROM {pre}tx_x
 ),
-ccids AS (
+{pre}ccids AS (
   SELECT k AS parallax_hashed_email_address,
          CAST(row_number() OVER (ORDER BY k NULLS FIRST) AS BIGINT) AS ccid
-  FROM keys
+  FROM {pre}keys
 ),
-tx AS (
+{pre}tx AS (
   SELECT c.ccid, t.boooking_code AS booking_code, t.eg_brand_code,
          lower(t.line_of_business) AS lob, t.unit_count,
          t.gross_booking_amount_usd AS gbv,
          t.* EXCLUDE (parallax_hashed_email_address, boooking_code, eg_brand_code,
                       line_of_business, unit_count, gross_booking_amount_usd)
-  FROM tx_x t JOIN ccids c
+  FROM {pre}tx_x t JOIN {pre}ccids c
     ON t.parallax_hashed_email_address IS NOT DISTINCT FROM c.parallax_hashed_email_address
 ),
-cust AS (
+{pre}cust AS (
   SELECT c.ccid, x.* EXCLUDE (parallax_hashed_email_address)
-  FROM cust_x x JOIN ccids c
+  FROM {pre}cust_x x JOIN {pre}ccids c
     ON x.parallax_hashed_email_address IS NOT DISTINCT FROM c.parallax_hashed_email_address
 ),
-members AS (
+{pre}members AS (
   SELECT ccid FROM (
     SELECT ccid, CASE WHEN first_ever_bex_ok_join_date = 'null' THEN NULL
-                      ELSE first_ever_bex_ok_join_date END AS join_date FROM cust)
+                      ELSE first_ever_bex_ok_join_date END AS join_date FROM {pre}cust)
   WHERE join_date IS NOT NULL AND year(TRY_CAST(join_date AS DATE)) <= {Y}
 )"""
 
-SURVEY = f"""
+
+BASE = base_ctes()
+SAMPLE = "WHERE {0} % 2 = 0 OR {0} % 5 = 0"
+SURVEY = base_ctes("s_", SAMPLE.format("o.o_custkey"), SAMPLE.format("c_custkey")) + f""",
 survey_map AS (
   SELECT {_hk('c_custkey')} AS parallax_hashed_email_address,
          concat('S', CAST(c_custkey AS VARCHAR)) AS cid
   FROM customer WHERE c_custkey % 2 = 0
 ),
 cid_to_ccid AS (
-  SELECT c.ccid, m.cid FROM ccids c JOIN survey_map m
+  SELECT c.ccid, m.cid FROM s_ccids c JOIN survey_map m
     ON c.parallax_hashed_email_address IS NOT DISTINCT FROM m.parallax_hashed_email_address
 ),
 responses AS (
@@ -121,7 +126,7 @@ answers AS (
   SELECT r.cid_external, r.segments_v1, r.q1_trips, i.ccid
   FROM responses r LEFT JOIN cid_to_ccid i ON r.cid_external = i.cid
 ),
-survey_tx AS (SELECT * FROM tx WHERE ccid IN (SELECT ccid FROM cid_to_ccid)),
+survey_tx AS (SELECT * FROM s_tx),
 alt_raw AS (
   SELECT cid_external AS cid,
     CASE WHEN c_acctbal < 0 THEN 'Non-Member' WHEN c_acctbal < 2500 THEN 'Blue'
@@ -519,7 +524,7 @@ O["survey_features"] = survey_sql(f"""
   SELECT i.cid, c.parallax_hashed_email_address,
     {", ".join(f"coalesce(w.{n}, 0) AS {n}" for n in LOB_WIDE_NAMES)},
     {", ".join(f"coalesce(f.{n}, 0) AS {n}" for n in FLAG_NAMES)}
-  FROM cid_to_ccid i JOIN ccids c ON i.ccid = c.ccid
+  FROM cid_to_ccid i JOIN s_ccids c ON i.ccid = c.ccid
   LEFT JOIN lw w ON i.ccid = w.ccid LEFT JOIN fs f ON i.ccid = f.ccid""", RESP)
 
 # ---- tiers
@@ -605,7 +610,7 @@ O["calculated_tier_counts"] = tier_sql("SELECT tier, count(*) AS n FROM named GR
 # ---- transitions
 TRANS_T = """
 ttx AS (
-  SELECT * FROM {src} WHERE ccid IN (SELECT ccid FROM members) AND lob IS NOT NULL
+  SELECT * FROM {src} WHERE ccid IN (SELECT ccid FROM {members}) AND lob IS NOT NULL
     AND eg_brand_code = '{BRAND}' AND lob IN ('air','lodging') AND unit_count > 0
 ),
 tcy AS (
@@ -625,11 +630,11 @@ cohort AS (
 )"""
 
 
-TRANS = TRANS_T.format(src="tx", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
+TRANS = TRANS_T.format(src="tx", members="members", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
 
 
 def trans_sql(select: str, src: str = "tx") -> str:
-    t = TRANS_T.format(src=src, BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
+    t = TRANS_T.format(src=src, members="members" if src == "tx" else "s_members", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
     if src == "tx":
         return with_(BASE, t) + "\n" + select
     return with_(BASE, SURVEY, t) + "\n" + select

@@ -158,7 +158,7 @@ def q_survey_id_map(spark, sf):
     c = ctx(spark, sf)
     path = scratch_path(spark, "survey-map")
     CSV.write_csv(FX.survey_map_extract(spark, sf), path, null_value="null")
-    return cid_to_ccid(c.data.ccids, CSV.read_survey_map(spark, path))
+    return cid_to_ccid(c.survey.ccids, CSV.read_survey_map(spark, path))
 
 
 @query("survey_dataset")
@@ -336,7 +336,7 @@ def q_flag_sums(spark, sf):
 def q_survey_features(spark, sf):
     """The respondent feature table."""
     c = ctx(spark, sf)
-    return as_output(RS.survey_features(c.survey.cid_to_ccid, c.data.ccids, c.survey.tx,
+    return as_output(RS.survey_features(c.survey.cid_to_ccid, c.survey.ccids, c.survey.tx,
                                         c.params.analysis_year))
 
 
@@ -515,8 +515,8 @@ def q_rf_predicted_counts(spark, sf):
 def q_survey_unit_transitions(spark, sf):
     """The transition table on the survey sample instead of the full extract."""
     c = ctx(spark, sf)
-    m = model(spark, sf)
-    uc = TR.units_compare(c.survey.tx, m.members, c.params, m.hot)
+    members = L.members(c.survey.cust, c.params)
+    uc = TR.units_compare(c.survey.tx, members, c.params, c.survey.hot_ccids)
     return TR.unit_transitions(uc, c.params)
 
 

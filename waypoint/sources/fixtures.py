@@ -57,11 +57,19 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
     return out if default is None else out.otherwise(F.lit(default))
 
 
-def tx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transaction lines with the extract's raw column names."""
+def in_survey_sample(custkey: Column) -> Column:
+    """Customers of the survey's own extracts: every second (the id map's), and every fifth,
+    so that the sample also holds customers without a respondent."""
+    return (custkey % 2 == 0) | (custkey % 5 == 0)
+
+
+def tx_extract(spark: SparkSession, sf_dir: str, survey: bool = False) -> DataFrame:
+    """Transaction lines with the extract's raw column names (``survey``: the survey's own)."""
     li = balance(table(spark, sf_dir, "lineitem"))
     od = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    if survey:
+        od = od.where(in_survey_sample(F.col("o_custkey")))
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
     pk, sk = F.col("l_partkey"), F.col("l_suppkey")
@@ -93,9 +101,11 @@ def tx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(*[c.alias(n) for n, c in cols.items()])
 
 
-def customer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_extract(spark: SparkSession, sf_dir: str, survey: bool = False) -> DataFrame:
     """Customer extract: natural key, join date held as text (with a 'null' token)."""
     c = table(spark, sf_dir, "customer")
+    if survey:
+        c = c.where(in_survey_sample(F.col("c_custkey")))
     k = F.col("c_custkey")
     jd = F.make_date((1995 + k % 7).cast("int"), (1 + k % 12).cast("int"),
                      (1 + k % 28).cast("int")).cast("string")

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import null_safe_join
 from waypoint.operators.identity import Dataset
-from waypoint.operators.joins import lookup_join
 from waypoint.operators.segments import clean_names
 from waypoint.sources.fixtures import NATURAL_KEY
 
 
 @dataclass(frozen=True)
 class SurveyDataset:
-    tx: DataFrame           # lines of surveyed customers (ccid-keyed)
-    ccids: DataFrame        # natural key -> ccid
+    tx: DataFrame           # the survey sample's lines (ccid-keyed), whole
+    cust: DataFrame         # the survey sample's customers
+    ccids: DataFrame        # natural key -> ccid, numbered for the survey alone
     cid_to_ccid: DataFrame  # (ccid, cid)
     answers: DataFrame      # cleaned response columns + ccid
     questions: DataFrame | None = None  # (qid, full_question)
+    hot_ccids: tuple = ()   # customers holding a large share of the lines
 
 
 def label_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -54,10 +55,9 @@ def survey_answers(responses: DataFrame, ids: DataFrame) -> DataFrame:
 
 def survey_dataset(data: Dataset, survey_map: DataFrame, responses: DataFrame,
                    questions: DataFrame | None = None) -> SurveyDataset:
+    """The survey side from its own extracts: all of their customers and lines stay,
+    with or without a respondent."""
     ids = cid_to_ccid(data.ccids, survey_map)
-    answers = survey_answers(responses, ids)
-    # no position in the salt here: later year filters must still reach the scan
-    # (a non-deterministic column would stop them below this join)
-    tx = lookup_join(data.tx, ids.select("ccid"), "ccid", "left_semi", hot=data.hot_ccids)
-    return SurveyDataset(tx=tx, ccids=data.ccids, cid_to_ccid=ids, answers=answers,
-                         questions=questions)
+    return SurveyDataset(tx=data.tx, cust=data.cust, ccids=data.ccids, cid_to_ccid=ids,
+                         answers=survey_answers(responses, ids), questions=questions,
+                         hot_ccids=data.hot_ccids)
