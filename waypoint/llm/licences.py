@@ -21,7 +21,9 @@ rows; extra columns pass through; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import log
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,7 +139,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = LICENCES, base: tupl
     passed = others(docs, text, "n_words", "base_places", "base_labels", "labels", "score")
     worded = docs.select(*passed, words_of(text_or_empty(text)).alias("__w"))
     df = document_frequencies(worded.select("__w"), "__w", vocabulary)
-    total = max(1, max(df.values(), default=0))
+    total = worded.count()
     idf = {w: log(1 + total / (1 + df.get(w, 0))) for w in vocabulary}
 
     # base phrases need one sure word; a template's rare words are those of its key phrase,
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = LICENCES, base: tupl
         return F.filter(_starts(t, looked[t], "__p"), lambda s: _there("__w", s, t.key, t.at))
 
     def coverage(t: Template) -> Column:
-        whole = sum(idf[w] for w in t.words)
+        whole = reduce(add, [idf[w] for w in t.words])  # left to right, as the columns are added
         covered = lambda s: sum(
             (F.when((s + i >= 0) & (F.get(F.col("__w"), s + i) == w), idf[w]).otherwise(0.0)
              for i, w in enumerate(t.words)), F.lit(0.0)) / F.lit(whole)
@@ -185,3 +187,45 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max("base_places").cast("long").alias("last_word"),
         F.concat_ws(",", "base_labels").alias("base_labels"),
         F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+def _sql() -> str:
+    """The same by looking at every position of every file."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    every = (*BASE, *LICENCES)
+    vocabulary = sorted({w for t in every for w in t.words})
+    at = lambda t: (f"list_filter(range(len(w)::BIGINT), lambda i: w[i + 1:i + {len(t.key)}] = {quoted(t.key)})")
+    idf = lambda w: f"m['{w}']"
+
+    def coverage(t: Template, places: str) -> str:
+        whole = " + ".join(["0", *map(idf, t.words)])
+        found = " + ".join(["0.0::DOUBLE", *(
+            f"CASE WHEN s - {t.at} + {i} >= 0 AND w[s - {t.at} + {i} + 1] = '{x}' THEN {idf(x)} ELSE 0 END"
+            for i, x in enumerate(t.words))])
+        return f"coalesce(list_max(list_transform({places}, lambda s: ({found}) / ({whole}))), 0.0)"
+
+    labels = lambda items: ("array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(
+        f"CASE WHEN len({p}) > 0 THEN '{t.label}' END" for t, p in items) + "], lambda x: x IS NOT NULL))), ',')")
+    base = [(t, f"b{i}") for i, t in enumerate(BASE)]
+    own = [(t, f"t{i}") for i, t in enumerate(LICENCES)]
+    return f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+df AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) GROUP BY word),
+idf AS (
+  SELECT v.word, ln(1 + (SELECT count(*) FROM d) / (1 + coalesce(df.n, 0))::DOUBLE) AS idf
+  FROM (SELECT unnest({quoted(vocabulary)}) AS word) v LEFT JOIN df ON df.word = v.word),
+p AS (SELECT doc_id, w, {", ".join(f"{at(t)} AS {c}" for t, c in base + own)} FROM d),
+q AS (SELECT *, list_concat(list_concat(b0, b1), b2) AS places
+  FROM p, (SELECT map_from_entries(list(struct_pack(k := word, v := idf))) AS m FROM idf))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base,
+  list_min(places) AS first_word, list_max(places) AS last_word,
+  {labels(base)} AS base_labels, {labels(base + own)} AS labels,
+  greatest(CASE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0 END,
+    {", ".join(coverage(t, c) for t, c in own)}) AS score
+FROM q"""
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP6_SQL = _sql()

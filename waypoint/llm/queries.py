@@ -6,7 +6,7 @@ from waypoint.llm.chat import OP9_SQL, op9_chat
 from waypoint.llm.classlm import op7_class_lm
 from waypoint.llm.fingerprints import op3_fingerprints
 from waypoint.llm.htmltext import op1_html_text
-from waypoint.llm.licences import op6_licences
+from waypoint.llm.licences import OP6_SQL, op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.neighbours import op10_nearest
 from waypoint.llm.packing import op2_packing
@@ -26,4 +26,4 @@ QUERIES = {f.__name__: f for f in (
     op10_nearest,
 )}
 
-ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}
+ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_licences": OP6_SQL, "op9_chat": OP9_SQL}
