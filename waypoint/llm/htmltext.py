@@ -63,7 +63,8 @@ SITE_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs"
               "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup",
               "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share",
               "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "respond", "replies",
-              "pagination", "pager", "toolbar", "skip", "alert"}
+              "pagination", "pager", "toolbar", "skip", "alert", "toast", "copyright", "disclaimer", "announcement",
+              "popular", "trending", "recommendations", "promotion", "advertising", "teaser"}
 COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
 
 
@@ -98,7 +99,7 @@ def _zone(tag: str, attrs: dict[str, str]) -> int | None:
     role = attrs.get("role", "").lower() if attrs else ""
     if tag == "main" or role == "main" or attrs.get("itemprop", "").lower() == "articlebody":
         return None  # a main part keeps its lines only where there is no article: see lines()
-    if tag == "header":
+    if tag == "header" or "header" in names:
         return HEADER
     return DROP if tag in SITE_ELEMENTS or role in SITE_ROLES or (names and SITE_WORDS & set(names)) else None
 
