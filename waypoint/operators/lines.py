@@ -55,6 +55,11 @@ def lob_ext(lob: str = "lob", pkg: str = "is_package"):
     return F.concat(F.col(lob), F.when(F.col(pkg), F.lit("_package")).otherwise(F.lit("")))
 
 
+#: What the model and the analyses read of the enriched lines (of more than 30 columns).
+ENRICHED_COLUMNS = ("ccid", "booking_code", "lob", "lob_ext", "segment", "is_package",
+                    "begin_use_date", "booking_date_pst", "loyalty_tier", "gbvlc", "trip_elements")
+
+
 def enriched_lines(tx: DataFrame, segments: DataFrame, packages: DataFrame,
                    member_ids: DataFrame, p: ModelParams, hot: tuple = (),
                    hot_codes: tuple = ()) -> DataFrame:

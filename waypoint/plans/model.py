@@ -78,7 +78,8 @@ class Model:
     @cached_property
     def enriched(self) -> DataFrame:
         return materialize(L.enriched_lines(self.tx, self.segments, self.packages,
-                                            self.members, self.p, self.hot, self.hot_codes),
+                                            self.members, self.p, self.hot, self.hot_codes)
+                           .select(*L.ENRICHED_COLUMNS),
                            "enriched-lines")
 
     @cached_property

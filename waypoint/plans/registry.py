@@ -66,10 +66,6 @@ def q_members_for_simulator(spark, sf):
 
 
 # ---------------------------------------------------------------- helpers
-ENRICHED_COLS = ["ccid", "booking_code", "lob", "lob_ext", "segment", "is_package",
-                 "begin_use_date", "booking_date_pst", "loyalty_tier", "gbvlc", "trip_elements"]
-
-
 def ctx(spark, sf):
     return context.load(spark, sf)
 
@@ -238,7 +234,7 @@ def q_package_flags(spark, sf):
 @query("tx_enriched")
 def q_tx_enriched(spark, sf):
     """The model's qualifying lines with segment and extended LOB."""
-    return as_output(model(spark, sf).enriched.select(*ENRICHED_COLS))
+    return as_output(model(spark, sf).enriched)
 
 
 @query("current_year_units")
