@@ -104,3 +104,31 @@ def test_forest_separates_known_classes(spark):
     train = spark.createDataFrame(rows, names + ["segments_v1"])
     counts = {r.pred_class: r.n for r in forest.predicted_counts(forest.fit_forest(train, p), train).collect()}
     assert counts == {"A": 72, "B": 72}
+
+
+def test_value_labels(spark):
+    from waypoint.sources.survey import codebook, label_columns, value_labels
+    raw = spark.createDataFrame([(1.0, "2"), (2.0, "x"), (None, None), (9.0, "1")], "Seg double, q string")
+    got = value_labels(label_columns(raw, {"Seg": "Which?"}), {"Seg": {"1": "A", "2": "B"}, "q": {"1": "yes"}})
+    assert [tuple(r) for r in got.collect()] == [("A", "2"), ("B", "x"), (None, None), ("9", "yes")]
+    assert {r.qid: r.full_question for r in codebook(spark, got).collect()}["seg"] == "Which?"
+
+
+def test_entry_without_the_training_operators():
+    """The other queries stay registered where the optional folder is gone."""
+    import subprocess
+    import sys
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'corpus_pipeline' or name.startswith('waypoint.llm'):
+            raise ModuleNotFoundError(f'No module named {name!r}', name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = set(e.queries())
+assert 'bookings_for_simulator' in names and 'pipeline' not in names, names
+assert set(e.oracle_sql()) <= names
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0

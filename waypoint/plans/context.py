@@ -11,7 +11,7 @@ from waypoint.session import materialize, scratch_path
 from waypoint.sources.cache import read_tables, write_tables
 from waypoint.params import ModelParams, fixture_params
 from waypoint.sources import fixtures as fx
-from waypoint.sources.survey import SurveyDataset, codebook, label_columns, survey_dataset
+from waypoint.sources.survey import SurveyDataset, codebook, label_columns, survey_dataset, value_labels
 
 # Fixture question texts for the labelled survey columns.
 QUESTION_LABELS = {
@@ -59,7 +59,8 @@ def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) ->
     tx_x = materialize(fx.tx_extract(spark, sf_dir), "tx-extract")
     cust_x = fx.customer_extract(spark, sf_dir)
     data = ingest(spark, process_ccids(cust_x, post_process_tx(tx_x)))
-    responses = label_columns(fx.survey_responses_extract(spark, sf_dir), QUESTION_LABELS)
+    responses = value_labels(
+        label_columns(fx.survey_responses_extract(spark, sf_dir, coded=True), QUESTION_LABELS), fx.VALUE_LABELS)
     # the survey's own extracts, numbered apart from the main ones and stored once
     own = ingest(spark, process_ccids(fx.customer_extract(spark, sf_dir, survey=True),
                                       post_process_tx(fx.tx_extract(spark, sf_dir, survey=True))))

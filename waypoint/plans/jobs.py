@@ -21,9 +21,9 @@ from waypoint.operators.respondents import survey_features
 from waypoint.params import ModelParams
 from waypoint.plans.context import ingest
 from waypoint.plans.model import Model
-from waypoint.session import run_scratch
+from waypoint.session import materialize, run_scratch
 from waypoint.sources import cache, csv
-from waypoint.sources.survey import SurveyDataset, survey_dataset
+from waypoint.sources.survey import SurveyDataset, survey_dataset, value_labels
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,8 @@ class SurveyInputs:
     map_csv: str
     responses: DataFrame
     alt_csv: str | None = None
+    # texts of coded answers: raw column -> code -> text
+    value_labels: dict[str, dict[str, str]] | None = None
 
 
 def whole_numbers(df: DataFrame) -> DataFrame:
@@ -51,14 +53,16 @@ def run_id(segmentation: str | None, now: dt.datetime | None = None) -> str:
 
 def read_extracts(spark: SparkSession, cust_csv: str, tx_folder: str) -> Dataset:
     cust = csv.read_customers(spark, cust_csv)
-    tx = post_process_tx(csv.read_tx_parts(spark, tx_folder))
+    # parsed once: the id pass then reads only the key column of the stored extract
+    tx = materialize(post_process_tx(csv.read_tx_parts(spark, tx_folder)), "tx-extract")
     return process_ccids(cust, tx)
 
 
 def ingest_job(spark: SparkSession, cust_csv: str, tx_folder: str, cache_folder: str) -> None:
-    d = read_extracts(spark, cust_csv, tx_folder)
-    hot = spark.createDataFrame([(k,) for k in d.hot_ccids], "ccid long")
-    cache.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids, "hot": hot}, cache_folder)
+    with run_scratch(spark, "ingest-run"):
+        d = read_extracts(spark, cust_csv, tx_folder)
+        hot = spark.createDataFrame([(k,) for k in d.hot_ccids], "ccid long")
+        cache.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids, "hot": hot}, cache_folder)
 
 
 def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
@@ -72,7 +76,8 @@ def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
 def read_survey(spark: SparkSession, s: SurveyInputs) -> SurveyDataset:
     # parsed once: every consumer reads the stored lines, by use year
     own = ingest(spark, read_extracts(spark, s.cust_csv, s.tx_folder))
-    return survey_dataset(own, csv.read_survey_map(spark, s.map_csv), s.responses)
+    responses = value_labels(s.responses, s.value_labels or {})
+    return survey_dataset(own, csv.read_survey_map(spark, s.map_csv), responses)
 
 
 def model_job(spark: SparkSession, cache_folder: str, survey: SurveyInputs,

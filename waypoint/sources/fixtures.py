@@ -41,6 +41,10 @@ MKTSEGMENT_TO_SEGMENT = {
 }
 
 
+VALUE_LABELS = {"Segments_V1": {str(i): t for i, t in enumerate(
+    [*MKTSEGMENT_TO_SEGMENT.values(), "All Others"], start=1)}}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -128,12 +132,17 @@ def survey_map_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("cid"))
 
 
-def survey_responses_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survey responses (one row per respondent) with their raw question ids."""
+def survey_responses_extract(spark: SparkSession, sf_dir: str, coded: bool = False) -> DataFrame:
+    """Survey responses (one row per respondent) with their raw question ids; ``coded``:
+    segments as the codes of ``VALUE_LABELS``."""
     c = _survey_customers(spark, sf_dir)
+    texts = VALUE_LABELS["Segments_V1"]
+    segment = _case(F.col("c_mktsegment"), MKTSEGMENT_TO_SEGMENT, "All Others")
+    if coded:
+        segment = _case(segment, {v: float(k) for k, v in texts.items()})
     return c.select(
         F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("CID_External"),
-        _case(F.col("c_mktsegment"), MKTSEGMENT_TO_SEGMENT, "All Others").alias("Segments_V1"),
+        segment.alias("Segments_V1"),
         F.col("c_nationkey").cast("double").alias("Q1_Trips"),
     )
 

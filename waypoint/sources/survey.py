@@ -31,6 +31,24 @@ def label_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
         for c in df.columns])
 
 
+def value_labels(df: DataFrame, labels: dict[str, dict[str, str]]) -> DataFrame:
+    """Coded answers as their texts; codes without a text stay, whole numbers read as such.
+
+    The labels are the codebook's (metadata, not data), so each column is one
+    look-up in a literal map. Question labels of the columns are kept.
+    """
+    cols = []
+    for f in df.schema.fields:
+        texts = labels.get(f.name)
+        if not texts:
+            cols.append(F.col(f"`{f.name}`"))
+            continue
+        code = F.regexp_replace(F.col(f"`{f.name}`").cast("string"), r"^(-?\d+)\.0$", "$1")
+        table = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+        cols.append(F.coalesce(F.try_element_at(table, code), code).alias(f.name, metadata=f.metadata))
+    return df.select(*cols)
+
+
 def codebook(spark: SparkSession, responses: DataFrame) -> DataFrame:
     """(qid, full_question) from the column labels; metadata-sized.
 
