@@ -156,8 +156,6 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     the network once and no task holds more than a run.
     """
     bounds, heads = _descending_buckets(docs.select("doc_id"), buckets)
-    if not any(h is not None for h in heads):
-        heads = [None] * len(heads)
     used = [b for b, h in enumerate(heads) if h is not None]
     # null ids live in the last run even if it has no other
     last = len(heads) - 1 if not used or docs.where("doc_id IS NULL").limit(1).count() else used[-1]

@@ -54,8 +54,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_ratio: float = TOTAL_RATIO,
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
                      (F.pmod(F.col("rank") - 1, n) + 1).cast("int"))
     named = ids.join(src, "source").select("source", "source_size", "rank")
-    last = ids.agg((F.count(F.lit(1)) + 1).alias("rank"))
-    null = src.where("source is null").crossJoin(F.broadcast(last))  # one row with one row
+    null = src.where("source is null").withColumn("rank", F.lit(ids.count() + 1).cast("long"))
     src = materialize(named.unionByName(null.select("source", "source_size", "rank"))
                       .withColumn("w", w).withColumn("cap", F.col("source_size") * float(max_repeat)),
                       "ranked-sources")
