@@ -28,6 +28,7 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word", "look").agg(F.sum("n").alias("n"))
 
 
-def frequent(vocabulary: DataFrame, limit: int) -> tuple[pd.DataFrame, int]:
+def frequent(vocabulary: DataFrame, limit: int) -> tuple[pa.Table, int]:
     """At most ``limit`` of the most frequent words (word, look, n; sorted), and the least count they have.
 
     All words of a count band come together: bands are taken from the top as
@@ -100,9 +101,8 @@ def frequent(vocabulary: DataFrame, limit: int) -> tuple[pd.DataFrame, int]:
         if total + k > limit:
             break
         total, least = total + k, b
-    got = vocabulary.where(band >= least).select("word", "look", "n").toPandas()
-    got["word"] = got["word"].map(bytes)
-    return got.sort_values(["n", "word"], ascending=[False, True], ignore_index=True), least
+    got = vocabulary.where(band >= least).select("word", "look", "n").toArrow()  # compact on the driver
+    return got.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks(), least
 
 
 def transitions(docs: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -129,9 +129,9 @@ def transitions(docs: DataFrame, words: list[bytes]) -> np.ndarray:
         yield pd.DataFrame({"cell": cell, "n": total[cell]})
 
     cells = (docs.select("text").mapInPandas(run, "cell long, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())  # at most size^2 rows
+             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())  # at most size^2 rows
     out = np.zeros(size * size)
-    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     return out.reshape(size, size)
 
 
@@ -182,12 +182,12 @@ def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = MAX_SWE
     return cls
 
 
-def class_model(training: DataFrame, vocabulary: DataFrame, known: pd.DataFrame,
+def class_model(training: DataFrame, vocabulary: DataFrame, known: pa.Table,
                 clustered: int = CLUSTERED, classes: int = CLASSES) -> dict:
     """Arrays of the model: class of each known word and look, log10 transitions, and each
     class's log10 emission divisor."""
-    top = min(clustered, len(known))
-    words = known["word"].tolist()[:top]
+    top = min(clustered, known.num_rows)
+    words = known["word"].slice(0, top).to_pylist()
     counts = transitions(training, words)
     cls = exchange(counts, top, classes)
     c = classes + LOOKS + 1
@@ -201,13 +201,13 @@ def class_model(training: DataFrame, vocabulary: DataFrame, known: pd.DataFrame,
     by_look = vocabulary.groupBy("look").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     for r in by_look:  # at most LOOKS rows
         tokens_[classes + r["look"]], types[classes + r["look"]] = r["n"], r["v"]
-    look_, n = known["look"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
+    look_, n = known["look"].to_numpy().astype(np.int64), known["n"].to_numpy()
     np.subtract.at(tokens_, classes + look_[:top], n[:top])
     np.subtract.at(types, classes + look_[:top], 1)
     np.add.at(tokens_, cls[:top], n[:top])
     np.add.at(types, cls[:top], 1)
     divisor = np.log10(tokens_ + ALPHA * (types + 1))
-    return {"words": known["word"].tolist(), "n": n,
+    return {"words": known["word"], "n": n,
             "cls": np.concatenate([cls[:top], classes + look_[top:]]).astype(np.int64),
             "look0": classes, "edge": c - 1, "trans": trans, "divisor": divisor}
 
@@ -222,7 +222,7 @@ def _scored_rows(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        index = Looks({w: i for i, w in enumerate(m["words"])})
+        index = Looks({w: i for i, w in enumerate(m["words"].to_pylist())})
         log_n = np.log10(m["n"] + ALPHA)
         emit = log_n - m["divisor"][m["cls"]] if len(log_n) else log_n
         edge, trans, divisor, look0 = m["edge"], m["trans"], m["divisor"], m["look0"]
