@@ -163,13 +163,13 @@ def scored(docs: DataFrame, labels: DataFrame, teach=None, id_col: str = "doc_id
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all columns.
 
-    Two passes over the texts: the first adds up the class sums, the second
-    scores and filters, so texts are neither shuffled nor stored again.
+    Two passes over the texts: the first adds up the class sums (statistics,
+    not texts, meet the labels), the second scores and filters; texts are
+    neither shuffled nor stored again.
     """
     known = _known(labels)
-    labelled = (docs.select(F.col(id_col).alias("__of"), "text")
-                .join(known, F.col("__of") == F.col("__id")).select("label", "text"))
-    model = fit(with_statistics(labelled))
+    stats = with_statistics(docs.select(F.col(id_col).alias("of"), "text"))
+    model = fit(stats.join(known, F.col("of") == F.col("__id")).select("label", "stats"))
 
     def run(s: pd.Series) -> pd.Series:
         x = np.array([statistics(t) for t in s], float).reshape(len(s), len(STATISTICS))
