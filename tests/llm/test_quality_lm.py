@@ -122,6 +122,55 @@ def test_exchange_finds_alternating_classes():
     assert len(set(cls[:10:2])) == 1 and len(set(cls[1:10:2])) == 1 and cls[0] != cls[1] and cls[10] == 2
 
 
+def test_words_outside_the_first_are_classed_by_their_neighbours(spark):
+    """Nouns and verbs of one look: only the words next to them tell them apart."""
+    rnd = np.random.default_rng(5)
+    nouns, verbs = ([f"{c}{chr(97 + i)}{chr(97 + i % 7)}" for i in range(20)] for c in "nv")
+    texts = [" ".join(f"the {rnd.choice(nouns)} is {rnd.choice(verbs)}" for _ in range(10)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = classlm.word_counts(docs).cache()
+    assert len({r["look"] for r in vocabulary.collect()}) == 1
+    known, _ = classlm.frequent(vocabulary, 100)
+    model = classlm.class_model(docs, vocabulary, known, clustered=10, classes=4)
+    cls = dict(zip(known["word"].to_pylist(), model["cls"].tolist()))
+    a, b = ({cls[w.encode()] for w in x} for x in (nouns, verbs))
+    assert len(known) == 42 and not a & b
+    assert np.allclose((10 ** model["trans"]).sum(axis=1), 1)
+    # the same where most words meet their class in the join
+    some = classlm.frequent(vocabulary, 20)[0]
+    assert 10 < len(some) < 42
+    whole, joined = (classlm.scores(docs, F.lit(False), 10, 4, k).toPandas().sort_values("doc_id") for k in (100, 20))
+    assert joined["score"].to_numpy() == pytest.approx(whole["score"].to_numpy())
+    assert joined["n_known"].tolist() == whole["n_known"].tolist()
+
+
+def test_best_class_is_the_one_of_most_likelihood():
+    rnd = np.random.default_rng(6)
+    k, c = 30, 6
+    counts = rnd.poisson(0.7, (k, k)).astype(float)
+    cls = np.append(rnd.integers(0, c - 1, k - 1), c - 1)
+
+    def tables(cls):
+        m = np.eye(c)[cls]
+        return m, m.T @ counts @ m
+
+    def likelihood(cls):
+        t = tables(cls)[1]
+        f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+        return f(t) - f(t.sum(axis=1)) - f(t.sum(axis=0))
+
+    m, t = tables(cls)
+    alone = counts * (1 - np.eye(k))
+    cells = np.concatenate([alone @ m, (m.T @ alone).T, np.diag(counts)[:, None]], axis=1)
+    words = np.arange(k - 1)
+    got = classlm.best_classes(cls[:-1], cells[:-1], t, c - 1)
+    some = classlm.best_classes(cls[:-1], cells[:-1], t, 3)
+    for w in words:
+        moved = [likelihood(np.where(np.arange(k) == w, b, cls)) for b in range(c - 1)]
+        assert moved[got[w]] == pytest.approx(max(moved), abs=1e-9)
+        assert moved[some[w]] == pytest.approx(max(moved[:3]), abs=1e-9)
+
+
 def test_class_lm_of_odd_rows(spark, odd_docs, no_docs):
     got = classlm.scores(odd_docs, classlm.crc_mod("doc_id", 10) == 0).collect()
     assert len(got) == odd_docs.count()

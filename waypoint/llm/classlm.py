@@ -1,18 +1,23 @@
 """Language-model scores from a class-based bigram model (Brown classes).
 
-The most frequent training words are put into classes by the exchange
-algorithm: each word in turn moves to the class that most raises the
-likelihood of the class bigrams. Other words belong to a class by their look
-(last character, accents, length). A text's score is the log10 probability of
-its words and end: smoothed class transitions times smoothed word emissions.
-
-Scale: three passes over the texts, none of which moves them. Word counts
-are combined in the tasks before they are shuffled; the ``KNOWN`` most
-frequent words and the class model (both bounded by parameters, not by the
-corpus) are broadcast; class transitions are counted on every training token
-and reach the driver as one table bounded by ``CLUSTERED``. Only the words
-outside ``KNOWN`` of each document meet their counts in a join, by a 64-bit
-hash of the word.
+Every training word is put into a class by exchange. The most frequent words
+go first, one at a time: each moves to the class that most raises the
+likelihood of the class bigrams. All other training words move together out of
+classes by look (last character, accents, length): the tasks count the classes
+left and right of each, and send it to the class of best gain. Words not seen
+in training belong to the class of their look; where transitions are counted,
+a word seen once stands for them, as its text would find it unseen were it
+left out. A text's score is the log10 probability of its words and end:
+smoothed class transitions times smoothed word emissions.
+
+Scale: four passes over the texts, none of which moves them. Word counts and
+counts of neighbour classes are combined in the tasks before they are
+shuffled; the ``KNOWN`` most frequent words and their classes are broadcast.
+Words outside ``KNOWN`` meet their class and count in a join, by a 64-bit hash
+of the word and their place in the document; documents are then kept as one
+class number a token. Classes grow as the fourth root of the vocabulary, so
+the tables on the driver (their transitions, and those of the words that go
+first, 16 a class) grow slower than the vocabulary's square root.
 
 Defined cases: null texts count as empty and have the end alone as token;
 repeated rows are scored once each; a null id is hashed as the empty text
@@ -24,11 +29,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 from waypoint.llm.common import crc_mod, table, text_or_empty
 from waypoint.session import materialize
 
-#: Words clustered by exchange, their classes and sweeps; words whose counts every task knows.
+#: Words exchanged first and their classes (both at least), sweeps; words whose counts every task knows.
 CLUSTERED, CLASSES, MAX_SWEEPS, KNOWN = 2000, 32, 8, 400_000
 #: Added to counts of words and of transitions.
 ALPHA, KAPPA = 0.1, 20.0
@@ -45,6 +51,8 @@ LOOKS = 72
 ASCII = bytes(range(128))
 #: Entries a task gathers before it passes them on.
 FLUSH = 500_000
+#: Words exchanged first of each class, at least; words a task places at once.
+LEADERS, PLACED = 16, 512
 
 
 def tokens(text: str) -> list[bytes]:
@@ -67,6 +75,29 @@ class Looks(dict):
         return -1 - look(word)
 
 
+class Numbers(dict):
+    """Word to number; a word it does not know gets the next number, until ``forget``."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+    def forget(self) -> None:
+        for w in self.fresh:
+            del self[w]
+        self.fresh.clear()
+
+
+def hashes(words) -> np.ndarray:
+    """Spark's xxhash64 of the words."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, look, n) over all texts of ``docs`` (column text)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,85 +213,286 @@ def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = MAX_SWE
     return cls
 
 
-def class_model(training: DataFrame, vocabulary: DataFrame, known: pa.Table,
-                clustered: int = CLUSTERED, classes: int = CLASSES) -> dict:
-    """Arrays of the model: class of each known word and look, log10 transitions, and each
-    class's log10 emission divisor."""
-    top = min(clustered, known.num_rows)
-    words = known["word"].slice(0, top).to_pylist()
-    counts = transitions(training, words)
-    cls = exchange(counts, top, classes)
-    c = classes + LOOKS + 1
-    member = np.zeros((len(counts), c))
-    member[np.arange(len(counts)), cls] = 1
-    t = member.T @ counts @ member
-    unigram = (t.sum(axis=0) + 1) / (t.sum() + c)
-    trans = np.log10((t + KAPPA * unigram) / (t.sum(axis=1, keepdims=True) + KAPPA))
-    # words and tokens of each class
-    tokens_, types = np.zeros(c), np.zeros(c)
-    by_look = vocabulary.groupBy("look").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    for r in by_look:  # at most LOOKS rows
-        tokens_[classes + r["look"]], types[classes + r["look"]] = r["n"], r["v"]
-    look_, n = known["look"].to_numpy().astype(np.int64), known["n"].to_numpy()
-    np.subtract.at(tokens_, classes + look_[:top], n[:top])
-    np.subtract.at(types, classes + look_[:top], 1)
-    np.add.at(tokens_, cls[:top], n[:top])
-    np.add.at(types, cls[:top], 1)
-    divisor = np.log10(tokens_ + ALPHA * (types + 1))
-    return {"words": known["word"], "n": n,
-            "cls": np.concatenate([cls[:top], classes + look_[top:]]).astype(np.int64),
-            "look0": classes, "edge": c - 1, "trans": trans, "divisor": divisor}
+def neighbour_classes(docs: DataFrame, known: pa.Table, cls: np.ndarray, top: int, look0: int, c: int) -> DataFrame:
+    """(h, own, cells, n): for each word but the first ``top`` of ``known``, how often each class stands
+    right of it (cells from 0), left of it (from ``c``), and the word itself right of it (2c).
 
+    ``cls``: classes of the known words. A word has a row for each of a task's flushes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((known["word"], cls))
+    width = 2 * c + 1
+    schema = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("cells", pa.list_(pa.int32())),
+                        ("n", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, first = shared.value
+        index = Numbers(words.to_pylist())
+        known_h = hashes(index)
+        ids, held, edge = [], 0, np.array([-1])
+
+        def rows() -> pa.RecordBatch:
+            own = np.concatenate([first, [look0 + look(w) for w in index.fresh], [c - 1]]).astype(np.int64)
+            h = np.concatenate([known_h, hashes(index.fresh)])
+            seq = np.concatenate([*ids, edge])
+            a, b = seq[:-1], seq[1:]
+            same = a == b
+            right, left = a >= top, (b >= top) & ~same
+            key = np.concatenate([a[right] * width + np.where(same, 2 * c, own[b])[right],
+                                  b[left] * width + c + own[a[left]]])
+            key, n = np.unique(key, return_counts=True)
+            word, cell = np.divmod(key, width)
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            at = pa.array(np.append(start, len(word)), pa.int32())
+            w = word[start]
+            ids.clear()
+            index.forget()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h[w]), pa.array(own[w], pa.int32()), pa.ListArray.from_arrays(at, pa.array(cell, pa.int32())),
+                 pa.ListArray.from_arrays(at, pa.array(n, pa.int32()))], schema=schema)
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                got = np.array(list(map(index.__getitem__, tokens(text))), np.int64)
+                ids += [edge, got]
+                held += len(got) + 1
+                if held > FLUSH:
+                    yield rows()
+                    held = 0
+        if ids:
+            yield rows()
 
-SCORED = "rid long, h long, n long, doc_id long, n_tokens long, n_known long, base double, score double"
+    return docs.select("text").mapInArrow(run, "h long, own int, cells array<int>, n array<int>")
 
 
-def _scored_rows(docs: DataFrame, model: dict) -> DataFrame:
-    """SCORED rows of ``docs`` (rid, doc_id, text): one of a document with what the known words and
-    the transitions give, and one of each of its other words (h: its hash, n: how often)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def best_classes(own: np.ndarray, counts: np.ndarray, t: np.ndarray, free: int) -> np.ndarray:
+    """Class of best exchange gain, of the first ``free``, of each word, all others left where they are.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``own``: the words' classes now; ``counts``: a row a word of its cells (see ``neighbour_classes``);
+    ``t``: transitions of the classes.
+    """
+    c = len(t)
+    out, into, self_ = counts[:, :c], counts[:, c:2 * c], counts[:, 2 * c]
+    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+
+    def side(t: np.ndarray, out: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Gain of the cells of each class's row of ``t``, the word's own counts taken out."""
+        w, j = np.nonzero(out)
+        n, a = out[w, j], own[w]
+        rest, e = t[:free, j].T.copy(), np.arange(len(w))
+        before = xlogx(t)[:free, j].T.copy()
+        home = a < free
+        rest[e[home], a[home]] -= n[home]
+        back = np.flatnonzero(j == a)  # cells of the word's own class also lose what leads to the word
+        rest[back] -= into[w[back], :free]
+        both = back[home[back]]
+        rest[both, a[both]] -= self_[w[both]]
+        before[e[home], a[home]] = xlogx(rest[e[home], a[home]])
+        before[back] = xlogx(rest[back])
+        after = xlogx(rest + n[:, None]) - before
+        return np.add.reduceat(after, np.flatnonzero(np.diff(w, prepend=-1)), axis=0)
+
+    gain = side(t, out, into) + side(t.T, into, out)
+    # a class's cell with itself has both sides at once
+    w, b = np.nonzero((out[:, :free] > 0) & (into[:, :free] > 0) | (self_ > 0)[:, None])
+    o, i, s = out[w, b], into[w, b], self_[w]
+    d = t[b, b] - np.where(b == own[w], o + i + s, 0)
+    np.add.at(gain, (w, b), xlogx(d + o + i + s) - xlogx(d + o) - xlogx(d + i) + xlogx(d))
+    for n, total in ((out.sum(axis=1) + self_, t.sum(axis=1)), (into.sum(axis=1) + self_, t.sum(axis=0))):
+        moved = xlogx(total[:free] + n[:, None]) - xlogx(total[:free])
+        w = np.flatnonzero(own < free)
+        moved[w, own[w]] = xlogx(total[own[w]]) - xlogx(total[own[w]] - n[w])
+        gain -= moved
+    return gain.argmax(axis=1)
+
+
+def placed(cells: DataFrame, t: np.ndarray, free: int) -> DataFrame:
+    """(h, n, cls): count and class of best gain, of the first ``free``, of every word of ``cells``."""
+    shared = cells.sparkSession.sparkContext.broadcast(t)
+    width = 2 * len(t) + 1
+
+    def place(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        h, first, word = np.unique(rows["h"].to_numpy(), return_index=True, return_inverse=True)
+        own = rows["own"].to_numpy()[first].astype(np.int64)
+        word = np.repeat(word, pc.list_value_length(rows["cells"]).to_numpy())
+        cell, n = (pc.list_flatten(rows[x]).to_numpy() for x in ("cells", "n"))
+        for lo in range(0, len(h), PLACED):
+            k = min(PLACED, len(h) - lo)
+            at = slice(*np.searchsorted(word, [lo, lo + k]))
+            counts = np.bincount((word[at] - lo) * width + cell[at], weights=n[at], minlength=k * width).reshape(k, width)
+            cls = best_classes(own[lo:lo + k], counts, shared.value, free)
+            total = counts[:, :len(shared.value)].sum(axis=1) + counts[:, -1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[lo:lo + k]), pa.array(total.astype(np.int64)), pa.array(cls, pa.int32())], ["h", "n", "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if b.num_rows:
+                got = pa.Table.from_batches([b])
+                held = got if held is None else pa.concat_tables([held, got])
+                h = held["h"].to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last word may go on in the next batch
+                if cut:
+                    yield from place(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None:
+            yield from place(held)
+
+    return cells.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, n long, cls int")
+
+
+def word_classes(training: DataFrame, known: pa.Table, clustered: int, classes: int) -> dict:
+    """The model's words: classes of the known ones, ``rest`` (h, n, cls) of all but the first, and
+    from which count (``least``) all words are known."""
+    top = min(clustered, known.num_rows)
+    counts = transitions(training, known["word"].slice(0, top).to_pylist())
+    first = exchange(counts, top, classes)
+    c = classes + LOOKS + 1
+    member = np.zeros((len(counts), c))
+    member[np.arange(len(counts)), first] = 1
+    n = known["n"].to_numpy()
+    cls = np.concatenate([first[:top], classes + known["look"].to_numpy()[top:]]).astype(np.int64)
+    cells = neighbour_classes(training, known, cls, top, classes, c)
+    rest = materialize(placed(cells, member.T @ counts @ member, classes), "word-classes")
+    least = int(n[-1]) if len(n) else 1 << 62
+    if len(n) > top:
+        got = rest.where(F.col("n") >= least).select("h", "cls").toArrow().sort_by("h")  # at most the known words
+        at = np.searchsorted(got["h"].to_numpy(), hashes(known["word"].slice(top).to_pylist()))
+        cls[top:] = got["cls"].to_numpy()[at]
+    once = np.where(n == 1, (1 + known["look"].to_numpy().astype(np.int64)) * c, 0)
+    return {"words": known["word"], "n": n, "cls": cls, "codes": cls + once, "top": top, "look0": classes, "edge": c - 1,
+            "rest": rest, "least": least}
+
+
+CODED = "rid long, doc_id long, n_tokens long, n_known long, base double, codes binary, pos int, h long"
+
+
+def encoded(docs: DataFrame, model: dict, every: bool) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base, codes): a document's class of every word (16 bits each; one
+    seen once has c times its look, from 1, added) and the sum of its words' log10 counts.
+    ``every``: all training words are known, so none needs the join."""
+    look0, c = model["look0"], model["edge"] + 1
+    assert c * (LOOKS + 1) <= 1 << 16  # some 4 * 10^11 distinct words
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("words", "n", "codes")})
+    names = [x.split()[0] for x in CODED.split(", ")]
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base", pa.float64()), ("codes", pa.binary()), ("pos", pa.int32()), ("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         index = Looks({w: i for i, w in enumerate(m["words"].to_pylist())})
-        log_n = np.log10(m["n"] + ALPHA)
-        emit = log_n - m["divisor"][m["cls"]] if len(log_n) else log_n
-        edge, trans, divisor, look0 = m["edge"], m["trans"], m["divisor"], m["look0"]
-        digest = xxhash.xxh64_intdigest
+        log_n, digest = np.log10(m["n"] + ALPHA), xxhash.xxh64_intdigest
+
+        def rare_rows(rid: list, pos: list, h: list) -> pa.RecordBatch:
+            empty = [pa.nulls(len(rid), t) for t in schema.types[1:6]]
+            return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *empty, pa.array(pos, pa.int32()),
+                                               pa.array(np.array(h, np.uint64).view(np.int64))], schema=schema)
+
         for b in batches:
-            out, rare, held = [], ([], [], []), 0
-            for rid, doc, text in zip(b["rid"], b["doc_id"], b["text"]):
+            docs_, rare = ([], [], [], []), ([], [], [])
+            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
                 words = tokens(text)
                 ids = np.array(list(map(index.__getitem__, words)), np.int64)
                 unknown = ids < 0
-                own = ids[~unknown]
-                cls = np.empty(len(ids) + 2, np.int64)
-                cls[0] = cls[-1] = edge
-                inner = cls[1:-1]
-                inner[~unknown] = m["cls"][own]
-                inner[unknown] = look0 - 1 - ids[unknown]
-                score = trans[cls[:-1], cls[1:]].sum() + emit[own].sum() - divisor[inner[unknown]].sum()
-                out.append((rid, digest(b"%d" % rid) - (1 << 63), 0, doc, len(words) + 1, len(own),
-                            log_n[own].sum(), score))
-                left = Counter([words[i] for i in np.flatnonzero(unknown).tolist()])
-                rare[0].extend([rid] * len(left))
-                rare[1].extend([digest(w, 42) for w in left])
-                rare[2].extend(left.values())
-                held += len(left)
-                if held > FLUSH:
-                    yield rows(out, rare)
-                    out, rare, held = [], ([], [], []), 0
-            yield rows(out, rare)
+                own, code = ids[~unknown], np.empty(len(ids), "<u2")
+                code[~unknown] = m["codes"][own]
+                code[unknown] = look0 - 1 - ids[unknown]
+                base = log_n[own].sum() + unknown.sum() * log10(ALPHA)
+                for x, v in zip(docs_, (len(ids) + 1, len(own), base, code.tobytes())):
+                    x.append(v)
+                if not every:
+                    pos = np.flatnonzero(unknown).tolist()
+                    rare[0].extend([rid] * len(pos))
+                    rare[1].extend(pos)
+                    rare[2].extend([digest(words[i], 42) for i in pos])
+                    if len(rare[0]) > FLUSH:
+                        yield rare_rows(*rare)
+                        rare = ([], [], [])
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), b.column("doc_id").cast(pa.int64()),
+                 *(pa.array(x, t) for x, t in zip(docs_, schema.types[2:6])),
+                 pa.array(np.full(k, -1), pa.int32()), pa.nulls(k, pa.int64())], schema=schema)
+            if rare[0]:
+                yield rare_rows(*rare)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = materialize(numbered.mapInArrow(run, CODED), "coded")
+    whole = rows.where("pos < 0").select(*names[:6])
+    if every:
+        return whole.drop("rid")
+    rest = model["rest"].where(F.col("n") < model["least"]).select(F.col("h").alias("vh"), "cls", "n")
+    found = (rows.where("pos >= 0").select("rid", "pos", "h").join(rest, F.col("h") == F.col("vh"))
+             .groupBy("rid").agg(F.collect_list(F.struct("pos", "cls", "n")).alias("found")))
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, base, known = [], [], []
+            for code, s, k, got in zip(*(b.column(x) for x in ("codes", "base", "n_known", "found"))):
+                code, s, k = np.frombuffer(code.as_py(), "<u2"), s.as_py(), k.as_py()
+                if got.is_valid:
+                    pos, cls, n = (got.values.field(x).to_numpy() for x in range(3))
+                    code = code.copy()
+                    code[pos] = np.where(n == 1, cls + c * (1 + code[pos].astype(np.int64) - look0), cls)
+                    s += (np.log10(n + ALPHA) - log10(ALPHA)).sum()
+                    k += len(pos)
+                codes.append(code.tobytes())
+                base.append(s)
+                known.append(k)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(codes, pa.binary())], ["doc_id", "n_tokens", "n_known", "base", "codes"])
+
+    return materialize(whole.join(found, "rid", "left").mapInArrow(
+        mend, "doc_id long, n_tokens long, n_known long, base double, codes binary"), "coded-whole")
+
+
+def _pairs(codes: bytes, edge: int, look0: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of neighbouring words; with ``look0``, words seen once are in the class of their look."""
+    once, inner = np.divmod(np.frombuffer(codes, "<u2").astype(np.int64), edge + 1)
+    if look0 is not None:
+        inner = np.where(once > 0, look0 - 1 + once, inner)
+    return np.concatenate([[edge], inner]), np.concatenate([inner, [edge]])
+
+
+def fitted(words: dict, coded: DataFrame) -> dict:
+    """The model: ``words`` with log10 transitions, counted on the ``coded`` training documents, and
+    each class's log10 emission divisor."""
+    edge, look0, top = words["edge"], words["look0"], words["top"]
+    c = edge + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(c * c, np.int64)
+        for b in batches:
+            left, right = zip(*(_pairs(x, edge, look0) for x in b["codes"])) if len(b) else ((), ())
+            if left:
+                total += np.bincount(np.concatenate(left) * c + np.concatenate(right), minlength=c * c)
+        cell = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": cell, "n": total[cell]})
 
-    def rows(out: list, rare: tuple) -> pd.DataFrame:
-        names = [c.split()[0] for c in SCORED.split(", ")]
-        docs_ = pd.DataFrame(out, columns=names)
-        words = pd.DataFrame({"rid": np.array(rare[0], np.int64),
-                              "h": np.array(rare[1], np.uint64).view(np.int64), "n": np.array(rare[2], np.int64)})
-        both = pd.concat([docs_, words], ignore_index=True)
-        return both.astype({c: "Int64" for c in ("doc_id", "n_tokens", "n_known")})[names]
+    cells = (coded.select("codes").mapInPandas(run, "cell long, n long")
+             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())  # at most c^2 rows
+    t = np.zeros(c * c)
+    t[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    t = t.reshape(c, c)
+    unigram = (t.sum(axis=0) + 1) / (t.sum() + c)
+    trans = np.log10((t + KAPPA * unigram) / (t.sum(axis=1, keepdims=True) + KAPPA))
+    # words and tokens of each class
+    tokens_, types = np.zeros(c), np.zeros(c)
+    for r in words["rest"].groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        tokens_[r["cls"]], types[r["cls"]] = r["n"], r["v"]
+    np.add.at(tokens_, words["cls"][:top], words["n"][:top])
+    np.add.at(types, words["cls"][:top], 1)
+    return words | {"trans": trans, "divisor": np.log10(tokens_ + ALPHA * (types + 1))}
 
-    return docs.select("rid", "doc_id", "text").mapInPandas(run, SCORED)
+
+def class_model(training: DataFrame, vocabulary: DataFrame, known: pa.Table,
+                clustered: int = CLUSTERED, classes: int = CLASSES) -> dict:
+    """Arrays of the model: class of each known word, log10 transitions, and each class's log10
+    emission divisor; ``rest`` has the class of every other training word."""
+    words = word_classes(training, known, clustered, classes)
+    return fitted(words, encoded(training, words, known.num_rows == vocabulary.count()))
 
 
 def scores(docs: DataFrame, held_out, clustered: int = CLUSTERED, classes: int = CLASSES,
@@ -268,34 +500,37 @@ def scores(docs: DataFrame, held_out, clustered: int = CLUSTERED, classes: int =
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (unigram with added ``ALPHA``) and score (class model), both log10.
 
-    ``held_out`` is a condition on doc_id; the other rows train.
+    ``held_out`` is a condition on doc_id; the other rows train. ``classes`` and ``clustered`` grow
+    with the vocabulary from the values given.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     training = docs.where(~held_out)
     vocabulary = materialize(word_counts(training), "vocabulary")
     n_docs = training.count()
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    known, least = frequent(vocabulary, known_words)
-    model = class_model(training, vocabulary, known, clustered, classes)
+    known, _ = frequent(vocabulary, known_words)
+    if (grown := ceil(n_types ** 0.25)) > classes:
+        clustered, classes = max(clustered, LEADERS * grown), grown
+    words = word_classes(training, known, clustered, classes)
+    coded = encoded(docs, words, known.num_rows == n_types)
+    model = fitted(words, coded.where(~held_out))
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("trans", "divisor", "edge")})
     total = n_words + n_docs
     divisor = log10(total + ALPHA * (n_types + (n_docs > 0) + 1))
 
-    # a document's other words meet their counts; document rows have hashes of their own and no count
-    rows = _scored_rows(docs.withColumn("rid", F.monotonically_increasing_id()), model)
-    band = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    counts = vocabulary.where(band < least).select(F.xxhash64("word").alias("vh"), F.col("n").alias("c"))
-    met = rows.join(counts, (F.col("h") == F.col("vh")) & (F.col("n") > 0), "left")
-    part = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)
-    sums = met.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        F.max("base").alias("base"), F.max("score").alias("score"), F.sum(part).alias("rare"))
+    def run(base: pd.Series, codes: pd.Series) -> pd.Series:
+        m, out = shared.value, []
+        for s, x in zip(base, codes):
+            left, right = _pairs(x, m["edge"])
+            out.append(s + m["trans"][left, right].sum() - m["divisor"][left[1:]].sum())
+        return pd.Series(out, dtype="float64")
+
     end = log10(n_docs + ALPHA)
-    return sums.select(
+    return coded.select(
         "doc_id", held_out.alias("held_out"), "n_tokens",
         (F.col("n_known") + (1 if n_docs else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rare") + F.lit(end) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
-        (F.col("score") + F.col("rare")).alias("score"))
+        (F.col("base") + F.lit(end) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"),
+        F.pandas_udf(run, "double")("base", "codes").alias("score"))
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
