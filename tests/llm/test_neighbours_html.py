@@ -117,6 +117,18 @@ def test_differencing_without_an_article(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def site(spark, urls: list[tuple]) -> dict:
+    """Texts of pages (id, url, own line) that share a first and a last line."""
+    data = [(i, u, f"<body><div>My site</div><p>{own}</p><div>Read on.</div>") for i, u, own in urls]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in htmltext.extract(df).collect()}
+
+
+def test_pages_of_one_path_differ_by_query(spark):
+    pages = [(i, f"http://h.org/index.php?id={i}", f"own {i}") for i in range(40)]
+    assert site(spark, pages) == {i: f"own {i}" for i in range(40)}
+
+
 def test_query_equals_articles(spark, rows):
     import html
     import re

@@ -1,7 +1,7 @@
 """Main text of pages by differencing pages of like URL, and markup.
 
-Pages of a host are put in URL path order; each page is paired with the
-neighbour whose path shares more with its own. The text lines of the two are
+Pages of a host are put in URL order (path, query, lines); each page is paired
+with the neighbour whose URL shares more with its own. The text lines of the two are
 aligned by longest common subsequence, and shared lines go: they belong to
 the site. Differencing alone leaves menus that change from page to page and
 would take sentences that two articles share, so markup has a say first:
@@ -11,8 +11,9 @@ element, role, class or id) go, and differencing decides on all others. Of
 these others, lines that are links only also go.
 
 Scale: line hashes, not texts, are sorted and paired. The order is a range
-exchange over (host, path), so a host with a third of all pages spreads over
-many tasks; the rows next to a range's ends come from one row per range.
+exchange over (host, path, query, hash of lines), so a host or a path with a
+third of all pages spreads over many tasks; runs are numbered from one row per
+range, and meet the runs next to them by number.
 
 Defined cases: null or empty html gives an empty text; a page with a null or
 unreadable url, or alone on its host, or whose neighbours are copies of it,
@@ -252,25 +253,25 @@ def _aligned(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _place(url: str | None) -> tuple[str | None, str | None]:
-    """Host and path of a url (None, None where it has no host)."""
+def _place(url: str | None) -> tuple[str | None, str | None, str | None]:
+    """Host, path and query of a url (None of each where it has no host)."""
     try:
         parts = urlsplit(url or "")
     except ValueError:
-        return None, None
-    return (parts.netloc.lower(), parts.path) if parts.netloc else (None, None)
+        return None, None, None
+    return (parts.netloc.lower(), parts.path, parts.query) if parts.netloc else (None, None, None)
 
 
-def _near(a: str, b: str) -> tuple[int, int]:
-    """How much two paths share: leading segments, then leading characters."""
+def _near(a: tuple[str, str], b: tuple[str, str]) -> tuple[int, int, int]:
+    """How much two (path, query) share: leading segments, then leading characters, then those of the query."""
     def common(x, y) -> int:
         return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
-    return common(a.split("/"), b.split("/")), common(a, b)
+    return common(a[0].split("/"), b[0].split("/")), common(a[0], b[0]), common(a[1], b[1])
 
 
 def hashed(pages: DataFrame) -> DataFrame:
-    """(key, host, path, lines, open): line hashes of every page, and the positions of lines
+    """(key, host, path, query, lines, open): line hashes of every page, and the positions of lines
     that differencing may delete. ``key`` is a hash of the page's id, url and html."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -279,54 +280,70 @@ def hashed(pages: DataFrame) -> DataFrame:
                 found = lines(page or "")
                 rows.append((key, *_place(url), [xxhash.xxh64_intdigest(x[0].encode("utf-8", "surrogatepass")) - (1 << 63) for x in found],
                              [i for i, x in enumerate(found) if x[1] == OPEN]))
-            yield pd.DataFrame(rows, columns=["key", "host", "path", "lines", "open"])
+            yield pd.DataFrame(rows, columns=["key", "host", "path", "query", "lines", "open"])
 
     return pages.select("key", "url", "html").mapInPandas(
-        run, "key long, host string, path string, lines array<long>, open array<int>")
+        run, "key long, host string, path string, query string, lines array<long>, open array<int>")
 
 
-def neighbours(places: DataFrame) -> DataFrame:
-    """``places`` (host, path, lines; a row for each host and path) with ``before`` and ``after``:
-    the structs of the rows next to it in (host, path) order."""
-    row = F.struct("host", "path", "lines")
-    ranged = materialize(places.repartitionByRange("host", "path").select(
-        F.spark_partition_id().alias("part"), row.alias("r")), "url-order")
-    order = Window.partitionBy("part").orderBy("r.host", "r.path")
-    ends = ranged.groupBy("part").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+PLACE = ("host", "path", "query", "same")
+
+
+def runs(places: DataFrame) -> DataFrame:
+    """``places`` (PLACE, lines; a row for each PLACE) with ``run``: the number of its run. Rows next to
+    each other in PLACE order are numbered in order, each a run of its own."""
+    ranged = materialize(places.repartitionByRange(*PLACE).select(
+        F.spark_partition_id().alias("part"), *PLACE, "lines"), "url-order")
+    order = Window.partitionBy("part").orderBy(*PLACE)
+    first = F.lag(F.lit(True)).over(order).isNull()
+    starts = F.when(first, 0).otherwise(1)
+    marked = ranged.select("part", *PLACE, "lines", starts.alias("new"))
+    ends = (marked.groupBy("part").agg(F.min(F.struct(*PLACE)).alias("lo"), F.max(F.struct(*PLACE)).alias("hi"),
+                                       F.sum("new").alias("k")))
     parts = Window.orderBy("part")  # a row for each range
-    ends = ends.select("part", F.lag("hi").over(parts).alias("prior"), F.lead("lo").over(parts).alias("next"))
-    inner = ranged.withColumn("b", F.lag("r").over(order)).withColumn("a", F.lead("r").over(order))
-    return (inner.join(F.broadcast(ends), "part")
-            .select("r.*", F.coalesce("b", "prior").alias("before"), F.coalesce("a", "next").alias("after")))
+    ends = ends.select("part", "k", F.lit(1).alias("new"))
+    ends = ends.select(F.col("part").alias("of"), (F.sum(F.col("k") + F.col("new")).over(parts) - F.col("k")).alias("base"))
+    return (marked.join(F.broadcast(ends), F.col("part") == F.col("of"))
+            .select(*PLACE, "lines", (F.col("base") + F.sum("new").over(order)).alias("run")))
+
+
+def neighbours(numbered: DataFrame) -> DataFrame:
+    """(run, before, after): the rows (host, path, query, lines) next to each run of ``numbered`` (see ``runs``)."""
+    url = F.struct("host", "path", "query")
+    nodes = materialize(numbered.groupBy("run").agg(F.min(url).alias("lo"), F.max(url).alias("hi"),
+                                                    F.first("lines").alias("lines")), "url-runs")
+    before = nodes.select((F.col("run") + 1).alias("run"), F.struct("hi.*", "lines").alias("before"))
+    after = nodes.select((F.col("run") - 1).alias("run"), F.struct("lo.*", "lines").alias("after"))
+    return nodes.select("run").join(before, "run", "left").join(after, "run", "left")
 
 
 def deletions(pages: DataFrame) -> DataFrame:
     """(key, gone): positions of the lines that the page shares with the page of the nearest URL."""
-    each = materialize(hashed(pages), "page-lines")
+    each = materialize(hashed(pages).withColumn("same", F.xxhash64("lines")), "page-lines")
     placed = each.where("host IS NOT NULL")
-    places = (placed.groupBy("host", "path").agg(F.min(F.struct("key", "lines")).alias("m"))
-              .select("host", "path", "m.lines"))
-    around = materialize(neighbours(places), "url-neighbours")
+    places = placed.groupBy(*PLACE).agg(F.first("lines").alias("lines"))
+    numbered = materialize(runs(places), "url-numbers")
+    around = numbered.select(*PLACE, "run").join(neighbours(numbered), "run").drop("run")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                own, best = list(r.lines), None
+                best = None
                 for n in (r.before, r.after):
-                    if n is not None and n["host"] == r.host and list(n["lines"]) != own:
-                        near = _near(r.path, n["path"])
+                    if n is not None and n["host"] == r.host and list(n["lines"]) != list(r.lines):
+                        near = _near((r.path, r.query), (n["path"], n["query"]))
                         if best is None or near > best[0]:
                             best = near, list(n["lines"])
                 if best:
                     may = set(r.open)
-                    gone = [i for i in shared_lines(own, best[1]) if i in may]
+                    gone = [i for i in shared_lines(list(r.lines), best[1]) if i in may]
                     if gone:
                         out.append((r.key, gone))
             yield pd.DataFrame(out, columns=["key", "gone"])
 
-    met = placed.join(around.drop("lines"), ["host", "path"])
-    return (met.select("key", "host", "path", "lines", "open", "before", "after")
+    met = placed.join(around, list(PLACE))
+    return (met.select("key", "host", "path", "query", "lines", "open", "before", "after")
             .mapInPandas(run, "key long, gone array<int>").dropDuplicates(["key"]))
 
 
