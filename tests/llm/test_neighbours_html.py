@@ -129,6 +129,20 @@ def test_pages_of_one_path_differ_by_query(spark):
     assert site(spark, pages) == {i: f"own {i}" for i in range(40)}
 
 
+def test_every_copy_of_a_run_is_differenced(spark):
+    """Copies at urls next to each other, also over the ends of ranges, lose what the page beyond them shares."""
+    pages = [(i, f"http://h.org/{i:04d}", "copy" if i < 30 or 40 < i < 90 else f"own {i}") for i in range(100)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    try:
+        for ranges in ("true", "false"):  # one range, and several
+            spark.conf.set(key, ranges)
+            assert site(spark, pages) == {i: own for i, _, own in pages}
+    finally:
+        spark.conf.set(key, before)
+    assert set(site(spark, [(i, f"http://h.org/{i}", "copy") for i in range(9)]).values()) == {"My site\ncopy\nRead on."}
+
+
 def test_query_equals_articles(spark, rows):
     import html
     import re

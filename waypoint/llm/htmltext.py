@@ -1,7 +1,8 @@
 """Main text of pages by differencing pages of like URL, and markup.
 
-Pages of a host are put in URL order (path, query, lines); each page is paired
-with the neighbour whose URL shares more with its own. The text lines of the two are
+Pages of a host are put in URL order (path, query, lines); pages of equal
+lines next to each other are one run, and each page is paired with the page
+before or after its run whose URL shares more with its own. The text lines of the two are
 aligned by longest common subsequence, and shared lines go: they belong to
 the site. Differencing alone leaves menus that change from page to page and
 would take sentences that two articles share, so markup has a say first:
@@ -16,7 +17,7 @@ third of all pages spreads over many tasks; runs are numbered from one row per
 range, and meet the runs next to them by number.
 
 Defined cases: null or empty html gives an empty text; a page with a null or
-unreadable url, or alone on its host, or whose neighbours are copies of it,
+unreadable url, or alone on its host, or whose host has only copies of it,
 loses no line by differencing; repeated rows are extracted once each; extra
 columns pass through; an empty table gives an empty result.
 """
@@ -291,17 +292,20 @@ PLACE = ("host", "path", "query", "same")
 
 def runs(places: DataFrame) -> DataFrame:
     """``places`` (PLACE, lines; a row for each PLACE) with ``run``: the number of its run. Rows next to
-    each other in PLACE order are numbered in order, each a run of its own."""
+    each other in PLACE order are of one run where host and ``same`` are equal; runs are numbered in order."""
     ranged = materialize(places.repartitionByRange(*PLACE).select(
         F.spark_partition_id().alias("part"), *PLACE, "lines"), "url-order")
     order = Window.partitionBy("part").orderBy(*PLACE)
+    kind = F.struct("host", "same")
     first = F.lag(F.lit(True)).over(order).isNull()
-    starts = F.when(first, 0).otherwise(1)
+    starts = F.when(first, 0).otherwise((F.lag(kind).over(order) != kind).cast("long"))
     marked = ranged.select("part", *PLACE, "lines", starts.alias("new"))
     ends = (marked.groupBy("part").agg(F.min(F.struct(*PLACE)).alias("lo"), F.max(F.struct(*PLACE)).alias("hi"),
                                        F.sum("new").alias("k")))
     parts = Window.orderBy("part")  # a row for each range
-    ends = ends.select("part", "k", F.lit(1).alias("new"))
+    prior = F.lag("hi").over(parts)
+    ends = ends.select("part", "k", F.when((prior["host"] == F.col("lo.host")) & (prior["same"] == F.col("lo.same")), 0)
+                       .otherwise(1).alias("new"))
     ends = ends.select(F.col("part").alias("of"), (F.sum(F.col("k") + F.col("new")).over(parts) - F.col("k")).alias("base"))
     return (marked.join(F.broadcast(ends), F.col("part") == F.col("of"))
             .select(*PLACE, "lines", (F.col("base") + F.sum("new").over(order)).alias("run")))
@@ -331,7 +335,7 @@ def deletions(pages: DataFrame) -> DataFrame:
             for r in b.itertuples(index=False):
                 best = None
                 for n in (r.before, r.after):
-                    if n is not None and n["host"] == r.host and list(n["lines"]) != list(r.lines):
+                    if n is not None and n["host"] == r.host:
                         near = _near((r.path, r.query), (n["path"], n["query"]))
                         if best is None or near > best[0]:
                             best = near, list(n["lines"])
