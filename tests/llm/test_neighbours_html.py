@@ -77,6 +77,21 @@ def test_lines_of_an_article():
     assert kept == ["Head line", "One two three", "four five <x> &am", "x", "y"]
 
 
+def test_class_words_do_not_veto_an_article():
+    def kept(page: str) -> list[str]:
+        return [t for t, zone, _ in htmltext.lines(page) if zone == htmltext.KEEP]
+
+    for name in ("content-sidebar-wrap", "layout has-sidebar", "no-sidebar", "social-science", "sidebar"):
+        assert kept(f'<body><div class="{name}"><p>x</p><article><h1>T</h1><p>a</p></article></div>') == ["T", "a"]
+        assert kept(f'<body><div class="{name}"><p>x</p><main><p>a</p></main></div>') == ["a"]
+    assert kept('<body><article class="post comments-open"><p>a</p></article>') == ["a"]
+    assert kept("<body><main><header><h1>T</h1><p>by</p></header><p>a</p></main>") == ["T", "a"]
+    for part in ('div class="comments"', "aside", "nav", "footer", "form"):
+        assert kept(f"<body><article>a</article><{part}><article>no</article></{part.split()[0]}>") == ["a"]
+    assert htmltext.lines('<body><div class="social-science"><p>a</p></div><div class="comments"><p>b</p></div>') == [
+        ("a", htmltext.OPEN, False), ("b", htmltext.DROP, False)]
+
+
 def test_longest_common_subsequence():
     def length(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

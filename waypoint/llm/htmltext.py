@@ -7,9 +7,11 @@ aligned by longest common subsequence, and shared lines go: they belong to
 the site. Differencing alone leaves menus that change from page to page and
 would take sentences that two articles share, so markup has a say first:
 lines inside an explicit ``article`` (or main) element stay, lines inside
-menus, headers, footers, sidebars, notices, adverts, forms and comments (by
-element, role, class or id) go, and differencing decides on all others. Of
-these others, lines that are links only also go.
+menus, headers, footers, sidebars, notices and forms (by element or role) and
+comments (also by class or id) go, and differencing decides on all others,
+among them parts of a page or article that a class or id alone marks as the
+site's (an article or main part inside such a part stays). Of these others,
+lines that are links only also go.
 
 Scale: line hashes, not texts, are sorted and paired. The order is a range
 exchange over (host, path, query, hash of lines), so a host or a path with a
@@ -38,8 +40,9 @@ from pyspark.sql import functions as F
 from waypoint.llm.common import others, table
 from waypoint.session import materialize
 
-#: Zones of a line; HEADER: in an article's own header.
-KEEP, OPEN, DROP, HEADER = 0, 1, 2, 3
+#: Zones of a line; HEADER, MAIN_HEADER: in an article's or main part's own header; MARKED, MARKED_PART,
+#: MARKED_HEADER: a class or id marks it as the site's, outside an article, in one, and as one's header.
+KEEP, OPEN, DROP, HEADER, MAIN_HEADER, MARKED, MARKED_PART, MARKED_HEADER = range(8)
 
 #: Tags, comments and declarations; attribute values may hold ``>``.
 MARKUP = re.compile(
@@ -67,7 +70,11 @@ SITE_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs"
               "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "respond", "replies",
               "pagination", "pager", "toolbar", "skip", "alert", "toast", "copyright", "disclaimer", "announcement",
               "popular", "trending", "recommendations", "promotion", "advertising", "teaser"}
-COMMENT_WORDS = {"comment", "comments", "reply", "replies"}
+COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+#: Words that say a name is not of the part it names: "has-sidebar", "comments-open", "content-sidebar-wrap".
+STATES, WRAPS = {"has", "no", "with", "without", "open", "closed"}, {"wrap", "wrapper"}
+#: Zone of headings in a zone where they differ from other lines.
+HEADING_ZONES = {HEADER: KEEP, MARKED_HEADER: KEEP, MAIN_HEADER: OPEN}
 
 
 #: Elements that close their like, and where that ends.
@@ -88,22 +95,34 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): _html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(text)}
 
 
-def _zone(tag: str, attrs: dict[str, str]) -> int | None:
-    """The zone an element opens, or None where it takes its parent's."""
-    names = {w.lower() for a in ("class", "id") for w in NAME_PART.findall(attrs.get(a, ""))} if attrs else ()
+def _is_main(tag: str, attrs: dict[str, str]) -> bool:
+    return (tag == "main" or attrs.get("role", "").lower() == "main"
+            or attrs.get("itemprop", "").lower() == "articlebody")
+
+
+def _zone(tag: str, attrs: dict[str, str], parent: int, main: bool) -> int | None:
+    """The zone an element opens below ``parent`` (and in a main part), or None where it takes its parent's."""
+    tokens = [{w.lower() for w in NAME_PART.findall(t)} for a in ("class", "id") for t in attrs.get(a, "").split()]
+    names = [t for t in tokens if not t & STATES]
+    comments = any(t & COMMENT_WORDS for t in names)
     if attrs and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                   or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)):
         return DROP
     if tag == "article":
-        return DROP if names and COMMENT_WORDS & set(names) else KEEP
+        return DROP if comments else KEEP
     if tag in ("html", "body"):
         return None
-    role = attrs.get("role", "").lower() if attrs else ""
-    if tag == "main" or role == "main" or attrs.get("itemprop", "").lower() == "articlebody":
-        return None  # a main part keeps its lines only where there is no article: see lines()
-    if tag == "header" or "header" in names:
-        return HEADER
-    return DROP if tag in SITE_ELEMENTS or role in SITE_ROLES or (names and SITE_WORDS & set(names)) else None
+    if _is_main(tag, attrs):  # a main part keeps its lines only where there is no article: see lines()
+        return OPEN if parent == MARKED else None
+    if tag == "header":
+        return HEADER if parent == KEEP else MAIN_HEADER if main and parent in (OPEN, MARKED) else DROP
+    if comments or tag in SITE_ELEMENTS or attrs.get("role", "").lower() in SITE_ROLES:
+        return DROP
+    if any(t & SITE_WORDS for t in names if not t & WRAPS):
+        if parent == KEEP:
+            return MARKED_HEADER if any("header" in t for t in names) else MARKED_PART
+        return MARKED if parent == OPEN else None
+    return None
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -163,14 +182,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         attrs = _attributes(m[3] or m[6] or "")
         _, zone, link, main = stack[-1]
         if zone != DROP:
-            opened = _zone(tag, attrs)
-            if zone == HEADER and tag in HEADINGS:
-                opened = KEEP  # an article's own header: its headings stay
-            elif opened == HEADER and zone != KEEP:
-                opened = DROP
+            opened = _zone(tag, attrs, zone, main)
+            if tag in HEADINGS and opened != DROP:
+                opened = HEADING_ZONES.get(zone, opened)  # an article's own header: its headings stay
             zone = zone if opened is None else opened
             articles |= zone == KEEP and tag == "article"
-        main |= tag == "main" or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"
+        main |= _is_main(tag, attrs)
         stack.append((tag, zone, link or tag == "a", main))
     text_of(page[at:])
     flush()
@@ -180,9 +197,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 def _settled(zone: int, main: bool, articles: bool, mains: bool) -> int:
     """Without an article, a main part is kept; beside an article or main part, only main's other lines are open."""
-    if zone != OPEN:
+    if zone in (MARKED_PART, MARKED_HEADER):
+        return OPEN
+    if zone not in (OPEN, MARKED):
         return min(zone, DROP)
-    if not articles and main:
+    if zone == OPEN and not articles and main:
         return KEEP
     return DROP if (articles or mains) and not main else OPEN
 
