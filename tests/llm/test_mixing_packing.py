@@ -128,3 +128,24 @@ def test_packer_rounds(pool):
     out = packer.take()
     check(list(out.itertuples()), docs)
     assert out["sequence_id"].min() >= 3 << 40
+
+
+def test_step_groups_of_long_documents_are_full_and_balanced():
+    """Whole windows of documents of one to three windows share groups with packed ones."""
+    rnd = np.random.default_rng(4)
+    packer = packing.Packer(0, pool=50, dealt=64)
+    rows = []
+    for d in range(600):
+        packer.add(d, rnd.integers(0, 50_000, int(rnd.integers(1, 3500))).astype("<u4"))
+        assert all(len(x) < 64 for x in packer.ready.values())
+        rows.append(packer.take())
+    packer.pack(last=True)
+    rows = packing.pd.concat([*rows, packer.take()])
+    rows["cost"] = rows["length"] ** 2
+    seqs = rows.groupby("sequence_id").agg(window=("window", "first"), step=("step_group", "first"), cost=("cost", "sum"))
+    groups = seqs.groupby("step").agg(window=("window", "first"), n=("cost", "size"), cost=("cost", "sum"))
+    assert groups["n"].max() == packing.GROUP
+    assert (groups[groups["n"] < packing.GROUP].groupby("window").size() <= 1).all()
+    full = groups[(groups["n"] == packing.GROUP) & (groups["window"] == 1024)]
+    single = seqs[seqs["window"] == 1024]["cost"]
+    assert len(full) > 50 and full["cost"].std() / full["cost"].mean() < 0.3 * single.std() / single.mean() / packing.GROUP ** 0.5

@@ -5,12 +5,15 @@ context size, and a rest that is routed to the smallest tier that holds it.
 Each tier packs its rests into windows of its size, longest first; a gap in a
 longer window is filled with pieces of shorter tiers, the last of them cut to
 fit. Windows that stay open at the end of a task are cut to powers of two, so
-they need no padding either. Sequences of a tier are dealt to step groups by
-attention cost (sum of squared piece lengths), the next costliest always to
-the group with the least so far.
+they need no padding either. Sequences of a length wait, whole windows and
+packed ones together, and are dealt to full step groups by attention cost (sum
+of squared piece lengths), the next costliest always to the group with the
+least so far; what fills no group waits for the next deal, so a task has at
+most one smaller group of each length, at its end.
 
 Packing needs no key to be together, so it runs where the scan put the rows:
-no shuffle, one streaming pass, and at most ``pool`` rests held in a task.
+no shuffle, one streaming pass, and at most ``pool`` rests and ``dealt`` ready
+sequences of each length (as places and checksums, without ids) held in a task.
 Sequence ids carry the partition number; a retried task reads the same split
 and writes the same rows.
 
@@ -38,8 +41,8 @@ from waypoint.llm.common import table, text_or_empty
 TIERS = (1024, 512, 256)
 #: Rests a task collects before it packs them.
 POOL = 8192
-#: Sequences of a step group.
-GROUP = 8
+#: Sequences of a step group, and sequences of a length that are dealt to groups at once.
+GROUP, DEALT = 8, 1024
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, window long, step_group long")
@@ -86,11 +89,13 @@ class FileTokenizer:
 class Packer:
     """Streams (doc_id, ids) into rows of SCHEMA; see the module text."""
 
-    def __init__(self, part: int, tiers=TIERS, pool: int = POOL, group: int = GROUP):
+    def __init__(self, part: int, tiers=TIERS, pool: int = POOL, group: int = GROUP, dealt: int = DEALT):
         self.tiers, self.limit, self.group = sorted(tiers, reverse=True), pool, group
+        self.dealt = max(dealt, group)
         self.base = self.step = part << 40
         self.next = self.base
         self.rests: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
+        self.ready = defaultdict(list)  # length: (cost, rows up to the sequence id) of sequences without a group
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
@@ -127,6 +132,9 @@ class Packer:
                 else:
                     self.rests += window
         self._emit(made)
+        if last:
+            for size in sorted(self.ready, reverse=True):
+                self._deal(size, len(self.ready[size]))
 
     @staticmethod
     def _put(queue: list, piece: tuple) -> None:
@@ -156,26 +164,30 @@ class Packer:
         return out
 
     def _emit(self, made: list) -> None:
-        by_tier = defaultdict(list)
         for size, seq in made:
-            by_tier[size].append(seq)
-        for size, seqs in sorted(by_tier.items(), reverse=True):
-            cost = [sum(len(p[2]) ** 2 for p in s) for s in seqs]
-            groups = [(0, self.step + g) for g in range(-(-len(seqs) // self.group))]
-            self.step += len(groups)
-            heapq.heapify(groups)
-            held = defaultdict(int)
-            for i in sorted(range(len(seqs)), key=lambda i: -cost[i]):
-                c, g = heapq.heappop(groups)
-                held[g] += 1
-                if held[g] < self.group:
-                    heapq.heappush(groups, (c + cost[i], g))
-                offset = 0
-                for doc, start, ids, n in seqs[i]:
-                    self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n,
-                                      self.next, offset, size, g))
-                    offset += len(ids)
-                self.next += 1
+            rows = [(doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n) for doc, start, ids, n in seq]
+            ready = self.ready[size]
+            ready.append((sum(x[2] ** 2 for x in rows), rows))
+            if len(ready) >= self.dealt:
+                self._deal(size, len(ready) - len(ready) % self.group)
+
+    def _deal(self, size: int, k: int) -> None:
+        """Deals the first ``k`` ready sequences of a length to step groups."""
+        seqs, self.ready[size] = self.ready[size][:k], self.ready[size][k:]
+        groups = [(0, self.step + g) for g in range(-(-k // self.group))]
+        self.step += len(groups)
+        heapq.heapify(groups)
+        held = defaultdict(int)
+        for cost, rows in sorted(seqs, key=lambda s: -s[0]):
+            c, g = heapq.heappop(groups)
+            held[g] += 1
+            if held[g] < self.group:
+                heapq.heappush(groups, (c + cost, g))
+            offset = 0
+            for row in rows:
+                self.rows.append((*row, self.next, offset, size, g))
+                offset += row[2]
+            self.next += 1
 
     def take(self) -> pd.DataFrame:
         out = pd.DataFrame(self.rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
