@@ -69,17 +69,20 @@ def look(word: bytes) -> int:
 
 
 class Looks(dict):
-    """Word to index; words it does not know have -1 - look."""
+    """Word to index; words it does not know have -1 - look (kept while there is room)."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - look(word)
+        n = -1 - look(word)
+        if len(self) < KNOWN:
+            self[word] = n
+        return n
 
 
 class Numbers(dict):
     """Word to number; a word it does not know gets the next number, until ``forget``."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(words))
+        super().__init__(zip(words, range(len(words))))
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -219,15 +222,14 @@ def neighbour_classes(docs: DataFrame, known: pa.Table, cls: np.ndarray, top: in
 
     ``cls``: classes of the known words. A word has a row for each of a task's flushes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((known["word"], cls))
+    shared = docs.sparkSession.sparkContext.broadcast((known["word"], cls, hashes(known["word"].to_pylist())))
     width = 2 * c + 1
     schema = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("cells", pa.list_(pa.int32())),
                         ("n", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first = shared.value
+        words, first, known_h = shared.value
         index = Numbers(words.to_pylist())
-        known_h = hashes(index)
         ids, held, edge = [], 0, np.array([-1])
 
         def rows() -> pa.RecordBatch:
@@ -255,7 +257,7 @@ def neighbour_classes(docs: DataFrame, known: pa.Table, cls: np.ndarray, top: in
                 got = np.array(list(map(index.__getitem__, tokens(text))), np.int64)
                 ids += [edge, got]
                 held += len(got) + 1
-                if held > FLUSH:
+                if held > 2 * FLUSH:
                     yield rows()
                     held = 0
         if ids:
