@@ -134,7 +134,9 @@ class Packer:
         self._emit(made)
         if last:
             for size in sorted(self.ready, reverse=True):
-                self._deal(size, len(self.ready[size]))
+                k = len(self.ready[size])
+                self._deal(size, k - k % self.group)
+                self._deal(size, k % self.group)
 
     @staticmethod
     def _put(queue: list, piece: tuple) -> None:
