@@ -5,15 +5,15 @@ context size, and a rest that is routed to the smallest tier that holds it.
 Each tier packs its rests into windows of its size, longest first; a gap in a
 longer window is filled with pieces of shorter tiers, the last of them cut to
 fit. Windows that stay open at the end of a task are cut to powers of two, so
-they need no padding either. Sequences of a length wait, whole windows and
-packed ones together, and are dealt to full step groups by attention cost (sum
+they need no padding either. Whole windows wait for the packed ones; after each
+packing the sequences of a length are dealt to full step groups by attention cost (sum
 of squared piece lengths), the next costliest always to the group with the
 least so far; what fills no group waits for the next deal, so a task has at
 most one smaller group of each length, at its end.
 
 Packing needs no key to be together, so it runs where the scan put the rows:
-no shuffle, one streaming pass, and at most ``pool`` rests and ``dealt`` ready
-sequences of each length (as places and checksums, without ids) held in a task.
+no shuffle, one streaming pass, and at most ``pool`` rests and ``dealt`` whole
+windows (as places and checksums, without ids) held in a task.
 Sequence ids carry the partition number; a retried task reads the same split
 and writes the same rows.
 
@@ -41,8 +41,8 @@ from waypoint.llm.common import table, text_or_empty
 TIERS = (1024, 512, 256)
 #: Rests a task collects before it packs them.
 POOL = 8192
-#: Sequences of a step group, and sequences of a length that are dealt to groups at once.
-GROUP, DEALT = 8, 1024
+#: Sequences of a step group, and whole windows that wait at most for the packed ones.
+GROUP, DEALT = 8, 1 << 16
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, window long, step_group long")
@@ -106,6 +106,7 @@ class Packer:
             self.rests.append((doc_id, cut, ids[cut:], n))
         if len(self.rests) >= self.limit:
             self.pack(last=False)
+        self._deal_full(self.dealt)
 
     def pack(self, last: bool) -> None:
         """Packs the rests; without ``last``, pieces of open windows wait for the next round."""
@@ -132,11 +133,10 @@ class Packer:
                 else:
                     self.rests += window
         self._emit(made)
+        self._deal_full(self.group)
         if last:
             for size in sorted(self.ready, reverse=True):
-                k = len(self.ready[size])
-                self._deal(size, k - k % self.group)
-                self._deal(size, k % self.group)
+                self._deal(size, len(self.ready[size]))
 
     @staticmethod
     def _put(queue: list, piece: tuple) -> None:
@@ -168,10 +168,14 @@ class Packer:
     def _emit(self, made: list) -> None:
         for size, seq in made:
             rows = [(doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n) for doc, start, ids, n in seq]
-            ready = self.ready[size]
-            ready.append((sum(x[2] ** 2 for x in rows), rows))
-            if len(ready) >= self.dealt:
-                self._deal(size, len(ready) - len(ready) % self.group)
+            self.ready[size].append((sum(x[2] ** 2 for x in rows), rows))
+
+    def _deal_full(self, least: int) -> None:
+        """Deals what fills groups, of the lengths that have ``least`` ready sequences."""
+        for size in sorted(self.ready, reverse=True):
+            k = len(self.ready[size])
+            if k >= least:
+                self._deal(size, k - k % self.group)
 
     def _deal(self, size: int, k: int) -> None:
         """Deals the first ``k`` ready sequences of a length to step groups."""
