@@ -11,7 +11,7 @@ def test_queries_equal_their_sql(spark):
     from tools.oracle_check import duck, norm
     from waypoint.llm.queries import ORACLE, QUERIES
     entry = importlib.import_module("__spark_entry__")
-    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) == {"op4_mixing", "op6_licences", "op9_chat"}
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) == {"op4_mixing", "op6_licences", "op9_chat", "op11_centroids"}
     con = duck(SF)
     for name, sql in ORACLE.items():
         df = QUERIES[name](spark, SF)
@@ -26,4 +26,4 @@ def test_queries_equal_their_sql(spark):
 
 def test_names_start_with_their_number():
     from waypoint.llm.queries import QUERIES
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1))
