@@ -103,7 +103,8 @@ def test_step_groups_hold_like_windows(spark):
 
 def test_tokenizer_equals_the_files_library():
     texts = ["", "  a  b ", "x<|endoftext|>y z", "a  b\n c \n d", "\t\t x", "é ñ  \r\n", "don't we'll", "１２ 34 ½",
-             "\n a", "a\x1c b", "東京 \U0001F600"]
+             "\n a", "a\x1c b", "東京 \U0001F600", "a" + " " * 1_000_000 + "b", "a" + "\n" * 200_000, " \t" * 60_000 + "x y",
+             "<|endoftext|>" + " " * 20_000 + "<|endoftext|>x" + " " * 20_000 + "y", "b" * 300_000]
     tok = packing.FileTokenizer(packing.default_tokenizer())
     for text, want in zip(texts, tokenised(texts)):
         assert [*tok.ids(text).tolist(), 0] == want.tolist()

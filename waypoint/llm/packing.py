@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -66,24 +67,56 @@ def byte_level_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
             if t not in special}, special
 
 
+#: The characters of the pattern's \\s, and runs of them that the encoder's pattern engine has no stack for.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 10_000
+LONG_BLANKS = re.compile(f"(?<![{BLANK}])[{BLANK}]{{{LONG_RUN},}}")
+
+
+def long_blanks(text: str, stops: tuple[str, ...] = ()) -> Iterator[tuple[str, bool]]:
+    """(part, is a long blank run) in order. By the split pattern a run leaves its last character to
+    the text after it, unless the text ends there or a special token (``stops``) follows."""
+    half = LONG_RUN // 2  # a long run fills one such block at least
+    at = 0
+    if any(text[i:i + half].isspace() for i in range(0, len(text), half)):
+        for m in LONG_BLANKS.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(stops, m.end()) else m.end() - 1
+            yield text[at:m.start()], False
+            yield text[m.start():end], True
+            at = end
+    yield text[at:], False
+
+
 class FileTokenizer:
     """Ids of whole texts, as the tokenizer file gives them without added special tokens.
 
     The file's vocabulary is its merge order, so the same ids come from an
     encoder over ranks, which is several times faster (tests compare both).
-    A special token's string in a text is that token, as in the file's library.
+    A special token's string in a text is that token, as in the file's library;
+    with ``plain`` it is ordinary text.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        ranks, self.special = byte_level_ranks(path)
-        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks,
+        self.ranks, self.special = byte_level_ranks(path)
+        self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.ranks,
                                      special_tokens=self.special)
 
-    def ids(self, text: str) -> np.ndarray:
-        special = any(s in text for s in self.special)
-        return np.array(self.bpe.encode(text, allowed_special="all") if special
-                        else self.bpe.encode_ordinary(text), np.uint32)
+    def ids(self, text: str, plain: bool = False) -> np.ndarray:
+        special = () if plain else tuple(s for s in self.special if s in text)
+        out = []
+        for part, blank in long_blanks(text, special):
+            if blank:
+                out.append(self._blank_ids(part))
+            elif special:
+                out.append(np.array(self.bpe.encode(part, allowed_special="all"), np.uint32))
+            else:
+                out.append(np.array(self.bpe.encode_ordinary(part), np.uint32))
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def _blank_ids(self, run: str) -> np.ndarray:
+        """Ids of one piece of the split pattern, without the pattern."""
+        return np.array(self.bpe._encode_single_piece(run), np.uint32)
 
 
 class Packer:

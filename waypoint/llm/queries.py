@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from waypoint.llm.align import op13_alignment
 from waypoint.llm.centroids import OP11_SQL, op11_centroids
 from waypoint.llm.chat import OP9_SQL, op9_chat
 from waypoint.llm.classlm import op7_class_lm
@@ -26,6 +27,7 @@ QUERIES = {f.__name__: f for f in (
     op9_chat,
     op10_nearest,
     op11_centroids,
+    op13_alignment,
 )}
 
 ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_licences": OP6_SQL, "op9_chat": OP9_SQL,
