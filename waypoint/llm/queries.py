@@ -8,6 +8,7 @@ from waypoint.llm.chat import OP9_SQL, op9_chat
 from waypoint.llm.classlm import op7_class_lm
 from waypoint.llm.fingerprints import op3_fingerprints
 from waypoint.llm.htmltext import op1_html_text
+from waypoint.llm.langid import op12_language
 from waypoint.llm.licences import OP6_SQL, op6_licences
 from waypoint.llm.mixing import OP4_SQL, op4_mixing
 from waypoint.llm.neighbours import op10_nearest
@@ -27,6 +28,7 @@ QUERIES = {f.__name__: f for f in (
     op9_chat,
     op10_nearest,
     op11_centroids,
+    op12_language,
     op13_alignment,
 )}
 
