@@ -189,14 +189,14 @@ def test_simulator_outputs_property(spark, custs, bookings, frac):
 def test_lob_metrics_and_flag_sums_property(spark, rows):
     from collections import defaultdict
 
-    from waypoint.operators.respondents import flag_sums, lob_metrics_wide
+    from waypoint.operators.respondents import flag_sums, lob_metrics_wide, respondent_rollup
     df = spark.createDataFrame(
         [(c, lob, code, None if v is None else float(v), None if v is None else float(v),
           0.0, 0.0, None if v is None else float(v)) for c, lob, code, v in rows],
         "ccid long, lob string, booking_code long, unit_count double, gbv double, "
         "loyalty_amount_net_burned_usd double, loyalty_amount_net_earned_usd double, f double")
     levels = ["air", "car", None]
-    got = {r.ccid: r for r in lob_metrics_wide(df, levels).collect()}
+    got = {r.ccid: r for r in lob_metrics_wide(respondent_rollup(df, ("f",)), levels).collect()}
     cells = defaultdict(list)
     for c, lob, code, v in rows:
         cells[(c, lob)].append((code, v))
@@ -207,7 +207,7 @@ def test_lob_metrics_and_flag_sums_property(spark, rows):
             assert got[c][f"num_bookings_lob_{name}"] == len({code for code, _ in xs})
             want = 0 if not xs else (None if any(v is None for _, v in xs) else sum(v for _, v in xs))
             assert got[c][f"unit_count_lob_{name}"] == want
-    sums = {r.ccid: r.f for r in flag_sums(df, ("f",)).collect()}
+    sums = {r.ccid: r.f for r in flag_sums(respondent_rollup(df, ("f",)), ("f",)).collect()}
     for c in {r[0] for r in rows}:
         vs = [v for cc, _, _, v in rows if cc == c]
         assert sums[c] == (None if any(v is None for v in vs) else float(sum(vs)))

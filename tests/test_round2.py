@@ -23,8 +23,7 @@ def scans(df, table: str) -> list[set]:
     return [set(re.findall(r"(\w+):", line.split("ReadSchema: struct<")[1])) for line in found]
 
 
-@pytest.mark.parametrize("name", ["recorded_tier_distribution", "typing_table", "rf_training_set",
-                                  "stage_reconciliation"])
+@pytest.mark.parametrize("name", ["recorded_tier_distribution", "typing_table", "rf_training_set"])
 def test_salted_joins_keep_column_pruning(spark, name):
     from waypoint.plans.registry import QUERIES
     read = scans(QUERIES[name](spark, SF_SMALL), "tx")
@@ -102,7 +101,9 @@ def test_forest_separates_known_classes(spark):
     rows = [(*[float(i * 100 + j) for j in range(len(p.forest_lobs))], "AB"[i % 2]) for i in range(24) for _ in range(6)]
     names = [f"lob_{x}" for x in p.forest_lobs]
     train = spark.createDataFrame(rows, names + ["segments_v1"])
-    counts = {r.pred_class: r.n for r in forest.predicted_counts(forest.fit_forest(train, p), train).collect()}
+    nodes, labels = forest.forest_nodes(forest.fit_forest(train, p))
+    score = train.withColumn("ccid", F.monotonically_increasing_id())
+    counts = {r.pred_class: r.n for r in forest.predicted_counts(forest.predictions(nodes, labels, score, p)).collect()}
     assert counts == {"A": 72, "B": 72}
 
 

@@ -1,20 +1,22 @@
 """Segment prediction with a random forest on LOB spend.
 
-Training and scoring run in Spark ML: trees are grown from distributed
-per-partition statistics, and scoring is a per-row transform.
+Training runs in Spark ML: trees are grown from distributed per-partition
+statistics. The fitted trees are kept as a table of node rows and scored by a
+native expression, so predictions are plain rows that SQL can check.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import filled_sum
 from waypoint.operators.lines import year_slice
 from waypoint.params import ModelParams
+from waypoint.session import materialize, scratch_path
 
 
 def lob_spend_wide(tx: DataFrame, p: ModelParams) -> DataFrame:
@@ -49,9 +51,56 @@ def fit_forest(train: DataFrame, p: ModelParams):
     return model, list(idx.labels)
 
 
-def predicted_counts(fitted, score: DataFrame) -> DataFrame:
-    """Predicted class per scored customer, counted per class."""
+def forest_nodes(fitted) -> tuple[DataFrame, list[str]]:
+    """(tree, nodes) rows of a fitted forest, and its labels: the trees as data.
+
+    ``nodes`` is an array by node id of (feature, threshold, left, right, votes): a
+    leaf has feature -1, and its votes are the shares of the classes among its
+    training rows. Read from the forest's saved form, which is a table.
+    """
     model, labels = fitted
-    back = IndexToString(inputCol="prediction", outputCol="pred_class", labels=labels)
-    scored = back.transform(model.transform(score))
-    return scored.groupBy("pred_class").agg(F.count(F.lit(1)).alias("n"))
+    spark = SparkSession.active()
+    path = scratch_path(spark, "forest")
+    model.stages[-1].write().save(path)
+    node = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    stats = F.col("impurityStats")
+    total = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    rows = node.select("tree", F.struct(
+        "id", F.when(F.col("leftChild") < 0, F.lit(-1)).otherwise(F.col("split.featureIndex")).alias("feature"),
+        F.get(F.col("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
+        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+        F.when(F.col("leftChild") < 0, F.transform(stats, lambda x: x / total)).alias("votes")).alias("node"))
+    return materialize(rows.groupBy("tree").agg(F.array_sort(F.collect_list("node")).alias("nodes")), "forest-nodes"), labels
+
+
+def votes(nodes: DataFrame, score: DataFrame, p: ModelParams) -> DataFrame:
+    """(ccid, votes): for each customer of ``score`` the sum of the trees' leaf votes by class.
+
+    A customer meets every tree (``forest_trees`` rows, broadcast) and walks down
+    it by a native expression over the tree's node array, a step a level.
+    """
+    x = F.array(*[F.col(f"lob_{l}") for l in p.forest_lobs])
+    at = lambda i: F.get(F.col("nodes"), i)
+    step = lambda i, _: F.when(at(i)["feature"] < 0, i).when(
+        F.get(F.col("x"), at(i)["feature"]) <= at(i)["threshold"], at(i)["left"]).otherwise(at(i)["right"])
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(p.forest_depth)), F.lit(0), step)
+    trees = [r["tree"] for r in nodes.select("tree").collect()]  # forest_trees numbers
+    met = (score.select("ccid", x.alias("x")).withColumn("tree", F.explode(F.array(*[F.lit(t) for t in sorted(trees)])))
+           .join(F.broadcast(nodes), "tree").select("ccid", "tree", at(leaf)["votes"].alias("v")))
+    by_class = met.select("ccid", "tree", F.posexplode("v").alias("c", "v"))
+    # a sum in tree order, so that ties are the same in every run
+    summed = (by_class.groupBy("ccid", "c").agg(F.array_sort(F.collect_list(F.struct("tree", "v"))).alias("vs"))
+              .select("ccid", "c", F.aggregate("vs", F.lit(0.0), lambda a, s: a + s["v"]).alias("n")))
+    return summed.groupBy("ccid").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "n"))), lambda s: s["n"]).alias("votes"))
+
+
+def predictions(nodes: DataFrame, labels: list[str], score: DataFrame, p: ModelParams) -> DataFrame:
+    """(ccid, pred_class): the class of most votes, the first of equals."""
+    best = F.array_position("votes", F.array_max("votes")) - 1
+    return votes(nodes, score, p).select(
+        "ccid", F.get(F.array(*[F.lit(x) for x in labels]), best.cast("int")).alias("pred_class"))
+
+
+def predicted_counts(predicted: DataFrame) -> DataFrame:
+    """Predicted class per scored customer, counted per class."""
+    return predicted.groupBy("pred_class").agg(F.count(F.lit(1)).alias("n"))

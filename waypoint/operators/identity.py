@@ -46,12 +46,20 @@ class Dataset:
     tx: DataFrame
     ccids: DataFrame
     hot_ccids: tuple = ()  # customers holding a large share of the lines
+    parts: tuple[DataFrame, ...] = ()  # ``tx`` as stored: clustered by customer, and the hot customers' lines
+    n_lines: int = 0  # as counted by the id pass
+    buckets: int | None = None  # of the clustered part
+
+    @property
+    def tx_parts(self) -> tuple[DataFrame, ...]:
+        return self.parts or (self.tx,)
 
 
 def process_ccids(cust: DataFrame, tx: DataFrame, key: str = NATURAL_KEY) -> Dataset:
     """Ids for both tables. The lines are read once for keys: one per-key count
     (written, key-sized) gives both the hot keys and the distinct keys."""
     counts = materialize(key_counts(tx, key), "line-key-counts")
+    n_lines = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     hot_tx = hot_keys(tx, key, counts=counts)
     ccids = dense_ids(cust.select(key).unionByName(counts.select(key)), key, "ccid")
     hot_ids = tuple(r[0] for r in ccids.where(is_hot(F.col(key), hot_tx))
@@ -59,4 +67,4 @@ def process_ccids(cust: DataFrame, tx: DataFrame, key: str = NATURAL_KEY) -> Dat
     # the lines' hot keys serve the (much smaller) customer table too
     return Dataset(cust=attach_ccid(cust, ccids, key, hot_tx),
                    tx=attach_ccid(tx, ccids, key, hot_tx),
-                   ccids=ccids, hot_ccids=hot_ids)
+                   ccids=ccids, hot_ccids=hot_ids, n_lines=n_lines)

@@ -21,6 +21,11 @@ DEFAULT_SHARE = 0.001
 SALT_COLUMNS = ("booking_code", "begin_use_date", "ccid")
 
 
+def hot_of(counts: DataFrame, key: str, n: str, share: float = DEFAULT_SHARE) -> tuple:
+    """Hot keys from a table that already counts rows by key (column ``n``)."""
+    return hot_keys(counts, key, share, counts.select(key, F.col(n).alias("__n")))
+
+
 def key_counts(df: DataFrame, key: str) -> DataFrame:
     """Rows per key (null included), combined map-side: one row per key."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))

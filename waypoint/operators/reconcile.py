@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import n_distinct_na, strict_sum
 from waypoint.operators.joins import lookup_join
-from waypoint.operators.lines import eligible, year_slice
 from waypoint.params import ModelParams
+from waypoint.sources.cache import by_part
 
 # Fixed value: the metric names a stage value's name starts with.
 METRIC_PATTERN = "(gbvlc)|(bookings)|(trip_elements)"
@@ -22,36 +22,72 @@ def _row(df: DataFrame, stage: str, exprs: dict[str, F.Column]) -> DataFrame:
     return agg.select(F.inline(pairs))
 
 
-def stage_values(tx: DataFrame, member_ids: DataFrame, enriched: DataFrame,
-                 cust_units: DataFrame, booking_units: DataFrame,
-                 bookings_out: DataFrame, members_out: DataFrame, p: ModelParams,
-                 hot: tuple = ()) -> DataFrame:
-    """(type, value) rows such as ``gbvlc_raw_members``; every value scaled."""
-    frac = F.lit(p.extract_fraction)
-    raw = eligible(year_slice(tx, p.analysis_year), p).where(F.col("unit_count") > 0)
-    raw_m = lookup_join(raw, member_ids, "ccid", "left_semi", hot=hot, spread_copies=True)
-    tx_y = year_slice(enriched, p.analysis_year)
-
-    def line_metrics(gbv, units):
-        return {"gbvlc": strict_sum(gbv).cast("double") / frac,
-                "bookings": n_distinct_na("booking_code") / frac,
-                "trip_elements": strict_sum(units) / frac}
-    n_types = 2.0
+def _parts(cond, gbv: str, units: str) -> dict:
+    """What a strict total needs of the rows that meet ``cond``: their number, and numbers and sums of values."""
+    out = {"n": F.count_if(cond)}
+    for name, c in (("gbvlc", gbv), ("trip_elements", units)):
+        v = F.when(cond, F.col(c))
+        out |= {f"n_{name}": F.count(v), name: F.sum(v)}
+    return out
+
+
+def raw_metrics(p: ModelParams) -> dict:
+    """Observed on the line roll-up: its rows with units in the analysis year."""
+    return _parts((F.col("use_year") == p.analysis_year) & (F.col("n_unit") > 0), "gbvlc", "trip_elements")
+
+
+def line_metrics(p: ModelParams) -> dict:
+    """Observed on the enriched lines of the analysis year."""
+    return _parts(F.year("begin_use_date") == p.analysis_year, "gbvlc", "trip_elements")
+
+
+def booking_metrics() -> dict:
+    """Observed on the booking table."""
+    return _parts(F.lit(True), "gbvlc", "trip_elements") | {"bookings": F.sum("bookings"), "n_bookings": F.count("bookings")}
+
+
+def strict_total(found: list[dict], name: str):
+    """Total of a metric over parts, as a column; null if a row had none."""
+    if sum(f["n"] for f in found) != sum(f[f"n_{name}"] for f in found):
+        return F.lit(None).cast("double")
+    values = [f[name] for f in found if f[name] is not None]
+    return F.lit(sum(values)).cast("double") if values else F.lit(None).cast("double")
+
+
+def stage_values(m) -> DataFrame:
+    """(type, value) rows such as ``gbvlc_raw_members`` of a model ``m``; every value scaled.
+
+    Value and unit totals are observed while the line roll-up, the enriched
+    lines and the booking table are written; counts of booking codes come from
+    tables with a row a booking. No line is read again.
+    """
+    p, frac, n_types = m.p, F.lit(m.p.extract_fraction), 2.0
+    year = (F.col("use_year") == p.analysis_year) & (F.col("n_unit") > 0)
+    members = m.members.distinct()
+    of_members = by_part(m.line_parts, lambda x, hot: lookup_join(x.where(year), members, "ccid", "left_semi", hot=hot),
+                         m.hot)
+    booked = m.codes.agg(F.count_if("in_year").alias("n"))
+    in_tx = m.by_lob.where(F.col("use_year") == p.analysis_year).agg(n_distinct_na("booking_code").alias("n"))
+    m.enriched, m.booking_units  # noqa: B018  written, so observed
+    got = {k: o.get for k, o in m.observed.items()}
+    raw = [v for k, v in got.items() if k.startswith("raw")]
+    total = lambda found, name: strict_total(found, name) / frac
+    one = lambda table, exprs, stage: _row(table, stage, exprs)
+    any_ = lambda e: F.max(e)  # noqa: E731  a constant, or the one row's count
+    unit = got["unit_calculation"]
     parts = [
-        _row(raw, "raw", line_metrics("gbv", "unit_count")),
-        _row(raw_m, "raw_members", line_metrics("gbv", "unit_count")),
-        _row(tx_y, "tx", line_metrics("gbvlc", "trip_elements")),
-        _row(cust_units, "current_year",
-             {"bookings": F.sum("bookings_current_year") / frac,
-              "trip_elements": F.sum("trip_elements_current_year") / frac}),
-        _row(booking_units, "unit_calculation",
-             {"gbvlc": strict_sum("gbvlc").cast("double") / frac,
-              "bookings": strict_sum("bookings") / frac,
-              "trip_elements": strict_sum("trip_elements") / frac}),
-        _row(bookings_out, "book_for_sim", {"bookings": F.sum("bookings") / n_types}),
-        _row(members_out, "mem_for_sim",
-             {"gbvlc": F.sum("gbvlc") / n_types, "bookings": F.sum("bookings") / n_types,
-              "trip_elements": F.sum("trip_elements") / n_types}),
+        one(booked, {"gbvlc": any_(total(raw, "gbvlc")), "bookings": any_(F.col("n")) / frac,
+                     "trip_elements": any_(total(raw, "trip_elements"))}, "raw"),
+        one(of_members, {"gbvlc": strict_sum("gbvlc").cast("double") / frac, "bookings": n_distinct_na("booking_code") / frac,
+                         "trip_elements": strict_sum("trip_elements") / frac}, "raw_members"),
+        one(in_tx, {"gbvlc": any_(total([got["tx"]], "gbvlc")), "bookings": any_(F.col("n")) / frac,
+                    "trip_elements": any_(total([got["tx"]], "trip_elements"))}, "tx"),
+        one(m.customer_units, {"bookings": F.sum("bookings_current_year") / frac,
+                               "trip_elements": F.sum("trip_elements_current_year") / frac}, "current_year"),
+        one(booked, {c: any_(total([unit], c)) for c in ("gbvlc", "bookings", "trip_elements")}, "unit_calculation"),
+        one(m.bookings_out, {"bookings": F.sum("bookings") / n_types}, "book_for_sim"),
+        one(m.members_out, {"gbvlc": F.sum("gbvlc") / n_types, "bookings": F.sum("bookings") / n_types,
+                            "trip_elements": F.sum("trip_elements") / n_types}, "mem_for_sim"),
     ]
     out = parts[0]
     for x in parts[1:]:

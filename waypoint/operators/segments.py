@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waypoint.functions.kernel import filled_sum, hash52, null_safe_join, spend_cut, year_filter
 from waypoint.params import ModelParams
+from waypoint.sources.cache import by_part
 
 # The misspelt survey level and its correction; the level
 # excluded from typing; the level removed under the tier segmentation.
@@ -107,25 +108,56 @@ def draw_segments(candidates: DataFrame, seed: int) -> DataFrame:
                            F.max(F.col("segment_nm").isNull()).alias("uncovered")))
 
 
+def spend_cells(tx: DataFrame, p: ModelParams) -> DataFrame:
+    """Every customer with lines, with its analysis-year spend cuts (null without spend): one grouping."""
+    spent = year_filter(tx, p.analysis_year) & F.col("lob").isin(*p.typing_lobs) & (F.col("gbv") > 0)
+    cuts = [F.when(F.count_if(spent) > 0, spend_cut(filled_sum("gbv", spent & (F.col("lob") == l)), p.spend_step, p.spend_cap))
+            .alias(f"lob_{l}_gbv_cut") for l in sorted(p.typing_lobs)]
+    return tx.groupBy("ccid").agg(*cuts)
+
+
+def draw_table(typing: DataFrame, p: ModelParams) -> DataFrame:
+    """The typing table packed to one row a spend cell: its customers' number and (cum_n, segment) in order."""
+    steps = F.array_sort(F.collect_list(F.struct("cum_n", "segment_nm")))
+    return typing.groupBy(*cut_columns(p)).agg(F.max("n_cell").alias("n_cell"), steps.alias("steps"))
+
+
+def drawn_segments(cells: DataFrame, typing: DataFrame, p: ModelParams) -> DataFrame:
+    """One segment per customer of ``cells``, as ``draw_segments`` draws it, by a search in its cell's row.
+
+    Customers are joined to one row at most, never multiplied by segments.
+    Without spend ``segment`` is null; ``uncovered`` marks spend cells without a typing row.
+    """
+    names = cut_columns(p)
+    packed = draw_table(typing, p)
+    if packed.count() <= 100_000:
+        packed = F.broadcast(packed)
+    target = hash52(p.seed, F.col("ccid")).cast("decimal(20,0)") * F.col("n_cell").cast("decimal(18,0)")
+    hit = lambda s: s["cum_n"].cast("decimal(20,0)") * F.lit(TWO52).cast("decimal(18,0)") > target
+    return cells.join(packed, names, "left").select(
+        "ccid", F.get(F.filter("steps", hit), F.lit(0))["segment_nm"].alias("segment"),
+        (F.col(names[0]).isNotNull() & F.col("steps").isNull()).alias("uncovered"))
+
+
 def unplaced_lines(tx: DataFrame, typing: DataFrame, p: ModelParams, hot: tuple = ()) -> DataFrame:
     """Lines of customers that the typing table places in no segment, before the default fill."""
-    drawn = draw_segments(segment_candidates(tx, typing, p), p.seed).where(F.col("segment").isNotNull())
+    drawn = drawn_segments(spend_cells(tx, p), typing, p).where(F.col("segment").isNotNull())
     return unsegmented(tx, drawn, hot)
 
 
-def get_segments(tx: DataFrame, typing: DataFrame, answers: DataFrame,
+def get_segments(tx: DataFrame | tuple[DataFrame, ...], typing: DataFrame, answers: DataFrame,
                  p: ModelParams) -> DataFrame:
     """Segment of every customer with lines; default level for those without spend.
 
-    Returns a materialised table (it is read by the guard and by the model).
+    ``tx``: the lines, or parts of them, no customer in two. Returns a materialised
+    table (it is read by the guard and by the model).
     """
     from waypoint.session import materialize
     check_levels(answers, p.default_segment)
-    drawn = draw_segments(segment_candidates(tx, typing, p), p.seed)
-    all_ids = tx.select("ccid").distinct()
-    seg = materialize(all_ids.join(drawn, "ccid", "left").select(
-        "ccid", F.coalesce("segment", F.lit(p.default_segment)).alias("segment"),
-        F.coalesce("uncovered", F.lit(False)).alias("uncovered")), "segments")
+    parts = tx if isinstance(tx, tuple) else (tx,)
+    drawn = drawn_segments(by_part(parts, lambda x: spend_cells(x, p)), typing, p)
+    seg = materialize(drawn.select("ccid", F.coalesce("segment", F.lit(p.default_segment)).alias("segment"),
+                                   "uncovered"), "segments")
     if p.on_uncovered == "error" and not seg.where("uncovered").limit(1).isEmpty():
         raise ValueError("Some customers not placed in segments")
     return seg.drop("uncovered")

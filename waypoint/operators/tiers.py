@@ -28,8 +28,14 @@ def recorded_tier_distribution(tx: DataFrame, member_ids: DataFrame, p: ModelPar
                          share_of_total(counts, "n").alias("prct_bookings"))
 
 
-def booking_dims(enriched: DataFrame) -> DataFrame:
-    """Per booking: earliest booking date and lowest recorded tier (null-propagating)."""
+def booking_dims(enriched: DataFrame, codes: DataFrame | None = None, hot_codes: tuple = ()) -> DataFrame:
+    """Per booking: earliest booking date and lowest recorded tier (null-propagating).
+
+    ``codes``: only these booking codes, whose lines of all years are kept before they are grouped."""
+    if codes is not None:
+        enriched = lookup_join(enriched.select("booking_code", "booking_date_pst", "loyalty_tier", "ccid"),
+                               codes.select("booking_code").distinct(), "booking_code", "left_semi",
+                               hot=hot_codes, null_safe=True)
     return enriched.groupBy("booking_code").agg(
         strict_min("booking_date_pst").alias("booking_date_pst"),
         strict_min("loyalty_tier").alias("loyalty_tier"))
@@ -46,7 +52,7 @@ def tier_compare(booking_units: DataFrame, enriched: DataFrame, p: ModelParams,
           .withColumn("calculated_tier",
                       calculated_tier_code("trip_elements_for_tier", p.tier_thresholds)))
     # the lookup of a shared booking code is spread by customer and date
-    j = lookup_join(bu, booking_dims(enriched), "booking_code", "inner", hot=hot_codes, null_safe=True)
+    j = lookup_join(bu, booking_dims(enriched, booking_units, hot_codes), "booking_code", "inner", hot=hot_codes, null_safe=True)
     return j.select("ccid", "booking_date_pst", "begin_use_date",
                     "trip_elements_start_of_booking", "trip_elements_prev_year",
                     "trip_elements_prev_2_year", "trip_elements", "booking_code",

@@ -67,6 +67,25 @@ def customer_booking_lobs(tx: DataFrame, cust_dim: DataFrame, p: ModelParams,
     return out.select(*keys, "use_year", "lob", "trip_elements", "gbvlc", "begin_use_date")
 
 
+def active_customers(rollup: DataFrame, cust_dim: DataFrame, p: ModelParams) -> DataFrame:
+    """Customers of ``cust_dim`` with units in the analysis year (J12); no exchange of a clustered roll-up."""
+    ids = (rollup.where((F.col("use_year") == p.analysis_year) & (F.col("n_unit") > 0))
+           .groupBy("ccid").agg(F.lit(1).alias("__one")).select("ccid"))
+    return cust_dim.join(ids, "ccid", "left_semi")
+
+
+def active_booking_lobs(rollup: DataFrame, active: DataFrame, hot: tuple = ()) -> DataFrame:
+    """The line roll-up of active customers with their columns (segment), lines with units only.
+
+    Customers that never count leave here, before anything is exchanged: the
+    roll-up is clustered by customer, only the customers' side moves.
+    """
+    rows = rollup.where(F.col("n_unit") > 0)
+    out = lookup_join(rows, active, "ccid", "inner", hot=hot)
+    keys = ["ccid", "booking_code"] + (["segment"] if "segment" in out.columns else [])
+    return out.select(*keys, "use_year", "lob", "trip_elements", "gbvlc", "begin_use_date")
+
+
 def booking_lob_years(lines: DataFrame) -> DataFrame:
     """(customer, booking, segment, use year, LOB) roll-up of qualifying lines, all years.
 
@@ -152,9 +171,9 @@ def running_units(rollup: DataFrame) -> DataFrame:
                           F.col("bookings_start_of_booking").cast("double"))
 
 
-def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
+def booking_lob_wide(by_lob: DataFrame, active: DataFrame | None, packages: DataFrame,
                      p: ModelParams, hot: tuple = (),
-                     only_codes: DataFrame | None = None) -> DataFrame:
+                     only_codes: DataFrame | None = None, hot_codes: tuple = ()) -> DataFrame:
     """Per booking: value, presence and units for the 6 extended LOBs (A4).
 
     Over all years of active customers' qualifying lines, from the
@@ -163,12 +182,14 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
     flag (constant per booking) then routes each LOB total to its standalone
     or ``_package`` column. Always 18 columns.
 
+    ``active`` may be None if ``by_lob`` holds active customers only.
     ``only_codes`` limits the table to those booking codes (the model needs
-    only the analysis year's). It is applied after the map-side-combined
-    aggregation, and shares its null-safe key partitioning with the package
-    join, so it adds no exchange of line-level rows.
+    only the analysis year's), before the aggregation.
     """
-    act = lookup_join(by_lob, active.select("ccid"), "ccid", "left_semi", hot=hot)
+    act = by_lob if active is None else lookup_join(by_lob, active.select("ccid"), "ccid", "left_semi", hot=hot)
+    if only_codes is not None:
+        codes = only_codes.select("booking_code").distinct()
+        act = lookup_join(act, codes, "booking_code", "left_semi", hot=hot_codes, null_safe=True)
     aggs = []
     for l in p.lobs:
         is_l = F.col("lob") == l
@@ -176,10 +197,6 @@ def booking_lob_wide(by_lob: DataFrame, active: DataFrame, packages: DataFrame,
                  F.max(is_l.cast("double")).alias(f"b_{l}"),
                  filled_sum("trip_elements", is_l).alias(f"t_{l}")]
     per_booking = act.groupBy("booking_code").agg(*aggs)
-    if only_codes is not None:
-        codes = only_codes.select(F.col("booking_code").alias("__bc")).distinct()
-        per_booking = per_booking.join(
-            codes, per_booking["booking_code"].eqNullSafe(codes["__bc"]), "left_semi")
     pk = packages.select(F.col("booking_code").alias("__bc"), "is_package")
     j = (per_booking.join(pk, per_booking["booking_code"].eqNullSafe(pk["__bc"]), "left")
                     .withColumn("__pkg", F.coalesce("is_package", F.lit(False))))

@@ -50,6 +50,8 @@ class ModelParams:
     # forest: trees grow until pure, as deep as Spark ML allows, and try floor(sqrt(5)) = 2
     # of the 5 features at a split
     forest_trees: int = 200
+    # customers that the forest scores: a uniform sample of so many, or all where fewer exist
+    scored_size: int = REFERENCE_SAMPLE_SIZE
     forest_depth: int = 30
     forest_min_node: int = 1
     forest_features_per_split: int = 2

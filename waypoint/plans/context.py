@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waypoint.operators.identity import Dataset, post_process_tx, process_ccids
 from waypoint.session import materialize, scratch_path
-from waypoint.sources.cache import read_tables, write_tables
+from waypoint.sources.cache import bucket_count, buckets_of, by_part, read_tables, tx_parts, write_tables
 from waypoint.params import ModelParams, fixture_params
 from waypoint.sources import fixtures as fx
 from waypoint.sources.survey import SurveyDataset, codebook, label_columns, survey_dataset, value_labels
@@ -43,9 +43,20 @@ def ingest(spark: SparkSession, data: Dataset, folder: str | None = None) -> Dat
     of the model use to prune.
     """
     folder = folder or scratch_path(spark, "raw-cache")
-    write_tables({"cust": data.cust, "tx": data.tx, "ccids": data.ccids}, folder)
+    store(spark, data, folder)
+    return stored(spark, folder, data.hot_ccids)
+
+
+def store(spark: SparkSession, data: Dataset, folder: str) -> None:
+    write_tables({"cust": data.cust, "tx": data.tx, "ccids": data.ccids}, folder, data.hot_ccids,
+                 bucket_count(spark, data.n_lines))
+
+
+def stored(spark: SparkSession, folder: str, hot: tuple) -> Dataset:
     t = read_tables(spark, folder)
-    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"], hot_ccids=data.hot_ccids)
+    parts = tx_parts(t)
+    return Dataset(cust=t["cust"], tx=by_part(parts, lambda df: df), ccids=t["ccids"], hot_ccids=hot, parts=parts,
+                   buckets=buckets_of(spark, f"{folder}/tx"))
 
 
 def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) -> Context:

@@ -19,7 +19,7 @@ from waypoint.operators.joins import DEFAULT_SHARE
 from waypoint.operators.outputs import output_order
 from waypoint.operators.respondents import survey_features
 from waypoint.params import ModelParams
-from waypoint.plans.context import ingest
+from waypoint.plans.context import ingest, store, stored
 from waypoint.plans.model import Model
 from waypoint.session import materialize, run_scratch
 from waypoint.sources import cache, csv
@@ -62,7 +62,8 @@ def ingest_job(spark: SparkSession, cust_csv: str, tx_folder: str, cache_folder:
     with run_scratch(spark, "ingest-run"):
         d = read_extracts(spark, cust_csv, tx_folder)
         hot = spark.createDataFrame([(k,) for k in d.hot_ccids], "ccid long")
-        cache.write_tables({"cust": d.cust, "tx": d.tx, "ccids": d.ccids, "hot": hot}, cache_folder)
+        store(spark, d, cache_folder)
+        cache.write_table(hot, f"{cache_folder}/hot")
 
 
 def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
@@ -70,7 +71,7 @@ def read_cache(spark: SparkSession, cache_folder: str) -> Dataset:
     hot = tuple(r[0] for r in t["hot"].collect()) if "hot" in t else ()
     if len(hot) > 2 / DEFAULT_SHARE:  # each listed key exceeds the share in one of two tables
         raise AssertionError(f"{len(hot)} hot keys stored; the list is not the ingest's")
-    return Dataset(cust=t["cust"], tx=t["tx"], ccids=t["ccids"], hot_ccids=hot)
+    return stored(spark, cache_folder, hot)
 
 
 def read_survey(spark: SparkSession, s: SurveyInputs) -> SurveyDataset:

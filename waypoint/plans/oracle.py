@@ -679,5 +679,5 @@ O["rf_scored_customers"] = base_sql(f"""
   FROM tx t WHERE {yr('t.begin_use_date', Y)} AND t.ccid IN (
     SELECT ccid FROM ccids
     ORDER BY ('0x' || substr(md5('{P.seed}:' || CAST(ccid AS VARCHAR)), 1, 13))::BIGINT, ccid
-    LIMIT {P.sample_size})
+    LIMIT {P.scored_size})
   GROUP BY t.ccid""")

@@ -139,12 +139,13 @@ def q_cache_roundtrip(spark, sf):
     """Parquet cache write, discovery and memoised scan."""
     d = ctx(spark, sf).data
     folder = scratch_path(spark, "raw-cache")
-    CACHE.write_tables({"cust": d.cust, "tx": d.tx.drop("use_year"), "ccids": d.ccids}, folder)
+    CACHE.write_tables({"cust": d.cust, "tx": d.tx.drop("use_year"), "ccids": d.ccids}, folder, d.hot_ccids)
     tables = CACHE.read_tables(spark, folder)
+    tx = CACHE.by_part(CACHE.tx_parts(tables), lambda df: df)
     # memoised scan: the first call builds and stores, the second reads the stored table
     memo = f"{folder}-memo/tx"
-    CACHE.load_or_build(spark, memo, lambda: tables["tx"])
-    return as_output(CACHE.load_or_build(spark, memo, lambda: tables["tx"].limit(0)))
+    CACHE.load_or_build(spark, memo, lambda: tx)
+    return as_output(CACHE.load_or_build(spark, memo, lambda: tx.limit(0)))
 
 
 # ---------------------------------------------------------------- survey
@@ -296,9 +297,7 @@ def q_sink_roundtrip(spark, sf):
 def q_stage_reconciliation(spark, sf):
     """Value, bookings and units at each stage."""
     m = model(spark, sf)
-    vals = R.stage_values(m.data.tx, m.members, m.enriched, m.customer_units,
-                          m.booking_units, m.bookings_out, m.members_out, m.p, m.hot)
-    return R.stage_reconciliation(vals)
+    return R.stage_reconciliation(m.stage_values)
 
 
 @query("sample_customers")
@@ -318,14 +317,14 @@ def _survey_year(c):
 def q_lob_metrics_wide(spark, sf):
     """A10: five metrics per customer and LOB, wide."""
     c = ctx(spark, sf)
-    y = _survey_year(c)
-    return as_output(RS.lob_metrics_wide(y, RS.lob_levels(y)))
+    rolled = RS.respondent_rollup(_survey_year(c))
+    return as_output(RS.lob_metrics_wide(rolled, RS.lob_levels(rolled)))
 
 
 @query("flag_sums")
 def q_flag_sums(spark, sf):
     """Flag and quantity sums per customer, missing if any input is."""
-    return RS.flag_sums(_survey_year(ctx(spark, sf)))
+    return RS.flag_sums(RS.respondent_rollup(_survey_year(ctx(spark, sf))))
 
 
 @query("survey_features")
@@ -345,7 +344,7 @@ def q_recorded_tier_distribution(spark, sf):
 
 
 def _compare(m):
-    return T.tier_compare(m.booking_units, m.enriched, m.p, m.hot_codes)
+    return T.tier_compare(m.booking_units, m.enriched, m.p, m.hot_codes)  # dims of the year's booking codes only
 
 
 @query("tier_compare")
@@ -433,7 +432,7 @@ def q_calculated_tier_counts(spark, sf):
 # ---------------------------------------------------------------- transitions
 def _uc(spark, sf):
     m = model(spark, sf)
-    return TR.units_compare(m.data.tx, m.members, m.p, m.hot), m.p
+    return CACHE.by_part(m.data.tx_parts, lambda x, hot: TR.units_compare(x, m.members, m.p, hot), m.hot), m.p
 
 
 @query("units_compare")
@@ -488,8 +487,8 @@ def q_rf_training_set(spark, sf):
 
 
 def _scored_lines(c):
-    ids = SM.sample_ids(c.data.ccids, c.params.sample_size, c.params.seed)
-    return c.data.tx.join(F.broadcast(ids), "ccid")  # at most sample_size ids
+    ids = SM.sample_ids(c.data.ccids, c.params.scored_size, c.params.seed, strict=False)
+    return c.data.tx.join(F.broadcast(ids), "ccid")  # at most scored_size ids
 
 
 @query("rf_scored_customers")
@@ -503,8 +502,8 @@ def q_rf_scored_customers(spark, sf):
 def q_rf_predicted_counts(spark, sf):
     """Forest predictions on a customer sample, counted."""
     c = ctx(spark, sf)
-    fitted = RF.fit_forest(RF.training_set(c.survey.tx, c.survey.answers, c.params), c.params)
-    return RF.predicted_counts(fitted, RF.lob_spend_wide(_scored_lines(c), c.params))
+    nodes, labels = RF.forest_nodes(RF.fit_forest(RF.training_set(c.survey.tx, c.survey.answers, c.params), c.params))
+    return RF.predicted_counts(RF.predictions(nodes, labels, RF.lob_spend_wide(_scored_lines(c), c.params), c.params))
 
 
 @query("survey_unit_transitions")
@@ -512,7 +511,7 @@ def q_survey_unit_transitions(spark, sf):
     """The transition table on the survey sample instead of the full extract."""
     c = ctx(spark, sf)
     members = L.members(c.survey.cust, c.params)
-    uc = TR.units_compare(c.survey.tx, members, c.params, c.survey.hot_ccids)
+    uc = CACHE.by_part(c.survey.tx_parts, lambda x, hot: TR.units_compare(x, members, c.params, hot), c.survey.hot_ccids)
     return TR.unit_transitions(uc, c.params)
 
 

@@ -22,6 +22,11 @@ class SurveyDataset:
     answers: DataFrame      # cleaned response columns + ccid
     questions: DataFrame | None = None  # (qid, full_question)
     hot_ccids: tuple = ()   # customers holding a large share of the lines
+    parts: tuple[DataFrame, ...] = ()  # ``tx`` as stored
+
+    @property
+    def tx_parts(self) -> tuple[DataFrame, ...]:
+        return self.parts or (self.tx,)
 
 
 def label_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -78,4 +83,4 @@ def survey_dataset(data: Dataset, survey_map: DataFrame, responses: DataFrame,
     ids = cid_to_ccid(data.ccids, survey_map)
     return SurveyDataset(tx=data.tx, cust=data.cust, ccids=data.ccids, cid_to_ccid=ids,
                          answers=survey_answers(responses, ids), questions=questions,
-                         hot_ccids=data.hot_ccids)
+                         hot_ccids=data.hot_ccids, parts=data.parts)
