@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from waypoint.llm import htmltext, neighbours
 
@@ -92,6 +93,30 @@ def test_class_words_do_not_veto_an_article():
         ("a", htmltext.OPEN, False), ("b", htmltext.DROP, False)]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><meta x><body><p>one</p></html>", ["one"]),  # the end tags are optional
+    ("<head><title>t</title><p>one<div>two</div>", ["one", "two"]), ("<head><link a>one", ["one"]),
+    ("<p>a <svg/> b</p><p>c</p>", ["a b", "c"]), ("<p>a<iframe src=x />b</p>", ["ab"]),
+    ("<p>a</p><svg><path d='x'><p>b</p>", ["a", "b"]), ("<p>a</p><object><p>b</p>", ["a", "b"]),
+    ("<p>a <svg><svg>x</svg>y</svg> b</p>", ["a b"]), ("<p>a <svg><svg>x</svg> b", ["a b"]),
+    ("<p>a<script>if (x < '</p>') {}", ["a"]), ("<p>a<script>'<script>'</script>b", ["ab"]),
+    ("<p><a title='don't'>link</a> and more it's <b>bold</b></p>", ["link and more it's bold"]),
+    ("<p title=\"a>b\" class='c>d'>x</p>", ["x"]), ("<p class=\"never closed>x</p><p>y</p>", ["x", "y"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object>this</object></p>", ["so x=2 and this"]),
+    ("<p>a</b></i></div> b</p>", ["a", "b"])])
+def test_html_that_is_not_well_formed(page, want):
+    assert [t for t, zone, _ in htmltext.lines(page) if zone != htmltext.DROP] == want
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+    start = time.time()
+    for page in ("<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<svg>" * 20_000,
+                 "<svg>" * 20_000 + "</svg>", "<li>" * 20_000 + "</ul>" * 20_000, "<a x=\"" * 20_000):
+        htmltext.lines(page)
+    assert time.time() - start < 20
+
+
 def test_longest_common_subsequence():
     def length(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -44,15 +45,19 @@ from waypoint.session import materialize
 #: MARKED_HEADER: a class or id marks it as the site's, outside an article, in one, and as one's header.
 KEEP, OPEN, DROP, HEADER, MAIN_HEADER, MARKED, MARKED_PART, MARKED_HEADER = range(8)
 
-#: Tags, comments and declarations; attribute values may hold ``>``.
+#: Tags, comments and declarations; attribute values in quotes (after ``=`` only) may hold ``>``.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Elements whose content is not markup, or never text of the page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "canvas",
-       "object", "audio", "video", "select", "noframes", "xmp"}
+#: Elements whose content is never text of the page; PLAIN: not even markup, and to the end if they are not closed.
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "canvas",
+       "audio", "video", "select", "noframes", "xmp"}
+PLAIN = {"script", "style", "title", "textarea"}
+#: Elements of a head; any other ends it.
+HEAD_PARTS = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir",
          "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -82,13 +87,48 @@ ITEMS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"
          "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"})}
 
 
-def _close(stack: list, names: set[str], stops: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in names:
-            del stack[i:]
-            return
-        if stack[i][0] in stops:
+class Stack(list):
+    """Open elements (tag, zone, link, main), with how many of each tag are open: nothing is sought in vain."""
+
+    def __init__(self):
+        super().__init__([("", OPEN, False, False)])
+        self.open: Counter = Counter()
+
+    def push(self, element: tuple) -> None:
+        self.append(element)
+        self.open[element[0]] += 1
+
+    def close(self, names: set[str], stops: set[str] = frozenset()) -> None:
+        """Closes the innermost of ``names`` with all in it, unless one of ``stops`` is further in."""
+        if not any(self.open[n] for n in names):
             return
+        for i in range(len(self) - 1, 0, -1):
+            if self[i][0] in names:
+                for element in self[i:]:
+                    self.open[element[0]] -= 1
+                del self[i:]
+                return
+            if self[i][0] in stops:
+                return
+
+
+def _raw_end(page: str, tag: str, at: int, ends: dict[str, int]) -> int | None:
+    """Where the content of an element that begins at ``at`` ends, or None if it is not closed.
+
+    Elements that may hold their like end with the end tag that balances them, or else with the last one."""
+    if tag not in ends:
+        ends[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
+    if ends[tag] < at:
+        return len(page) if tag in PLAIN else None
+    depth, end = 1, at
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if m[1]:
+            depth, end = depth - 1, m.end()
+            if not depth or tag in PLAIN:
+                break
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return end
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -128,7 +168,7 @@ def _zone(tag: str, attrs: dict[str, str], parent: int, main: bool) -> int | Non
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, zone, links only) of the page's blocks, in order; white space is one space."""
     out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", OPEN, False, False)]  # tag, zone, link, main
+    stack, ends = Stack(), {}
     buffer: list[str] = []
     linked = [0, 0]  # characters outside and inside links
     at, articles = 0, False
@@ -145,6 +185,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     def text_of(s: str) -> None:
         if s:
             s = _html.unescape(s) if "&" in s else s
+            if stack[-1][0] == "head" and not s.isspace():
+                stack.close({"head"})
             buffer.append(s)
             if not s.isspace():
                 linked[stack[-1][2]] += 1
@@ -164,21 +206,20 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         elif tag == "br":
             buffer.append(" ")
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            stack.close({tag})
             continue
+        if tag == "body" or stack[-1][0] == "head" and tag not in HEAD_PARTS:
+            stack.close({"head"})
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
-            at = close.end() if close else len(page)
+            empty = (m[3] or m[6] or "").endswith("/") and tag not in PLAIN
+            at = end if empty else _raw_end(page, tag, end, ends) or end
             continue
         if tag in VOID:
             continue
         if tag in BLOCK:  # closes an open paragraph, and the item before it
-            _close(stack, {"p"}, BLOCK - {"p"})
+            stack.close({"p"}, BLOCK - {"p"})
             if tag in ITEMS:
-                _close(stack, *ITEMS[tag])
+                stack.close(*ITEMS[tag])
         attrs = _attributes(m[3] or m[6] or "")
         _, zone, link, main = stack[-1]
         if zone != DROP:
@@ -188,7 +229,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             zone = zone if opened is None else opened
             articles |= zone == KEEP and tag == "article"
         main |= _is_main(tag, attrs)
-        stack.append((tag, zone, link or tag == "a", main))
+        stack.push((tag, zone, link or tag == "a", main))
     text_of(page[at:])
     flush()
     mains = any(x[3] for x in out)
