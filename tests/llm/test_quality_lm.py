@@ -179,3 +179,26 @@ def test_class_lm_of_odd_rows(spark, odd_docs, no_docs):
     assert classlm.scores(no_docs, classlm.crc_mod("doc_id", 10) == 0).count() == 0
     untrained = classlm.scores(odd_docs, F.lit(True)).collect()
     assert {(r.n_known, r.train_tokens) for r in untrained} == {(0, 0)}
+
+
+def test_scores_equal_the_class_model_by_brute_force(spark, rows):
+    """The score of every text from the returned classes, by plain loops over its words."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["a b a b c. the d", "b a d The a", "", "a Étude the d", "x y a new word.", "b b b"] * 4)], "doc_id long, text string")
+    held = F.col("doc_id") % 6 == 4
+    training = docs.where(~held)
+    vocabulary = classlm.word_counts(training).cache()
+    known, _ = classlm.frequent(vocabulary, 100)
+    m = classlm.class_model(training, vocabulary, known, clustered=3, classes=2)
+    cls = dict(zip(known["word"].to_pylist(), m["cls"].tolist()))
+    n = dict(zip(known["word"].to_pylist(), m["n"].tolist()))
+    got = {r.doc_id: r.score for r in classlm.scores(docs, held, clustered=3, classes=2, known_words=100).collect()}
+    for doc_id, text in docs.collect():
+        at, total = m["edge"], 0.0
+        for w in [*classlm.tokens(text), None]:
+            c = m["edge"] if w is None else cls[w] if w in cls else m["look0"] + classlm.look(w)
+            total += m["trans"][at, c]
+            if w is not None:  # the end is all there is of its class
+                total += math.log10(n.get(w, 0) + classlm.ALPHA) - m["divisor"][c]
+            at = c
+        assert got[doc_id] == pytest.approx(total), text

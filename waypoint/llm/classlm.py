@@ -10,9 +10,10 @@ a word seen once stands for them, as its text would find it unseen were it
 left out. A text's score is the log10 probability of its words and end:
 smoothed class transitions times smoothed word emissions.
 
-Scale: four passes over the texts, none of which moves them. Word counts and
-counts of neighbour classes are combined in the tasks before they are
-shuffled; the ``KNOWN`` most frequent words and their classes are broadcast.
+Scale: two passes over the texts, none of which moves them: one counts words,
+one stores every word's number, and all later passes work on arrays of
+numbers. Word counts and counts of neighbour classes are combined in the tasks
+before they are shuffled; the ``KNOWN`` most frequent words are broadcast.
 Words outside ``KNOWN`` meet their class and count in a join, by a 64-bit hash
 of the word and their place in the document; documents are then kept as one
 class number a token. Classes grow as the fourth root of the vocabulary, so
@@ -78,24 +79,6 @@ class Looks(dict):
         return n
 
 
-class Numbers(dict):
-    """Word to number; a word it does not know gets the next number, until ``forget``."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words))))
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(word)
-        self[word] = n = len(self)
-        return n
-
-    def forget(self) -> None:
-        for w in self.fresh:
-            del self[w]
-        self.fresh.clear()
-
-
 def hashes(words) -> np.ndarray:
     """Spark's xxhash64 of the words."""
     return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
@@ -139,30 +122,68 @@ def frequent(vocabulary: DataFrame, limit: int) -> tuple[pa.Table, int]:
     return got.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks(), least
 
 
-def transitions(docs: DataFrame, words: list[bytes]) -> np.ndarray:
-    """Counts of neighbouring tokens of ``docs``: clustered words, looks, and the text's edge (last)."""
-    size = len(words) + LOOKS + 1
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def numbered(docs: DataFrame, known: pa.Table, every: bool) -> DataFrame:
+    """(rid, doc_id, ids, rare) of ``docs`` (doc_id, text), stored: the one pass that looks words up.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Looks({w: i for i, w in enumerate(shared.value)})
-        edge, total = size - 1, np.zeros(size * size, np.int64)
-        codes, held = [], 0
+    ``ids``: 32 bits a token, the place of a known word, or -1 - look; ``rare``: the hashes of the
+    latter in order, without them where ``every`` training word is known.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known["word"])
+    names = ["rid", "doc_id", "ids", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Looks({w: i for i, w in enumerate(shared.value.to_pylist())})
         for b in batches:
-            for text in b["text"]:
-                ids = np.array(list(map(index.__getitem__, tokens(text))), np.int64)
-                ids = np.where(ids < 0, len(shared.value) - 1 - ids, ids)
-                codes.append(np.concatenate([[edge], ids]) * size + np.concatenate([ids, [edge]]))
-                held += len(ids) + 1
-                if held > FLUSH:
-                    total += np.bincount(np.concatenate(codes), minlength=size * size)
-                    codes, held = [], 0
-        if codes:
-            total += np.bincount(np.concatenate(codes), minlength=size * size)
+            for at in range(0, b.num_rows, 512):
+                part, ids, rare = b.slice(at, 512), [], []
+                for text in part.column("text").to_pylist():
+                    words = tokens(text)
+                    x = np.fromiter(map(index.__getitem__, words), "<i4", len(words))
+                    ids.append(x.tobytes())
+                    rare.append(b"" if every else hashes([words[i] for i in np.flatnonzero(x < 0).tolist()]).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rid"), part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array(rare, pa.binary())], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    return materialize(rows.mapInArrow(run, "rid long, doc_id long, ids binary, rare binary"), "numbered")
+
+
+#: Stands before, between and after the texts of a sequence of ids.
+EDGE = -1000
+
+
+def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids of some texts with EDGE around each, rare hashes) of rows (ids, rare), up to FLUSH tokens and one text more."""
+    edge, ids, rare, held = np.array([EDGE], "<i4"), [], [], 0
+    for b in batches:
+        for x, h in zip(b.column("ids"), b.column("rare")):
+            ids += [edge, np.frombuffer(x.as_buffer(), "<i4")]
+            rare.append(np.frombuffer(h.as_buffer(), "<i8"))
+            held += len(ids[-1]) + 1
+            if held > 2 * FLUSH:
+                yield np.concatenate([*ids, edge]).astype(np.int64), np.concatenate(rare)
+                ids, rare, held = [], [], 0
+    if ids:
+        yield np.concatenate([*ids, edge]).astype(np.int64), np.concatenate(rare)
+
+
+def transitions(coded: DataFrame, known: pa.Table, top: int) -> np.ndarray:
+    """Counts of neighbouring tokens of ``coded``: the first ``top`` words, looks, and the text's edge (last)."""
+    size = top + LOOKS + 1
+    own = top + known["look"].to_numpy().astype(np.int64)
+    own[:top] = np.arange(top)
+    shared = coded.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = np.append(shared.value, 0), np.zeros(size * size, np.int64)
+        for seq, _ in sequences(batches):
+            x = np.where(seq == EDGE, size - 1, np.where(seq < 0, top - 1 - seq, own[np.maximum(seq, 0)]))
+            total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
         cell = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": cell, "n": total[cell]})
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
-    cells = (docs.select("text").mapInPandas(run, "cell long, n long")
+    cells = (coded.select("ids", "rare").mapInArrow(run, "cell long, n long")
              .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())  # at most size^2 rows
     out = np.zeros(size * size)
     out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
@@ -216,28 +237,28 @@ def exchange(counts: np.ndarray, words: int, classes: int, sweeps: int = MAX_SWE
     return cls
 
 
-def neighbour_classes(docs: DataFrame, known: pa.Table, cls: np.ndarray, top: int, look0: int, c: int) -> DataFrame:
+def neighbour_classes(coded: DataFrame, known: pa.Table, cls: np.ndarray, top: int, look0: int, c: int) -> DataFrame:
     """(h, own, cells, n): for each word but the first ``top`` of ``known``, how often each class stands
     right of it (cells from 0), left of it (from ``c``), and the word itself right of it (2c).
 
     ``cls``: classes of the known words. A word has a row for each of a task's flushes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((known["word"], cls, hashes(known["word"].to_pylist())))
+    shared = coded.sparkSession.sparkContext.broadcast((cls, hashes(known["word"].to_pylist())))
     width = 2 * c + 1
     schema = pa.schema([("h", pa.int64()), ("own", pa.int32()), ("cells", pa.list_(pa.int32())),
                         ("n", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first, known_h = shared.value
-        index = Numbers(words.to_pylist())
-        ids, held, edge = [], 0, np.array([-1])
-
-        def rows() -> pa.RecordBatch:
-            own = np.concatenate([first, [look0 + look(w) for w in index.fresh], [c - 1]]).astype(np.int64)
-            h = np.concatenate([known_h, hashes(index.fresh)])
-            seq = np.concatenate([*ids, edge])
+        first, known_h = shared.value
+        for seq, rare in sequences(batches):
+            fresh, at, number = np.unique(rare, return_index=True, return_inverse=True)
+            unknown = (seq < 0) & (seq != EDGE)
+            own = np.concatenate([first, look0 - 1 - seq[unknown][at], [c - 1]]).astype(np.int64)
+            h = np.concatenate([known_h, fresh])
+            seq[unknown] = len(first) + number
+            seq[seq == EDGE] = -1  # the last of ``own``
             a, b = seq[:-1], seq[1:]
-            same = a == b
+            same = (a == b) & (a >= 0)
             right, left = a >= top, (b >= top) & ~same
             key = np.concatenate([a[right] * width + np.where(same, 2 * c, own[b])[right],
                                   b[left] * width + c + own[a[left]]])
@@ -246,24 +267,11 @@ def neighbour_classes(docs: DataFrame, known: pa.Table, cls: np.ndarray, top: in
             start = np.flatnonzero(np.diff(word, prepend=-1))
             at = pa.array(np.append(start, len(word)), pa.int32())
             w = word[start]
-            ids.clear()
-            index.forget()
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(h[w]), pa.array(own[w], pa.int32()), pa.ListArray.from_arrays(at, pa.array(cell, pa.int32())),
                  pa.ListArray.from_arrays(at, pa.array(n, pa.int32()))], schema=schema)
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                got = np.array(list(map(index.__getitem__, tokens(text))), np.int64)
-                ids += [edge, got]
-                held += len(got) + 1
-                if held > 2 * FLUSH:
-                    yield rows()
-                    held = 0
-        if ids:
-            yield rows()
-
-    return docs.select("text").mapInArrow(run, "h long, own int, cells array<int>, n array<int>")
+    return coded.select("ids", "rare").mapInArrow(run, "h long, own int, cells array<int>, n array<int>")
 
 
 def best_classes(own: np.ndarray, counts: np.ndarray, t: np.ndarray, free: int) -> np.ndarray:
@@ -345,10 +353,10 @@ def placed(cells: DataFrame, t: np.ndarray, free: int) -> DataFrame:
 
 
 def word_classes(training: DataFrame, known: pa.Table, clustered: int, classes: int) -> dict:
-    """The model's words: classes of the known ones, ``rest`` (h, n, cls) of all but the first, and
+    """The model's words, from the ``numbered`` training texts: classes of the known ones, ``rest`` (h, n, cls) of all but the first, and
     from which count (``least``) all words are known."""
     top = min(clustered, known.num_rows)
-    counts = transitions(training, known["word"].slice(0, top).to_pylist())
+    counts = transitions(training, known, top)
     first = exchange(counts, top, classes)
     c = classes + LOOKS + 1
     member = np.zeros((len(counts), c))
@@ -370,57 +378,51 @@ def word_classes(training: DataFrame, known: pa.Table, clustered: int, classes:
 CODED = "rid long, doc_id long, n_tokens long, n_known long, base double, codes binary, pos int, h long"
 
 
-def encoded(docs: DataFrame, model: dict, every: bool) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base, codes): a document's class of every word (16 bits each; one
-    seen once has c times its look, from 1, added) and the sum of its words' log10 counts.
-    ``every``: all training words are known, so none needs the join."""
+def encoded(coded: DataFrame, model: dict, every: bool) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base, codes) of ``numbered`` texts: a document's class of every word
+    (16 bits each; one seen once has c times its look, from 1, added) and the sum of its words' log10
+    counts. ``every``: all training words are known, so none needs the join."""
     look0, c = model["look0"], model["edge"] + 1
     assert c * (LOOKS + 1) <= 1 << 16  # some 4 * 10^11 distinct words
-    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("words", "n", "codes")})
+    shared = coded.sparkSession.sparkContext.broadcast({k: model[k] for k in ("n", "codes")})
     names = [x.split()[0] for x in CODED.split(", ")]
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("base", pa.float64()), ("codes", pa.binary()), ("pos", pa.int32()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        index = Looks({w: i for i, w in enumerate(m["words"].to_pylist())})
-        log_n, digest = np.log10(m["n"] + ALPHA), xxhash.xxh64_intdigest
+        log_n = np.log10(m["n"] + ALPHA)
 
         def rare_rows(rid: list, pos: list, h: list) -> pa.RecordBatch:
+            rid, pos, h = (np.concatenate(x) for x in (rid, pos, h))
             empty = [pa.nulls(len(rid), t) for t in schema.types[1:6]]
             return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *empty, pa.array(pos, pa.int32()),
-                                               pa.array(np.array(h, np.uint64).view(np.int64))], schema=schema)
+                                               pa.array(h, pa.int64())], schema=schema)
 
         for b in batches:
             docs_, rare = ([], [], [], []), ([], [], [])
-            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
-                words = tokens(text)
-                ids = np.array(list(map(index.__getitem__, words)), np.int64)
+            for rid, x, h in zip(b.column("rid").to_pylist(), b.column("ids"), b.column("rare")):
+                ids = np.frombuffer(x.as_buffer(), "<i4")
                 unknown = ids < 0
                 own, code = ids[~unknown], np.empty(len(ids), "<u2")
                 code[~unknown] = m["codes"][own]
                 code[unknown] = look0 - 1 - ids[unknown]
                 base = log_n[own].sum() + unknown.sum() * log10(ALPHA)
-                for x, v in zip(docs_, (len(ids) + 1, len(own), base, code.tobytes())):
-                    x.append(v)
+                for out, v in zip(docs_, (len(ids) + 1, len(own), base, code.tobytes())):
+                    out.append(v)
                 if not every:
-                    pos = np.flatnonzero(unknown).tolist()
-                    rare[0].extend([rid] * len(pos))
-                    rare[1].extend(pos)
-                    rare[2].extend([digest(words[i], 42) for i in pos])
-                    if len(rare[0]) > FLUSH:
-                        yield rare_rows(*rare)
-                        rare = ([], [], [])
+                    pos = np.flatnonzero(unknown)
+                    for out, v in zip(rare, (np.full(len(pos), rid), pos, np.frombuffer(h.as_buffer(), "<i8"))):
+                        out.append(v)
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), b.column("doc_id").cast(pa.int64()),
+                [b.column("rid"), b.column("doc_id"),
                  *(pa.array(x, t) for x, t in zip(docs_, schema.types[2:6])),
                  pa.array(np.full(k, -1), pa.int32()), pa.nulls(k, pa.int64())], schema=schema)
             if rare[0]:
                 yield rare_rows(*rare)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    rows = materialize(numbered.mapInArrow(run, CODED), "coded")
+    rows = materialize(coded.mapInArrow(run, CODED), "coded")
     whole = rows.where("pos < 0").select(*names[:6])
     if every:
         return whole.drop("rid")
@@ -493,8 +495,10 @@ def class_model(training: DataFrame, vocabulary: DataFrame, known: pa.Table,
                 clustered: int = CLUSTERED, classes: int = CLASSES) -> dict:
     """Arrays of the model: class of each known word, log10 transitions, and each class's log10
     emission divisor; ``rest`` has the class of every other training word."""
-    words = word_classes(training, known, clustered, classes)
-    return fitted(words, encoded(training, words, known.num_rows == vocabulary.count()))
+    every = known.num_rows == vocabulary.count()
+    coded = numbered(training, known, every)
+    words = word_classes(coded, known, clustered, classes)
+    return fitted(words, encoded(coded, words, every))
 
 
 def scores(docs: DataFrame, held_out, clustered: int = CLUSTERED, classes: int = CLASSES,
@@ -513,8 +517,10 @@ def scores(docs: DataFrame, held_out, clustered: int = CLUSTERED, classes: int =
     known, _ = frequent(vocabulary, known_words)
     if (grown := ceil(n_types ** 0.25)) > classes:
         clustered, classes = max(clustered, LEADERS * grown), grown
-    words = word_classes(training, known, clustered, classes)
-    coded = encoded(docs, words, known.num_rows == n_types)
+    every = known.num_rows == n_types
+    ids = numbered(docs, known, every)
+    words = word_classes(ids.where(~held_out), known, clustered, classes)
+    coded = encoded(ids, words, every)
     model = fitted(words, coded.where(~held_out))
     shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("trans", "divisor", "edge")})
     total = n_words + n_docs
