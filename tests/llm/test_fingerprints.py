@@ -9,7 +9,7 @@ from waypoint.llm import fingerprints
 
 
 def units(text: str) -> set:
-    return {x.rstrip(" ") for x in re.findall(r" *(?:[^ \n]+ *){1,%d}" % fingerprints.RUN, text)}
+    return set(re.findall(r"[^ \n]+(?: +[^ \n]+){0,%d}" % (fingerprints.RUN - 1), text))
 
 
 def alike(a: set, b: set) -> float:
@@ -86,4 +86,30 @@ def test_fingerprint_is_the_sketch(spark):
         "text", fingerprints.digests(F.col("text")).alias("k")).select("text", fingerprints.fingerprint("k").alias("f"))
     got = dict(df.collect())
     assert got["a\nb"] == got["b\na\na "] and len(set(got.values())) == 3
-    assert set(got[""]) == {"0"} and len(got["c"]) == 3 * fingerprints.PUBLISHED * 20
+    assert set(got[""]) == {"0"} and len(got["c"]) == 3 * fingerprints.PUBLISHED * 48
+
+
+def test_long_blank_runs_and_many_digests(spark):
+    """Blank runs take linear time, in a line, at its ends and alone; counts keep all their digits."""
+    import time
+    blank = " " * 1_500_000
+    texts = [blank, f"a{blank}b", f"a{blank}\n{blank}b", f"{blank}x\ny{blank}"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        F.size(fingerprints.digests(F.col("text"))).alias("n"))
+    start = time.time()
+    assert [r.n for r in df.collect()] == [0, 1, 2, 2] and time.time() - start < 30
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(900_000)), lambda i: i).alias("k"))
+    f = many.select(fingerprints.fingerprint("k", 1).alias("f")).first().f
+    assert [int(f[i:i + 16], 16) for i in (0, 48, 96)] == [900_000] * 3
+
+
+def test_published_fingerprints_of_like_texts_peel(spark):
+    """Two returned strings that differ in one paragraph: their difference gives its digests and the likeness."""
+    a, b = "one\ntwo\nthree\nfour", "one\ntwo\nthree\nother words"
+    rows = spark.createDataFrame([(a,), (b,)], "text string").select(fingerprints.digests(F.col("text")).alias("k")).select(
+        "k", fingerprints.fingerprint("k").alias("f")).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    cells = [[tuple(int(r.f[i + 16 * j:i + 16 * j + 16], 16) for j in range(3)) for i in range(0, len(r.f), 48)] for r in rows]
+    diff = [(x[0] - y[0], signed(x[1] ^ y[1])) for x, y in zip(*cells)]
+    only = [set(r.k) - set(rows[1 - i].k) for i, r in enumerate(rows)]
+    assert {(n, k) for n, k in diff if abs(n) == 1} == {(1, *only[0]), (-1, *only[1])}

@@ -9,6 +9,11 @@ that holds a single digest (count 1 or -1, check hash right) gives it away,
 and taking it out of its other cells may free the next ones. Pairs that do
 not peel empty are sketched again with four times the cells, until all do.
 
+The published fingerprint is the smallest sketch, with check hashes: those of
+texts that differ in a few paragraphs subtract and peel. The likenesses come
+from the growing sketches of the same digests, so they hold for any number of
+differences.
+
 The sketches are rows (pair, cell). Everything up to the recovered digests
 is grouped by the pair, so after one exchange of the digest arrays all
 subtracting and peeling stays inside the partitions.
@@ -37,8 +42,8 @@ SWEEPS = 2
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of the paragraphs."""
-    runs = F.regexp_extract_all(text, F.lit(r" *(?:[^ \n]+ *){1,%d}" % RUN), F.lit(0))
-    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(F.rtrim(r))))
+    runs = F.regexp_extract_all(text, F.lit(r"[^ \n]+(?: +[^ \n]+){0,%d}" % (RUN - 1)), F.lit(0))
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
 
 
 def _cell(digest: Column, sub: int, cells: int) -> Column:
@@ -51,11 +56,12 @@ def _check(digest: Column) -> Column:
 
 
 def fingerprint(keys: str, cells: int = PUBLISHED) -> Column:
-    """The sketch of an array of digests as text: 4 hex digits of the count and 16 of the xor a cell."""
+    """The sketch of an array of digests as text: a cell is 16 hex digits each of the count, the xor of
+    the digests and the xor of their check hashes."""
     def cell(i: int) -> Column:
         own = F.filter(F.col(keys), lambda k: _cell(k, i // cells, cells) == i)
-        xor = F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))
-        return F.concat(F.lpad(F.hex(F.size(own).cast("long")), 4, "0"), F.lpad(F.hex(xor), 16, "0"))
+        xor = lambda of: F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(of(k)))
+        return F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (F.size(own).cast("long"), xor(lambda k: k), xor(_check))])
 
     return F.lower(F.concat(*[cell(i) for i in range(3 * cells)]))
 
