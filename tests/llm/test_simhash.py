@@ -105,3 +105,13 @@ def test_every_close_pair_shares_a_key(spark):
     mine = keyed.where(F.col("fp") == base).select("k", F.col("key").alias("key0"))
     met = keyed.join(mine, "k").where("key = key0").select("fp").distinct().count()
     assert met == len({p for p, in pairs} | {base})
+
+
+def test_keep_one_chooses_alike_under_any_partitioning(spark):
+    """Rows of equal id and text but another source: the same one stays, however the rows lie."""
+    rows = [(1, "a b c d e", "en", s, 9) for s in ("x", None, "y", "z")] + [(None, "a b c d e", "en", "q", 9)]
+    rows += [(2, "p q r s t u", None, "x", 11)] * 3 + [(None, "null id alone here now", "en", "x", 1)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [sorted(map(repr, simhash.keep_one(spark.createDataFrame(r, schema).repartition(n)).collect()))
+           for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert got[0] == got[1] and len(got[0]) == 3

@@ -153,18 +153,22 @@ def _classes(docs: DataFrame, kept: list[str], shingle: int, max_bits: int, bloc
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     """The row of least id of each near-duplicate class, with all columns of ``docs``.
 
-    Rows that share the least id are told apart by their text's hash, and
-    exact copies of a row by nothing: one of them stays.
+    Rows that share the least id are told apart by a hash of all their columns,
+    so reruns agree; of exact copies of a row one stays. Texts cross the network
+    once: the join and the choice among copies have the same keys.
     """
-    mark = F.xxhash64(text_or_empty()).alias("__mark")
-    rows = docs.select(F.col(id_col).alias("__of"), "text", mark)
+    cols = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and not c.startswith("__")]
+    mark = F.xxhash64(*cols, *[c.isNull() for c in cols]).alias("__mark")
+    of = F.col(id_col)
+    rows = docs.select(of.alias("__of"), "text", mark)
     classes = _classes(rows, ["__of", "__mark"], shingle, max_bits, 8, "__of")
+    key = ["__id", "__none", "__mark"]  # a null id as two columns without nulls
+    named = lambda x: (F.coalesce(x, F.lit(0).cast("long")).alias("__id"), x.isNull().alias("__none"))
     first = (classes.groupBy("root")
              .agg(F.min(F.struct(F.col("__of").isNull(), F.col("__of"), F.col("__mark"))).alias("f"))
-             .select(F.col("f.__of").alias("__id"), F.col("f.__mark").alias("__m")))
-    kept = docs.select(whole(docs), F.col(id_col).alias("__of"), mark).join(
-        first, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    one = Window.partitionBy("__of", "__mark").orderBy(F.lit(0))
+             .select(*named(F.col("f.__of")), F.col("f.__mark").alias("__mark")))
+    kept = docs.select(whole(docs), *named(of), mark).join(first, key, "left_semi")
+    one = Window.partitionBy(*key).orderBy(F.lit(0))
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select("__row.*")
 
 
