@@ -31,7 +31,8 @@ __all__ = [
     "share_of_total",
 ]
 
-MONEY = "decimal(18,2)"
+#: Exact sums without rounding a cell finer than cents; held in a long like any decimal of 18 digits.
+MONEY = "decimal(18,6)"
 
 
 def _c(x) -> Column:

@@ -61,20 +61,22 @@ def exclusive_running_totals(df: DataFrame, key: str, order: list[str],
     ``sums`` maps an output column to the column it accumulates; the output
     is 0 for a key's first row (a ROWS frame, so rows with equal order values
     do not merge). ``count_out`` names the number of earlier rows.
-    The ordering must be unique within a key for the result to be defined.
+    The ordering must be unique within a key for the result to be defined;
+    missing values come last.
     """
-    sort_cols = [F.col(key)] + [F.col(c) for c in order]
+    by = [F.col(c).asc_nulls_last() for c in order]
+    sort_cols = [F.col(key).asc(), *by]
     ranged = _range(df, num_partitions, *sort_cols).withColumn(_PID, F.spark_partition_id())
     ranged = materialize(ranged, "ranged-rows")
 
     # 1. running totals inside each (partition, key) piece
-    w = (Window.partitionBy(_PID, key).orderBy(*order)
+    w = (Window.partitionBy(_PID, key).orderBy(*by)
          .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.select(
         "*",
         *[F.coalesce(F.sum(src).over(w), F.lit(0)).alias(f"__l_{o}")
           for o, src in sums.items()],
-        (F.row_number().over(Window.partitionBy(_PID, key).orderBy(*order)) - 1)
+        (F.row_number().over(Window.partitionBy(_PID, key).orderBy(*by)) - 1)
         .alias("__l_n"))
 
     # 2. a key continues from earlier partitions only as their last key and

@@ -41,18 +41,23 @@ def base_ctes(pre: str = "", where_o: str = "", where_c: str = "") -> str:
 {pre}tx_x AS (
   SELECT
     {_hk('o.o_custkey')} AS parallax_hashed_email_address,
-    l.l_orderkey AS boooking_code,
+    CASE WHEN l.l_orderkey % 397 = 0 THEN NULL WHEN l.l_orderkey % 89 = 1 THEN l.l_orderkey - 1
+         ELSE l.l_orderkey END AS boooking_code,
     CASE WHEN l.l_suppkey % 5 = 0 THEN 'BR2' ELSE 'BR1' END AS eg_brand_code,
     CASE p.p_type WHEN 'ECONOMY' THEN 'Air' WHEN 'LARGE' THEN 'Lodging' WHEN 'MEDIUM' THEN 'Car'
                   WHEN 'PROMO' THEN 'Activity' WHEN 'SMALL' THEN 'Insurance' END AS line_of_business,
-    CAST(CASE WHEN l.l_quantity <= 2 THEN 0 ELSE ceil(l.l_quantity / 10) END AS DOUBLE) AS unit_count,
-    CAST(l.l_extendedprice AS DECIMAL(18,2)) AS gross_booking_amount_usd,
-    CAST(o.o_orderdate AS DATE) AS booking_date_pst,
-    CAST(l.l_shipdate AS DATE) AS begin_use_date,
-    CAST(CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3
-         WHEN '5' THEN 5 ELSE 0 END AS DOUBLE) AS loyalty_tier,
-    CAST(l.l_discount AS DECIMAL(18,2)) AS loyalty_amount_net_burned_usd,
-    CAST(l.l_tax AS DECIMAL(18,2)) AS loyalty_amount_net_earned_usd,
+    CASE WHEN (l.l_partkey + 5 * l.l_suppkey) % 701 <> 0
+         THEN CAST(CASE WHEN l.l_quantity <= 2 THEN 0 ELSE ceil(l.l_quantity / 10) END AS DOUBLE) END AS unit_count,
+    CASE WHEN year(l.l_shipdate) = 1998 OR (l.l_partkey + 3 * l.l_suppkey) % 211 <> 0
+         THEN CAST(l.l_extendedprice AS DECIMAL(18,6)) END AS gross_booking_amount_usd,
+    CASE WHEN (2 * l.l_partkey + l.l_suppkey) % 907 <> 0 THEN CAST(o.o_orderdate AS DATE) END AS booking_date_pst,
+    CASE WHEN (l.l_partkey + l.l_suppkey) % 503 <> 0 THEN CAST(l.l_shipdate AS DATE) END AS begin_use_date,
+    CASE WHEN (3 * l.l_partkey + l.l_suppkey) % 997 <> 0
+         THEN CAST(CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3
+              WHEN '5' THEN 5 ELSE 0 END AS DOUBLE) END AS loyalty_tier,
+    CASE WHEN (l.l_partkey + 2 * l.l_suppkey) % 307 <> 0
+         THEN CAST(l.l_discount AS DECIMAL(18,6)) END AS loyalty_amount_net_burned_usd,
+    CAST(l.l_tax AS DECIMAL(18,6)) AS loyalty_amount_net_earned_usd,
     CAST(l.l_quantity AS DOUBLE) AS room_night_count,
     CAST(l.l_linenumber AS DOUBLE) AS length_of_stay,
     CAST(1 + l.l_partkey % 4 AS DOUBLE) AS totl_person_count,
@@ -209,6 +214,23 @@ segments AS (
   FROM (SELECT DISTINCT ccid FROM tx) a LEFT JOIN drawn d ON a.ccid = d.ccid
 )""")
 
+def n_distinct(x: str) -> str:
+    """Distinct values, a missing one counted as one more."""
+    return f"(count(DISTINCT {x}) + max(CASE WHEN {x} IS NULL THEN 1 ELSE 0 END))"
+
+
+def strict(x: str) -> str:
+    """Sum that is missing if any input is."""
+    return f"CASE WHEN count({x}) = count(*) THEN sum({x}) END"
+
+
+def filled(x: str, cond: str) -> str:
+    """0 when no row meets cond, missing when a meeting row has a missing x, else the sum."""
+    n = f"count(CASE WHEN {cond} THEN 1 END)"
+    return (f"CASE WHEN {n} = 0 THEN 0 WHEN count(CASE WHEN {cond} THEN {x} END) = {n} "
+            f"THEN sum(CASE WHEN {cond} THEN {x} END) END")
+
+
 LOB_EXT = ["air", "lodging", "car", "air_package", "lodging_package", "car_package"]
 
 MODEL = f"""
@@ -230,12 +252,12 @@ mtx AS (
 ),
 cyu AS (
   SELECT ccid, sum(trip_elements) AS trip_elements_current_year,
-         count(DISTINCT booking_code) AS bookings_current_year
+         {n_distinct('booking_code')} AS bookings_current_year
   FROM mtx WHERE year(begin_use_date) = {Y} GROUP BY ccid
 ),
 pyu AS (
   SELECT ccid, sum(trip_elements) AS trip_elements_prev_year,
-         count(DISTINCT booking_code) AS bookings_prev_year
+         {n_distinct('booking_code')} AS bookings_prev_year
   FROM mtx WHERE year(begin_use_date) = {Y - 1} AND ccid IN (SELECT ccid FROM cyu) GROUP BY ccid
 ),
 p2u AS (
@@ -244,7 +266,7 @@ p2u AS (
 ),
 blw AS (
   SELECT booking_code,
-    {", ".join(f"coalesce(sum(CASE WHEN lob_ext = '{e}' THEN gbvlc END), 0) AS lob_gbvlc_{e}" for e in LOB_EXT)},
+    {", ".join(f"{filled('gbvlc', f"lob_ext = '{e}'")} AS lob_gbvlc_{e}" for e in LOB_EXT)},
     {", ".join(f"CAST(max(CASE WHEN lob_ext = '{e}' THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS lob_bookings_{e}" for e in LOB_EXT)},
     {", ".join(f"coalesce(sum(CASE WHEN lob_ext = '{e}' THEN trip_elements END), 0) AS lob_trip_elements_{e}" for e in LOB_EXT)}
   FROM mtx WHERE ccid IN (SELECT ccid FROM cyu) GROUP BY booking_code
@@ -252,7 +274,7 @@ blw AS (
 bk AS (
   SELECT ccid, booking_code, segment, sum(trip_elements) AS trip_elements, CAST(1.0 AS DOUBLE) AS bookings,
          min(begin_use_date) AS begin_use_date, count(DISTINCT lob_ext) > 1 AS is_package,
-         sum(gbvlc) AS gbvlc
+         {strict('gbvlc')} AS gbvlc
   FROM mtx WHERE year(begin_use_date) = {Y} AND ccid IN (SELECT ccid FROM cyu)
   GROUP BY ccid, booking_code, segment
 ),
@@ -315,11 +337,11 @@ MEMBERS_OUT = f"""
   SELECT segment, {rnd('units_earned_prev_year')} AS units_earned_prev_year,
     {rnd('units_earned_current_year')} AS units_earned_current_year, unit_type,
     {rnd(f'count(DISTINCT ccid) / {FRAC}')} AS num_members,
-    {rnd(f'CAST(sum(gbvlc) AS DOUBLE) / {FRAC}')} AS gbvlc,
+    {rnd(f"CAST({strict('gbvlc')} AS DOUBLE) / {FRAC}")} AS gbvlc,
     {rnd(f'sum(bookings) / {FRAC}')} AS bookings,
     {rnd(f'sum(trip_elements) / {FRAC}')} AS trip_elements,
     {rnd(f'sum(CAST(is_package AS INT)) / {FRAC}')} AS packages,
-    {", ".join(f"{rnd(f'CAST(sum({c}) AS DOUBLE) / {FRAC}')} AS {c}" for c in LOB_COLS)}
+    {", ".join(f"{rnd(f'CAST({strict(c)} AS DOUBLE) / {FRAC}')} AS {c}" for c in LOB_COLS)}
   FROM views
   GROUP BY segment, units_earned_prev_year, units_earned_current_year, unit_type"""
 
@@ -363,10 +385,6 @@ def fsum(x: str, cond: str) -> str:
             f"THEN sum(CASE WHEN {cond} THEN {x} END) END AS DOUBLE)")
 
 
-def ssum(x: str) -> str:
-    return f"CASE WHEN count({x}) = count(*) THEN sum({x}) END"
-
-
 O = ORACLE
 
 # ---- ingest and identity
@@ -467,23 +485,23 @@ O["sink_roundtrip"] = model_sql(
     "SELECT " + ", ".join(f'{c} AS "{c.replace("_", " ")}"' for c in _sink_cols)
     + f" FROM ({BOOKINGS_OUT})")
 O["stage_reconciliation"] = model_sql(f"""
-  SELECT 'raw' AS stage, CAST(sum(gbv) AS DOUBLE) / {FRAC} AS gbvlc,
-         count(DISTINCT booking_code) / {FRAC} AS bookings,
+  SELECT 'raw' AS stage, CAST({strict('gbv')} AS DOUBLE) / {FRAC} AS gbvlc,
+         {n_distinct('booking_code')} / {FRAC} AS bookings,
          sum(unit_count) / {FRAC} AS trip_elements
   FROM tx WHERE {yr('begin_use_date', Y)} AND {ELIG}
   UNION ALL
-  SELECT 'raw_members', CAST(sum(gbv) AS DOUBLE) / {FRAC},
-         count(DISTINCT booking_code) / {FRAC}, sum(unit_count) / {FRAC}
+  SELECT 'raw_members', CAST({strict('gbv')} AS DOUBLE) / {FRAC},
+         {n_distinct('booking_code')} / {FRAC}, sum(unit_count) / {FRAC}
   FROM tx WHERE {yr('begin_use_date', Y)} AND {ELIG} AND ccid IN (SELECT ccid FROM members)
   UNION ALL
-  SELECT 'tx', CAST(sum(gbvlc) AS DOUBLE) / {FRAC}, count(DISTINCT booking_code) / {FRAC},
+  SELECT 'tx', CAST({strict('gbvlc')} AS DOUBLE) / {FRAC}, {n_distinct('booking_code')} / {FRAC},
          sum(trip_elements) / {FRAC}
   FROM mtx WHERE {yr('begin_use_date', Y)}
   UNION ALL
   SELECT 'current_year', NULL, sum(bookings_current_year) / {FRAC},
          sum(trip_elements_current_year) / {FRAC} FROM cyu
   UNION ALL
-  SELECT 'unit_calculation', CAST(sum(gbvlc) AS DOUBLE) / {FRAC}, sum(bookings) / {FRAC},
+  SELECT 'unit_calculation', CAST({strict('gbvlc')} AS DOUBLE) / {FRAC}, sum(bookings) / {FRAC},
          sum(trip_elements) / {FRAC} FROM bu
   UNION ALL
   SELECT 'book_for_sim', NULL, sum(bookings) / 2.0, NULL FROM ({BOOKINGS_OUT})
@@ -517,7 +535,7 @@ FLAG_NAMES = list(FLAG_SUM_COLUMNS)
 RESP = f"""
 p12 AS (SELECT * FROM survey_tx WHERE {yr('begin_use_date', Y)}),
 lw AS (SELECT ccid, {", ".join(_lw)} FROM p12 GROUP BY ccid),
-fs AS (SELECT ccid, {", ".join(f"{ssum(c)} AS {c}" for c in FLAG_NAMES)} FROM p12 GROUP BY ccid)"""
+fs AS (SELECT ccid, {", ".join(f"{strict(c)} AS {c}" for c in FLAG_NAMES)} FROM p12 GROUP BY ccid)"""
 O["lob_metrics_wide"] = survey_sql("SELECT * FROM lw", RESP)
 O["flag_sums"] = survey_sql("SELECT * FROM fs", RESP)
 O["survey_features"] = survey_sql(f"""
@@ -589,10 +607,10 @@ O["customer_history"] = tier_sql(f"""
   WHERE ccid = (SELECT ccid FROM (SELECT ccid, count(*) AS n FROM mtx
                 WHERE {yr('begin_use_date', Y)} GROUP BY ccid) ORDER BY n DESC, ccid LIMIT 1)""")
 O["calculated_tier_totals"] = tier_sql(
-    f"SELECT tier, CAST(sum(gbvlc) AS DOUBLE) / {FRAC} AS gbvlc, sum(bookings) / {FRAC} AS bookings "
+    f"SELECT tier, CAST({strict('gbvlc')} AS DOUBLE) / {FRAC} AS gbvlc, sum(bookings) / {FRAC} AS bookings "
     "FROM named GROUP BY tier")
 O["recorded_tier_value"] = tier_sql(
-    f"SELECT loyalty_tier, CAST(sum(gbvlc) AS DOUBLE) / {FRAC} AS gbvlc FROM mtx "
+    f"SELECT loyalty_tier, CAST({strict('gbvlc')} AS DOUBLE) / {FRAC} AS gbvlc FROM mtx "
     f"WHERE {yr('begin_use_date', Y)} GROUP BY loyalty_tier")
 O["recorded_tier_counts"] = tier_sql(
     f"SELECT loyalty_tier, count(*) AS n FROM mtx WHERE {yr('begin_use_date', Y + 1)} "
@@ -615,12 +633,12 @@ ttx AS (
 ),
 tcy AS (
   SELECT ccid, sum(unit_count) AS trip_elements_current_year,
-         count(DISTINCT booking_code) AS bookings_current_year
+         {CODES} AS bookings_current_year
   FROM ttx WHERE year(begin_use_date) = {Y} GROUP BY ccid
 ),
 tpy AS (
   SELECT ccid, sum(unit_count) AS trip_elements_prev_year,
-         count(DISTINCT booking_code) AS bookings_prev_year
+         {CODES} AS bookings_prev_year
   FROM ttx WHERE year(begin_use_date) = {Y1} AND ccid IN (SELECT ccid FROM tcy) GROUP BY ccid
 ),
 uc AS (SELECT * FROM tcy LEFT JOIN tpy USING (ccid)),
@@ -630,11 +648,11 @@ cohort AS (
 )"""
 
 
-TRANS = TRANS_T.format(src="tx", members="members", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
+TRANS = TRANS_T.format(src="tx", members="members", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max, CODES=n_distinct("booking_code"))
 
 
 def trans_sql(select: str, src: str = "tx") -> str:
-    t = TRANS_T.format(src=src, members="members" if src == "tx" else "s_members", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max)
+    t = TRANS_T.format(src=src, members="members" if src == "tx" else "s_members", BRAND=BRAND, Y=Y, Y1=Y - 1, BAND=P.band_max, CODES=n_distinct("booking_code"))
     if src == "tx":
         return with_(BASE, t) + "\n" + select
     return with_(BASE, SURVEY, t) + "\n" + select

@@ -37,7 +37,7 @@ CUSTOMER_TYPES = {
 }
 
 # The transaction extract's 30 columns and types (only these
-# are kept); money is read as decimal(18,2) so sums are exact.
+# are kept); money is read as a decimal of six places so sums are exact.
 TX_TYPES = {
     "booking_date_pst": "date",
     "boooking_code": "string",

@@ -84,18 +84,24 @@ def tx_extract(spark: SparkSession, sf_dir: str, survey: bool = False) -> DataFr
             v = F.when(pk % 97 == 0, F.lit(None).cast("double")).otherwise(v)
         flags[name] = v
     prio = F.substring("o_orderpriority", 1, 1)
+    ok, use = F.col("l_orderkey"), F.col("l_shipdate").cast("date")
+    # awkward rows: codes that are missing or shared by two orders, missing dates, units, tiers and values
+    # (values only outside the analysis year of the test parameters: a missing one makes every total of it missing)
+    code = F.when(ok % 397 == 0, F.lit(None)).when(ok % 89 == 1, ok - 1).otherwise(ok)
+    lost = lambda a, b, m, c: F.when((a * pk + b * sk) % m != 0, c)
     cols = {
         NATURAL_KEY: _hk(F.col("o_custkey")),
-        "boooking_code": F.col("l_orderkey"),
+        "boooking_code": code,
         "eg_brand_code": F.when(sk % 5 == 0, F.lit("BR2")).otherwise(F.lit("BR1")),
         "line_of_business": _case(F.col("p_type"), PART_TYPE_TO_LOB),
-        "unit_count": F.when(F.col("l_quantity") <= 2, F.lit(0.0))
-                       .otherwise(F.ceil(F.col("l_quantity") / 10)).cast("double"),
-        "gross_booking_amount_usd": F.col("l_extendedprice").cast(MONEY),
-        "booking_date_pst": F.col("o_orderdate").cast("date"),
-        "begin_use_date": F.col("l_shipdate").cast("date"),
-        "loyalty_tier": _case(prio, {"1": 1.0, "2": 2.0, "3": 3.0, "5": 5.0}, 0.0).cast("double"),
-        "loyalty_amount_net_burned_usd": F.col("l_discount").cast(MONEY),
+        "unit_count": lost(1, 5, 701, F.when(F.col("l_quantity") <= 2, F.lit(0.0))
+                           .otherwise(F.ceil(F.col("l_quantity") / 10)).cast("double")),
+        "gross_booking_amount_usd": F.when((F.year(use) == 1998) | ((pk + 3 * sk) % 211 != 0),
+                                           F.col("l_extendedprice").cast(MONEY)),
+        "booking_date_pst": lost(2, 1, 907, F.col("o_orderdate").cast("date")),
+        "begin_use_date": lost(1, 1, 503, use),
+        "loyalty_tier": lost(3, 1, 997, _case(prio, {"1": 1.0, "2": 2.0, "3": 3.0, "5": 5.0}, 0.0).cast("double")),
+        "loyalty_amount_net_burned_usd": lost(1, 2, 307, F.col("l_discount").cast(MONEY)),
         "loyalty_amount_net_earned_usd": F.col("l_tax").cast(MONEY),
         "room_night_count": F.col("l_quantity").cast("double"),
         "length_of_stay": F.col("l_linenumber").cast("double"),
