@@ -47,3 +47,12 @@ def test_running_totals_rows_frame_on_same_day(spark):
     out = {r.code: (r.before, r.n) for r in exclusive_running_totals(
         df, "ccid", ["day", "code"], {"before": "te"}, count_out="n").collect()}
     assert out == {1: (0.0, 0), 2: (4.0, 1), 0: (7.0, 2)}
+
+
+def test_missing_order_values_come_last(spark):
+    rows = [(1, "1998-01-01", None, 4.0), (1, "1998-01-01", 9, 2.0), (1, "1998-01-02", 5, 1.0), (2, None, 1, 3.0), (2, "1998-05-01", 2, 8.0)]
+    df = spark.createDataFrame(rows, "ccid long, d string, code long, u double")
+    for n in (1, 3):
+        got = {(r.ccid, r.code): (r.before, r.k) for r in exclusive_running_totals(
+            df, "ccid", ["d", "code"], {"before": "u"}, count_out="k", num_partitions=n).collect()}
+        assert got == {(1, 9): (0, 0), (1, None): (2, 1), (1, 5): (6, 2), (2, 2): (0, 0), (2, 1): (8, 1)}

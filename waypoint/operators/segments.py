@@ -195,11 +195,12 @@ def unique_only(df: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` occurs exactly once.
 
     A count per key with the row carried along: partial aggregation bounds
-    the work of a hot key, and a kept group has one row by construction.
+    the work of a hot key, and a kept group has one row by construction. Column
+    metadata (the level order) stays.
     """
     rest = [c for c in df.columns if c != key]
     agg = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"),
-                              *[F.any_value(c).alias(c) for c in rest])
+                              *[F.any_value(c).alias(c, metadata=df.schema[c].metadata) for c in rest])
     return agg.where(F.col("__n") == 1).select(key, *rest)
 
 

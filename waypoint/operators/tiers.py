@@ -77,9 +77,9 @@ def tier_mismatch_rows(compare: DataFrame, recorded: str = "Silver",
 
 
 def customer_history(enriched: DataFrame, ccid) -> DataFrame:
-    """All qualifying lines of one customer in use-date order."""
+    """All qualifying lines of one customer in use-date order, missing dates last."""
     return (enriched.where(F.col("ccid") == ccid)
-            .orderBy("begin_use_date", "booking_code")
+            .orderBy(F.col("begin_use_date").asc_nulls_last(), F.col("booking_code").asc_nulls_last())
             .select("booking_code", "begin_use_date", "trip_elements", "lob", "loyalty_tier"))
 
 

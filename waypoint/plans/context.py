@@ -10,10 +10,11 @@ from waypoint.operators.identity import Dataset, post_process_tx, process_ccids
 from waypoint.session import materialize, scratch_path
 from waypoint.sources.cache import bucket_count, buckets_of, by_part, read_tables, tx_parts, write_tables
 from waypoint.params import ModelParams, fixture_params
+from waypoint.sources import csv
 from waypoint.sources import fixtures as fx
-from waypoint.sources.survey import SurveyDataset, codebook, label_columns, survey_dataset, value_labels
+from waypoint.sources.survey import SurveyDataset, codebook, decoded, read_codebook, survey_dataset
 
-# Fixture question texts for the labelled survey columns.
+# Fixture question texts for survey columns that are labelled without a codebook.
 QUESTION_LABELS = {
     "CID_External": "Respondent identifier",
     "Segments_V1": "Traveller segment (first segmentation)",
@@ -70,8 +71,10 @@ def load(spark: SparkSession, sf_dir: str, params: ModelParams | None = None) ->
     tx_x = materialize(fx.tx_extract(spark, sf_dir), "tx-extract")
     cust_x = fx.customer_extract(spark, sf_dir)
     data = ingest(spark, process_ccids(cust_x, post_process_tx(tx_x)))
-    responses = value_labels(
-        label_columns(fx.survey_responses_extract(spark, sf_dir, coded=True), QUESTION_LABELS), fx.VALUE_LABELS)
+    # coded answers and their codebook, both as files
+    book = scratch_path(spark, "codebook")
+    csv.write_csv(fx.codebook_extract(spark).coalesce(1), book, null_value="")
+    responses = decoded(fx.survey_responses_extract(spark, sf_dir, coded=True), read_codebook(spark, book))
     # the survey's own extracts, numbered apart from the main ones and stored once
     own = ingest(spark, process_ccids(fx.customer_extract(spark, sf_dir, survey=True),
                                       post_process_tx(fx.tx_extract(spark, sf_dir, survey=True))))

@@ -18,7 +18,7 @@ from waypoint.operators.identity import Dataset
 from waypoint.params import ModelParams
 from waypoint.session import materialize
 from waypoint.sources.cache import bucket_count, by_part, clustered_parts
-from waypoint.sources.survey import SurveyDataset
+from waypoint.sources.survey import SurveyDataset, levels_of
 
 
 @dataclass
@@ -51,6 +51,12 @@ class Model:
                                         self.p.segmentation)
         return S.drop_non_members(a, self.p.segmentation)
 
+    @property
+    def segment_levels(self) -> tuple[str, ...]:
+        """Level order of the segments: as given, else as the answers' codebook has it."""
+        found = self.p.segment_levels or levels_of(self.answers, "segments_v1")
+        return tuple(dict.fromkeys(S.FIXED_LEVEL if x == S.TYPO_LEVEL else x for x in found))
+
     @cached_property
     def typing(self) -> DataFrame:
         # tiny (cells x segments): written once, then counted, checked and broadcast

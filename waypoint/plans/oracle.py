@@ -441,6 +441,11 @@ _tx_scan = [
     "vip_room_upgrade_ind", "begin_use_date", "business_flag", "child_flag",
     "totl_person_count", "new_flag_brand", "reacquired_flag_brand"]
 O["scan_tx_parts"] = base_sql("SELECT " + ", ".join(_tx_scan) + " FROM tx_x")
+O["read_faults"] = base_sql(" UNION ALL ".join(
+    f"SELECT 'transactions' AS source, '{c}' AS column_name, '{kind}' AS kind, count(*) AS n FROM tx_x "
+    f"WHERE boooking_code % {m} = 0 AND {c} IS NOT NULL HAVING count(*) > 0"
+    for c, kind, m in (("begin_use_date", "lost", 17), ("unit_count", "lost", 11),
+                       ("gross_booking_amount_usd", "rounded", 13))))
 O["cache_roundtrip"] = base_sql(
     f"SELECT {TX_OUT}, CAST(year(begin_use_date) AS INTEGER) AS use_year FROM tx")
 

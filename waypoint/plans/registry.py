@@ -13,15 +13,14 @@ from waypoint.operators import forest as RF
 from waypoint.operators import identity as I
 from waypoint.operators import lines as L
 from waypoint.operators import outputs as O
-from waypoint.operators import reconcile as R
 from waypoint.operators import respondents as RS
 from waypoint.operators import sampling as SM
 from waypoint.operators import segments as S
 from waypoint.operators import tiers as T
-from waypoint.operators import transitions as TR
+from waypoint.plans import analyses as A
 from waypoint.plans import context
 from waypoint.plans.model import Model
-from waypoint.session import scratch_path
+from waypoint.session import materialize, scratch_path
 from waypoint.sources import cache as CACHE
 from waypoint.sources import csv as CSV
 from waypoint.sources import fixtures as FX
@@ -134,6 +133,23 @@ def q_scan_tx_parts(spark, sf):
     return as_output(CSV.read_tx_parts(spark, _write_tx_parts(spark, sf)))
 
 
+@query("read_faults")
+def q_read_faults(spark, sf):
+    """Cells that the typed read loses or rounds, counted, from parts with spoilt dates, units and amounts."""
+    x = ctx(spark, sf).tx_extract
+    folder = scratch_path(spark, "tx-spoilt")
+    text = lambda c: F.col(c).cast("string")
+    every = lambda m: F.coalesce(F.col("boooking_code") % m == 0, F.lit(False))
+    spoilt = x.withColumns({
+        "begin_use_date": F.when(every(17), F.concat(text("begin_use_date"), F.lit("x"))).otherwise(text("begin_use_date")),
+        "unit_count": F.when(every(11) & F.col("unit_count").isNotNull(), F.lit("n/a")).otherwise(text("unit_count")),
+        "gross_booking_amount_usd": F.when(every(13), F.concat(text("gross_booking_amount_usd"), F.lit("4")))
+        .otherwise(text("gross_booking_amount_usd"))})
+    CSV.write_csv(spoilt, f"{folder}/extract_tx1of1.csv", null_value="")
+    read = materialize(CSV.read_tx_parts(spark, folder, faults=True), "tx-extract")
+    return CSV.fault_counts(CSV.faulty_cells(read, "transactions"))
+
+
 @query("cache_roundtrip")
 def q_cache_roundtrip(spark, sf):
     """Parquet cache write, discovery and memoised scan."""
@@ -289,17 +305,10 @@ def q_sink_roundtrip(spark, sf):
     out = m.bookings_out
     base = scratch_path(spark, "model-output")
     path = CSV.write_output(out, base, "run", "bookings",
-                            order=O.output_order())
+                            order=O.output_order(m.segment_levels))
     return CSV.read_output(spark, path, out)
 
 
-@query("stage_reconciliation")
-def q_stage_reconciliation(spark, sf):
-    """Value, bookings and units at each stage."""
-    m = model(spark, sf)
-    return R.stage_reconciliation(m.stage_values)
-
-
 @query("sample_customers")
 def q_sample_customers(spark, sf):
     """Lines of a seeded uniform sample of customers."""
@@ -335,42 +344,6 @@ def q_survey_features(spark, sf):
                                         c.params.analysis_year))
 
 
-# ---------------------------------------------------------------- tiers
-@query("recorded_tier_distribution")
-def q_recorded_tier_distribution(spark, sf):
-    """Share of bookings per recorded tier."""
-    m = model(spark, sf)
-    return T.recorded_tier_distribution(m.data.tx, m.members.distinct(), m.p, m.hot)
-
-
-def _compare(m):
-    return T.tier_compare(m.booking_units, m.enriched, m.p, m.hot_codes)  # dims of the year's booking codes only
-
-
-@query("tier_compare")
-def q_tier_compare(spark, sf):
-    """Calculated tier next to the recorded one."""
-    return _compare(model(spark, sf))
-
-
-@query("tier_confusion")
-def q_tier_confusion(spark, sf):
-    """Recorded x calculated tier counts."""
-    return T.tier_confusion(_compare(model(spark, sf)))
-
-
-@query("tier_confusion_monthly")
-def q_tier_confusion_monthly(spark, sf):
-    """Recorded x calculated tier counts per use month."""
-    return T.tier_confusion(_compare(model(spark, sf)), by_month=True)
-
-
-@query("tier_mismatch_rows")
-def q_tier_mismatch_rows(spark, sf):
-    """bookings recorded Silver, calculated Blue, in December."""
-    return T.tier_mismatch_rows(_compare(model(spark, sf)))
-
-
 @query("customer_history")
 def q_customer_history(spark, sf):
     """One customer's lines in use-date order."""
@@ -381,101 +354,19 @@ def q_customer_history(spark, sf):
     return T.customer_history(m.enriched, busiest)
 
 
-@query("calculated_tier_totals")
-def q_calculated_tier_totals(spark, sf):
-    """Value and bookings per calculated tier."""
-    m = model(spark, sf)
-    return T.calculated_tier_totals(m.booking_units, m.p)
-
-
-@query("recorded_tier_value")
-def q_recorded_tier_value(spark, sf):
-    """Analysis-year value per recorded tier."""
-    m = model(spark, sf)
-    return T.recorded_tier_value(m.enriched, m.p)
-
-
-@query("recorded_tier_counts")
-def q_recorded_tier_counts(spark, sf):
-    """Next-year line counts per recorded tier."""
-    m = model(spark, sf)
-    return T.recorded_tier_counts(m.enriched, m.p.analysis_year + 1)
-
-
-@query("monthly_tier_mix")
-def q_monthly_tier_mix(spark, sf):
-    """Recorded-tier mix per month."""
-    m = model(spark, sf)
-    return T.monthly_tier_mix(m.enriched, _dt.date(m.p.analysis_year + 1, 8, 1))
-
-
-@query("daily_bookings")
-def q_daily_bookings(spark, sf):
-    """Bookings per use date."""
-    return T.daily_bookings(model(spark, sf).booking_units)
-
-
-@query("monthly_calculated_tier")
-def q_monthly_calculated_tier(spark, sf):
-    """Calculated-tier counts per month."""
-    m = model(spark, sf)
-    return T.monthly_calculated_tier(m.booking_units, m.p)
-
-
-@query("calculated_tier_counts")
-def q_calculated_tier_counts(spark, sf):
-    """Calculated-tier counts."""
-    m = model(spark, sf)
-    return T.calculated_tier_counts(m.booking_units, m.p)
-
-
 # ---------------------------------------------------------------- transitions
-def _uc(spark, sf):
-    m = model(spark, sf)
-    return CACHE.by_part(m.data.tx_parts, lambda x, hot: TR.units_compare(x, m.members, m.p, hot), m.hot), m.p
-
-
 @query("units_compare")
 def q_units_compare(spark, sf):
     """Current and previous-year units of active members."""
-    uc, _ = _uc(spark, sf)
+    uc = A.units_compare(model(spark, sf))
     return uc.withColumns({c: F.col(c).cast("double") for c in
                            ("trip_elements_current_year", "trip_elements_prev_year")})
 
 
-@query("unit_transitions")
-def q_unit_transitions(spark, sf):
-    """Previous -> current booking transitions with shares."""
-    uc, p = _uc(spark, sf)
-    return TR.unit_transitions(uc, p)
-
-
 @query("growth_cohort")
 def q_growth_cohort(spark, sf):
     """F8: one booking last year, 2..band this year."""
-    uc, p = _uc(spark, sf)
-    return TR.growth_cohort(uc, p)
-
-
-@query("growth_bookings_dist")
-def q_growth_bookings_dist(spark, sf):
-    """Current bookings distribution in the cohort."""
-    uc, p = _uc(spark, sf)
-    return TR.distribution(TR.growth_cohort(uc, p), "bookings_current_year")
-
-
-@query("growth_units_dist")
-def q_growth_units_dist(spark, sf):
-    """Current units distribution in the cohort."""
-    uc, p = _uc(spark, sf)
-    return TR.distribution(TR.growth_cohort(uc, p), "trip_elements_current_year")
-
-
-@query("growth_multipliers")
-def q_growth_multipliers(spark, sf):
-    """Bucket means over the cohort mean."""
-    uc, p = _uc(spark, sf)
-    return TR.growth_multipliers(TR.growth_cohort(uc, p), p)
+    return A.growth_cohort(model(spark, sf))
 
 
 # ---------------------------------------------------------------- random forest
@@ -486,33 +377,10 @@ def q_rf_training_set(spark, sf):
     return RF.training_set(c.survey.tx, c.survey.answers, c.params)
 
 
-def _scored_lines(c):
-    ids = SM.sample_ids(c.data.ccids, c.params.scored_size, c.params.seed, strict=False)
-    return c.data.tx.join(F.broadcast(ids), "ccid")  # at most scored_size ids
-
-
 @query("rf_scored_customers")
 def q_rf_scored_customers(spark, sf):
     """M1, M3: the sampled customers that the forest scores, with their features."""
-    c = ctx(spark, sf)
-    return RF.lob_spend_wide(_scored_lines(c), c.params)
-
-
-@query("rf_predicted_counts")
-def q_rf_predicted_counts(spark, sf):
-    """Forest predictions on a customer sample, counted."""
-    c = ctx(spark, sf)
-    nodes, labels = RF.forest_nodes(RF.fit_forest(RF.training_set(c.survey.tx, c.survey.answers, c.params), c.params))
-    return RF.predicted_counts(RF.predictions(nodes, labels, RF.lob_spend_wide(_scored_lines(c), c.params), c.params))
-
-
-@query("survey_unit_transitions")
-def q_survey_unit_transitions(spark, sf):
-    """The transition table on the survey sample instead of the full extract."""
-    c = ctx(spark, sf)
-    members = L.members(c.survey.cust, c.params)
-    uc = CACHE.by_part(c.survey.tx_parts, lambda x, hot: TR.units_compare(x, members, c.params, hot), c.survey.hot_ccids)
-    return TR.unit_transitions(uc, c.params)
+    return A.scored_customers(model(spark, sf))
 
 
 @query("typing_table_override")
@@ -526,3 +394,11 @@ def q_shared_booking_codes(spark, sf):
     """How many booking codes of the year's booking table several customers share."""
     from waypoint.operators.units import shared_booking_codes
     return shared_booking_codes(model(spark, sf).booking_units)
+
+
+# ---------------------------------------------------------------- analyses
+def _of_model(fn):
+    return lambda spark, sf: fn(model(spark, sf))
+
+
+QUERIES.update({name: _of_model(fn) for name, fn in A.ANALYSES.items()})

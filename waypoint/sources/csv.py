@@ -70,6 +70,8 @@ TX_TYPES = {
     "vip_room_upgrade_ind": "double",
     "begin_use_date": "date",
 }
+#: Column of a read with accounts: the cells of the row that its casts lose or round.
+FAULTS = "__faults"
 # Used by the respondent table but not in the list above: read when present.
 TX_OPTIONAL_TYPES = {c: "double" for c in (
     "business_flag", "child_flag", "totl_person_count", "new_flag_brand",
@@ -85,6 +87,30 @@ def _typed(col: str, typ: str, tokens) -> F.Column:
     return c.try_cast(typ)
 
 
+def _fault(col: str, typ: str, tokens) -> F.Column:
+    """The cell if its cast loses it (``lost``) or keeps fewer of its digits (``rounded``), else null."""
+    text = null_tokens(F.col(f"`{col}`"), tokens) if tokens else F.col(f"`{col}`")
+    typed = _typed(col, typ, tokens)
+    kind = F.when(text.isNotNull() & typed.isNull(), F.lit("lost"))
+    if typ.startswith("decimal"):
+        kind = kind.when(text.try_cast("decimal(38,18)") != typed, F.lit("rounded"))
+    return F.when(kind.isNotNull(), F.struct(F.lit(col).alias("column_name"), text.alias("text"), kind.alias("kind")))
+
+
+def faulty_cells(df: DataFrame, source: str) -> DataFrame:
+    """Quarantine of a read with accounts: (source, column_name, text, kind, row), one row a faulty cell;
+    ``row`` is the typed row as JSON, without what was lost."""
+    rows = df.where(F.size(FAULTS) > 0)
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != FAULTS]))
+    return rows.select(F.lit(source).alias("source"), row.alias("row"), F.inline(FAULTS)).select(
+        "source", "column_name", "text", "kind", "row")
+
+
+def fault_counts(cells: DataFrame) -> DataFrame:
+    """Faulty cells by source, column and kind."""
+    return cells.groupBy("source", "column_name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_text_csv(spark: SparkSession, path: str, null_value: str | None = None) -> DataFrame:
     r = (spark.read.option("header", True).option("inferSchema", False)
          .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
@@ -94,8 +120,9 @@ def read_text_csv(spark: SparkSession, path: str, null_value: str | None = None)
 
 
 def project(df: DataFrame, types: dict[str, str], keep_others: bool,
-            optional: dict[str, str] | None = None, tokens=NULL_TOKENS) -> DataFrame:
-    """Typed projection by name; listed but absent columns are null."""
+            optional: dict[str, str] | None = None, tokens=NULL_TOKENS, faults: bool = False) -> DataFrame:
+    """Typed projection by name; listed but absent columns are null. ``faults``: with the column
+    ``FAULTS``, taken in the same pass (a table written with it is counted without another read)."""
     cols = []
     for c, t in types.items():
         cols.append(_typed(c, t, tokens).alias(c) if c in df.columns
@@ -106,21 +133,26 @@ def project(df: DataFrame, types: dict[str, str], keep_others: bool,
     if keep_others:
         cols += [null_tokens(F.col(f"`{c}`"), tokens).alias(c)
                  for c in df.columns if c not in types]
+    if faults:
+        read = {c: t for c, t in (types | (optional or {})).items() if c in df.columns and t != "string"}
+        cells = F.array(*[_fault(c, t, tokens) for c, t in read.items()]) if read else F.array().cast(
+            "array<struct<column_name:string,text:string,kind:string>>")
+        cols.append(F.filter(cells, lambda x: x.isNotNull()).alias(FAULTS))
     return df.select(*cols)
 
 
-def read_customers(spark: SparkSession, path: str) -> DataFrame:
+def read_customers(spark: SparkSession, path: str, faults: bool = False) -> DataFrame:
     """Customer extract (S1): 16 typed columns, other columns kept as text."""
-    return project(read_text_csv(spark, path), CUSTOMER_TYPES, keep_others=True)
+    return project(read_text_csv(spark, path), CUSTOMER_TYPES, keep_others=True, faults=faults)
 
 
-def read_tx_parts(spark: SparkSession, folder: str) -> DataFrame:
+def read_tx_parts(spark: SparkSession, folder: str, faults: bool = False) -> DataFrame:
     """Union of the numbered part files ``*_tx<i>of<n>.csv`` under ``folder``."""
     names = files.list_names(spark, folder, TX_PART_PATTERN)
     if not names:
         raise FileNotFoundError(f"no transaction parts matching {TX_PART_PATTERN} in {folder}")
     parts = [project(read_text_csv(spark, f"{folder.rstrip('/')}/{n}"), TX_TYPES,
-                     keep_others=False, optional=TX_OPTIONAL_TYPES) for n in names]
+                     keep_others=False, optional=TX_OPTIONAL_TYPES, faults=faults) for n in names]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x, allowMissingColumns=True)

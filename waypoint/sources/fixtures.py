@@ -45,6 +45,15 @@ VALUE_LABELS = {"Segments_V1": {str(i): t for i, t in enumerate(
     [*MKTSEGMENT_TO_SEGMENT.values(), "All Others"], start=1)}}
 
 
+def codebook_extract(spark: SparkSession) -> DataFrame:
+    """The survey's codebook as a file holds it: a row a code, or one for a question without codes."""
+    rows = [("CID_External", "Respondent identifier", None, None, None),
+            ("Q1_Trips", "How many trips did you take in the last twelve months?", None, None, None)]
+    rows += [("Segments_V1", "Traveller segment (first segmentation)", code, text, code)
+             for code, text in VALUE_LABELS["Segments_V1"].items()]
+    return spark.createDataFrame(rows, "question string, question_text string, code string, label string, position string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

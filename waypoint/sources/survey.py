@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waypoint.functions.kernel import null_safe_join
 from waypoint.operators.identity import Dataset
 from waypoint.operators.segments import clean_names
+from waypoint.sources.csv import read_all_text
 from waypoint.sources.fixtures import NATURAL_KEY
 
 
@@ -54,6 +55,61 @@ def value_labels(df: DataFrame, labels: dict[str, dict[str, str]]) -> DataFrame:
     return df.select(*cols)
 
 
+#: Rows that a codebook may have: it is held as metadata and as one map.
+MAX_CODES = 1_000_000
+BOOK_COLUMNS = ("question", "question_text", "code", "label", "position")
+
+
+def read_codebook(spark: SparkSession, path: str) -> DataFrame:
+    """(question, question_text, code, label, position) from a CSV by header name: a row for each code
+    of a coded question, in the order of its levels, and one without a code for any other question."""
+    raw = read_all_text(spark, path)
+    missing = set(BOOK_COLUMNS) - set(raw.columns)
+    if missing:
+        raise ValueError(f"codebook {path} has no column {', '.join(sorted(missing))}")
+    book = raw.select(*BOOK_COLUMNS[:-1], F.col("position").try_cast("int").alias("position"))
+    if book.limit(MAX_CODES + 1).count() > MAX_CODES:
+        raise ValueError(f"codebook {path} has more than {MAX_CODES} rows")
+    return book
+
+
+def decoded(df: DataFrame, book: DataFrame) -> DataFrame:
+    """Coded answers as their texts by a codebook table; question texts and the order of the levels
+    become column metadata (``label``, ``levels``), which joins and selections carry on.
+
+    The codes reach the rows as one map (a scalar subquery), so the answers are neither joined
+    nor exchanged. A code without a text stays, a whole number read as such; of repeated codes
+    the first text counts; a position that is no number comes last.
+    """
+    mine = book.where(F.col("question").isin(*df.columns))
+    order = F.struct(F.col("position").isNull(), "position", "label")
+    codes = (mine.where(F.col("code").isNotNull() & F.col("label").isNotNull())
+             .groupBy("question", "code").agg(F.min_by("label", order).alias("label"), F.min(order).alias("at")))
+    by_question = codes.groupBy("question").agg(
+        F.map_from_entries(F.collect_list(F.struct("code", "label"))).alias("texts"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["label"])).alias("levels"))
+    packed = by_question.agg(F.map_from_entries(F.collect_list(F.struct("question", "texts")))).scalar()
+    levels = {r["question"]: list(r["levels"]) for r in by_question.select("question", "levels").collect()}
+    texts = {r["question"]: r["t"] for r in
+             mine.groupBy("question").agg(F.min("question_text").alias("t")).collect()}
+    cols = []
+    for f in df.schema.fields:
+        x, meta = F.col(f"`{f.name}`"), dict(f.metadata)
+        if texts.get(f.name):
+            meta["label"] = texts[f.name]
+        if f.name in levels:
+            meta["levels"] = levels[f.name]
+            code = F.regexp_replace(x.cast("string"), r"^(-?\d+)\.0$", "$1")
+            x = F.coalesce(F.try_element_at(F.try_element_at(packed, F.lit(f.name)), code), code)
+        cols.append(x.alias(f.name, metadata=meta))
+    return df.select(*cols)
+
+
+def levels_of(df: DataFrame, column: str) -> tuple[str, ...]:
+    """The levels of a decoded column in the codebook's order (none, if it has no codes)."""
+    return tuple(df.schema[column].metadata.get("levels", ()))
+
+
 def codebook(spark: SparkSession, responses: DataFrame) -> DataFrame:
     """(qid, full_question) from the column labels; metadata-sized.
 
