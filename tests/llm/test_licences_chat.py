@@ -41,6 +41,28 @@ def test_labels_of_the_method(spark):
     assert got[7].labels == [] and got[7].score == 0 and got[8].labels == ["bsd"]
 
 
+def test_rare_words_propose_together_only(spark):
+    t = licences.template("agpl", "gnu affero general public license", "affero general public license")
+    anchors = {t.words[i]: [] for i in (1, 4)}
+    text = "affero x y license gnu affero general public license license affero"
+    df = spark.createDataFrame([(text.split(),)], "w array<string>").withColumn("p", licences._postings("w", anchors))
+    one, two = (df.select(licences._starts(t, at, "p").alias("s")).first().s for at in ([1], [1, 4]))
+    assert one == [-1, 4, 9] and two == [-1, 4]  # the last affero alone proposes nothing
+    none = spark.createDataFrame([("affero only".split(),)], "w array<string>").withColumn("p", licences._postings("w", anchors))
+    assert none.select(licences._starts(t, [1, 4], "p").alias("s")).first().s == []
+
+
+def test_whole_notices(spark):
+    mit = next(t for t in licences.LICENCES if t.label == "mit" and len(t.words) > 40)
+    whole, cut = " ".join(mit.words), " ".join(mit.words[:30])
+    gpl = next(t for t in licences.LICENCES if t.label == "gpl-3.0" and len(t.words) > 30)
+    texts = [(1, whole), (2, cut), (3, "x " + " ".join(gpl.words)), (4, " ".join(gpl.words).replace("version 3", "version 2"))]
+    only = tuple(t for t in licences.LICENCES if len(t.words) > 20)
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string"), only).collect()}
+    assert got[1].labels == ["mit"] and got[1].score == 1 and got[2].labels == ["mit"] and 0.3 < got[2].score < 1
+    assert got[3].labels == ["gpl", "gpl-3.0"] and got[3].score == 1 and got[4].labels == ["gpl", "gpl-2.0"]
+
+
 def test_licences_of_odd_rows(spark, odd_docs, no_docs):
     got = licences.scan(odd_docs)
     rows_ = {r.doc_id: r for r in got.collect()}

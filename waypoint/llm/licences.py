@@ -2,11 +2,12 @@
 
 A template is a run of words with a label and a mandatory key phrase inside
 it. The words' document frequencies over the whole corpus give their IDF; a
-template is looked up by its rarest words only. Each place of such a word in
-a file proposes the place where the template would start; proposals that the
-template's words confirm at their relative positions score the template by
-the IDF they cover, and the label stands where the key phrase is there word
-for word. Base phrases are templates that are their own key phrase, so all
+template is looked up by the rarest words of its key phrase only. Each place
+of such a word in a file proposes the place where the template would start;
+a start is looked at where the proposals of all of these words meet (their
+postings are intersected by relative position). The label stands where the
+key phrase is there word for word, and the score is the share of the
+template's IDF that the words at their relative positions cover. Base phrases are templates that are their own key phrase, so all
 of their places are found.
 
 All of it is one projection over each file's word array: postings are looked
@@ -58,7 +59,7 @@ BASE = (
     template("gpl", "general public license", base=True),
     template("reserved", "all rights reserved", base=True),
 )
-#: Sentences that licences are stated with, and the phrase that must be there word for word.
+#: Sentences and notices that licences are stated with, and the phrase that must be there word for word.
 LICENCES = (
     template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     template("mit", "released under the mit license", "mit license"),
@@ -79,6 +80,28 @@ LICENCES = (
     template("cc0-1.0", "creative commons zero v1 0 universal", "creative commons zero"),
     template("unlicense", "this is free and unencumbered software released into the public domain",
              "free and unencumbered software"),
+    # whole notices
+    template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+             "associated documentation files the software to deal in the software without restriction including without "
+             "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+             "software and to permit persons to whom the software is furnished to do so subject to the following "
+             "conditions", "permission is hereby granted free of charge"),
+    template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except "
+             "in compliance with the license you may obtain a copy of the license at http www apache org licenses "
+             "license 2 0", "apache license version 2 0"),
+    template("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the "
+             "gnu general public license as published by the free software foundation either version 3 of the license "
+             "or at your option any later version",
+             "gnu general public license as published by the free software foundation either version 3"),
+    template("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the "
+             "gnu general public license as published by the free software foundation either version 2 of the license "
+             "or at your option any later version",
+             "gnu general public license as published by the free software foundation either version 2"),
+    template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0",
+             "mozilla public license v 2 0"),
+    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+             "hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+             "permission to use copy modify and or distribute this software"),
 )
 
 #: Java form of the separators between words (all ASCII but digits and letters).
@@ -111,11 +134,11 @@ def _postings(words: str, anchors: dict[str, list]) -> Column:
 
 
 def _starts(t: Template, anchor_positions: list[int], postings: str) -> Column:
-    """Places where the template may start, by the postings of its rare words."""
+    """Places where the template may start: those that the postings of all of its rare words propose."""
     def proposed(a: int) -> Column:
         return F.transform(F.filter(F.col(postings), lambda p: p["w"] == t.words[a]), lambda p: p["i"] - a)
 
-    return F.array_distinct(F.concat(*map(proposed, anchor_positions)))
+    return reduce(F.array_intersect, map(proposed, anchor_positions[1:]), F.array_distinct(proposed(anchor_positions[0])))
 
 
 def _there(words: str, start: Column, phrase: tuple[str, ...], at: int) -> Column:
@@ -130,7 +153,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = LICENCES, base: tupl
     """``docs`` without its text, with n_words, base_places (sorted word positions),
     base_labels, labels (sorted arrays) and score.
 
-    ``rare``: how many of a template's rarest words are looked up. A template
+    ``rare``: how many of a template's rarest words must propose a start together. A template
     is found where its key phrase stands; its score is the share of its IDF
     found at the right relative positions there.
     """
