@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+from decimal import Decimal
 
 import pytest
 
@@ -29,7 +30,7 @@ def test_tx_parts_by_header_name(spark):
     rows = {r.boooking_code: r for r in df.collect()}
     assert set(rows) == {"B1", "B2", "B3"}
     assert rows["B3"].unit_count == 3.0 and rows["B3"].line_of_business == "Lodging"
-    assert str(rows["B3"].gross_booking_amount_usd) == "7.25"
+    assert rows["B3"].gross_booking_amount_usd == Decimal("7.25")  # six places, not rounded to cents
     assert rows["B2"].unit_count is None and rows["B2"].gross_booking_amount_usd is None
     assert rows["B2"].begin_use_date is None
 
