@@ -28,7 +28,62 @@ def expected(docs: list) -> dict:
     return out
 
 
-def test_query_equals_brute_force(spark, rows):
+def read_back(text: str, cells: int = 0) -> tuple[int, dict]:
+    """(cells a sub-table, {cell: [count, digests, checks]}) of a published fingerprint, folded to ``cells``."""
+    m, out = int(text[:8], 16), {}
+    for i in range(8, len(text), 48):
+        c, n, key, chk = (int(text[i + a:i + b], 16) for a, b in ((0, 8), (8, 16), (16, 32), (32, 48)))
+        sub, spot = divmod(c, m)
+        x = out.setdefault((sub, spot % (cells or m)), [0, 0, 0])
+        out[(sub, spot % (cells or m))] = [x[0] + n, x[1] ^ key, x[2] ^ chk]
+    return m, out
+
+
+@pytest.fixture(scope="module")
+def hashes(spark):
+    """Of 64-bit digests: check hash and the three hashes that cells are taken from."""
+    def of(keys: set) -> dict:
+        signed = [(k - (1 << 64) if k >> 63 else k,) for k in keys]
+        df = spark.createDataFrame(signed, "k long").select(
+            "k", fingerprints._check(F.col("k")), *[F.xxhash64("k", F.lit(s)) for s in range(3)])
+        full = (1 << 64) - 1
+        return {r[0] & full: tuple(x & full for x in r[1:]) for r in df.collect()}
+    return of
+
+
+def peel(cells: dict, m: int, of: dict):
+    """(digests on either side, whether it peeled empty) of a difference of sketches."""
+    cells, out, again = {c: list(x) for c, x in cells.items()}, {}, True
+    while again:
+        again = False
+        for (sub, spot), (n, key, chk) in list(cells.items()):
+            if abs(n) != 1 or key not in of or of[key][0] != chk or of[key][1 + sub] % m != spot:
+                continue
+            if cells[(sub, spot)] != [n, key, chk]:
+                continue
+            out[key], again = n, True
+            for s in range(3):
+                x = cells.setdefault((s, of[key][1 + s] % m), [0, 0, 0])
+                x[0], x[1], x[2] = x[0] - n, x[1] ^ key, x[2] ^ chk
+    return out, not any(map(any, cells.values()))
+
+
+def string_likeness(a: str, b: str, of: dict) -> tuple[float, bool]:
+    """The likeness of two published fingerprints by their strings alone, and whether they peeled at once."""
+    (ma, own_a), (mb, own_b) = read_back(a), read_back(b)
+    alone_a, alone_b = peel(own_a, ma, of), peel(own_b, mb, of)
+    assert alone_a[1] and alone_b[1]  # every published sketch peels by itself
+    n = len(alone_a[0]), len(alone_b[0])
+    m = min(ma, mb)
+    fa, fb = read_back(a, m)[1], read_back(b, m)[1]
+    diff = {c: [x - y if i == 0 else x ^ y for i, (x, y) in enumerate(
+        zip(fa.get(c, [0, 0, 0]), fb.get(c, [0, 0, 0])))] for c in fa.keys() | fb.keys()}
+    out, empty = peel(diff, m, of)
+    d = len(out) if empty else len(alone_a[0].keys() ^ alone_b[0].keys())
+    return (1.0 if not sum(n) else (sum(n) - d) / (sum(n) + d)), empty
+
+
+def test_query_equals_brute_force(spark, rows, hashes):
     docs = sorted(rows("documents", "doc_id, coalesce(text, '')"), reverse=True)
     want, prints = expected(docs), {}
     got = fingerprints.op3_fingerprints(spark, "/root/testdata/sf0.001").collect()
@@ -38,6 +93,18 @@ def test_query_equals_brute_force(spark, rows):
         assert (r.near_edited, r.near_next) == pytest.approx(want[r.doc_id][2:])
         prints.setdefault(dict(docs)[r.doc_id], set()).add(r.fingerprint)
     assert all(len(p) == 1 for p in prints.values())
+    # the likenesses are those of the strings
+    got.sort(key=lambda r: -r.doc_id)
+    halves = [t[:len(t) - len(t) // 2] + n[:len(t) // 2] for (_, t), (_, n) in zip(docs, [*docs[1:], docs[0]])]
+    keys = spark.createDataFrame([(t,) for t in [t for _, t in docs] + halves], "text string").select(
+        F.explode(fingerprints.digests(F.col("text"))).alias("k")).distinct().collect()
+    of, at_once = hashes({r.k & ((1 << 64) - 1) for r in keys}), 0
+    for r, after in zip(got, [*got[1:], got[0]]):
+        near, first = string_likeness(r.fingerprint, r.edited_fingerprint, of)
+        at_once += first
+        assert near == pytest.approx(r.near_edited)
+        assert string_likeness(r.fingerprint, after.fingerprint, of)[0] == pytest.approx(r.near_next)
+    assert at_once > 0.5 * len(got)
 
 
 @pytest.mark.parametrize("buckets", [1, 3, 50])
@@ -81,16 +148,41 @@ def test_peeling_recovers_differences_with_few_cells(spark):
         assert got.get(i, (set(), set())) == (set(a) - set(b), set(b) - set(a))
 
 
-def test_fingerprint_is_the_sketch(spark):
-    df = spark.createDataFrame([("a\nb",), ("b\na\na ",), ("",), ("c",)], "text string").select(
-        "text", fingerprints.digests(F.col("text")).alias("k")).select("text", fingerprints.fingerprint("k").alias("f"))
-    got = dict(df.collect())
-    assert got["a\nb"] == got["b\na\na "] and len(set(got.values())) == 3
-    assert set(got[""]) == {"0"} and len(got["c"]) == 3 * fingerprints.PUBLISHED * 48
+def test_fingerprint_is_the_sketch(spark, hashes):
+    long = "\n".join(f"line {i}" for i in range(5_000))
+    df = spark.createDataFrame([("a\nb",), ("b\na\na ",), ("",), ("c",), (long,)], "text string").select(
+        "text", fingerprints.digests(F.col("text")).alias("k"))
+    got = {r.text: r for r in df.select("*", fingerprints.fingerprint(F.col("k")).alias("f")).collect()}
+    assert got["a\nb"].f == got["b\na\na "].f and len({r.f for r in got.values()}) == 4
+    assert got[""].f == "%08x" % fingerprints.PUBLISHED and len(got["c"].f) == 8 + 3 * 48
+    for r in got.values():
+        m, cells = read_back(r.f)
+        full = {k & ((1 << 64) - 1) for k in r.k}
+        of = hashes(full)
+        assert m >= len(full) and m & (m - 1) == 0
+        want = {}
+        for k in full:
+            for s in range(3):
+                x = want.setdefault((s, of[k][1 + s] % m), [0, 0, 0])
+                x[0], x[1], x[2] = x[0] + 1, x[1] ^ k, x[2] ^ of[k][0]
+        assert cells == want and peel(cells, m, of) == (dict.fromkeys(full, 1), True)
+
+
+def test_sketches_that_do_not_peel_are_published_larger(spark, hashes):
+    """Small sets whose first sketch has two digests in the same three cells."""
+    sets = spark.range(600).select(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.xxhash64("id", i)).alias("k"))
+    got = sets.select("k", fingerprints.fingerprint(F.col("k")).alias("f")).collect()
+    of, sizes = hashes({k & ((1 << 64) - 1) for r in got for k in r.k}), set()
+    for r in got:
+        m, cells = read_back(r.f)
+        out, empty = peel(cells, m, of)
+        assert empty and out.keys() == {k & ((1 << 64) - 1) for k in r.k}
+        sizes.add(m)
+    assert min(sizes) == fingerprints.PUBLISHED and len(sizes) > 1
 
 
-def test_long_blank_runs_and_many_digests(spark):
-    """Blank runs take linear time, in a line, at its ends and alone; counts keep all their digits."""
+def test_long_blank_runs(spark):
+    """Blank runs take linear time, in a line, at its ends and alone."""
     import time
     blank = " " * 1_500_000
     texts = [blank, f"a{blank}b", f"a{blank}\n{blank}b", f"{blank}x\ny{blank}"]
@@ -98,22 +190,3 @@ def test_long_blank_runs_and_many_digests(spark):
         F.size(fingerprints.digests(F.col("text"))).alias("n"))
     start = time.time()
     assert [r.n for r in df.collect()] == [0, 1, 2, 2] and time.time() - start < 30
-    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(900_000)), lambda i: i).alias("k"))
-    f = many.select(fingerprints.fingerprint("k", 1).alias("f")).first().f
-    assert [int(f[i:i + 16], 16) for i in (0, 48, 96)] == [900_000] * 3
-
-
-def test_published_fingerprints_of_like_texts_subtract(spark):
-    """The strings of two texts that differ in a paragraph: cells with one digest left give just the differing ones."""
-    texts = ["one\ntwo\nthree\nfour"] + [f"one\ntwo\nthree\nother {i}" for i in range(12)]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(fingerprints.digests(F.col("text")).alias("k")).select(
-        "k", fingerprints.fingerprint("k").alias("f")).collect()
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    cells = [[tuple(int(r.f[i + j:i + j + 16], 16) for j in (0, 16, 32)) for i in range(0, len(r.f), 48)] for r in rows]
-    whole = 0
-    for r, mine in zip(rows[1:], cells[1:]):
-        only = {(1, *(set(rows[0].k) - set(r.k))), (-1, *(set(r.k) - set(rows[0].k)))}
-        found = {(x[0] - y[0], signed(x[1] ^ y[1])) for x, y in zip(cells[0], mine) if abs(x[0] - y[0]) == 1}
-        assert found <= only  # both in one cell of a table cancel in the count
-        whole += found == only
-    assert whole >= 10

@@ -9,17 +9,22 @@ that holds a single digest (count 1 or -1, check hash right) gives it away,
 and taking it out of its other cells may free the next ones. Pairs that do
 not peel empty are sketched again with four times the cells, until all do.
 
-The published fingerprint is the smallest sketch, with check hashes: those of
-texts that differ in a few paragraphs subtract and peel. The likenesses come
-from the growing sketches of the same digests, so they hold for any number of
-differences.
+The published fingerprint is a sketch with a power of two of cells a
+sub-table, at least as many as the text has digests, and more where it does
+not peel empty by itself. A sketch folds to any smaller power of two (a
+digest's cell is a hash modulo the cells), so two fingerprints fold to the
+smaller one's cells, subtract and peel; where that fails, each is peeled by
+itself and sketched again larger. The likenesses are thus those of the
+published fingerprints, whatever the texts' sizes and differences; the query
+takes the same sketches from the digests at hand instead of reading the
+strings again.
 
 The sketches are rows (pair, cell). Everything up to the recovered digests
 is grouped by the pair, so after one exchange of the digest arrays all
 subtracting and peeling stays inside the partitions.
 
 Defined cases: null texts count as empty; empty texts have no digests and a
-fingerprint of zero cells, and two of them are alike (1.0); a paragraph that
+fingerprint that lists no cell, and two of them are alike (1.0); a paragraph that
 repeats in a text counts once; extra columns are ignored; an empty table
 gives an empty result.
 """
@@ -34,8 +39,10 @@ from waypoint.session import materialize
 
 #: Words after which a long line is cut.
 RUN = 16
-#: Cells of each of the three sub-tables: of the published fingerprint, and of the first try.
+#: Cells of each of the three sub-tables, powers of two: of the smallest published fingerprint, and of the first try.
 PUBLISHED, FIRST = 4, 64
+#: Times that a published fingerprint may double until it peels by itself.
+DOUBLINGS = 24
 #: Passes over the three sub-tables before a pair is tried again with more cells.
 SWEEPS = 2
 
@@ -46,24 +53,67 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
 
 
-def _cell(digest: Column, sub: int, cells: int) -> Column:
-    """The digest's cell in sub-table ``sub``."""
-    return F.pmod(F.xxhash64(digest, F.lit(cells * 3 + sub)), F.lit(cells)).cast("int") + sub * cells
+def _cell(digest: Column, sub: int, cells: int | Column) -> Column:
+    """The digest's cell in sub-table ``sub`` of ``cells`` (a power of two) cells."""
+    m = F.lit(cells) if isinstance(cells, int) else cells
+    return (F.pmod(F.xxhash64(digest, F.lit(sub)), m) + F.lit(sub) * m).cast("int")
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def fingerprint(keys: str, cells: int = PUBLISHED) -> Column:
-    """The sketch of an array of digests as text: a cell is 16 hex digits each of the count, the xor of
-    the digests and the xor of their check hashes."""
-    def cell(i: int) -> Column:
-        own = F.filter(F.col(keys), lambda k: _cell(k, i // cells, cells) == i)
-        xor = lambda of: F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(of(k)))
-        return F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (F.size(own).cast("long"), xor(lambda k: k), xor(_check))])
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    return F.lower(F.concat(*[cell(i) for i in range(3 * cells)]))
+
+def _not_alone(keys: Column, sub: int, cells: Column) -> Column:
+    """The digests that share their cell of sub-table ``sub``: what one pass of peeling leaves."""
+    spots = F.sort_array(F.transform(keys, lambda k: F.struct(_cell(k, sub, cells).alias("c"), k.alias("k"))))
+    return _let(spots, lambda s: F.transform(
+        F.filter(s, lambda x, i: (F.get(s, i - 1)["c"] == x["c"]) | (F.get(s, i + 1)["c"] == x["c"])),
+        lambda x: x["k"]))
+
+
+def published_cells(keys: Column) -> Column:
+    """Cells a sub-table of the published sketch: the first power of two, not below the number of
+    digests, at which the sketch peels empty by itself."""
+    start = F.greatest(F.lit(PUBLISHED).cast("long"),
+                       F.pow(F.lit(2.0), F.length(F.bin(F.greatest(F.size(keys), F.lit(1)) - 1))).cast("long"))
+
+    def step(s: Column, _: Column) -> Column:
+        left = keys
+        for _ in range(SWEEPS):
+            for sub in range(3):
+                left = _not_alone(left, sub, s["m"])
+        retried = _let(F.size(left) == 0, lambda ok: F.struct(
+            F.when(ok, s["m"]).otherwise(s["m"] * 2).alias("m"), ok.alias("ok")))
+        return F.when(s["ok"], s).otherwise(retried)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)),
+                       F.struct(start.alias("m"), F.lit(False).alias("ok")), step, lambda s: s["m"])
+
+
+def fingerprint(keys: Column) -> Column:
+    """The published sketch of an array of distinct digests as text: 8 hex digits of the cells a sub-table, then
+    the cells in use in order, each as its number and count (8 digits each), the xor of its digests and
+    the xor of their check hashes (16 each)."""
+    hexed = lambda x, digits: F.lpad(F.lower(F.hex(x)), digits, "0")
+    xor = lambda xs, of: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(of(x["k"])))
+
+    def listed(m: Column) -> Column:
+        spots = F.sort_array(F.flatten(F.transform(keys, lambda k: F.array(*[
+            F.struct(_cell(k, sub, m).alias("c"), k.alias("k")) for sub in range(3)]))))
+        first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (
+            i == 0) | (F.get(s, i - 1)["c"] != F.get(s, i)["c"]))
+        cell = lambda own: F.concat(
+            hexed(own[0]["c"], 8), hexed(F.size(own), 8), hexed(xor(own, lambda k: k), 16), hexed(xor(own, _check), 16))
+        cells = lambda s: _let(first(s), lambda f: F.array_join(F.transform(f, lambda i, j: _let(
+            F.slice(s, i + 1, F.coalesce(F.get(f, j + 1), F.size(s)) - i), cell)), ""))
+        return F.concat(hexed(m, 8), F.when(F.size(keys) == 0, "").otherwise(_let(spots, cells)))
+
+    return _let(published_cells(keys), listed)
 
 
 def _subtracted(pairs: DataFrame, ids: list[str], cells: int) -> DataFrame:
@@ -217,7 +267,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda c: F.size(c).cast("double")
     d = lambda i: F.coalesce(F.col(f"d{i}"), F.lit(0))
     return (rows.join(diff, ["bucket", "place"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("keys").alias("fingerprint"),
-        fingerprint("edited_keys").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"),
+        fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),
         likeness(size("keys"), size("edited_keys"), d(0)).alias("near_edited"),
         likeness(size("keys"), size("next_keys"), d(1)).alias("near_next")))
