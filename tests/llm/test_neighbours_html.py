@@ -58,6 +58,17 @@ def test_many_copies(spark):
     assert all(got[q] == exact(x, q) for q in range(0, 600, 50))
 
 
+def test_ids_that_repeat(spark):
+    """An id with several vectors: all rows are candidates and queries; a row that repeats whole counts once."""
+    data = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (7, [1.0, 1.0]), (7, [-1.0, 0.0]), (8, [1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in
+                 neighbours.nearest(df, neighbours.F.col("vec_id") % 50 == 0).collect())
+    first = [(1, 8, 1.0), (2, 7, 0.707), (3, 50, 0.0), (4, 7, -1.0)]  # of (50, [1, 0])
+    second = [(1, 7, 0.707), (2, 7, 0.0), (3, 8, 0.0), (4, 50, 0.0)]  # of (50, [0, 1])
+    assert got == sorted((50, *r) for r in first + second)
+
+
 def test_rotation_keeps_lengths_and_differs_by_table():
     x = np.random.default_rng(0).normal(size=(20, 48))
     y = neighbours.rotated(x, 0) / 64 ** 1.5

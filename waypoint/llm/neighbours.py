@@ -5,19 +5,22 @@ fast Hadamard transform) and hashed to the signed axis it is nearest to; every
 table has a rotation of its own. A query looks into the ``probes`` axes it is
 nearest to in each of the ``tables``, and the candidates found there are
 ranked by exact cosine. A query that finds fewer than ``k`` is searched again
-against all rows, in blocks.
+against all rows, in blocks. Axes are taken once and stored with the packed
+vectors; few tables with many probes keep what is shuffled small: a vector
+goes once to each table.
 
 Buckets are searched in blocks of at most about ``BLOCK`` candidates and as
 many queries (by salts from the bucket's counts), so a bucket with a third of
-all rows is many small tasks. Of identical vectors only the ``k + 1``
-smallest ids can be among the nearest, so only these are candidates, and
-identical queries are searched once.
+all rows is many small tasks. Identical vectors are one node with the
+``k + 1`` smallest ids, as no others can be among the nearest, and identical
+queries are searched once.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-numbers take no part, nor do null ids; rows that repeat an id count once (the
-smallest vector); vectors of different lengths are not compared; ties go to
-the smaller id; extra columns are ignored; an empty table gives an empty
-result.
+numbers take no part, nor do null ids; rows that repeat an id and its vector
+count once; an id with several vectors is as many rows, each a candidate of
+the others, and as many queries, each with ranks of its own; vectors of
+different lengths are not compared; ties go to the smaller id; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from waypoint.llm.common import is_empty, table
 from waypoint.session import materialize
 
-TABLES, PROBES = 12, 8
+TABLES, PROBES = 4, 32
 #: Candidates, and queries, that one block holds about.
 BLOCK = 4096
 SEED = 20
 SALTS = 64
+KEY = ["dim", "tab", "bucket"]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,131 +72,146 @@ def probes_of(y: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-signed, axis=1, kind="stable")[:, :min(probes, signed.shape[1])]
 
 
-def _encoded(rows: DataFrame, tables: int, probes: int, with_vector: bool) -> DataFrame:
-    """(dim, tab, bucket, vec_id[, vec]) of ``rows`` (vec_id, v): ``probes`` buckets in each table."""
+def _coded(nodes: DataFrame, tables: int, probes: int) -> DataFrame:
+    """(row, least, dim, vec, codes) of ``nodes`` (row, least, v): the packed vector and its ``probes`` nearest
+    axes in each table."""
+    kind = _kind(nodes)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lengths = b["v"].map(len)
-            for dim, part in b.groupby(lengths):
+            for dim, part in b.groupby(b["v"].map(len)):
                 x = np.stack(part["v"].to_list()).astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                ids = part["vec_id"].to_numpy()
-                vec = np.array([np.asarray(v, np.float64).tobytes() for v in part["v"]], object)
-                for t in range(tables):
-                    p = probes_of(rotated(x, t), probes)
-                    each = p.shape[1]
-                    out = {"dim": dim, "tab": t, "bucket": p.ravel(), "vec_id": np.repeat(ids, each)}
-                    yield pd.DataFrame(out | ({"vec": np.repeat(vec, each)} if with_vector else {}))
+                codes = np.stack([probes_of(rotated(x, t), probes) for t in range(tables)], axis=1)
+                yield pd.DataFrame({
+                    "row": part["row"].to_numpy(), "least": part["least"].to_numpy(), "dim": dim,
+                    "vec": [np.asarray(v, kind).tobytes() for v in part["v"]], "codes": codes.tolist()})
+
+    return nodes.mapInPandas(run, "row long, least long, dim int, vec binary, codes array<array<int>>")
+
+
+def _kind(nodes: DataFrame) -> type:
+    """The number type that holds the components of ``v`` exactly."""
+    return np.float32 if isinstance(nodes.schema["v"].dataType.elementType, FloatType) else np.float64
+
 
-    return rows.mapInPandas(run, "dim int, tab int, bucket int, vec_id long" + ", vec binary" * with_vector)
+def _placed(coded: DataFrame, *columns: str) -> DataFrame:
+    """A row for each axis of each table: dim, tab, bucket and ``columns``."""
+    return (coded.select("dim", *columns, F.posexplode("codes").alias("tab", "axes"))
+            .select("dim", "tab", F.explode("axes").alias("bucket"), *columns))
 
 
-def _unpacked(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def _unpacked(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _search(k: int):
-    """The ``k`` best candidates of each query of a block, ties to the smaller id, by cosine."""
+def _search(k: int, kind: type):
+    """The ``k`` best candidates of each query of a block by cosine, ties to the smaller least id."""
     def run(cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.array([], np.int64), "vec_id": np.array([], np.int64),
-                              "score": np.array([], np.float64)})
+        empty = pd.DataFrame({"query": np.array([], np.int64), "row": np.array([], np.int64),
+                              "least": np.array([], np.int64), "score": np.array([], np.float64)})
         if not len(cands) or not len(queries):
             return empty
-        c, q = _unpacked(cands["vec"]), _unpacked(queries["vec"])
-        ids, qids = cands["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        c, q = _unpacked(cands["vec"], kind), _unpacked(queries["vec"], kind)
+        rows, least, asked = cands["row"].to_numpy(), cands["least"].to_numpy(), queries["row"].to_numpy()
         unit = lambda x: x / np.abs(x).max(axis=1, keepdims=True)  # noqa: E731  no overflow in the norms
         c, q = unit(c), unit(q)
         nc, nq = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         out = []
         for lo in range(0, len(q), 256):
             near = (q[lo:lo + 256] / nq[lo:lo + 256, None]) @ (c / nc[:, None]).T
-            edge = -np.partition(-near, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(near), -2.0)
+            edge = -np.partition(-near, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(near), -2.0)
             for i, row in enumerate(near):
                 pick = np.flatnonzero(row >= edge[i] - 1e-9)
                 # summed pair by pair: equal vectors get equal scores in every block
                 score = (c[pick] * q[lo + i]).sum(axis=1) / (nc[pick] * nq[lo + i])
-                best = np.lexsort((ids[pick], -score))[:k]
-                out.append(pd.DataFrame({"query": qids[lo + i], "vec_id": ids[pick][best], "score": score[best]}))
+                best = np.lexsort((least[pick], -score))[:k]
+                out.append(pd.DataFrame({"query": asked[lo + i], "row": rows[pick][best], "least": least[pick][best],
+                                         "score": score[best]}))
         return pd.concat(out, ignore_index=True) if out else empty
 
     return run
 
 
-def _blocks(cands: DataFrame, queries: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+def _blocks(cands: DataFrame, queries: DataFrame, sizes: DataFrame, k: int, kind: type) -> DataFrame:
     """The search of every bucket, in blocks by the bucket's counts (nc, nq in ``sizes``)."""
-    key = ["dim", "tab", "bucket"]
     parts = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
     # at most tables x 2 x length rows for a length of vectors
-    sizes = sizes.select(*key, parts("nc").alias("pc"), parts("nq").alias("pq"))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    sizes = sizes.select(*KEY, parts("nc").alias("pc"), parts("nq").alias("pq"))
+    part = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    c = (cands.join(sizes, key).withColumn("ci", part("pc")).withColumn("qi", every("pq"))
-         .select(*key, "ci", "qi", "vec_id", "vec"))
-    q = (queries.join(sizes, key).withColumn("qi", part("pq")).withColumn("ci", every("pc"))
-         .select(*key, "ci", "qi", "vec_id", "vec"))
-    by = [*key, "ci", "qi"]
+    by = [*KEY, "ci", "qi"]
+    c = (cands.join(sizes, KEY).withColumn("ci", part("pc")).withColumn("qi", every("pq"))
+         .select(*by, "row", "least", "vec"))
+    q = queries.join(sizes, KEY).withColumn("qi", part("pq")).withColumn("ci", every("pc")).select(*by, "row", "vec")
     return c.groupBy(*by).cogroup(q.groupBy(*by)).applyInPandas(
-        _search(k), "query long, vec_id long, score double")
+        _search(k, kind), "query long, row long, least long, score double")
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): one row of each id, without the vectors that take no part."""
+    """(vec_id, v): the different rows, without the vectors that take no part."""
     v = F.col("v")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    return (vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~odd).where(some)
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~odd).where(some).distinct()
+
+
+def _nodes(rows: DataFrame, k: int) -> DataFrame:
+    """(row, least, ids, v): each different vector with a number, its smallest id and its ``k`` smallest ids."""
+    n = F.row_number()
+    some = (rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+            .withColumn("n", n.over(Window.partitionBy("v", "salt").orderBy("vec_id"))).where(F.col("n") <= k)
+            .withColumn("n", n.over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k))
+    return (some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+            .select(F.monotonically_increasing_id().alias("row"), F.col("ids")[0].alias("least"), "ids", "v"))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``vectors``
     (vec_id, embedding) that meets ``is_query`` (a condition on vec_id)."""
     rows = materialize(_valid(vectors.select("vec_id", F.col("embedding").alias("v"))), "vectors")
-    # of identical vectors the k + 1 smallest ids, picked under salts first
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
-    n = F.row_number()
-    cands = (salted.withColumn("n", n.over(Window.partitionBy("v", "salt").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-             .withColumn("n", n.over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-             .select("vec_id", "v"))
-    cands = materialize(cands, "candidates")
-    asked = rows.where(is_query)
-    first = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("key")), "queries")
-    own = asked.join(first, "v").select(F.col("vec_id").alias("query_id"), "key")
-    queries = first.select(F.col("key").alias("vec_id"), "v")
-
-    key = ["dim", "tab", "bucket"]
-    count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
-    sizes = materialize(
-        count(_encoded(cands, tables, 1, False), "nc").join(count(_encoded(queries, tables, probes, False), "nq"), key),
-        "bucket-sizes")
-    found = _blocks(_encoded(cands, tables, 1, True), _encoded(queries, tables, probes, True), sizes, k + 1)
-    best = materialize(_ranked(found, own, k), "found")
+    # written, so that the numbers stay
+    nodes = materialize(_nodes(rows, k + 1), "nodes")
+    kind = _kind(nodes)
+    own = materialize(rows.where(is_query).join(nodes.select("v", F.col("row").alias("key")), "v")
+                      .select(F.col("vec_id").alias("query_id"), "key"), "asked")
+    asked = nodes.join(own.select(F.col("key").alias("row")).distinct(), "row", "left_semi")
+    cands = materialize(_coded(nodes.select("row", "least", "v"), tables, 1), "candidates")
+    queries = materialize(_coded(asked.select("row", "least", "v"), tables, probes), "queries")
+
+    count = lambda df, name: df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
+    sizes = materialize(count(_placed(cands), "nc").join(count(_placed(queries), "nq"), KEY), "bucket-sizes")
+    found = _blocks(_placed(cands, "row", "least", "vec"), _placed(queries, "row", "vec"), sizes, k + 1, kind)
+    best = materialize(_ranked(found, own, nodes, k), "found")
+    answer = ["query_id", "rank", "vec_id", "score"]
 
     # too few found: all rows of the query's length, in blocks
-    few = (own.join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    few = (own.join(best.groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("n")), ["query_id", "key"], "left")
            .where(F.coalesce("n", F.lit(0)) < k))
-    few = materialize(few.select("key").distinct().join(queries.withColumnRenamed("vec_id", "key"), "key")
-                      .select(F.col("key").alias("vec_id"), "v"), "few")
+    few = materialize(few.select(F.col("key").alias("row")).distinct(), "few")
     if is_empty(few):
-        return best
-    whole = lambda df: _encoded(df, 1, 1, True).withColumn("bucket", F.lit(-1))
-    count1 = lambda df, name: (df.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias(name))
-                               .withColumn("tab", F.lit(0)).withColumn("bucket", F.lit(-1)))
-    sizes = count1(cands, "nc").join(count1(few, "nq"), key)
-    again = _ranked(_blocks(whole(cands), whole(few), sizes, k + 1), own, k)
-    redone = few.select("vec_id").join(own.withColumnRenamed("key", "vec_id"), "vec_id").select("query_id")
-    return best.join(redone, "query_id", "left_anti").unionByName(again)
-
-
-def _ranked(found: DataFrame, own: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of what was found for each query, without the query's own row."""
-    order = lambda by: Window.partitionBy(by).orderBy(F.col("score").desc(), "vec_id")
-    top = (found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-           .withColumn("n", F.row_number().over(order("query"))).where(F.col("n") <= k + 1)
-           .withColumnRenamed("query", "key"))
-    return (own.join(top, "key").where("vec_id <> query_id")
-            .withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        return best.select(*answer)
+    whole = lambda df: df.withColumns({"tab": F.lit(0), "bucket": F.lit(-1)})
+    again = queries.join(few, "row", "left_semi")
+    sizes = count(whole(cands), "nc").join(count(whole(again), "nq"), KEY)
+    redone = own.join(few.withColumnRenamed("row", "key"), "key", "left_semi")
+    second = _ranked(_blocks(whole(cands), whole(again), sizes, k + 1, kind), redone, nodes, k)
+    return (best.join(few.withColumnRenamed("row", "key"), "key", "left_anti").select(*answer)
+            .unionByName(second.select(*answer)))
+
+
+def _ranked(found: DataFrame, own: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of what was found for each row of ``own``, without that row itself."""
+    n = F.row_number()
+    order = lambda by, last: Window.partitionBy(*by).orderBy(F.col("score").desc(), last)
+    top = (found.groupBy("query", "row", "least").agg(F.max("score").alias("score"))
+           .withColumn("n", n.over(order(["query"], "least"))).where(F.col("n") <= k + 1)
+           .join(nodes.select("row", "ids"), "row")
+           .select(F.col("query").alias("key"), "row", "score", F.explode("ids").alias("vec_id"))
+           .withColumn("n", n.over(order(["key"], "vec_id"))).where(F.col("n") <= k + 1).drop("n"))
+    return (own.join(top, "key").where("vec_id <> query_id OR row <> key")
+            .withColumn("rank", n.over(order(["query_id", "key"], "vec_id"))).where(F.col("rank") <= k)
+            .select("query_id", "key", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
