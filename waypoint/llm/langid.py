@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams over a fixed vocabulary.
 
 Each language has a probability for every piece of a public vocabulary of byte
-strings (those of up to ``PIECE`` bytes, all single bytes among them). The probability of a text is the sum,
+strings (all of it, and all single bytes). The probability of a text is the sum,
 over all ways to cut it into pieces, of the product of the pieces'
 probabilities; a forward pass over the bytes gives the sum. Pieces do not
 cross word ends, so a text's value is the product of its words', and a task
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from waypoint.llm.common import crc_mod, table, text_or_empty
 from waypoint.session import materialize
 
-#: Letters of a word part, bytes of a piece (8, as they are looked up as integers) at most.
+#: Letters of a word part at most; bytes of a stretch that is looked up as one integer (longer ones go on byte by byte).
 RUN, PIECE = 32, 8
 #: Rounds of learning; what is added to a piece's expected number.
 ROUNDS, ADDED = 2, 0.1
@@ -48,11 +48,35 @@ CELLS, KEPT = 1 << 21, 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def pieces_of(path: str) -> list[bytes]:
-    """The vocabulary of a rank file: byte strings of at most PIECE bytes, and all single bytes."""
+class Pieces(list):
+    """A vocabulary: a list of the pieces of at most PIECE bytes, and the ``longer`` ones.
+
+    Pieces are numbered as listed, the number after them is for no piece, and the longer ones follow.
+    """
+
+    def __init__(self, pieces: list[bytes], longer: list[bytes] = ()):
+        super().__init__(pieces)
+        self.longer = list(longer)
+
+    def __reduce__(self):
+        return Pieces, (list(self), self.longer)
+
+
+def pieces_of(path: str) -> Pieces:
+    """The vocabulary of a rank file: its byte strings, and all single bytes."""
     with open(path, "rb") as f:
         found = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return list(dict.fromkeys([p for p in found if len(p) <= PIECE] + [bytes([b]) for b in range(256)]))
+    found = list(dict.fromkeys(found + [bytes([b]) for b in range(256)]))
+    return Pieces([p for p in found if len(p) <= PIECE], [p for p in found if len(p) > PIECE])
+
+
+def longer_of(pieces: list[bytes]) -> list[bytes]:
+    return getattr(pieces, "longer", [])
+
+
+def numbered(pieces: list[bytes]) -> int:
+    """How many numbers the pieces have, without the one for no piece."""
+    return len(pieces) + len(longer_of(pieces))
 
 
 def words_of(token: str) -> list[bytes]:
@@ -71,42 +95,64 @@ def words_of(token: str) -> list[bytes]:
 
 class Index:
     """Numbers of the pieces, looked up for many stretches at once: a stretch of up to 8 bytes is an
-    integer, found in an open hash table of its length."""
+    integer, found in an open hash table of its length. The first 8 bytes of longer pieces are places of
+    a tree (table ``HEAD``), from which each further byte leads on (table ``NEXT``: place * 256 + byte)."""
 
-    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+    FACTOR, HEAD, NEXT = np.uint64(0x9E3779B97F4A7C15), "head", "next"
 
     def __init__(self, pieces: list[bytes]):
-        self.none = len(pieces)
+        self.none, self.size = len(pieces), numbered(pieces)
         self.tables = {}
         for size in range(1, PIECE + 1):
             own = [i for i, p in enumerate(pieces) if len(p) == size]
-            keys = np.array([int.from_bytes(pieces[i], "big") for i in own], np.uint64)
-            bits = max(8, (8 * len(own)).bit_length())
-            table = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.none, np.int32), np.uint64(64 - bits)
-            for i, key, slot in zip(own, keys, (keys * self.FACTOR >> table[2]).astype(np.int64).tolist()):
-                while table[1][slot] != self.none:
-                    slot = (slot + 1) % len(table[1])
-                table[0][slot], table[1][slot] = key, i
-            self.tables[size] = table
-
-    def find(self, size: int, keys: np.ndarray) -> np.ndarray:
+            self._store(size, [int.from_bytes(pieces[i], "big") for i in own], own)
+        head, step, self.piece_at = {}, {}, []
+        for i, p in enumerate(longer_of(pieces)):
+            at = head.setdefault(int.from_bytes(p[:PIECE], "big"), len(head) + len(step))
+            for byte in p[PIECE:]:
+                at = step.setdefault(at * 256 + byte, len(head) + len(step))
+            self.piece_at += [self.none] * (at + 1 - len(self.piece_at))
+            self.piece_at[at] = self.none + 1 + i
+        places = len(head) + len(step)
+        self.nowhere = places
+        self.piece_at = np.array(self.piece_at + [self.none] * (places - len(self.piece_at)), np.int32)
+        self._store(self.HEAD, list(head), list(head.values()), places)
+        self._store(self.NEXT, list(step), list(step.values()), places)
+
+    def _store(self, name, keys: list[int], numbers: list[int], none: int | None = None) -> None:
+        none = self.none if none is None else none
+        keys = np.array(keys, np.uint64)
+        bits = max(8, (8 * len(keys)).bit_length())
+        table = np.zeros(1 << bits, np.uint64), np.full(1 << bits, none, np.int32), np.uint64(64 - bits)
+        for i, key, slot in zip(numbers, keys, (keys * self.FACTOR >> table[2]).astype(np.int64).tolist()):
+            while table[1][slot] != none:
+                slot = (slot + 1) % len(table[1])
+            table[0][slot], table[1][slot] = key, i
+        self.tables[name] = table
+
+    def find(self, size, keys: np.ndarray) -> np.ndarray:
+        """Numbers of stretches of ``size`` bytes, or places by ``HEAD`` or ``NEXT``; ``none`` (``nowhere``) if not found."""
         held, number, shift = self.tables[size]
+        none = self.nowhere if size in (self.HEAD, self.NEXT) else self.none
         slot = (keys * self.FACTOR >> shift).astype(np.int64)
         out = number[slot]
-        left = np.flatnonzero((held[slot] != keys) & (out != self.none))  # another key is in the slot
-        out[left] = self.none
+        left = np.flatnonzero((held[slot] != keys) & (out != none))  # another key is in the slot
+        out[left] = none
         slot = slot[left]
         while len(left):
             slot = (slot + 1) % len(held)
-            same = (held[slot] == keys[left]) & (number[slot] != self.none)
+            same = (held[slot] == keys[left]) & (number[slot] != none)
             out[left[same]] = number[slot[same]]
-            go_on = ~same & (number[slot] != self.none)
+            go_on = ~same & (number[slot] != none)
             left, slot = left[go_on], slot[go_on]
         return out
 
 
 def spans(words: list[bytes], size: int, index: Index) -> np.ndarray:
-    """Piece of every stretch of words of ``size`` bytes: [end - 1, length - 1, word]; none is ``index.none``."""
+    """Piece of every stretch of words of ``size`` bytes: [end - 1, length - 1, word]; none is ``index.none``.
+
+    Lengths go to PIECE, or the longest piece that is found.
+    """
     most = min(size, PIECE)
     raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), size).T.astype(np.uint64)
     out = np.full((size, most, len(words)), index.none, np.int32)
@@ -114,6 +160,42 @@ def spans(words: list[bytes], size: int, index: Index) -> np.ndarray:
     for n in range(1, most + 1):  # keys: of the stretches of n bytes, by their last byte
         keys = keys[n > 1:] | raw[:size - n + 1] << np.uint64(8 * (n - 1))
         out[n - 1:, n - 1] = index.find(n, keys.ravel()).reshape(keys.shape)
+    if size <= PIECE or not len(index.piece_at):
+        return out
+    # stretches that begin like a longer piece: few, followed byte by byte
+    place = index.find(index.HEAD, keys.ravel())
+    on = np.flatnonzero(place != index.nowhere)
+    place, (begin, word) = place[on].astype(np.uint64), np.divmod(on, len(words))
+    n, found = PIECE, []
+    while len(place):
+        n += 1
+        inside = begin + n <= size
+        place, begin, word = place[inside], begin[inside], word[inside]
+        place = index.find(index.NEXT, place * np.uint64(256) + raw[begin + n - 1, word])
+        here = place != index.nowhere
+        place, begin, word = place[here].astype(np.uint64), begin[here], word[here]
+        piece = index.piece_at[place.astype(np.int64)]
+        whole = piece != index.none
+        if whole.any():
+            found.append((n, begin[whole], word[whole], piece[whole]))
+    if found:
+        more = np.full((size, found[-1][0] - most, len(words)), index.none, np.int32)
+        out = np.concatenate([out, more], axis=1)
+        for n, begin, word, piece in found:
+            out[begin + n - 1, n - 1, word] = piece
+    return out
+
+
+def _log_pass(p: np.ndarray, back: bool) -> np.ndarray:
+    """``_pass`` in logs throughout, for values too far apart to be held in one scale."""
+    size, most = p.shape[:2]
+    out = np.zeros((size + 1, *p.shape[2:]))
+    with np.errstate(divide="ignore"):
+        p = np.log(p)
+    for step in range(1, size + 1):
+        at = size - step if back else step
+        ways = [p[at + n - 1 if back else at - 1, n - 1] + out[at + n if back else at - n] for n in range(1, min(step, most) + 1)]
+        out[at] = np.logaddexp.reduce(ways)
     return out
 
 
@@ -121,6 +203,8 @@ def _pass(p: np.ndarray, back: bool) -> np.ndarray:
     """Log of the summed probabilities of all segmentations up to every byte (``back``: from it to the end),
     from the probabilities of the stretches [end, length, word, ...]; single bytes are never 0."""
     size, most = p.shape[:2]
+    if most > PIECE and p[p > 0].min() ** float(most) < 1e-280:
+        return _log_pass(p, back)
     out = np.zeros((size + 1, *p.shape[2:]))
     near, scale = [np.ones(p.shape[2:])], np.zeros(p.shape[2:])  # values of the last places, all in one scale
     for step in range(1, size + 1):
@@ -155,7 +239,7 @@ def by_length(words: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def word_scores(words: list[bytes], index: Index, prob: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language (columns of ``prob``, whose last row is none)."""
+    """Log probability of each word in each language (columns of ``prob``, a row a number of a piece)."""
     out = np.zeros((len(words), prob.shape[1]))
     for size, at in by_length(words, prob.shape[1]):
         out[at] = forward(prob[spans([words[i] for i in at], size, index)])[-1]
@@ -165,7 +249,7 @@ def word_scores(words: list[bytes], index: Index, prob: np.ndarray) -> np.ndarra
 def expected(words: list[bytes], lang: np.ndarray, n: np.ndarray, index: Index, prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in fixed point, [piece, language], by ``n`` occurrences of each word of a language."""
     none, langs = index.none, prob.shape[1]
-    out = np.zeros(none * langs, np.int64)
+    out = np.zeros((index.size + 1) * langs, np.int64)
     for size, at in by_length(words, 3):
         ids = spans([words[i] for i in at], size, index)
         own = lang[at]
@@ -173,11 +257,11 @@ def expected(words: list[bytes], lang: np.ndarray, n: np.ndarray, index: Index,
         a, b = forward(p), backward(p)
         for length in range(1, ids.shape[1] + 1):
             piece = ids[length - 1:, length - 1]
-            e, w = np.nonzero(piece < none)  # the stretch begins at e and ends at e + length
+            e, w = np.nonzero(piece != none)  # the stretch begins at e and ends at e + length
             share = p[e + length - 1, length - 1, w] * np.exp(a[e, w] + b[e + length, w] - a[-1, w])
             uses = np.rint(share * UNIT).astype(np.int64) * n[at[w]]
             np.add.at(out, piece[e, w].astype(np.int64) * langs + own[w], uses)
-    return out.reshape(none, langs)
+    return np.delete(out.reshape(-1, langs), none, axis=0)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -207,10 +291,10 @@ def word_counts(training: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def probabilities(uses: np.ndarray) -> np.ndarray:
-    """Smoothed probabilities from expected uses [piece, language]; the last row is for no piece."""
+def probabilities(uses: np.ndarray, none: int | None = None) -> np.ndarray:
+    """Smoothed probabilities from expected uses [piece, language], with the row ``none`` (the last) for no piece."""
     p = (uses + ADDED) / (uses.sum(axis=0) + ADDED * len(uses))
-    return np.concatenate([p, np.zeros((1, uses.shape[1]))])
+    return np.insert(p, len(p) if none is None else none, 0, axis=0)
 
 
 def learned(training: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -219,7 +303,8 @@ def learned(training: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> t
     words = materialize(word_counts(training), "language-words")
     docs = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())  # as many as the labels have values
-    prob = probabilities(np.zeros((len(pieces), len(langs))))
+    size, none = numbered(pieces), len(pieces)
+    prob = probabilities(np.zeros((size, len(langs))), none)
     if not langs:
         return [], prob, np.zeros(0)
     for _ in range(rounds):
@@ -229,7 +314,7 @@ def learned(training: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> t
             pieces, langs, prob = shared.value
             index = Index(pieces)
             number = {x: i for i, x in enumerate(langs)}
-            total = np.zeros((len(pieces), len(langs)), np.int64)
+            total = np.zeros((index.size, len(langs)), np.int64)
             for b in batches:
                 own = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
                 total += expected(b.column("word").to_pylist(), own, b.column("n").to_numpy(), index, prob)
@@ -238,9 +323,9 @@ def learned(training: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> t
 
         cells = (words.mapInArrow(run, "cell long, n long").groupBy("cell")
                  .agg(F.sum("n").alias("n")).toArrow())  # at most pieces x languages rows
-        uses = np.zeros(len(pieces) * len(langs))
+        uses = np.zeros(size * len(langs))
         uses[cells["cell"].to_numpy()] = cells["n"].to_numpy() / UNIT
-        prob = probabilities(uses.reshape(len(pieces), len(langs)))
+        prob = probabilities(uses.reshape(size, len(langs)), none)
         shared.unpersist()
     n = np.array([docs[x] for x in langs], np.float64)
     return langs, prob, np.log(n / n.sum())
