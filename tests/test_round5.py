@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tests.test_round3 import _part_files, exchanges
-from tests.test_round4 import _fresh
+from tests.test_round4 import _fresh, _must_not
+from waypoint.operators import identity
 from waypoint.session import materialize, scratch_path, short_shuffles
 from waypoint.sources import cache
 from waypoint.sources import fixtures as FX
@@ -154,3 +155,14 @@ def test_tx_year_slice_stores_the_models_columns_only(spark, monkeypatch):
     assert _rows(got) == want and want
     (columns, args), = written
     assert columns == len(context.MODEL_COLUMNS) + 1 and len(cache.year_slices(args[-1])) > 2
+
+
+def test_cache_roundtrip_stores_the_lines_once(spark, monkeypatch):
+    context, registry = _fresh(spark, monkeypatch)
+    want = _rows(registry.as_output(context.load(spark, SF_SMALL).data.tx))
+    context._CACHE.clear()
+    monkeypatch.setattr(context, "ingest", _must_not)  # a cache before the query's own
+    monkeypatch.setattr(cache, "SLICE_ROWS", 1500)
+    got = registry.QUERIES["cache_roundtrip"](spark, SF_SMALL)
+    assert _rows(got) == want and want
+    assert identity.Dataset(None, None, None).by_year == ()
